@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tickpulse.constants import NEGATIVE, NEUTRAL, POSITIVE, STAT_SOURCES, TOP_STOCKS
 from tickpulse.functions.timewin import as_datetime, day_anchor, half_open_day, interval_bounds, to_epoch, ts_of_epoch
-from tickpulse.operators.common import one_row
 
 import datetime as dt
 
@@ -81,31 +80,30 @@ def stock_sentiment(all_content: DataFrame, interval: str, run_time) -> DataFram
 
 def stock_sentiment_all_intervals(all_content: DataFrame, run_time,
                                   intervals=("24h", "week", "month")) -> DataFrame:
-    """All intervals in one scan: rows are matched to a tiny bounds table (one row per
-    interval, so its broadcast size is fixed) and aggregated per (interval, symbol)."""
-    spark = all_content.sparkSession
+    """All intervals in one scan: each row is tagged (explode) with every interval whose bounds
+    contain it, then one aggregation per (interval, symbol).  No join is needed."""
     bounds_rows = [(i, *interval_bounds(i, run_time)) for i in intervals]
-    bounds = spark.createDataFrame(bounds_rows, "interval string, b_start long, b_end long")
+    bounds = F.array(*[F.struct(F.lit(i).alias("interval"), F.lit(a).cast("bigint").alias("b_start"),
+                                F.lit(b).cast("bigint").alias("b_end")) for i, a, b in bounds_rows])
     lo = min(b[1] for b in bounds_rows)
     hi = max(b[2] for b in bounds_rows)
-    facts = all_content.where(F.col("symbol").isNotNull() & F.col("timestamp").between(lo, hi)) \
-        .select("symbol", "sentiment", "timestamp")
-    j = facts.join(F.broadcast(bounds), F.col("timestamp").between(F.col("b_start"), F.col("b_end")))
+    ts = F.col("timestamp")
+    facts = all_content.where(F.col("symbol").isNotNull() & ts.between(lo, hi)).select(
+        "symbol", "sentiment", F.explode(F.filter(bounds, lambda b: ts.between(b["b_start"], b["b_end"]))).alias("b"))
     s = F.col("sentiment")
-    return j.groupBy("interval", "symbol", "b_end").agg(
+    return facts.groupBy(F.col("b.interval").alias("interval"), "symbol", F.col("b.b_end").alias("timestamp")).agg(
         F.sum(F.when(s == POSITIVE, 1).otherwise(0)).alias("positive"),
         F.sum(F.when(s == NEGATIVE, 1).otherwise(0)).alias("negative"),
         F.sum(F.when(s == NEUTRAL, 1).otherwise(0)).alias("neutral"),
         F.count("symbol").alias("total"),
-    ).select("symbol", "interval", "positive", "negative", "neutral", "total",
-             F.col("b_end").alias("timestamp"))
+    ).select("symbol", "interval", "positive", "negative", "neutral", "total", "timestamp")
 
 
 def latest_of_interval(stock_sent: DataFrame, interval: str) -> DataFrame:
     """join_scalar_latest: rows of ``interval`` whose timestamp is that interval's maximum."""
     rows = stock_sent.where(F.col("interval") == interval)
-    latest = rows.agg(F.max("timestamp").alias("latest_ts"))
-    return rows.join(one_row(latest), F.col("timestamp") == F.col("latest_ts")).drop("latest_ts")
+    latest = rows.agg(F.max("timestamp")).scalar()  # scalar subquery, run once
+    return rows.where(F.col("timestamp") == latest)
 
 
 def top_stocks(stock_sent: DataFrame, interval: str, n: int = TOP_STOCKS) -> DataFrame:
@@ -123,9 +121,8 @@ def top_stocks(stock_sent: DataFrame, interval: str, n: int = TOP_STOCKS) -> Dat
 
 def processing_stats(rumors: DataFrame, analyst: DataFrame) -> DataFrame:
     """agg_processing_stats: total rumors, distinct processed ids, processing rate in percent."""
-    total = rumors.agg(F.count(F.lit(1)).alias("total_rumors"))
-    done = analyst.agg(F.countDistinct("processed_from_rumor_id").alias("processed_rumors"))
-    both = one_row(total).crossJoin(one_row(done))
+    done = analyst.agg(F.countDistinct("processed_from_rumor_id")).scalar()
+    both = rumors.agg(F.count(F.lit(1)).alias("total_rumors")).withColumn("processed_rumors", done)
     rate = F.when(F.col("total_rumors") > 0,
                   F.col("processed_rumors") / F.col("total_rumors") * F.lit(100.0)).otherwise(F.lit(0.0))
     return both.select("total_rumors", "processed_rumors", rate.alias("processing_rate"))

@@ -27,6 +27,8 @@ RUN_TIME = dt.datetime(2024, 1, 15, 10, 0, 0)
 TRENDING_END = dt.datetime(2024, 1, 10, 12, 0, 0)
 SPLIT_EXISTING_BEFORE = dt.datetime(2024, 1, 20)
 SPLIT_INCOMING_FROM = dt.datetime(2024, 1, 15)
+# a conversation is anchored at event conv_id * CONV_STRIDE (spreads them over the month)
+CONV_STRIDE = 97
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +92,7 @@ def posts(spark, sf_dir) -> DataFrame:
 def fb_post(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("turn = 0")
     t = event_times(spark, sf_dir).select("event_id", "epoch")
-    return c.join(t, c.conv_id == t.event_id, "inner").select(
+    return c.join(t, c.conv_id * CONV_STRIDE == t.event_id, "inner").select(
         F.col("conv_id").cast("string").alias("post_id"),
         F.col("text").alias("content"),
         F.col("epoch").alias("timestamp"),
@@ -130,7 +132,7 @@ def zalo_chat(spark, sf_dir) -> DataFrame:
     """All turns of a conversation share the second of its anchor event."""
     c = table(spark, sf_dir, "conversations")
     t = event_times(spark, sf_dir).select("event_id", "epoch")
-    return c.join(t, c.conv_id == t.event_id, "inner").select(
+    return c.join(t, c.conv_id * CONV_STRIDE == t.event_id, "inner").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
         F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 3), F.lit("NA"))
         .otherwise(F.col("text")).alias("content"),
@@ -151,7 +153,7 @@ def yt_post(spark, sf_dir) -> DataFrame:
 def youtuber_advice(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     t = event_times(spark, sf_dir).select("event_id", "epoch", "user_id")
-    return c.join(t, c.conv_id == t.event_id, "inner").select(
+    return c.join(t, c.conv_id * CONV_STRIDE == t.event_id, "inner").select(
         (F.col("epoch") + F.col("turn")).alias("timestamp"),
         _symbol_of(F.col("user_id")).alias("symbol"),
         F.col("text").alias("advise"),
@@ -177,7 +179,7 @@ def rumors(spark, sf_dir) -> DataFrame:
     """rumor table (id, timestamp, symbol, content, sentiment, source) from user turns."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     t = event_times(spark, sf_dir).select("event_id", "epoch", "user_id", "k")
-    return c.join(t, c.conv_id == t.event_id, "inner").select(
+    return c.join(t, c.conv_id * CONV_STRIDE == t.event_id, "inner").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
         (F.col("epoch") + F.col("turn")).alias("timestamp"),
         F.when(F.col("k") % 10 == 0, F.lit(None).cast("string"))
@@ -205,7 +207,7 @@ def calendar_raw(spark, sf_dir) -> DataFrame:
     e = events(spark, sf_dir)
     k = _k()
     return e.select(
-        F.lit(0).cast("bigint").alias("page_id"),
+        F.floor(epoch_seconds("ts") / 604800).cast("bigint").alias("page_id"),
         F.col("event_id").alias("row_idx"),
         F.col("ts"),
         k.alias("k"),
@@ -219,8 +221,8 @@ def calendar_raw(spark, sf_dir) -> DataFrame:
         "case when k % 3 = 0 then 'High' when k % 3 = 1 then 'Medium' else 'Low' end as impact",
         "case when event_type = 'view' then '' else concat(event_type, ' index ', cast(user_id as string)) end as event",
         "cast(value as string) as actual",
-        "cast(round(value * 0.9, 2) as string) as forecast",
-        "cast(round(value * 1.1, 2) as string) as previous",
+        "cast(cast(floor(value * 90) as bigint) as string) as forecast",
+        "cast(cast(floor(value * 110) as bigint) as string) as previous",
     )
 
 
