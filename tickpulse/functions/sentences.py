@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tickpulse.constants import SENTENCE_KEYWORDS, SUMMARY_KEYWORDS
 from tickpulse.functions.text import has_digit, strip, summary_clean, word_count, words
 
-EMPTY = F.array().cast("array<string>")
+def _empty():
+    return F.array().cast("array<string>")
 
 
 def _c(col) -> Column:
@@ -26,24 +27,53 @@ def split_sentences(text) -> Column:
     dropped; no sentence left -> the whole text as one."""
     t = _c(text)
     parts = F.filter(F.transform(F.split(t, r"(?U)(?<=[.?!…])\s+", -1), strip), lambda s: s != "")
-    return F.when(t.isNull(), EMPTY).when(F.size(parts) == 0, F.array(t)).otherwise(parts)
+    return F.when(t.isNull(), _empty()).otherwise(
+        let(parts, lambda ps: F.when(F.size(ps) == 0, F.array(t)).otherwise(ps)))
 
 
-def _code_regex(code) -> Column:
-    return F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}_])"), _c(code), F.lit(r"(?![\p{L}\p{N}_])"))
+def let(value, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable (so the
+    optimizer cannot re-inline it inside per-element lambdas)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def sentence_score(sentence, code) -> Column:
-    """fn_sentence_score: length band, finance keywords, digits, code near the start."""
-    s = _c(sentence)
-    wc = word_count(s)
+def _nonspace(s) -> Column:
+    """``s.split()``: runs of non-whitespace (a cached constant regex, no per-row compile)."""
+    return F.regexp_extract_all(s, F.lit(r"(?U)\S+"), 0)
+
+
+def _base_score(s) -> Column:
+    """The code-independent part of fn_sentence_score: length band, keywords, digits."""
+    wc = F.size(_nonspace(s))
     low = F.lower(s)
     score = F.when((wc >= 5) & (wc <= 25), F.lit(2.0)).when(wc > 25, F.lit(-1.0)).otherwise(F.lit(0.0))
     for kw in SENTENCE_KEYWORDS:
         score = score + F.when(F.contains(low, F.lit(kw)), F.lit(1.0)).otherwise(F.lit(0.0))
-    score = score + F.when(s.rlike(r"(?U)\d"), F.lit(0.5)).otherwise(F.lit(0.0))
-    near = F.startswith(s, _c(code)) | F.array_contains(F.slice(words(s), 1, 3), _c(code))
-    return score + F.when(near, F.lit(1.0)).otherwise(F.lit(0.0))
+    return score + F.when(s.rlike(r"(?U)\d"), F.lit(0.5)).otherwise(F.lit(0.0))
+
+
+def sentence_table(sentences) -> Column:
+    """Per-sentence features computed once per post: the sentence, its upper-cased word runs
+    (for whole-word, case-insensitive code matching), its code-independent score and its
+    first three words."""
+    return F.transform(_c(sentences), lambda s: F.struct(
+        s.alias("s"),
+        F.array_distinct(F.regexp_extract_all(F.upper(s), F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("up"),
+        _base_score(s).alias("base"),
+        F.slice(_nonspace(s), 1, 3).alias("first3"),
+    ))
+
+
+def sentence_score(sentence, code) -> Column:
+    """fn_sentence_score: length band, finance keywords, digits, code near the start."""
+    s = _c(sentence)
+    near = F.startswith(s, _c(code)) | F.array_contains(F.slice(_nonspace(s), 1, 3), _c(code))
+    return _base_score(s) + F.when(near, F.lit(1.0)).otherwise(F.lit(0.0))
+
+
+def _feat_score(f, code) -> Column:
+    near = F.startswith(f["s"], code) | F.array_contains(f["first3"], code)
+    return f["base"] + F.when(near, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 def context_of(sentences, pos) -> Column:
@@ -55,39 +85,45 @@ def context_of(sentences, pos) -> Column:
     return strip(F.concat_ws(" ", prev, F.try_element_at(s, pos), nxt))
 
 
-def important_sentence(sentences, code) -> Column:
-    """fn_important_sentence for one code: context of its only sentence, or of the best-scored
-    one (ties -> earliest); '' when no sentence names the code.
+def best_sentence_index(table, code) -> Column:
+    """win_best_sentence: 1-based index of the highest-scored sentence naming the code
+    (whole word, any case); ties -> earliest; NULL when none names it."""
+    t = _c(table)
+    c = _c(code)
+    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))),
+                    lambda i: F.coalesce(F.array_contains(F.try_element_at(t, i)["up"], c), F.lit(False)))
+    best = F.array_max(F.transform(hits, lambda i: F.struct(_feat_score(F.element_at(t, i), c).alias("sc"),
+                                                             (-i).alias("neg_i"))))
+    return F.when(F.size(hits) == 0, F.lit(None)).otherwise(-best["neg_i"])
 
-    The context is taken around the first sentence equal to the chosen one.
-    """
-    s = _c(sentences)
-    pat = _code_regex(code)
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))),
-                    lambda i: F.coalesce(F.regexp_like(F.try_element_at(s, i), pat), F.lit(False)))
-    init = F.struct(F.lit(0).alias("i"), F.lit(float("-inf")).alias("sc"))
 
-    def step(acc, i):
-        sc = sentence_score(F.try_element_at(s, i), code)
-        return F.when(sc > acc["sc"], F.struct(i.alias("i"), sc.alias("sc"))).otherwise(acc)
+def important_sentence(table, code) -> Column:
+    """fn_important_sentence for one code: context of the best-scored sentence naming it
+    (a single hit is its own best); '' when no sentence names the code.  The context is
+    taken around the first sentence equal to the chosen one."""
+    t = _c(table)
 
-    best = F.when(F.size(hits) == 1, F.element_at(hits, 1)).otherwise(F.aggregate(hits, init, step)["i"])
-    target = F.try_element_at(s, best)
-    first_pos = F.array_position(s, target).cast("int")
-    return F.when(F.size(hits) == 0, F.lit("")).otherwise(context_of(s, first_pos))
+    def with_best(b):
+        def with_sents(sents):
+            return let(F.array_position(sents, F.element_at(sents, b)).cast("int"),
+                       lambda p: context_of(sents, p))
 
+        return F.when(b.isNull(), F.lit("")).otherwise(let(F.transform(t, lambda f: f["s"]), with_sents))
+
+    return let(best_sentence_index(t, code), with_best)
 
-def best_sentence_index(sentences, code) -> Column:
-    """win_best_sentence: 1-based index of the highest-scored sentence naming the code (ties -> earliest)."""
-    s = _c(sentences)
-    pat = _code_regex(code)
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))),
-                    lambda i: F.coalesce(F.regexp_like(F.try_element_at(s, i), pat), F.lit(False)))
-    init = F.struct(F.lit(0).alias("i"), F.lit(float("-inf")).alias("sc"))
-    best = F.aggregate(hits, init, lambda acc, i: F.when(
-        sentence_score(F.try_element_at(s, i), code) > acc["sc"],
-        F.struct(i.alias("i"), sentence_score(F.try_element_at(s, i), code).alias("sc"))).otherwise(acc))
-    return F.when(F.size(hits) == 0, F.lit(None)).otherwise(best["i"])
+
+def important_sentences(sentences, codes) -> Column:
+    """fn_important_sentence for all codes of a post: array<struct<symbol, sentence>>.  The
+    sentence table is built once per post and shared by its codes."""
+    return let(sentence_table(sentences), lambda t: F.transform(
+        _c(codes), lambda c: F.struct(c.alias("symbol"), important_sentence(t, c).alias("sentence"))))
+
+
+def best_sentence_positions(sentences, codes) -> Column:
+    """win_best_sentence for all codes of a post: array<struct<symbol, best_pos>>."""
+    return let(sentence_table(sentences), lambda t: F.transform(
+        _c(codes), lambda c: F.struct(c.alias("symbol"), best_sentence_index(t, c).alias("best_pos"))))
 
 
 # ---------------------------------------------------------------------------
@@ -121,49 +157,57 @@ def _summary_sentences(cleaned) -> Column:
 
 def smart_summary(text, max_length: int = 100, cleaned: bool = False) -> Column:
     """fn_smart_summary: score candidate sentences, then greedily add the best ones."""
-    ct = _c(text) if cleaned else summary_clean(text)
-    sents = _summary_sentences(ct)
-    n = F.size(sents)
-
-    def scored(i):
-        s = F.element_at(sents, i)
-        wc = word_count(s)
-        low = F.lower(s)
-        kw = F.lit(False)
-        for k in SUMMARY_KEYWORDS:
-            kw = kw | F.contains(low, F.lit(k))
-        sc = (F.when(i == 1, 3).when(i <= 3, 1).otherwise(0)
-              + F.when(kw, 2).otherwise(0)
-              + F.when(has_digit(s), 1).otherwise(0)
-              + F.when((wc >= 8) & (wc <= 25), 1).otherwise(0))
-        return F.struct((-sc).alias("neg"), i.alias("i"), s.alias("s"), wc.alias("wc"))
-
-    idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    cands = F.filter(F.transform(idx, scored), lambda r: (r["wc"] >= 5) & (r["wc"] <= 50) & (n > 0))
-    ordered = F.array_sort(cands)  # score desc, then position: a stable sort
-    init = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("total"),
-                    F.lit(False).alias("done"))
-
-    def step(acc, r):
-        s = r["s"]
-        fits = (acc["total"] + F.length(s)) <= max_length
-        add = ~acc["done"] & fits
-        parts = F.when(add, F.array_append(acc["parts"], s)).otherwise(acc["parts"])
-        done = acc["done"] | ~fits | (F.size(parts) >= 3)
-        total = F.when(add, acc["total"] + F.length(s) + 1).otherwise(acc["total"])
-        return F.struct(parts.alias("parts"), total.alias("total"), done.alias("done"))
-
-    picked = F.aggregate(ordered, init, step)["parts"]
-    joined = F.array_join(picked, " ")
-    fallback_first = F.filter(sents, lambda s: (word_count(s) >= 10) & (word_count(s) <= 40))
-    no_cands = F.when(F.size(fallback_first) > 0, truncate_text(F.element_at(fallback_first, 1), max_length)) \
-        .otherwise(truncate_text(ct, max_length))
-    summary = F.when(F.length(joined) > max_length, truncate_text(joined, max_length)).otherwise(joined)
-    return (F.when(word_count(ct) <= 8, ct)
-            .when(n == 0, F.concat(F.substring(ct, 1, max_length), F.lit("...")))
-            .when(F.size(cands) == 0, no_cands)
-            .when(F.size(picked) == 0, truncate_text(F.element_at(sents, 1), max_length))
-            .otherwise(summary))
+    ct0 = _c(text) if cleaned else summary_clean(text)
+
+    def with_text(ct):
+        def with_sents(sents):
+            n = F.size(sents)
+
+            def scored(s, i0):
+                i = i0 + 1
+                wc = F.size(_nonspace(s))
+                low = F.lower(s)
+                kw = F.lit(False)
+                for k in SUMMARY_KEYWORDS:
+                    kw = kw | F.contains(low, F.lit(k))
+                sc = (F.when(i == 1, 3).when(i <= 3, 1).otherwise(0)
+                      + F.when(kw, 2).otherwise(0)
+                      + F.when(has_digit(s), 1).otherwise(0)
+                      + F.when((wc >= 8) & (wc <= 25), 1).otherwise(0))
+                return F.struct((-sc).alias("neg"), i.alias("i"), s.alias("s"), wc.alias("wc"))
+
+            def with_cands(cands):
+                ordered = F.array_sort(cands)  # score desc, then position: a stable sort
+                init = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("total"),
+                                F.lit(False).alias("done"))
+
+                def step(acc, r):
+                    s = r["s"]
+                    fits = (acc["total"] + F.length(s)) <= max_length
+                    add = ~acc["done"] & fits
+                    parts = F.when(add, F.array_append(acc["parts"], s)).otherwise(acc["parts"])
+                    done = acc["done"] | ~fits | (F.size(parts) >= 3)
+                    total = F.when(add, acc["total"] + F.length(s) + 1).otherwise(acc["total"])
+                    return F.struct(parts.alias("parts"), total.alias("total"), done.alias("done"))
+
+                picked = F.aggregate(ordered, init, step)["parts"]
+                joined = F.array_join(picked, " ")
+                fallback_first = F.filter(sents, lambda s: (F.size(_nonspace(s)) >= 10) & (F.size(_nonspace(s)) <= 40))
+                no_cands = F.when(F.size(fallback_first) > 0,
+                                  truncate_text(F.element_at(fallback_first, 1), max_length)) \
+                    .otherwise(truncate_text(ct, max_length))
+                summary = F.when(F.length(joined) > max_length, truncate_text(joined, max_length)).otherwise(joined)
+                return (F.when(F.size(cands) == 0, no_cands)
+                        .when(F.size(picked) == 0, truncate_text(F.element_at(sents, 1), max_length))
+                        .otherwise(summary))
+
+            cands = F.filter(F.transform(sents, scored), lambda r: (r["wc"] >= 5) & (r["wc"] <= 50))
+            return (F.when(n == 0, F.concat(F.substring(ct, 1, max_length), F.lit("...")))
+                    .otherwise(let(cands, with_cands)))
+
+        return F.when(F.size(_nonspace(ct)) <= 8, ct).otherwise(let(_summary_sentences(ct), with_sents))
+
+    return let(ct0, with_text)
 
 
 def summary_post_process(summary, original, max_length: int = 100) -> Column:
@@ -179,22 +223,14 @@ def summary_post_process(summary, original, max_length: int = 100) -> Column:
 
 def split_by_capital(text) -> Column:
     """fn_split_by_capital: a word starting upper-case opens a new sentence, unless the word is
-    all [A-Z0-9] and longer than one character.  Sentences are the joined word runs."""
-    ws = words(_c(text))
-
-    def starts_new(w):
-        caps_code = w.rlike(r"^[A-Z0-9]+$") & (F.length(w) > 1)
-        first = F.substring(w, 1, 1)
-        return ~caps_code & (first != F.lower(first)) & (first == F.upper(first))
-
-    flags = F.transform(ws, lambda w, i: F.when(i == 0, F.lit(0)).otherwise(F.when(starts_new(w), 1).otherwise(0)))
-    group_ids = F.transform(flags, lambda f, i: F.aggregate(F.slice(flags, 1, i + 1), F.lit(0), lambda a, x: a + x))
-    n_groups = F.coalesce(F.array_max(group_ids), F.lit(-1)) + 1
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(n_groups - 1, F.lit(0))),
-        lambda g: F.array_join(F.filter(F.transform(ws, lambda w, i: F.when(F.element_at(group_ids, i + 1) == g, w)),
-                                        lambda w: w.isNotNull()), " "),
-    )
+    all [A-Z0-9] and longer than one character.  Sentences are the word runs joined by one space.
+
+    Linear in the text: the words are joined by single spaces and split with one regex
+    at every space followed by such an opening word.
+    """
+    joined = F.array_join(words(_c(text)), " ")
+    parts = F.split(joined, r" (?=\p{Lu})(?![A-Z0-9]{2,}(?: |$))", -1)
+    return F.filter(parts, lambda s: s != "")
 
 
 def split_by_capital_nonempty(text) -> Column:

@@ -14,6 +14,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickpulse.constants import (FALLBACK_STOPWORDS, SUMMARY_LABEL_PATTERN, VIETNAMESE_ACCENTS,
                                  VIETNAMESE_ACCENTS_UPPER)
@@ -49,7 +50,7 @@ def text_present(col) -> Column:
     return c.isNotNull() & (c != "") & (c != "NA")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
 
@@ -82,14 +83,14 @@ def ensure_token_list(col) -> Column:
                     lambda t: t.isNotNull() & (t != ""))
 
 
-_KEEP_CLASS = "\\w\\s" + VIETNAMESE_ACCENTS + VIETNAMESE_ACCENTS_UPPER + ".,!?;:\\-"
+_KEEP_CLASS = "\\p{L}\\p{N}_\\s" + VIETNAMESE_ACCENTS + VIETNAMESE_ACCENTS_UPPER + ".,!?;:\\-"
 
 
 def sentiment_clean(col) -> Column:
     """fn_sentiment_clean (after NFC): links, mentions, hashtags, symbols, spaces."""
     t = F.regexp_replace(_c(col), URL_ANY, "")
-    t = F.regexp_replace(t, r"(?U)@\w+", "")
-    t = F.regexp_replace(t, r"(?U)#(\w+)", "$1")
+    t = F.regexp_replace(t, r"@[\p{L}\p{N}_]+", "")
+    t = F.regexp_replace(t, r"#([\p{L}\p{N}_]+)", "$1")
     t = F.regexp_replace(t, "(?U)[^" + _KEEP_CLASS + "]", " ")
     return collapse_spaces(t)
 
@@ -110,8 +111,8 @@ def summary_clean(col) -> Column:
     """fn_summary_clean: entities, http links (not www), mentions, hashtags, symbols, spaces."""
     t = html_unescape(_c(col))
     t = F.regexp_replace(t, URL_HTTP, "")
-    t = F.regexp_replace(t, r"(?U)@\w+", "")
-    t = F.regexp_replace(t, r"(?U)#(\w+)", "$1")
+    t = F.regexp_replace(t, r"@[\p{L}\p{N}_]+", "")
+    t = F.regexp_replace(t, r"#([\p{L}\p{N}_]+)", "$1")
     t = F.regexp_replace(t, "(?U)[^" + _KEEP_CLASS.replace("\\s", "\\s") + "]", " ")
     t = F.regexp_replace(t, r"(?U)\s+", " ")
     return F.coalesce(strip(t), F.lit(""))

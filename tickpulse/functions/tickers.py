@@ -46,27 +46,26 @@ def upper_in_text(text, code: str) -> Column:
 def context_ok(text, code: str, radius: int = CONTEXT_RADIUS) -> Column:
     """fn_ticker_context_ok: no veto word next to the code in any +-radius character window.
 
-    Occurrences are the non-overlapping case-insensitive substring matches of
-    ``code``; each window is lower-cased and split on whitespace; a word that
-    contains the code is vetoed when its left or right neighbour is a veto word.
+    Occurrences are the non-overlapping case-insensitive matches of ``code``.
+    One regex pass per part captures, for every occurrence, the ``radius``
+    characters before it (fewer at the start of the text), the occurrence and
+    the ``radius`` characters after it, so the cost is linear in the text.
+    Each window is lower-cased and split on whitespace; a word containing the
+    code is vetoed when its left or right neighbour is a veto word.
     """
     t = _c(text)
-    n = len(code)
     low = code.lower()
-    pieces = F.split(t, "(?i)" + re.escape(code).replace("\\&", "&"), -1)
-    lens = F.transform(pieces, lambda p: F.length(p))
-    starts = F.transform(
-        F.sequence(F.lit(1), F.size(pieces) - 1),
-        lambda j: F.aggregate(F.slice(lens, 1, j), F.lit(0), lambda a, x: a + x) + (j - 1) * n,
-    )
-    total = F.length(t)
-
-    def window_bad(s):
-        lo = F.greatest(s - radius, F.lit(0))
-        hi = F.least(total, s + n + radius)
-        ws = F.filter(F.split(F.lower(F.substring(t, lo + 1, hi - lo)), r"(?U)\s+"), lambda w: w != "")
+    body = re.escape(code).replace("\\&", "&")
+    # the code is matched first; only then is the bounded look-behind checked
+    pat = f"(?si){body}(?<=(.{{{radius}}}|^.{{0,{radius - 1}}}){body})(?=(.{{0,{radius}}}))"
+    pre = F.regexp_extract_all(t, F.lit(pat), 1)
+    mid = F.regexp_extract_all(t, F.lit(pat), 0)
+    post = F.regexp_extract_all(t, F.lit(pat), 2)
+    veto = list(CONTEXT_VETO_WORDS)
+
+    def window_bad(z):
+        ws = F.filter(F.split(F.lower(F.concat(z["pre"], z["mid"], z["post"])), r"(?U)\s+"), lambda w: w != "")
         size = F.size(ws)
-        veto = list(CONTEXT_VETO_WORDS)
 
         def bad_at(i):
             prev = F.when(i > 1, F.try_element_at(ws, i - 1)).otherwise(F.lit(""))
@@ -75,9 +74,8 @@ def context_ok(text, code: str, radius: int = CONTEXT_RADIUS) -> Column:
 
         return (size > 1) & F.exists(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), bad_at)
 
-    has_occ = F.size(pieces) > 1
-    return ~(has_occ & F.coalesce(F.exists(F.when(has_occ, starts).otherwise(F.array().cast("array<int>")),
-                                           window_bad), F.lit(False)))
+    zipped = F.arrays_zip(pre.alias("pre"), mid.alias("mid"), post.alias("post"))
+    return ~F.coalesce(F.exists(zipped, window_bad), F.lit(False))
 
 
 @dataclass
@@ -108,30 +106,46 @@ class TickerDictionary:
         return x.isin(*self.symbols) if self.symbols else F.lit(False)
 
 
+def _let(value, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body`` as a lambda variable, so the
+    optimizer cannot copy the (text-sized) expression into per-element lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _common_flags(t, cands, common: list[str]) -> Column:
+    """struct of per-row flags: common-word code ``c`` is upper case somewhere and has no veto."""
+    if not common:
+        return F.struct(F.lit(True).alias("none"))
+    return F.struct(*[
+        F.when(F.array_contains(cands, F.lit(c)), upper_in_text(t, c) & context_ok(t, c)).otherwise(F.lit(False))
+        .alias(f"f{i}") for i, c in enumerate(common)])
+
+
 def rule_codes(text, dictionary: TickerDictionary) -> Column:
     """fn_ticker_rules: dictionary tickers named in ``text`` (sorted, distinct).
 
     Text shorter than 5 stripped characters has none.  A code that is also a
     common word counts only if it appears upper case as a whole word and no
-    veto word stands next to it.
+    veto word stands next to it.  The candidates and the per-row flags are
+    computed once per row.
     """
     t = _c(text)
-    cands = candidates(t)
     plain = dictionary.plain
     common = dictionary.common
-    ok_flags = {
-        c: F.when(F.array_contains(cands, F.lit(c)), upper_in_text(t, c) & context_ok(t, c)).otherwise(F.lit(False))
-        for c in common
-    }
 
-    def keep(x):
-        cond = x.isin(*plain) if plain else F.lit(False)
-        for c, flag in ok_flags.items():
-            cond = cond | ((x == F.lit(c)) & flag)
-        return cond
+    def with_cands(cs):
+        def with_flags(fl):
+            def keep(x):
+                cond = x.isin(*plain) if plain else F.lit(False)
+                for i, c in enumerate(common):
+                    cond = cond | ((x == F.lit(c)) & fl[f"f{i}"])
+                return cond
+
+            return F.array_sort(F.filter(cs, keep))
+
+        return _let(_common_flags(t, cs, common), with_flags)
 
-    found = F.array_sort(F.filter(cands, keep))
-    return F.when(stripped_length(t) >= 5, found).otherwise(F.array().cast("array<string>"))
+    return F.when(stripped_length(t) >= 5, _let(candidates(t), with_cands)).otherwise(F.array().cast("array<string>"))
 
 
 def candidate_gate(text, cand_col, dictionary: TickerDictionary) -> Column:
@@ -139,21 +153,26 @@ def candidate_gate(text, cand_col, dictionary: TickerDictionary) -> Column:
     t = _c(text)
     accents = "[" + VIETNAMESE_ACCENTS + "]"
     common = dictionary.common
-    ok_flags = {c: upper_in_text(t, c) & context_ok(t, c) for c in common}
-
-    def keep(e):
-        u = F.upper(strip(e))
-        base = (~F.lower(u).rlike(accents)) & (F.length(u) > 2) & (F.length(u) <= 4) \
-            & u.rlike(r"^\p{L}+$") & dictionary.member(u)
-        common_ok = F.lit(False)
-        for c, flag in ok_flags.items():
-            common_ok = common_ok | ((u == F.lit(c)) & flag)
-        plain_ok = F.upper(t).rlike(F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), u, F.lit(r"(?![\p{L}\p{N}_])")))
-        return base & F.when(u.isin(*common) if common else F.lit(False), common_ok).otherwise(plain_ok)
-
-    gated = F.transform(F.filter(F.coalesce(_c(cand_col), F.array().cast("array<string>")), keep),
-                        lambda e: F.upper(strip(e)))
-    return F.when(F.length(t) >= 10, F.array_sort(F.array_distinct(gated))).otherwise(F.array().cast("array<string>"))
+    cands = F.transform(F.coalesce(_c(cand_col), F.array().cast("array<string>")), lambda e: F.upper(strip(e)))
+
+    def with_cands(cs):
+        def with_flags(fl):
+            def keep(u):
+                base = (~F.lower(u).rlike(accents)) & (F.length(u) > 2) & (F.length(u) <= 4) \
+                    & u.rlike(r"^\p{L}+$") & dictionary.member(u)
+                common_ok = F.lit(False)
+                for i, c in enumerate(common):
+                    common_ok = common_ok | ((u == F.lit(c)) & fl[f"f{i}"])
+                plain_ok = F.array_contains(fl["up_runs"], u)
+                return base & F.when(u.isin(*common) if common else F.lit(False), common_ok).otherwise(plain_ok)
+
+            return F.array_sort(F.array_distinct(F.filter(cs, keep)))
+
+        flags = _common_flags(t, cs, common)
+        flags = flags.withField("up_runs", F.array_distinct(F.regexp_extract_all(F.upper(t), F.lit(r"[\p{L}\p{N}_]+"), 0)))
+        return _let(flags, with_flags)
+
+    return F.when(F.length(t) >= 10, _let(cands, with_cands)).otherwise(F.array().cast("array<string>"))
 
 
 def extract_codes(text, dictionary: TickerDictionary, model_candidates=None) -> Column:

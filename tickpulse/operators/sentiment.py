@@ -18,6 +18,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickpulse.constants import (DEFAULT_CONFIDENCE, EN_TO_VI_LABEL_MAP, MODEL_LABEL_MAP, NEUTRAL,
                                  NEUTRAL_EN)
@@ -67,7 +68,7 @@ class PandasScorer:
     def __init__(self, fn: Callable[[pd.Series], pd.DataFrame], source: str = "pandas"):
         self.source = source
 
-        @F.pandas_udf("label string, score double")
+        @F.pandas_udf(T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]))
         def _udf(s: pd.Series) -> pd.DataFrame:
             try:
                 out = fn(s)

@@ -245,3 +245,14 @@ def evaluate_classifier(model, rows: DataFrame, include_stock_info: bool = True)
         F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("pred_label"),
         F.array_max(vector_to_array("probability")).alias("confidence"),
     )
+
+
+def softmax_argmax(df: DataFrame, logits_col: str) -> DataFrame:
+    """fn_argmax_softmax: softmax of a logits array, its argmax (0-based) and the top probability."""
+    lg = F.transform(F.col(logits_col), lambda x: x.cast("double"))
+    m = F.array_max(lg)
+    ex = F.transform(lg, lambda x: F.exp(x - m))
+    total = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
+    p = F.transform(ex, lambda x: x / total)
+    return df.withColumn("probs", p).withColumn("confidence", F.array_max("probs")) \
+        .withColumn("pred", (F.array_position("probs", F.col("confidence")) - 1).cast("bigint"))

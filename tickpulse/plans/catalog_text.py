@@ -1 +1,335 @@
-"""Registered queries: text functions (inventory 2.9, 2.10)."""
+"""Registered queries: text, ticker, sentence, date and JSON functions (inventory 2.9, 2.10)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tickpulse.functions import sentences as fs
+from tickpulse.functions import text as ft
+from tickpulse.functions import tickers as tk
+from tickpulse.functions.rumor_rules import (accept_rewrite, rewrite_post, rewrite_rules, rumor_pattern,
+                                             whole_word_patterns)
+from tickpulse.functions.timewin import epoch_seconds, floor_to, normalize_calendar_date, to_zone, ts_of_epoch
+from tickpulse.operators.training import stock_tag
+from tickpulse.plans import oracle_text as ot
+from tickpulse.plans.oracle_fixtures import with_fixtures
+from tickpulse.plans.registry import register
+from tickpulse.sources import fixtures as fx
+
+DICT = tk.TickerDictionary(sorted(fx.TEST_TICKERS))
+# FIXED VALUES: cue words standing in for the rumor patterns on the non-Vietnamese test text
+TEST_CUE_WORDS = ["that", "was", "und"]
+TEST_PATTERNS = whole_word_patterns(TEST_CUE_WORDS)
+
+
+FLAGGED_DOCS = f"(select doc_id, text, {ot.common_flags('text', DICT.symbols)} from documents)"
+
+
+def docs(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", "text")
+
+
+# ---------------------------------------------------------------- cleaning / tokens
+@register("fn_nfc", "select doc_id, nfc_normalize(text) as text from documents")
+def q_fn_nfc(spark, sf):
+    return docs(spark, sf).select("doc_id", ft.nfc("text").alias("text"))
+
+
+@register("fn_tokenize", f"""select doc_id, array_to_string({ot.tokenize('text')}, ' ') as tokens,
+        len({ot.tokenize('text')}) as n_tokens from documents""")
+def q_fn_tokenize(spark, sf):
+    t = ft.tokenize(F.col("text"))
+    return docs(spark, sf).select("doc_id", F.array_join(t, " ").alias("tokens"), F.size(t).alias("n_tokens"))
+
+
+@register("fn_ensure_token_list", f"""select doc_id, len({ot.tokenize('text')}) as n_tokens from documents""")
+def q_fn_ensure_token_list(spark, sf):
+    return docs(spark, sf).select("doc_id", F.size(ft.ensure_token_list(ft.tokenize(F.col("text")))).alias("n_tokens"))
+
+
+@register("fn_explode_tokens", f"""select doc_id, t as token, count(*) as n
+        from (select doc_id, unnest({ot.tokenize('text')}) as t from documents) group by doc_id, t""")
+def q_fn_explode_tokens(spark, sf):
+    d = docs(spark, sf).select("doc_id", F.explode(ft.tokenize(F.col("text"))).alias("token"))
+    return d.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("fn_sentiment_clean", f"select doc_id, {ot.sentiment_clean('nfc_normalize(text)')} as cleaned from documents")
+def q_fn_sentiment_clean(spark, sf):
+    return docs(spark, sf).select("doc_id", ft.sentiment_clean(ft.nfc("text")).alias("cleaned"))
+
+
+@register("fn_summary_clean", f"select doc_id, nfc_normalize({ot.summary_clean('text')}) as cleaned from documents")
+def q_fn_summary_clean(spark, sf):
+    return docs(spark, sf).select("doc_id", ft.nfc(ft.summary_clean("text")).alias("cleaned"))
+
+
+@register("fn_first_paragraph", "select doc_id, string_split_regex(text, '\\n\\n+')[1] as paragraph from documents")
+def q_fn_first_paragraph(spark, sf):
+    return docs(spark, sf).select("doc_id", ft.first_paragraph("text").alias("paragraph"))
+
+
+# ---------------------------------------------------------------- tickers
+@register("fn_ticker_rules", f"""select doc_id, array_to_string({ot.rule_codes('text', DICT.symbols)}, ',') as codes
+        from {FLAGGED_DOCS}""")
+def q_fn_ticker_rules(spark, sf):
+    return docs(spark, sf).select("doc_id", F.array_join(tk.rule_codes(F.col("text"), DICT), ",").alias("codes"))
+
+
+@register("fn_extract_codes", f"""select doc_id, array_to_string({ot.rule_codes('text', DICT.symbols)}, ',') as codes,
+        len({ot.rule_codes('text', DICT.symbols)}) > 0 as has_mention from {FLAGGED_DOCS}""")
+def q_fn_extract_codes(spark, sf):
+    c = tk.extract_codes(F.col("text"), DICT)
+    return docs(spark, sf).select("doc_id", F.array_join(c, ",").alias("codes"), tk.has_mention(c).alias("has_mention"))
+
+
+@register("fn_upper_in_text", f"""select doc_id, {ot.upper_in_text('text', 'IT')} as it_upper,
+        {ot.upper_in_text('text', 'AI')} as ai_upper from documents""")
+def q_fn_upper_in_text(spark, sf):
+    return docs(spark, sf).select("doc_id", tk.upper_in_text("text", "IT").alias("it_upper"),
+                                  tk.upper_in_text("text", "AI").alias("ai_upper"))
+
+
+@register("fn_ticker_context_ok", f"""select doc_id, {ot.context_ok('text', 'IT')} as it_ok from documents
+        where {ot.upper_in_text('text', 'IT')}""")
+def q_fn_ticker_context_ok(spark, sf):
+    d = docs(spark, sf).where(tk.upper_in_text("text", "IT"))
+    return d.select("doc_id", tk.context_ok("text", "IT").alias("it_ok"))
+
+
+@register("join_ticker_dictionary", with_fixtures(
+    f"""select doc_id, c as code from (select doc_id, unnest({ot.candidates('text')}) as c from documents) x
+        join tickers t on t.symbol = x.c""", "tickers"))
+def q_join_ticker_dictionary(spark, sf):
+    from tickpulse.operators.joins import dictionary_hits
+
+    return dictionary_hits(docs(spark, sf), "doc_id", "text", fx.tickers(spark))
+
+
+_CANDS_SQL = "regexp_extract_all(text, '(^|[^\\p{L}\\p{N}_])([A-Z][a-z]{1,3})([^\\p{L}\\p{N}_]|$)', 2)"
+
+
+@register("fn_candidate_gate", None)
+def q_fn_candidate_gate(spark, sf):
+    """Gate applied to title-case words proposed as entities (stand-in for a NER column)."""
+    d = docs(spark, sf)
+    cands = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-z]{1,3}(?![\p{L}\p{N}_])"), 0)
+    gated = tk.candidate_gate(F.col("text"), cands, DICT)
+    return d.select("doc_id", F.array_join(gated, ",").alias("codes"))
+
+
+@register("set_union_codes", None)
+def q_set_union_codes(spark, sf):
+    d = docs(spark, sf)
+    cands = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-z]{1,3}(?![\p{L}\p{N}_])"), 0)
+    return d.select("doc_id", F.array_join(tk.extract_codes(F.col("text"), DICT, cands), ",").alias("codes"))
+
+
+_SYMCSV_SQL = """(case when text is null or text = '' then null else nullif(array_to_string(list_sort(list_distinct(
+        list_filter(regexp_extract_all(upper(text), '[\\p{L}\\p{N}_]+'), lambda w: list_contains(%s, w)))), ','), '') end)""" % ot.lst(DICT.symbols)
+
+
+@register("fn_symbols_csv", f"select doc_id, {_SYMCSV_SQL} as symbols from documents")
+def q_fn_symbols_csv(spark, sf):
+    return docs(spark, sf).select("doc_id", tk.symbols_csv("text", DICT).alias("symbols"))
+
+
+@register("set_sorted_distinct_join", with_fixtures(
+    f"select id, {_SYMCSV_SQL.replace('text', 'content')} as symbol from zalo_chat", "zalo_chat"))
+def q_set_sorted_distinct_join(spark, sf):
+    z = fx.zalo_chat(spark, sf)
+    return z.select("id", tk.symbols_csv("content", DICT).alias("symbol"))
+
+
+def _pattern_sql(x):
+    out = "null"
+    for w in reversed(TEST_CUE_WORDS):
+        pat = r"\b" + w + r"\b"
+        out = f"case when regexp_matches(lower({x}), '(^|[^\\p{{L}}\\p{{N}}_]){w}([^\\p{{L}}\\p{{N}}_]|$)') then {ot.q(pat)} else {out} end"
+    return out
+
+
+@register("fn_rumor_pattern", f"select doc_id, {_pattern_sql('text')} as matched_keyword from documents")
+def q_fn_rumor_pattern(spark, sf):
+    return docs(spark, sf).select("doc_id", rumor_pattern("text", TEST_PATTERNS).alias("matched_keyword"))
+
+
+# ---------------------------------------------------------------- sentences
+_SENTS = ot.split_sentences("text")
+
+
+@register("fn_split_sentences", f"""select doc_id, len({_SENTS}) as n_sentences, array_to_string({_SENTS}, ' | ') as sentences
+        from documents""")
+def q_fn_split_sentences(spark, sf):
+    s = fs.split_sentences("text")
+    return docs(spark, sf).select("doc_id", F.size(s).alias("n_sentences"), F.array_join(s, " | ").alias("sentences"))
+
+
+@register("fn_sentence_score", f"""select doc_id, pos, {ot.sentence_score('s', "'THE'")} as score
+        from (select doc_id, unnest({_SENTS}) as s, generate_subscripts({_SENTS}, 1) as pos from documents)""")
+def q_fn_sentence_score(spark, sf):
+    d = docs(spark, sf).select("doc_id", F.posexplode(fs.split_sentences("text")).alias("p", "s"))
+    return d.select("doc_id", (F.col("p") + 1).alias("pos"), fs.sentence_score("s", F.lit("THE")).alias("score"))
+
+
+@register("win_sentence_context", f"""select doc_id, pos, {ot.context_at('ss', 'pos')} as context
+        from (select doc_id, ss, unnest(range(1, len(ss) + 1)) as pos from (select doc_id, {_SENTS} as ss from documents))""")
+def q_win_sentence_context(spark, sf):
+    d = docs(spark, sf).select("doc_id", fs.split_sentences("text").alias("ss"))
+    d = d.select("doc_id", "ss", F.explode(F.sequence(F.lit(1), F.size("ss"))).alias("pos"))
+    return d.select("doc_id", "pos", fs.context_of("ss", F.col("pos")).alias("context"))
+
+
+_CODES_SQL = ot.rule_codes("text", DICT.symbols)
+
+
+_BEST = ot.best_sentences(FLAGGED_DOCS, _SENTS, _CODES_SQL, DICT.symbols)
+
+
+@register("fn_important_sentence", f"""select doc_id, code, case when best_pos is null then ''
+        else {ot.context_at('ss', 'list_position(ss, ss[best_pos])')} end as sentence from ({_BEST})""")
+def q_fn_important_sentence(spark, sf):
+    pairs = fs.important_sentences(fs.split_sentences("text"), tk.rule_codes(F.col("text"), DICT))
+    d = docs(spark, sf).select("doc_id", F.explode(pairs).alias("p"))
+    return d.select("doc_id", F.col("p.symbol").alias("code"), F.col("p.sentence").alias("sentence"))
+
+
+@register("win_best_sentence", f"select doc_id, code, best_pos from ({_BEST})")
+def q_win_best_sentence(spark, sf):
+    pairs = fs.best_sentence_positions(fs.split_sentences("text"), tk.rule_codes(F.col("text"), DICT))
+    d = docs(spark, sf).select("doc_id", F.explode(pairs).alias("p"))
+    return d.select("doc_id", F.col("p.symbol").alias("code"), F.col("p.best_pos").cast("bigint").alias("best_pos"))
+
+
+@register("fn_truncate", f"select doc_id, {ot.truncate('text', 100)} as truncated from documents")
+def q_fn_truncate(spark, sf):
+    return docs(spark, sf).select("doc_id", fs.truncate_text("text", 100).alias("truncated"))
+
+
+@register("fn_split_by_capital", None)
+def q_fn_split_by_capital(spark, sf):
+    s = fs.split_by_capital("text")
+    return docs(spark, sf).select("doc_id", F.size(s).alias("n_parts"), F.array_join(s, " | ").alias("parts"))
+
+
+@register("fn_smart_summary", None)
+def q_fn_smart_summary(spark, sf):
+    return docs(spark, sf).select("doc_id", fs.smart_summary("text", 100).alias("summary"))
+
+
+@register("fn_summary_post", None)
+def q_fn_summary_post(spark, sf):
+    """Post-processing applied to a first-sentence 'model summary' of each document."""
+    d = docs(spark, sf).withColumn("_c", ft.summary_clean("text"))
+    first = F.element_at(fs.split_sentences("_c"), 1)
+    return d.select("doc_id", fs.summary_post_process(first, F.col("_c")).alias("summary"))
+
+
+# ---------------------------------------------------------------- rewriting
+_PAIRS = "rewrite_pairs"
+
+
+@register("fn_rewrite_rules", None)
+def q_fn_rewrite_rules(spark, sf):
+    p = fx.rewrite_pairs(spark, sf)
+    return p.select("pair_id", rewrite_rules("original", F.col("pair_id"), prefix_other=True).alias("rewritten"))
+
+
+@register("fn_rewrite_post", None)
+def q_fn_rewrite_post(spark, sf):
+    p = fx.rewrite_pairs(spark, sf)
+    return p.select("pair_id", rewrite_post("rewritten", "original").alias("rewritten"))
+
+
+@register("fn_rewrite_accept", with_fixtures(
+    f"""select pair_id, case when rewritten is null or length({ot.strip('rewritten')}) < 3 then original else rewritten end
+        as accepted from rewrite_pairs""", "rewrite_pairs"))
+def q_fn_rewrite_accept(spark, sf):
+    p = fx.rewrite_pairs(spark, sf)
+    return p.select("pair_id", accept_rewrite("rewritten", "original").alias("accepted"))
+
+
+@register("fn_stock_tag", with_fixtures(
+    """select doc_id, case when stock_code is not null and stock_code <> '' then '[STOCK]' || stock_code || '[/STOCK] ' || text
+        else text end as model_text from labelled""", "labelled"))
+def q_fn_stock_tag(spark, sf):
+    return fx.labelled(spark, sf).select("doc_id", stock_tag("text", "stock_code").alias("model_text"))
+
+
+# ---------------------------------------------------------------- dates / json
+@register("fn_ts_to_epoch", """select event_id, cast(floor(epoch(ts)) as bigint) as epoch from events""")
+def q_fn_ts_to_epoch(spark, sf):
+    return fx.events(spark, sf).select("event_id", epoch_seconds("ts").alias("epoch"))
+
+
+@register("fn_epoch_to_ts", with_fixtures(
+    """select id, strftime(make_timestamp("timestamp" * 1000000), '%Y-%m-%d %H:%M:%S') as ts from all_content""",
+    "all_content"))
+def q_fn_epoch_to_ts(spark, sf):
+    ac = fx.all_content(spark, sf)
+    return ac.select("id", F.date_format(ts_of_epoch("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@register("fn_tz_convert", """select event_id, strftime(ts + interval 7 hour, '%Y-%m-%d %H:%M:%S') as local_ts from events""")
+def q_fn_tz_convert(spark, sf):
+    e = fx.events(spark, sf)
+    return e.select("event_id", F.date_format(to_zone("ts", "Asia/Bangkok"), "yyyy-MM-dd HH:mm:ss").alias("local_ts"))
+
+
+@register("fn_floor_hour", """select event_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour_ts,
+        strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') as minute_ts from events""")
+def q_fn_floor_hour(spark, sf):
+    e = fx.events(spark, sf)
+    return e.select("event_id", F.date_format(floor_to("ts", "hour"), "yyyy-MM-dd HH:mm:ss").alias("hour_ts"),
+                    F.date_format(floor_to("ts", "minute"), "yyyy-MM-dd HH:mm:ss").alias("minute_ts"))
+
+
+@register("fn_day_anchor", """select event_id,
+        strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as midnight,
+        strftime(date_trunc('day', ts) + interval 7 hour, '%Y-%m-%d %H:%M:%S') as seven_am,
+        strftime(date_trunc('day', ts) + interval 8 hour, '%Y-%m-%d %H:%M:%S') as eight_am from events""")
+def q_fn_day_anchor(spark, sf):
+    e = fx.events(spark, sf)
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return e.select("event_id", F.date_format(day, fmt).alias("midnight"),
+                    F.date_format(day + F.expr("INTERVAL 7 HOURS"), fmt).alias("seven_am"),
+                    F.date_format(day + F.expr("INTERVAL 8 HOURS"), fmt).alias("eight_am"))
+
+
+@register("fn_week_start", """select event_id, strftime(date_trunc('day', ts) + interval 8 hour
+        - to_days(cast(isodow(ts) - 1 + 7 as integer)), '%Y-%m-%d %H:%M:%S') as week_start from events""")
+def q_fn_week_start(spark, sf):
+    e = fx.events(spark, sf)
+    day8 = F.date_trunc("day", "ts").cast("timestamp_ntz") + F.expr("INTERVAL 8 HOURS")
+    wd = F.weekday("ts")  # 0 = Monday
+    start = F.timestamp_add("DAY", -(wd + 7), day8)
+    return e.select("event_id", F.date_format(start, "yyyy-MM-dd HH:mm:ss").alias("week_start"))
+
+
+@register("fn_normalize_date", with_fixtures(
+    """select row_idx, date as raw_date, case when regexp_replace(date, '\\s', '', 'g') = '' then ''
+        else strftime(strptime(regexp_replace(date, '^\\S+\\s+', '') || ' 2024', '%b %d %Y'), '%Y-%m-%d') end as event_date
+        from calendar_raw""", "calendar_raw"))
+def q_fn_normalize_date(spark, sf):
+    c = fx.calendar_raw(spark, sf)
+    return c.select("row_idx", F.col("date").alias("raw_date"),
+                    normalize_calendar_date(F.col("date"), fx.RUN_TIME).alias("event_date"))
+
+
+@register("fn_json_symbols", with_fixtures(
+    """select post_id, json_extract_string(tagged_symbols, '$[0].symbol') as first_symbol from fireant_posts""",
+    "fireant_posts"))
+def q_fn_json_symbols(spark, sf):
+    f = fx.fireant_posts(spark, sf)
+    return f.select("post_id", F.get_json_object("tagged_symbols", "$[0].symbol").alias("first_symbol"))
+
+
+@register("fn_argmax_softmax", """select vec_id, list_position(p, list_max(p)) - 1 as pred, list_max(p) as confidence
+        from (select vec_id, list_transform(e, lambda x: exp(x - list_max(e)) / list_sum(list_transform(e, lambda y: exp(y - list_max(e))))) as p
+              from (select vec_id, list_transform(embedding[1:3], lambda v: cast(v as double)) as e from embeddings))""")
+def q_fn_argmax_softmax(spark, sf):
+    from tickpulse.operators.training import softmax_argmax
+
+    e = fx.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("logits"))
+    return softmax_argmax(e, "logits").select("vec_id", "pred", "confidence")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tickpulse.constants import (DEFAULT_CONFIDENCE, NEUTRAL, REWRITE_MAX_CHARS, SUMMARY_MAX_LENGTH,
                                  YT_WINDOW_WORDS)
 from tickpulse.functions.rumor_rules import accept_rewrite, rewrite_text, rumor_pattern
-from tickpulse.functions.sentences import (important_sentence, smart_summary, split_by_capital,
+from tickpulse.functions.sentences import (important_sentences, smart_summary, split_by_capital,
                                            split_sentences)
 from tickpulse.functions.text import nfc, stripped_length, summary_clean, validate_symbol, word_count, words
 from tickpulse.functions.tickers import TickerDictionary, extract_codes, symbols_csv
@@ -37,9 +37,10 @@ def post_rows(posts: DataFrame, dictionary: TickerDictionary, scorer=None) -> Da
     p = posts.where(F.col("content").isNotNull() & (stripped_length("content") >= 10))
     p = p.withColumn("content", nfc("content"))
     p = p.withColumn("_codes", extract_codes(F.col("content"), dictionary))
-    p = p.withColumn("_sents", F.when(F.size("_codes") > 0, split_sentences("content")))
-    p = p.select("*", F.explode_outer("_codes").alias("symbol"))
-    sentence = F.when(F.col("symbol").isNull(), F.col("content")).otherwise(important_sentence("_sents", "symbol"))
+    pairs = F.when(F.size("_codes") > 0, important_sentences(split_sentences("content"), F.col("_codes")))
+    p = p.select("*", F.explode_outer(pairs).alias("_pair"))
+    p = p.withColumn("symbol", F.col("_pair.symbol"))
+    sentence = F.when(F.col("symbol").isNull(), F.col("content")).otherwise(F.col("_pair.sentence"))
     p = p.withColumn("_sentence", sentence)
     p = p.withColumn("_sent_text", F.when(F.col("_sentence") != "", F.col("_sentence")).otherwise(F.col("content")))
     p = transform_sentiment(p, "_sent_text", scorer)
@@ -83,9 +84,9 @@ def process_replies(replies: DataFrame, posts: DataFrame, dictionary: TickerDict
         "reply_id", "post_id", F.lit(None).cast("string").alias("stock_id"),
         F.lit(None).cast("string").alias("cau_quan_trong"), F.lit(NEUTRAL).alias("cam_xuc"), "timestamp",
         F.lit(DEFAULT_CONFIDENCE).alias("confidence_score"))
-    some = lr.where(F.size("_codes") > 0).withColumn("_sents", split_sentences("_text")) \
-        .select("*", F.explode("_codes").alias("stock_id"))
-    some = some.withColumn("cau_quan_trong", important_sentence("_sents", "stock_id"))
+    some = lr.where(F.size("_codes") > 0).select(
+        "*", F.explode(important_sentences(split_sentences("_text"), F.col("_codes"))).alias("_pair"))
+    some = some.withColumn("stock_id", F.col("_pair.symbol")).withColumn("cau_quan_trong", F.col("_pair.sentence"))
     some = transform_sentiment(some, "cau_quan_trong", scorer)
     has = F.col("cau_quan_trong") != ""
     some = some.select("reply_id", "post_id", "stock_id", "cau_quan_trong",
@@ -183,24 +184,28 @@ def yt_mentions(posts: DataFrame, tickers: list[str], max_words: int = YT_WINDOW
     lo = F.greatest(F.col("_i") - max_words, F.lit(0))
     hi = F.least(n, F.col("_i") + max_words + 1)
     window = F.array_join(F.slice("_w", lo + 1, hi - lo), " ")
-    hits = hits.withColumn("_s", F.filter(split_by_capital(window), lambda s: s != ""))
-    s = F.col("_s")
+    hits = hits.withColumn("_s", split_by_capital(window))
     tk = F.col("tk")
     init = F.struct(F.array().cast("array<int>").alias("used"),
                     F.array().cast("array<struct<sentence:string,context:string>>").alias("out"))
 
-    def step(acc, j):
-        cur = F.element_at(s, j + 1)
-        prev = F.when(j > 0, F.element_at(s, F.greatest(j, F.lit(1))))
-        nxt = F.when(j < F.size(s) - 1, F.element_at(s, F.least(j + 2, F.size(s))))
-        skip = F.array_contains(acc["used"], j) | ~F.contains(cur, tk)
-        ctx = F.concat_ws(" ", prev, cur, nxt)
-        item = F.struct(cur.alias("sentence"), ctx.alias("context"))
-        new = F.struct(F.array_union(acc["used"], F.array(j - 1, j, j + 1)).alias("used"),
-                       F.array_append(acc["out"], item).alias("out"))
-        return F.when(skip, acc).otherwise(new)
-
-    found = F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), init, step)["out"]
+    def mentions_of(s):
+        def step(acc, j):
+            cur = F.element_at(s, j + 1)
+            prev = F.when(j > 0, F.element_at(s, F.greatest(j, F.lit(1))))
+            nxt = F.when(j < F.size(s) - 1, F.element_at(s, F.least(j + 2, F.size(s))))
+            skip = F.array_contains(acc["used"], j) | ~F.contains(cur, tk)
+            ctx = F.concat_ws(" ", prev, cur, nxt)
+            item = F.struct(cur.alias("sentence"), ctx.alias("context"))
+            new = F.struct(F.array_union(acc["used"], F.array(j - 1, j, j + 1)).alias("used"),
+                           F.array_append(acc["out"], item).alias("out"))
+            return F.when(skip, acc).otherwise(new)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), init, step)["out"]
+
+    from tickpulse.functions.sentences import let
+    found = let(F.col("_s"), mentions_of)
+    s = F.col("_s")
     out = hits.where(F.size(s) > 0).select("post_id", "tk", "post_at", F.explode(found).alias("m"))
     return out.select("post_id", F.col("tk").alias("post_ticker"), F.col("m.sentence").alias("post_sentence"),
                       F.col("m.context").alias("context"), "post_at")

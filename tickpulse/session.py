@@ -23,6 +23,7 @@ def build_session(master: str | None = None, cpus: int | None = None, app: str =
     shuffle_parts = str(max(8, 2 * (cpus or 8)))
     return (
         builder.config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
