@@ -1 +1,217 @@
 """Registered queries: composite dataflows (inventory 2.11) and streams (2.12)."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from tickpulse.operators import trending as tr
+from tickpulse.plans import oracle_text as ot
+from tickpulse.plans.catalog_relational import TREND_FIXTURES, TREND_UNION_SQL, trend_union
+from tickpulse.plans.oracle_fixtures import with_fixtures
+from tickpulse.plans.registry import register
+from tickpulse.sources import fixtures as fx
+
+END = fx.TRENDING_END  # Bangkok wall clock
+PREV, CUR, _END = tr.window_bounds(END, "hour")
+# FIXED VALUES: a stopword table for the multilingual test text
+TEST_STOPWORDS = ["the", "of", "and", "to", "de", "la", "und", "die", "que", "el"]
+
+
+def _ts(d: dt.datetime) -> str:
+    return f"TIMESTAMP '{d.isoformat(sep=' ')}'"
+
+
+TOK_CTE = [("tu", TREND_UNION_SQL),
+           ("tok", f"select date + interval 7 hour as ts, unnest({ot.tokenize('content')}) as token from tu "
+                   f"where date is not null")]
+CNT_SQL = f"""select token as word, count(*) filter (where ts >= {_ts(CUR)}) as count_today,
+        count(*) filter (where ts < {_ts(CUR)}) as count_prev
+    from tok where ts >= {_ts(PREV)} and ts < {_ts(_END)} group by token"""
+
+
+def _scored_sql(divisor: int, alpha=0.5, beta=1.0, src="cnt") -> str:
+    return f"""select word, count_today, count_prev, g as growth,
+        pow(cast(count_today as double), {alpha}) * pow(1.0 + g, {beta}) as score
+    from (select *, cast(count_today - count_prev as double) / cast(count_prev + 1 as double) as g from {src})
+    where count_today >= greatest(2, coalesce((select max(count_today) from {src}) // {divisor}, 0))"""
+
+
+def _lists_sql(src: str, n: int, cols: str) -> str:
+    parts = []
+    for name, col in (("score", "score"), ("count", "count_today"), ("growth", "growth")):
+        parts.append(f"""select * from (select {cols}, '{name}' as list,
+            row_number() over (order by {col} desc, word) as rank from {src} order by {col} desc, word limit {n})""")
+    return " union all ".join(parts)
+
+
+def _round(df, cols=("growth", "score")):
+    for c in cols:
+        if c in df.columns:
+            df = df.withColumn(c, F.round(c, 9))
+    return df
+
+
+R9 = "round(growth, 9) as growth, round(score, 9) as score"
+
+
+def _toks(spark, sf):
+    return tr.exploded_tokens(trend_union(spark, sf))
+
+
+def _counts(spark, sf):
+    return tr.window_counts(_toks(spark, sf), END)
+
+
+@register("agg_token_count_window", with_fixtures(CNT_SQL, *TREND_FIXTURES, extra=TOK_CTE))
+def q_agg_token_count_window(spark, sf):
+    return _counts(spark, sf)
+
+
+@register("join_full_align_counts", with_fixtures(
+    f"""select coalesce(a.word, b.word) as word, coalesce(a.n, 0) as count_today, coalesce(b.n, 0) as count_prev
+    from (select token as word, count(*) as n from tok where ts >= {_ts(CUR)} and ts < {_ts(_END)} group by 1) a
+    full outer join (select token as word, count(*) as n from tok where ts >= {_ts(PREV)} and ts < {_ts(CUR)} group by 1) b
+    on a.word = b.word""", *TREND_FIXTURES, extra=TOK_CTE))
+def q_join_full_align_counts(spark, sf):
+    t = _toks(spark, sf)
+    now = t.where((F.col("ts") >= F.lit(CUR)) & (F.col("ts") < F.lit(_END))).groupBy(F.col("token").alias("word")) \
+        .agg(F.count(F.lit(1)).alias("n_now"))
+    prev = t.where((F.col("ts") >= F.lit(PREV)) & (F.col("ts") < F.lit(CUR))).groupBy(F.col("token").alias("word")) \
+        .agg(F.count(F.lit(1)).alias("n_prev"))
+    j = now.join(prev, "word", "full_outer")
+    return j.select("word", F.coalesce("n_now", F.lit(0)).alias("count_today"),
+                    F.coalesce("n_prev", F.lit(0)).alias("count_prev"))
+
+
+@register("agg_window_row_counts", with_fixtures(
+    f"""select count(*) filter (where ts >= {_ts(CUR)} and ts < {_ts(_END)}) as now_rows,
+        count(*) filter (where ts >= {_ts(PREV)} and ts < {_ts(CUR)}) as prev_rows, count(*) as total_rows from tok""",
+    *TREND_FIXTURES, extra=TOK_CTE))
+def q_agg_window_row_counts(spark, sf):
+    return tr.window_row_counts(_toks(spark, sf), END)
+
+
+@register("win_growth", with_fixtures(
+    "select word, count_today, count_prev, round(cast(count_today - count_prev as double) / cast(count_prev + 1 as double), 9) as growth from cnt",
+    *TREND_FIXTURES, extra=TOK_CTE + [("cnt", CNT_SQL)]))
+def q_win_growth(spark, sf):
+    return _round(_counts(spark, sf).withColumn("growth", tr.growth()))
+
+
+@register("fn_drop_non_finite", with_fixtures(
+    "select word, round(cast(count_today - count_prev as double) / cast(count_prev + 1 as double), 9) as growth from cnt "
+    "where isfinite(cast(count_today - count_prev as double) / cast(count_prev + 1 as double))",
+    *TREND_FIXTURES, extra=TOK_CTE + [("cnt", CNT_SQL)]))
+def q_fn_drop_non_finite(spark, sf):
+    g = _counts(spark, sf).withColumn("growth", tr.growth())
+    return _round(g.where(tr.finite("growth")).select("word", "growth"))
+
+
+@register("flt_dynamic_min_count", with_fixtures(
+    f"select word, count_today, count_prev, {R9} from ({_scored_sql(4)})", *TREND_FIXTURES,
+    extra=TOK_CTE + [("cnt", CNT_SQL)]))
+def q_flt_dynamic_min_count(spark, sf):
+    return _round(tr.scored(_counts(spark, sf), 4))
+
+
+@register("fn_trend_score", with_fixtures(
+    f"select word, count_today, count_prev, {R9} from ({_scored_sql(4, 0.6, 1.2)})", *TREND_FIXTURES,
+    extra=TOK_CTE + [("cnt", CNT_SQL)]))
+def q_fn_trend_score(spark, sf):
+    return _round(tr.scored(_counts(spark, sf), 4, 0.6, 1.2))
+
+
+_LIST2 = _lists_sql("sc", 10, "word, count_today, count_prev, growth, score")
+
+
+@register("flow_trending_2days", with_fixtures(
+    f"select word, count_today, count_prev, {R9}, list, rank from ({_LIST2})", *TREND_FIXTURES,
+    extra=TOK_CTE + [("cnt", CNT_SQL), ("sc", _scored_sql(4))]))
+def q_flow_trending_2days(spark, sf):
+    return _round(tr.trending_2days(trend_union(spark, sf), END, top_n=10))
+
+
+@register("topk_trending", with_fixtures(
+    f"select word, count_today, count_prev, {R9}, list, rank from ({_lists_sql('sc', 20, 'word, count_today, count_prev, growth, score')})",
+    *TREND_FIXTURES, extra=TOK_CTE + [("cnt", CNT_SQL), ("sc", _scored_sql(4))]))
+def q_topk_trending(spark, sf):
+    return _round(tr.top_lists(tr.scored(_counts(spark, sf), 4), 20))
+
+
+@register("win_enumerate_rank", with_fixtures(
+    f"""select word, round(score, 9) as score, row_number() over (order by score desc, word) as rank
+        from (select * from sc order by score desc, word limit 10)""",
+    *TREND_FIXTURES, extra=TOK_CTE + [("cnt", CNT_SQL), ("sc", _scored_sql(4))]))
+def q_win_enumerate_rank(spark, sf):
+    from pyspark.sql import Window
+
+    top = tr.scored(_counts(spark, sf), 4).orderBy(F.desc("score"), "word").limit(10)
+    return _round(top.select("word", "score", F.row_number().over(Window.orderBy(F.desc("score"), "word")).alias("rank")))
+
+
+DAILY_CTE = [("daily", "select cast(ts as date) as date, token as word, count(*) as n from tok group by 1, 2"),
+             ("d2", "select date, row_number() over (order by date desc) as r from (select distinct date from daily) "
+                    "order by date desc limit 2"),
+             ("dcnt", "select word, sum(case when r = 1 then n else 0 end) as count_today, "
+                      "sum(case when r = 2 then n else 0 end) as count_prev from daily join d2 using (date) group by word")]
+
+
+@register("agg_token_count_daily", with_fixtures("select date, word, n as count from daily", *TREND_FIXTURES,
+                                                 extra=TOK_CTE + DAILY_CTE[:1]))
+def q_agg_token_count_daily(spark, sf):
+    return tr.daily_counts(_toks(spark, sf))
+
+
+@register("win_prev_day_lag", with_fixtures("select word, count_today, count_prev from dcnt", *TREND_FIXTURES,
+                                            extra=TOK_CTE + DAILY_CTE))
+def q_win_prev_day_lag(spark, sf):
+    from tickpulse.operators.trending import daily_counts
+    from pyspark.sql import Window
+
+    daily = daily_counts(_toks(spark, sf))
+    last2 = daily.select("date").distinct().orderBy(F.desc("date")).limit(2) \
+        .withColumn("r", F.row_number().over(Window.orderBy(F.desc("date"))))
+    j = daily.join(F.broadcast(last2), "date")
+    return j.groupBy("word").agg(F.sum(F.when(F.col("r") == 1, F.col("count")).otherwise(0)).alias("count_today"),
+                                 F.sum(F.when(F.col("r") == 2, F.col("count")).otherwise(0)).alias("count_prev"))
+
+
+@register("flow_trending_daily", with_fixtures(
+    f"select word, count_today, {R9}, list, rank from ({_lists_sql('sc', 20, 'word, count_today, growth, score')})",
+    *TREND_FIXTURES, extra=TOK_CTE + DAILY_CTE + [("sc", _scored_sql(10, src="dcnt"))]))
+def q_flow_trending_daily(spark, sf):
+    return _round(tr.trending_daily(trend_union(spark, sf), top_n=20))
+
+
+@register("join_stopword_anti", with_fixtures(
+    f"""select token, count(*) as n from tok where ts >= {_ts(CUR)} and ts < {_ts(_END)}
+        and token not in ({', '.join(ot.q(w) for w in TEST_STOPWORDS)}) group by token""",
+    *TREND_FIXTURES, extra=TOK_CTE))
+def q_join_stopword_anti(spark, sf):
+    from tickpulse.operators.joins import drop_stopwords
+
+    t = _toks(spark, sf).where((F.col("ts") >= F.lit(CUR)) & (F.col("ts") < F.lit(_END)))
+    sw = spark.createDataFrame([(w,) for w in TEST_STOPWORDS], "word string")
+    return drop_stopwords(t, sw).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BINS_SQL = f"""select b.bin, w.word, coalesce(c.n, 0) as count
+    from (select word from (select * from sc order by score desc, word limit 10)) w
+    cross join (select unnest(generate_series({_ts(PREV)}, {_ts(_END - dt.timedelta(hours=1))}, interval 1 hour)) as bin) b
+    left join (select date_trunc('hour', ts) as bin, token as word, count(*) as n from tok
+               where ts >= {_ts(PREV)} and ts < {_ts(_END)} group by 1, 2) c on c.bin = b.bin and c.word = w.word"""
+
+
+@register("agg_token_bins", with_fixtures(_BINS_SQL, *TREND_FIXTURES,
+                                          extra=TOK_CTE + [("cnt", CNT_SQL), ("sc", _scored_sql(4))]))
+def q_agg_token_bins(spark, sf):
+    toks = _toks(spark, sf)
+    top = tr.scored(tr.window_counts(toks, END), 4).orderBy(F.desc("score"), "word").limit(10).select("word")
+    return tr.token_bins(toks, top, END)
+
+
+@register("agg_token_bins_right_closed", None)
+def q_agg_token_bins_right_closed(spark, sf):
+    toks = _toks(spark, sf)
+    top = tr.scored(tr.window_counts(toks, END), 4).orderBy(F.desc("score"), "word").limit(10).select("word")
+    return tr.token_bins(toks, top, END, closed="right")
