@@ -215,3 +215,201 @@ def q_agg_token_bins_right_closed(spark, sf):
     toks = _toks(spark, sf)
     top = tr.scored(tr.window_counts(toks, END), 4).orderBy(F.desc("score"), "word").limit(10).select("word")
     return tr.token_bins(toks, top, END, closed="right")
+
+
+# ================================================================ post / reply flows
+from tickpulse.functions import tickers as tk  # noqa: E402
+from tickpulse.plans import flows  # noqa: E402
+from tickpulse.plans.catalog_relational import (REPLY_SUMMARY_SQL, RUMOR_MSG_SQL, RUMOR_WIN, SPLIT_NEW,  # noqa: E402
+                                                _reply_summary, rumor_msgs)
+from tickpulse.plans.catalog_text import DICT, TEST_CUE_WORDS, TEST_PATTERNS  # noqa: E402
+
+_STRIP = ot.strip
+
+
+def _flag_sql(src: str, key: str, text: str, extra_cols: str) -> str:
+    return f"(select {key} as doc_id, {text} as text, {extra_cols}, {ot.common_flags(text, DICT.symbols)} from {src})"
+
+
+_POSTS_LONG = _flag_sql("(select *, nfc_normalize(content) as c from posts where content is not null "
+                        f"and length({_STRIP('content')}) >= 10)", "post_id", "c", '"timestamp", platform')
+_POST_CODES = f"(select *, {ot.rule_codes('text', DICT.symbols)} as codes from {_POSTS_LONG})"
+_POST_BEST = ot.best_sentences(_POST_CODES, ot.split_sentences("text"), "codes", DICT.symbols)
+PROCESS_POSTS_SQL = f"""select distinct * from (
+    select "timestamp", platform as source, cast(null as varchar) as title, cast(null as varchar) as symbol,
+        content, 'TRUNG_TÍNH' as sentiment from posts where content is not null and length({_STRIP('content')}) < 10
+    union all
+    select "timestamp", platform, null, null, text, 'TRUNG_TÍNH' from {_POST_CODES} where len(codes) = 0
+    union all
+    select p."timestamp", p.platform, null, b.code,
+        case when b.best_pos is null then '' else {ot.context_at('b.ss', 'list_position(b.ss, b.ss[b.best_pos])')} end,
+        'TRUNG_TÍNH'
+    from ({_POST_BEST}) b join {_POST_CODES} p on p.doc_id = b.doc_id)"""
+
+
+@register("flow_process_posts", with_fixtures(PROCESS_POSTS_SQL, "posts"))
+def q_flow_process_posts(spark, sf):
+    return flows.process_posts(fx.posts(spark, sf), DICT)
+
+
+_REPLIES = """(select r.reply_id, r.post_id, r.rely_content, p."timestamp" from fb_reply r join fb_post p on r.post_id = p.post_id
+    where not exists (select 1 from rs where rs.reply_id = r.reply_id))"""
+_REPLY_LONG = _flag_sql(f"(select *, nfc_normalize(rely_content) as c from {_REPLIES} where rely_content is not null "
+                        f"and length({_STRIP('rely_content')}) >= 5)", "reply_id", "c", 'post_id, "timestamp"')
+_REPLY_CODES = f"(select *, {ot.rule_codes('text', DICT.symbols)} as codes from {_REPLY_LONG})"
+_REPLY_BEST = ot.best_sentences(_REPLY_CODES, ot.split_sentences("text"), "codes", DICT.symbols)
+PROCESS_REPLIES_SQL = f"""
+    select reply_id, post_id, cast(null as varchar) as stock_id, cast(null as varchar) as cau_quan_trong,
+        'TRUNG_TÍNH' as cam_xuc, "timestamp", 0.5 as confidence_score
+    from {_REPLIES} x where rely_content is null or length({_STRIP('rely_content')}) < 5
+    union all
+    select doc_id, post_id, null, null, 'TRUNG_TÍNH', "timestamp", 0.5 from {_REPLY_CODES} where len(codes) = 0
+    union all
+    select b.doc_id, p.post_id, b.code,
+        case when b.best_pos is null then '' else {ot.context_at('b.ss', 'list_position(b.ss, b.ss[b.best_pos])')} end,
+        'TRUNG_TÍNH', p."timestamp", 0.5
+    from ({_REPLY_BEST}) b join {_REPLY_CODES} p on p.doc_id = b.doc_id"""
+
+
+@register("flow_process_replies", with_fixtures(PROCESS_REPLIES_SQL, "fb_reply", "fb_post",
+                                               extra=[("rs", REPLY_SUMMARY_SQL)]))
+def q_flow_process_replies(spark, sf):
+    return flows.process_replies(fx.fb_reply(spark, sf), fx.fb_post(spark, sf), DICT, _reply_summary(spark, sf))
+
+
+_SENT_GATE = f"""case when text is null or text = '' or length({_STRIP('text')}) < 3 then 'Text too short'
+        when length({_STRIP(ot.sentiment_clean('nfc_normalize(text)'))}) < 2 then 'Text too short after cleaning'
+        else 'Model not loaded' end"""
+
+
+@register("flow_sentiment_score", f"""select doc_id, 'TRUNG_TÍNH' as sentiment, 0.5 as confidence,
+        {_SENT_GATE} as sentiment_source from documents""")
+def q_flow_sentiment_score(spark, sf):
+    from tickpulse.operators.sentiment import transform_sentiment
+
+    d = fx.table(spark, sf, "documents").select("doc_id", "text")
+    return transform_sentiment(d, "text").select("doc_id", "sentiment", "confidence", "sentiment_source")
+
+
+# ================================================================ rumors
+def _cue_sql(x: str) -> str:
+    out = "null"
+    for w in reversed(TEST_CUE_WORDS):
+        pat = r"\b" + w + r"\b"
+        out = (f"case when regexp_matches(lower({x}), '(^|[^\\p{{L}}\\p{{N}}_]){w}([^\\p{{L}}\\p{{N}}_]|$)') "
+               f"then {ot.q(pat)} else {out} end")
+    return out
+
+
+_SYMCSV = ("(case when content is null or content = '' then null else nullif(array_to_string(list_sort(list_distinct("
+           "list_filter(regexp_extract_all(upper(content), '[\\p{L}\\p{N}_]+'), lambda w: list_contains("
+           + ot.lst(DICT.symbols) + ", w)))), ','), '') end)")
+MATCHED_SQL = f"""select id, content, case when source = 'zalo_chat' then {_SYMCSV} else symbols end as symbol, source, date,
+        {_cue_sql('content')} as matched_keyword from msgs where {_cue_sql('content')} is not null"""
+DETECT_SQL = f"""select id, content, symbol, source, date, matched_keyword from (
+        select *, row_number() over (partition by content order by case when source = 'fireant_posts' then 0 else 1 end,
+            date, id) as rn from ({MATCHED_SQL})) where rn = 1"""
+
+
+@register("flt_rumor_matched", with_fixtures(MATCHED_SQL, "fireant_posts", "zalo_chat", extra=[("msgs", RUMOR_MSG_SQL)]))
+def q_flt_rumor_matched(spark, sf):
+    from tickpulse.functions.rumor_rules import rumor_pattern
+
+    m = rumor_msgs(spark, sf).withColumn("matched_keyword", rumor_pattern("content", TEST_PATTERNS))
+    m = m.where(F.col("matched_keyword").isNotNull())
+    m = m.withColumn("symbol", F.when(F.col("source") == "zalo_chat", tk.symbols_csv("content", DICT))
+                     .otherwise(F.col("symbols")))
+    return m.select("id", "content", "symbol", "source", "date", "matched_keyword")
+
+
+@register("flow_detect_rumors", with_fixtures(DETECT_SQL, "fireant_posts", "zalo_chat", extra=[("msgs", RUMOR_MSG_SQL)]))
+def q_flow_detect_rumors(spark, sf):
+    return flows.detect_rumors(rumor_msgs(spark, sf), DICT, TEST_PATTERNS)
+
+
+@register("dedup_keep_first_content", """select arg_min(doc_id, doc_id) as doc_id, text from documents group by text""")
+def q_dedup_keep_first_content(spark, sf):
+    d = fx.table(spark, sf, "documents").select("doc_id", "text")
+    return d.groupBy("text").agg(F.min_by("doc_id", "doc_id").alias("doc_id"))
+
+
+@register("sink_rumor_append", with_fixtures(
+    f"""select "timestamp", symbol, content, sentiment, source from rumors
+        union all select date, symbol, content, cast(null as varchar), source from ({DETECT_SQL})""",
+    "rumors", "fireant_posts", "zalo_chat", extra=[("msgs", RUMOR_MSG_SQL)]))
+def q_sink_rumor_append(spark, sf):
+    from tickpulse.operators.upsert import append
+
+    existing = fx.rumors(spark, sf).select("timestamp", "symbol", "content", "sentiment", "source")
+    return append(existing, flows.rumors_for_load(flows.detect_rumors(rumor_msgs(spark, sf), DICT, TEST_PATTERNS)))
+
+
+@register("sink_bulk_rumor", with_fixtures(
+    f"""select id, date as "timestamp", symbol, content, cast(null as varchar) as sentiment, source from ({DETECT_SQL})""",
+    "fireant_posts", "zalo_chat", extra=[("msgs", RUMOR_MSG_SQL)]))
+def q_sink_bulk_rumor(spark, sf):
+    det = flows.detect_rumors(rumor_msgs(spark, sf), DICT, TEST_PATTERNS)
+    return det.select("id", F.col("date").alias("timestamp"), "symbol", "content",
+                      F.lit(None).cast("string").alias("sentiment"), "source")
+
+
+_VALID_SYM = f"nullif(regexp_replace(substring(upper({_STRIP('symbol')}), 1, 10), '[^A-Z0-9]', '', 'g'), '')"
+REWRITE_SQL = f"""select substring(content, 1, 1000) as original_content, substring(content, 1, 1000) as rewritten_content,
+        {_VALID_SYM} as symbol, sentiment, source, "timestamp", id as processed_from_rumor_id
+    from rumors r where not exists (select 1 from rumor_analyst a where a.processed_from_rumor_id = r.id)
+        and content is not null and length({_STRIP('content')}) >= 3"""
+
+
+@register("flow_rewrite_rumors", with_fixtures(REWRITE_SQL, "rumors", "rumor_analyst"))
+def q_flow_rewrite_rumors(spark, sf):
+    return flows.rewrite_rumors(fx.rumors(spark, sf), fx.rumor_analyst(spark, sf))
+
+
+@register("sink_rumor_analyst_append", with_fixtures(
+    "select * from rumor_analyst union all " + REWRITE_SQL, "rumors", "rumor_analyst"))
+def q_sink_rumor_analyst_append(spark, sf):
+    from tickpulse.operators.upsert import append
+
+    existing = fx.rumor_analyst(spark, sf)
+    return append(existing, flows.rewrite_rumors(fx.rumors(spark, sf), existing))
+
+
+# ================================================================ YouTube mentions
+# FIXED VALUES: title-case words that act as case-sensitive "tickers" in the test text
+YT_TICKERS = ["The", "Les", "Die", "Der", "Que", "El", "La"]
+
+
+def _yt(spark, sf):
+    from tickpulse.plans.catalog_relational import YT_WIN, _epoch_dt
+    from tickpulse.sources.unified import yt_window
+
+    return yt_window(fx.yt_post(spark, sf), _epoch_dt(YT_WIN[0]), _epoch_dt(YT_WIN[1]))
+
+
+@register("flow_yt_mentions", None)
+def q_flow_yt_mentions(spark, sf):
+    return flows.yt_mentions(fx.yt_post(spark, sf), YT_TICKERS)
+
+
+@register("flow_yt_job", None)
+def q_flow_yt_job(spark, sf):
+    from tickpulse.operators.upsert import upsert
+
+    new = flows.advice_rows(flows.yt_mentions(_yt(spark, sf), YT_TICKERS))
+    keys = ["timestamp", "symbol", "advise", "source"]
+    return upsert(fx.youtuber_advice(spark, sf), new, keys, "ignore", keys)
+
+
+@register("sink_advice_ignore", with_fixtures(
+    f"""select * from youtuber_advice where "timestamp" < {SPLIT_NEW + 5 * 86400}
+        union all select distinct * from youtuber_advice i where "timestamp" >= {SPLIT_NEW}
+        and not exists (select 1 from youtuber_advice e where e."timestamp" < {SPLIT_NEW + 5 * 86400}
+            and e."timestamp" = i."timestamp" and e.symbol = i.symbol and e.advise = i.advise and e.source = i.source)""",
+    "youtuber_advice"))
+def q_sink_advice_ignore(spark, sf):
+    from tickpulse.operators.upsert import upsert
+
+    a = fx.youtuber_advice(spark, sf)
+    keys = ["timestamp", "symbol", "advise", "source"]
+    return upsert(a.where(F.col("timestamp") < SPLIT_NEW + 5 * 86400), a.where(F.col("timestamp") >= SPLIT_NEW),
+                  keys, "ignore", keys)
