@@ -201,7 +201,7 @@ def weighted_metrics(df: DataFrame, true_col="true_label", pred_col="pred_label"
 
 
 # ---------------------------------------------------------------- classifier
-def classifier_pipeline(text_col: str = "model_text", label_col: str = "label_idx", num_features: int = 1 << 18):
+def classifier_pipeline(text_col: str = "model_text", label_col: str = "label_idx", num_features: int = 1 << 16):
     """flow_train_classifier (re-aimed): a Spark ML text classifier."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -211,7 +211,7 @@ def classifier_pipeline(text_col: str = "model_text", label_col: str = "label_id
                          toLowercase=True)
     tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=50, regParam=0.01,
+    lr = LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=30, regParam=0.01,
                             family="multinomial")
     return Pipeline(stages=[tok, tf, idf, lr])
 

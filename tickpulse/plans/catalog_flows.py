@@ -413,3 +413,101 @@ def q_sink_advice_ignore(spark, sf):
     keys = ["timestamp", "symbol", "advise", "source"]
     return upsert(a.where(F.col("timestamp") < SPLIT_NEW + 5 * 86400), a.where(F.col("timestamp") >= SPLIT_NEW),
                   keys, "ignore", keys)
+
+
+# ================================================================ calendar
+_HAS_DATE = "(date is not null and regexp_replace(date, '\\s', '', 'g') <> '')"
+_RUN = "rows between unbounded preceding and current row"
+CAL_CTE = [
+    ("cr", f"""select *, sum(case when {_HAS_DATE} then 1 else 0 end) over (partition by page_id order by row_idx {_RUN}) as grp,
+        last_value(case when {_HAS_DATE} then date end ignore nulls) over (partition by page_id order by row_idx {_RUN}) as hdr
+        from calendar_raw"""),
+    ("ce", f"select * from cr where grp > 0 and {_STRIP('event')} <> ''"),
+    ("cf", f"""select *, coalesce(last_value(nullif({_STRIP('time')}, '') ignore nulls) over
+        (partition by page_id, grp order by row_idx {_RUN}), '') as event_time,
+        case when regexp_replace(hdr, '\\s', '', 'g') = '' then ''
+             else strftime(strptime(regexp_replace({_STRIP('hdr')}, '^\\S+\\s+', '') || ' 2024', '%b %d %Y'), '%Y-%m-%d')
+        end as event_date from ce"""),
+    ("flat", """select page_id, grp, row_idx, event_date, event_time, currency, impact, event, actual, forecast, previous
+        from cf where event_date <> ''"""),
+]
+CAL_FIX = ("calendar_raw",)
+
+
+def _flat(spark, sf):
+    return flows.calendar_events(fx.calendar_raw(spark, sf), fx.RUN_TIME)
+
+
+@register("flow_calendar", with_fixtures("select * from flat", *CAL_FIX, extra=CAL_CTE))
+def q_flow_calendar(spark, sf):
+    return _flat(spark, sf)
+
+
+@register("win_ffill_date", with_fixtures("select row_idx, hdr as date_header, grp from cr where grp > 0", *CAL_FIX,
+                                          extra=CAL_CTE[:1]))
+def q_win_ffill_date(spark, sf):
+    from pyspark.sql import Window
+
+    raw = fx.calendar_raw(spark, sf)
+    w = Window.partitionBy("page_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
+    has = F.col("date").isNotNull() & (F.regexp_replace("date", r"(?U)\s", "") != "")
+    r = raw.select("row_idx", F.sum(F.when(has, 1).otherwise(0)).over(w).alias("grp"),
+                   F.last(F.when(has, F.col("date")), ignorenulls=True).over(w).alias("date_header"))
+    return r.where("grp > 0")
+
+
+@register("win_ffill_time", with_fixtures("select row_idx, event_time from cf", *CAL_FIX, extra=CAL_CTE[:3]))
+def q_win_ffill_time(spark, sf):
+    from pyspark.sql import Window
+
+    raw = fx.calendar_raw(spark, sf)
+    w = Window.partitionBy("page_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
+    has = F.col("date").isNotNull() & (F.regexp_replace("date", r"(?U)\s", "") != "")
+    r = raw.withColumn("grp", F.sum(F.when(has, 1).otherwise(0)).over(w))
+    r = r.where((F.col("grp") > 0) & (F.regexp_replace("event", r"(?U)^\s+|\s+$", "") != ""))
+    wg = Window.partitionBy("page_id", "grp").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
+    t = F.regexp_replace("time", r"(?U)^\s+|\s+$", "")
+    return r.select("row_idx", F.coalesce(F.last(F.nullif(t, F.lit("")), ignorenulls=True).over(wg), F.lit(""))
+                    .alias("event_time"))
+
+
+@register("fn_nest_events", with_fixtures(
+    """select event_date as date, page_id, grp, count(*) as n_events, arg_min(event, row_idx) as first_event,
+        arg_max(event, row_idx) as last_event from flat group by 1, 2, 3""", *CAL_FIX, extra=CAL_CTE))
+def q_fn_nest_events(spark, sf):
+    n = flows.nest_events(_flat(spark, sf))
+    return n.select("date", "page_id", "grp", F.size("events").alias("n_events"),
+                    F.element_at("events", 1)["event"].alias("first_event"),
+                    F.element_at("events", -1)["event"].alias("last_event"))
+
+
+@register("fn_unnest_events", with_fixtures("select * from flat", *CAL_FIX, extra=CAL_CTE))
+def q_fn_unnest_events(spark, sf):
+    u = flows.unnest_events(flows.nest_events(_flat(spark, sf)))
+    return u.select("page_id", "grp", "row_idx", "event_date", "event_time", "currency", "impact", "event", "actual",
+                    "forecast", "previous")
+
+
+@register("sink_calendar_json", with_fixtures("select * from flat", *CAL_FIX, extra=CAL_CTE))
+def q_sink_calendar_json(spark, sf):
+    from tickpulse.session import scratch_path
+
+    path = scratch_path(spark, "calendar-json")
+    flows.nest_events(_flat(spark, sf)).write.mode("overwrite").json(path)
+    back = spark.read.schema(
+        "date string, events array<struct<row_idx:bigint,time:string,currency:string,impact:string,event:string,"
+        "actual:string,forecast:string,previous:string>>, page_id bigint, grp bigint").json(path)
+    u = flows.unnest_events(back)
+    return u.select("page_id", "grp", "row_idx", "event_date", "event_time", "currency", "impact", "event", "actual",
+                    "forecast", "previous")
+
+
+@register("sink_calendar_upsert", with_fixtures(
+    """select event_date, event_time, currency, impact, event, actual, forecast, previous from (
+        select *, row_number() over (partition by event_date, event_time, event order by page_id desc, row_idx desc) as rn
+        from flat) where rn = 1""", *CAL_FIX, extra=CAL_CTE))
+def q_sink_calendar_upsert(spark, sf):
+    flat = _flat(spark, sf)
+    existing = flat.where(F.col("event_date") < "2024-01-10").withColumn("actual", F.lit("old")) \
+        .select("event_date", "event_time", "currency", "impact", "event", "actual", "forecast", "previous")
+    return flows.calendar_upsert(existing, flat)

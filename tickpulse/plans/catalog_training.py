@@ -1 +1,218 @@
-"""Registered queries: training data, classifier and evaluation."""
+"""Registered queries: training data, splits, classifier, evaluation metrics and ROUGE."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tickpulse.operators import evaluation as ev
+from tickpulse.operators import training as trn
+from tickpulse.plans.oracle_fixtures import with_fixtures
+from tickpulse.plans.registry import register
+from tickpulse.sources import fixtures as fx
+
+
+def _pred(spark, sf):
+    return fx.predictions(spark, sf)
+
+
+@register("flow_prepare_training", with_fixtures("select text, label, stock_code, has_stock from labelled", "labelled"))
+def q_flow_prepare_training(spark, sf):
+    return trn.normalise_labelled(fx.labelled(spark, sf).select("text", "label", "stock_code", "has_stock"))
+
+
+@register("agg_label_distribution", with_fixtures(
+    "select label, has_stock, count(*) as n from labelled group by cube(label, has_stock)", "labelled"))
+def q_agg_label_distribution(spark, sf):
+    return trn.label_distribution(fx.labelled(spark, sf))
+
+
+_LAB_CONF = """select l.text, l.label, l.stock_code, l.has_stock, p.confidence from labelled l join predictions p on l.doc_id = p.doc_id"""
+
+
+@register("flow_split_by_stock", with_fixtures(
+    "select *, case when has_stock then 'with_stock' else 'without_stock' end as part from lc where confidence >= 0.5",
+    "labelled", "predictions", extra=[("lc", _LAB_CONF)]))
+def q_flow_split_by_stock(spark, sf):
+    lc = fx.labelled(spark, sf).join(_pred(spark, sf).select("doc_id", "confidence"), "doc_id") \
+        .select("text", "label", "stock_code", "has_stock", "confidence")
+    return trn.split_by_stock(lc, min_confidence=0.5)
+
+
+@register("flow_train_test_split", with_fixtures(
+    """select doc_id, label, case when ((doc_id + 42) * 2654435761) % 4294967296 % 100 < 80 then 'train' else 'test' end
+        as split from labelled""", "labelled"))
+def q_flow_train_test_split(spark, sf):
+    return trn.hash_split(fx.labelled(spark, sf), "doc_id").select("doc_id", "label", "split")
+
+
+@register("flow_ordered_split", with_fixtures(
+    """select pair_id, row_number() over (order by pair_id) - 1 as line_no,
+        case when (select count(*) from rewrite_pairs) < 100 then 'too_small'
+             when row_number() over (order by pair_id) - 1 < floor((select count(*) from rewrite_pairs) * 0.9) then 'train'
+             else 'test' end as split from rewrite_pairs""", "rewrite_pairs"))
+def q_flow_ordered_split(spark, sf):
+    return trn.ordered_split(fx.rewrite_pairs(spark, sf).select("pair_id"), ["pair_id"])
+
+
+@register("sample_n", with_fixtures(
+    "select pair_id from rewrite_pairs order by ((pair_id + 42) * 2654435761) % 4294967296, pair_id limit 100",
+    "rewrite_pairs"))
+def q_sample_n(spark, sf):
+    return trn.sample_rows(fx.rewrite_pairs(spark, sf).select("pair_id"), "pair_id", 100)
+
+
+@register("agg_confidence_histogram", with_fixtures(
+    """select case when confidence = 1.0 then '1.0' when confidence >= 0.9 then '0.9-1.0' when confidence >= 0.8 then '0.8-0.9'
+        when confidence >= 0.7 then '0.7-0.8' when confidence >= 0.6 then '0.6-0.7' when confidence >= 0.5 then '0.5-0.6'
+        else '<0.5' end as bucket, count(*) as n, count(*) / (select count(*) from predictions) * 100.0 as pct,
+        (select min(confidence) from predictions) as min_confidence, (select max(confidence) from predictions) as max_confidence,
+        (select avg(confidence) from predictions) as avg_confidence
+        from predictions group by 1""", "predictions"))
+def q_agg_confidence_histogram(spark, sf):
+    return trn.confidence_histogram(_pred(spark, sf))
+
+
+@register("agg_symbol_sentiment_matrix", with_fixtures(
+    """select symbol, count(*) filter (where sentiment = 'TÍCH_CỰC') as positive,
+        count(*) filter (where sentiment = 'TIÊU_CỰC') as negative, count(*) filter (where sentiment = 'TRUNG_TÍNH') as neutral,
+        count(*) as total from all_content group by symbol""", "all_content"))
+def q_agg_symbol_sentiment_matrix(spark, sf):
+    return trn.symbol_sentiment_matrix(fx.all_content(spark, sf))
+
+
+@register("agg_confidence_describe", with_fixtures(
+    """select true_label, count(confidence) as count, avg(confidence) as mean, stddev_samp(confidence) as std,
+        min(confidence) as min, quantile_cont(confidence, 0.25) as p25, quantile_cont(confidence, 0.5) as p50,
+        quantile_cont(confidence, 0.75) as p75, max(confidence) as max from predictions group by true_label""",
+    "predictions"))
+def q_agg_confidence_describe(spark, sf):
+    return trn.confidence_describe(_pred(spark, sf))
+
+
+@register("agg_confusion_matrix", with_fixtures(
+    """select t.l as true_label, p.l as pred_label, count(x.doc_id) as n
+        from (select unnest(['negative','neutral','positive']) as l) t cross join (select unnest(['negative','neutral','positive']) as l) p
+        left join predictions x on x.true_label = t.l and x.pred_label = p.l group by 1, 2""", "predictions"))
+def q_agg_confusion_matrix(spark, sf):
+    return trn.confusion_matrix(_pred(spark, sf))
+
+
+_PC = """select coalesce(t.label, p.label) as label, coalesce(t.support, 0) as support, coalesce(p.predicted, 0) as predicted,
+        coalesce(c.tp, 0) as tp
+    from (select true_label as label, count(*) as support from predictions group by 1) t
+    full join (select pred_label as label, count(*) as predicted from predictions group by 1) p on t.label = p.label
+    left join (select true_label as label, count(*) as tp from predictions where true_label = pred_label group by 1) c
+        on c.label = coalesce(t.label, p.label)"""
+_PRF = """select label, support, case when predicted > 0 then tp / predicted else 0.0 end as precision,
+        case when support > 0 then tp / support else 0.0 end as recall from pc"""
+_PRF1 = """select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0 end as f1_score
+        from prf"""
+
+
+@register("agg_classification_report", with_fixtures(
+    """select label, precision, recall, f1_score, support from prf1
+    union all select 'accuracy', null, null, (select count(*) filter (where true_label = pred_label) from predictions)
+        / (select count(*) from predictions), (select count(*) from predictions)
+    union all select 'macro avg', avg(precision), avg(recall), avg(f1_score), sum(support) from prf1
+    union all select 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+        sum(f1_score * support) / sum(support), sum(support) from prf1""",
+    "predictions", extra=[("pc", _PC), ("prf", _PRF), ("prf1", _PRF1)]))
+def q_agg_classification_report(spark, sf):
+    return trn.classification_report(_pred(spark, sf))
+
+
+@register("agg_weighted_metrics", with_fixtures(
+    """select (select count(*) filter (where true_label = pred_label) from predictions) / sum(support) as accuracy,
+        sum(precision * support) / sum(support) as precision, sum(recall * support) / sum(support) as recall,
+        sum(f1_score * support) / sum(support) as f1 from prf1""",
+    "predictions", extra=[("pc", _PC), ("prf", _PRF), ("prf1", _PRF1)]))
+def q_agg_weighted_metrics(spark, sf):
+    return trn.weighted_metrics(_pred(spark, sf))
+
+
+def _labelled_split(spark, sf):
+    return trn.hash_split(fx.labelled(spark, sf), "doc_id")
+
+
+@register("flow_train_classifier", None)
+def q_flow_train_classifier(spark, sf):
+    """Train on the 80 % split; the result lists the learned per-class intercepts and sizes."""
+    data = _labelled_split(spark, sf)
+    model = trn.train_classifier(data)
+    lr = model.stages[-1]
+    rows = [(trn.CLASS_LABELS[i], float(lr.interceptVector[i])) for i in range(len(lr.interceptVector))]
+    counts = data.where("split = 'train'").groupBy("label").agg(F.count(F.lit(1)).alias("train_rows"))
+    return spark.createDataFrame(rows, "label string, intercept double").join(counts, "label", "left")
+
+
+@register("flow_evaluate_classifier", None)
+def q_flow_evaluate_classifier(spark, sf):
+    """Held-out evaluation of the trained classifier: the classification report of its predictions."""
+    data = _labelled_split(spark, sf)
+    model = trn.train_classifier(data)
+    scored = trn.evaluate_classifier(model, data.where("split = 'test'"))
+    return trn.classification_report(scored)
+
+
+# ---------------------------------------------------------------- ROUGE
+def _pairs(spark, sf):
+    return fx.rewrite_pairs(spark, sf).select(F.col("pair_id").alias("id"), F.col("rewritten").alias("reference"),
+                                              F.col("original").alias("prediction"))
+
+
+def _ngram_sql(n: int) -> str:
+    toks = "regexp_extract_all(lower({c}), '[a-z0-9]+')"
+    grams = (f"list_transform(range(1, len({toks}) - {n - 1} + 1), lambda i: array_to_string(list_slice({toks}, i, i + {n - 1}), ' '))"
+             if n > 1 else toks)
+    return f"""with p as (select pair_id as id, rewritten as reference, original as prediction from rewrite_pairs),
+    r as (select id, g, count(*) as c from (select id, unnest({grams.format(c='reference')}) as g from p) group by 1, 2),
+    q as (select id, g, count(*) as c from (select id, unnest({grams.format(c='prediction')}) as g from p) group by 1, 2),
+    ov as (select r.id, sum(least(r.c, q.c)) as overlap from r join q on r.id = q.id and r.g = q.g group by 1),
+    rt as (select id, sum(c) as n from r group by 1), qt as (select id, sum(c) as n from q group by 1),
+    m as (select p.id, coalesce(ov.overlap, 0) as overlap, coalesce(rt.n, 0) as ref_total, coalesce(qt.n, 0) as pred_total
+          from p left join ov on ov.id = p.id left join rt on rt.id = p.id left join qt on qt.id = p.id),
+    s as (select id, case when pred_total > 0 then overlap / pred_total else 0.0 end as precision,
+                 case when ref_total > 0 then overlap / ref_total else 0.0 end as recall from m)
+    select id, round(precision, 9) as precision, round(recall, 9) as recall,
+        round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0 end, 9) as fmeasure
+    from s"""
+
+
+def _r9(df):
+    return df.select("id", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "fmeasure")])
+
+
+@register("fn_rouge_1", with_fixtures(f"select * from ({_ngram_sql(1)})", "rewrite_pairs"))
+def q_fn_rouge_1(spark, sf):
+    return _r9(ev.rouge_n(_pairs(spark, sf), 1))
+
+
+@register("fn_rouge_2", with_fixtures(f"select * from ({_ngram_sql(2)})", "rewrite_pairs"))
+def q_fn_rouge_2(spark, sf):
+    return _r9(ev.rouge_n(_pairs(spark, sf), 2))
+
+
+@register("fn_rouge_l", None)
+def q_fn_rouge_l(spark, sf):
+    return _r9(ev.rouge_l(_pairs(spark, sf)))
+
+
+@register("agg_rouge_mean", with_fixtures(
+    f"""select round((select avg(fmeasure) from ({_ngram_sql(1)})), 6) as rouge1,
+        round((select avg(fmeasure) from ({_ngram_sql(2)})), 6) as rouge2""", "rewrite_pairs"))
+def q_agg_rouge_mean(spark, sf):
+    p = _pairs(spark, sf)
+    r1 = ev.rouge_n(p, 1).agg(F.avg("fmeasure")).scalar()
+    r2 = ev.rouge_n(p, 2).agg(F.avg("fmeasure")).scalar()
+    return spark.range(1).select(F.round(r1, 6).alias("rouge1"), F.round(r2, 6).alias("rouge2"))
+
+
+@register("flow_evaluate_rewriter", None)
+def q_flow_evaluate_rewriter(spark, sf):
+    """Sample 100 pairs, rewrite the originals with the rule rewriter, score against the references."""
+    from tickpulse.functions.rumor_rules import accept_rewrite, rewrite_text
+
+    s = trn.sample_rows(fx.rewrite_pairs(spark, sf), "pair_id", 100)
+    s = s.select(F.col("pair_id").alias("id"), F.col("rewritten").alias("reference"),
+                 accept_rewrite(rewrite_text(F.col("original")), F.col("original")).alias("prediction"))
+    return ev.rouge_means(s)
