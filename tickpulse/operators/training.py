@@ -24,7 +24,7 @@ def export_columns(df: DataFrame, cols: list[str], defaults: dict | None = None)
     defaults = defaults or {}
     out = []
     for c in cols:
-        v = F.col(c) if c in df.columns else F.lit(None)
+        v = F.col(c) if c in df.columns else F.lit(None).cast("string")
         if c in defaults:
             v = F.coalesce(v, F.lit(defaults[c]))
         out.append(v.alias(c))

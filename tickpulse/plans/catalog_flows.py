@@ -511,3 +511,91 @@ def q_sink_calendar_upsert(spark, sf):
     existing = flat.where(F.col("event_date") < "2024-01-10").withColumn("actual", F.lit("old")) \
         .select("event_date", "event_time", "currency", "impact", "event", "actual", "forecast", "previous")
     return flows.calendar_upsert(existing, flat)
+
+
+# ================================================================ trending job and file sinks
+def _trend_rows(lists, interval: str, ts: int):
+    s = lists.where(F.col("list") == "score")
+    return s.select(F.lit(interval).alias("interval"), F.col("rank").alias("row_num"), F.col("word").alias("keyword"),
+                    F.col("count_today").alias("total"), F.round("score", 9).alias("score"),
+                    F.lit(ts).cast("bigint").alias("timestamp"))
+
+
+_END_EP = int((END - dt.timedelta(hours=7) - dt.datetime(1970, 1, 1)).total_seconds())
+_DAILY_LISTS = _lists_sql("sc", 20, "word, count_today, growth, score")
+_TREND_ROWS = ("select '{iv}' as \"interval\", rank as row_num, word as keyword, count_today as total, "
+               "round(score, 9) as score, cast({ts} as bigint) as \"timestamp\" from ({src}) where list = 'score'")
+
+
+@register("sink_trending_upsert", with_fixtures(
+    """select * from ex e where not exists (select 1 from inc i where i."interval" = e."interval" and i.row_num = e.row_num)
+        union all select * from inc""",
+    *TREND_FIXTURES, extra=TOK_CTE + [("cnt", CNT_SQL), ("sc", _scored_sql(4))] + DAILY_CTE + [
+        ("scd", _scored_sql(10, src="dcnt")),
+        ("ex", _TREND_ROWS.format(iv="24h", ts=_END_EP - 86400, src=_lists_sql("scd", 20, "word, count_today, growth, score"))),
+        ("inc", _TREND_ROWS.format(iv="24h", ts=_END_EP, src=_LIST2))]))
+def q_sink_trending_upsert(spark, sf):
+    from tickpulse.operators.upsert import upsert
+
+    tu = trend_union(spark, sf)
+    ex = _trend_rows(tr.trending_daily(tu, top_n=20), "24h", _END_EP - 86400)
+    inc = _trend_rows(tr.trending_2days(tu, END, top_n=10), "24h", _END_EP)
+    return upsert(ex, inc, ["interval", "row_num"], "update")
+
+
+@register("flow_trending_job", with_fixtures(
+    f"""select 'daily' as analysis, word, count_today, {R9}, list, rank from ({_lists_sql('scd', 20, 'word, count_today, growth, score')})
+        union all select '2days', word, count_today, {R9}, list, rank from ({_LIST2})""",
+    *TREND_FIXTURES, extra=TOK_CTE + [("cnt", CNT_SQL), ("sc", _scored_sql(4))] + DAILY_CTE + [
+        ("scd", _scored_sql(10, src="dcnt"))]))
+def q_flow_trending_job(spark, sf):
+    """Both analyses over one load of the two-day window (hourly cadence in the reference)."""
+    tu = trend_union(spark, sf)
+    daily = tr.trending_daily(tu, top_n=20).withColumn("analysis", F.lit("daily"))
+    two = tr.trending_2days(tu, END, top_n=10).drop("count_prev").withColumn("analysis", F.lit("2days"))
+    return _round(daily.unionByName(two))
+
+
+@register("sink_csv", with_fixtures(f"select word, count_today, count_prev, {R9}, list, rank from ({_LIST2})",
+                                    *TREND_FIXTURES, extra=TOK_CTE + [("cnt", CNT_SQL), ("sc", _scored_sql(4))]))
+def q_sink_csv(spark, sf):
+    from tickpulse.session import scratch_path
+
+    path = scratch_path(spark, "trending-csv")
+    out = _round(tr.trending_2days(trend_union(spark, sf), END, top_n=10))
+    out.write.mode("overwrite").option("header", True).csv(path)
+    schema = "word string, count_today bigint, count_prev bigint, growth double, score double, list string, rank int"
+    back = spark.read.option("header", True).schema(schema).csv(path)
+    return back.select("word", "count_today", "count_prev", "growth", "score", "list", "rank")
+
+
+@register("sink_jsonl", with_fixtures("select text, label, stock_code, has_stock from labelled", "labelled"))
+def q_sink_jsonl(spark, sf):
+    from tickpulse.session import scratch_path
+    from tickpulse.sources.unified import read_labelled_jsonl
+
+    path = scratch_path(spark, "training-jsonl")
+    fx.labelled(spark, sf).select("text", "label", "stock_code", "has_stock").write.mode("overwrite").json(path)
+    return read_labelled_jsonl(spark, path)
+
+
+@register("sink_table_export", with_fixtures(
+    "select text, label, stock_code, has_stock, cast(null as varchar) as note from labelled", "labelled"))
+def q_sink_table_export(spark, sf):
+    from tickpulse.operators.training import export_columns
+    from tickpulse.session import scratch_path
+
+    path = scratch_path(spark, "export-csv")
+    lab = fx.labelled(spark, sf).select("text", "label", "stock_code", "has_stock")
+    out = export_columns(lab, ["text", "label", "stock_code", "has_stock", "note"])
+    opts = {"header": True, "nullValue": "\\N", "multiLine": True, "escape": '"'}
+    out.write.mode("overwrite").options(**opts).option("emptyValue", '""').csv(path)
+    back = spark.read.options(**opts).option("emptyValue", "").schema(
+        "text string, label string, stock_code string, has_stock boolean, note string").csv(path)
+    return back
+
+
+@register("flow_summarize", None)
+def q_flow_summarize(spark, sf):
+    d = fx.table(spark, sf, "documents").select("doc_id", "text")
+    return flows.summarize(d, "text").select("doc_id", "summary")

@@ -504,3 +504,103 @@ def q_flow_stock_sentiment(spark, sf):
     from tickpulse.plans.flows import stock_sentiment_job
 
     return stock_sentiment_job(fx.all_content(spark, sf), RUN)
+
+
+# ---------------------------------------------------------------- 2.2 sinks and 2.8 set ops
+_AC_OLD = f'select * from all_content where "timestamp" < {SPLIT_OLD}'
+_AC_NEW = f'select * from all_content where "timestamp" >= {SPLIT_NEW}'
+
+
+def _ac_halves(spark, sf):
+    ac = fx.all_content(spark, sf)
+    return ac.where(F.col("timestamp") < SPLIT_OLD), ac.where(F.col("timestamp") >= SPLIT_NEW)
+
+
+@register("set_union_all", with_fixtures(f"{_AC_OLD} union all {_AC_NEW}", "all_content"))
+def q_set_union_all(spark, sf):
+    old, new = _ac_halves(spark, sf)
+    return old.unionByName(new)
+
+
+@register("dedup_unique_key", with_fixtures(
+    """select * exclude (rn) from (select *, row_number() over (partition by "timestamp", content order by id) as rn
+        from all_content) where rn = 1""", "all_content"))
+def q_dedup_unique_key(spark, sf):
+    return upsert.dedup_batch(fx.all_content(spark, sf), ["timestamp", "content"], ["id"], keep="first")
+
+
+@register("sink_insert_unique", with_fixtures(
+    f"""select * from ex union all
+        select * exclude (rn) from (select *, row_number() over (partition by "timestamp", content order by id) as rn from inc) i
+        where rn = 1 and not exists (select 1 from ex e where e."timestamp" = i."timestamp" and e.content = i.content)""",
+    "all_content", extra=[("ex", _AC_OLD), ("inc", _AC_NEW)]))
+def q_sink_insert_unique(spark, sf):
+    old, new = _ac_halves(spark, sf)
+    return upsert.insert_unique(old, new, ["timestamp", "content"], ["id"])
+
+
+_RS_EX = f"""select r.reply_id, r.post_id, cast(null as varchar) as stock_id, 'TRUNG_TÍNH' as cam_xuc, p."timestamp"
+    from fb_reply r join fb_post p on r.post_id = p.post_id where p."timestamp" < {SPLIT_OLD}"""
+_RS_IN = f"""select r.reply_id, r.post_id, 'S01' as stock_id, 'TÍCH_CỰC' as cam_xuc, p."timestamp"
+    from fb_reply r join fb_post p on r.post_id = p.post_id where p."timestamp" >= {SPLIT_NEW}"""
+
+
+@register("sink_replace_by_key", with_fixtures(
+    "select * from ex e where not exists (select 1 from inc i where i.reply_id = e.reply_id) union all select * from inc",
+    "fb_reply", "fb_post", extra=[("ex", _RS_EX), ("inc", _RS_IN)]))
+def q_sink_replace_by_key(spark, sf):
+    r = joins.reply_with_post(fx.fb_reply(spark, sf), fx.fb_post(spark, sf))
+    ex = r.where(F.col("timestamp") < SPLIT_OLD).select("reply_id", "post_id", F.lit(None).cast("string").alias("stock_id"),
+                                                         F.lit(NEUTRAL).alias("cam_xuc"), "timestamp")
+    inc = r.where(F.col("timestamp") >= SPLIT_NEW).select("reply_id", "post_id", F.lit("S01").alias("stock_id"),
+                                                           F.lit("TÍCH_CỰC").alias("cam_xuc"), "timestamp")
+    return upsert.replace_by_key(ex, inc, "reply_id")
+
+
+@register("sink_stats_upsert", with_fixtures(
+    "select * from ex e where not exists (select 1 from inc i where i.\"timestamp\" = e.\"timestamp\") union all select * from inc",
+    "all_content", extra=[
+        ("ex", f'select * from ({_STATS_DAYS_SQL.format(src="all_content")}) where "timestamp" < {SPLIT_OLD}'),
+        ("nn", f"select * from all_content where sentiment <> 'TRUNG_TÍNH' and \"timestamp\" >= {SPLIT_NEW}"),
+        ("inc", _STATS_DAYS_SQL.format(src="nn"))]))
+def q_sink_stats_upsert(spark, sf):
+    ac = fx.all_content(spark, sf)
+    ex = rollup.daily_statistics_all_days(ac).where(F.col("timestamp") < SPLIT_OLD)
+    inc = rollup.daily_statistics_all_days(ac.where((F.col("sentiment") != NEUTRAL) & (F.col("timestamp") >= SPLIT_NEW)))
+    return upsert.upsert(ex, inc, ["timestamp"], "update")
+
+
+_PREV_RUN = RUN - _dt.timedelta(days=1)
+_B24_PREV = interval_bounds("24h", _PREV_RUN)
+_NN = "(select * from all_content where sentiment <> 'TRUNG_TÍNH')"
+
+
+@register("sink_stock_sentiment_ignore", with_fixtures(
+    """select * from ex union all select * from inc i where not exists (select 1 from ex e
+        where e.symbol = i.symbol and e."interval" = i."interval" and e."timestamp" = i."timestamp")""",
+    "all_content", extra=[
+        ("ex", _stock_sql("24h", _B24_PREV) + " union all " + _stock_sql("week", BWEEK)),
+        ("inc", (_stock_sql("24h", B24) + " union all " + _stock_sql("24h", _B24_PREV)).replace("from all_content", f"from {_NN}"))]))
+def q_sink_stock_sentiment_ignore(spark, sf):
+    ac = fx.all_content(spark, sf)
+    nn = ac.where(F.col("sentiment") != NEUTRAL)
+    ex = rollup.stock_sentiment(ac, "24h", _PREV_RUN).unionByName(rollup.stock_sentiment(ac, "week", RUN))
+    inc = rollup.stock_sentiment(nn, "24h", RUN).unionByName(rollup.stock_sentiment(nn, "24h", _PREV_RUN))
+    return upsert.upsert(ex, inc, ["symbol", "interval", "timestamp"], "ignore")
+
+
+def _top_sql(src: str, n: int) -> str:
+    return f"""select symbol, "interval", positive, negative, neutral, total,
+        row_number() over (order by total desc, symbol) as row_num, "timestamp" as updated_at
+        from (select * from ({src}) order by total desc, symbol limit {n})"""
+
+
+@register("sink_top_upsert", with_fixtures(
+    """select * from ex e where not exists (select 1 from inc i where i."interval" = e."interval" and i.row_num = e.row_num)
+        union all select * from inc""",
+    "all_content", extra=[("ex", _top_sql(_stock_sql("24h", _B24_PREV), 10)), ("inc", _top_sql(_stock_sql("24h", B24), 5))]))
+def q_sink_top_upsert(spark, sf):
+    ac = fx.all_content(spark, sf)
+    ex = rollup.top_stocks(rollup.stock_sentiment(ac, "24h", _PREV_RUN), "24h", 10)
+    inc = rollup.top_stocks(rollup.stock_sentiment(ac, "24h", RUN), "24h", 5)
+    return upsert.upsert(ex, inc, ["interval", "row_num"], "update")
