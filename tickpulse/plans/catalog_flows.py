@@ -599,3 +599,38 @@ def q_sink_table_export(spark, sf):
 def q_flow_summarize(spark, sf):
     d = fx.table(spark, sf, "documents").select("doc_id", "text")
     return flows.summarize(d, "text").select("doc_id", "summary")
+
+
+# ================================================================ streams
+@register("st_incremental_posts", None)
+def q_st_incremental_posts(spark, sf):
+    from tickpulse.streaming.streams import incremental_posts
+
+    return incremental_posts(fx.posts(spark, sf), DICT)
+
+
+@register("st_sliding_tokens", with_fixtures(
+    f"""select window_start, window_start + interval 24 hour as window_end, token, count(*) as n from (
+        select unnest(generate_series(time_bucket(interval 1 hour, ts) - interval 23 hour, time_bucket(interval 1 hour, ts),
+            interval 1 hour)) as window_start, token
+        from (select make_timestamp(date * 1000000) as ts, unnest({ot.tokenize('content')}) as token from zalo_chat
+              where content is not null and content <> 'NA'))
+    group by 1, 2, 3""", "zalo_chat"))
+def q_st_sliding_tokens(spark, sf):
+    from tickpulse.functions.timewin import ts_of_epoch
+    from tickpulse.streaming.streams import sliding_tokens
+
+    z = fx.zalo_chat(spark, sf).where(F.col("content").isNotNull() & (F.col("content") != "NA"))
+    return sliding_tokens(z.withColumn("ts", ts_of_epoch("date")), "ts", "content")
+
+
+@register("st_tumbling_stock_sentiment", with_fixtures(
+    """select make_timestamp(("timestamp" - 28800 - (("timestamp" - 28800) % 86400) + 28800) * 1000000) as window_start,
+        symbol, count(*) filter (where sentiment = 'TÍCH_CỰC') as positive,
+        count(*) filter (where sentiment = 'TIÊU_CỰC') as negative,
+        count(*) filter (where sentiment = 'TRUNG_TÍNH') as neutral, count(*) as total
+    from all_content where symbol is not null group by 1, 2""", "all_content"))
+def q_st_tumbling_stock_sentiment(spark, sf):
+    from tickpulse.streaming.streams import tumbling_stock_sentiment
+
+    return tumbling_stock_sentiment(fx.all_content(spark, sf))
