@@ -333,3 +333,9 @@ def q_fn_argmax_softmax(spark, sf):
 
     e = fx.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("logits"))
     return softmax_argmax(e, "logits").select("vec_id", "pred", "confidence")
+
+
+@register("fn_floor_minute", """select event_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') as minute_ts from events""")
+def q_fn_floor_minute(spark, sf):
+    e = fx.events(spark, sf)
+    return e.select("event_id", F.date_format(floor_to("ts", "minute"), "yyyy-MM-dd HH:mm:ss").alias("minute_ts"))
