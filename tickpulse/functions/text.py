@@ -25,6 +25,7 @@ NOT_WORD_CHAR = r"[^\p{L}\p{N}_]"
 URL_ANY = r"(?U)http\S+|www\S+"
 URL_HTTP = r"(?U)http\S+"
 TOKEN = r"[a-zA-ZÀ-ỹ0-9]+"
+TOKEN_WITH_LETTER = r"(?<![a-zA-ZÀ-ỹ0-9])[a-zA-ZÀ-ỹ0-9]*[a-zA-ZÀ-ỹ][a-zA-ZÀ-ỹ0-9]*"
 
 
 def _c(col) -> Column:
@@ -52,13 +53,60 @@ def text_present(col) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _nfc_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
+    return s.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
+
+
+_NFC_TRIGGERS: str | None = None
+
+
+def _nfc_trigger_class() -> str:
+    """Java regex class of the characters that can change under NFC: marks (reordering and
+    composition), characters whose own NFC differs (singletons, exclusions), non-mark second
+    characters of canonical pairs, and conjoining Hangul vowels / trailing consonants.
+    A text with none of them is already NFC, so it never leaves the JVM."""
+    global _NFC_TRIGGERS
+    if _NFC_TRIGGERS is None:
+        extra = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+        for cp in range(0x110000):
+            if 0xD800 <= cp <= 0xDFFF:
+                continue
+            ch = chr(cp)
+            if unicodedata.category(ch).startswith("M"):
+                continue
+            if unicodedata.normalize("NFC", ch) != ch:
+                extra.add(cp)
+            dec = unicodedata.decomposition(ch)
+            if dec and not dec.startswith("<"):
+                parts = dec.split()
+                if len(parts) == 2:
+                    second = int(parts[1], 16)
+                    if not unicodedata.category(chr(second)).startswith("M"):
+                        extra.add(second)
+        ranges, run = [], []
+        for cp in sorted(extra):
+            if run and cp == run[-1] + 1:
+                run.append(cp)
+            else:
+                if run:
+                    ranges.append((run[0], run[-1]))
+                run = [cp]
+        if run:
+            ranges.append((run[0], run[-1]))
+        body = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+        _NFC_TRIGGERS = "[\\p{M}" + body + "]"
+    return _NFC_TRIGGERS
 
 
 def nfc(col) -> Column:
-    """fn_nfc: Unicode NFC.  ASCII rows never leave the JVM."""
+    """fn_nfc: Unicode NFC.  Only rows holding a character that NFC can change go through
+    the Arrow-batched Python normaliser; all others stay in the JVM unchanged."""
     c = _c(col)
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(_nfc_udf(c))
+    # every character below U+0300 is NFC-stable: one range test per character first, the
+    # full trigger class only for texts that hold a character at or above U+0300
+    needs = c.rlike("[^\\x{0}-\\x{2FF}]") & c.rlike(_nfc_trigger_class())
+    # Spark evaluates a Python UDF for every row of the batch, so rows that cannot change
+    # are sent as NULL: only the texts that need it cross into Python.
+    return F.when(needs, _nfc_udf(F.when(needs, c))).otherwise(c)
 
 
 def tokenize(col, stopwords: list[str] | None = None) -> Column:
@@ -68,18 +116,20 @@ def tokenize(col, stopwords: list[str] | None = None) -> Column:
     """
     stop = FALLBACK_STOPWORDS if stopwords is None else stopwords
     low = F.regexp_replace(F.lower(_c(col)), URL_ANY, "")
-    toks = F.regexp_extract_all(low, F.lit(TOKEN), 0)
+    # maximal runs that hold at least one non-digit: all-digit runs are never extracted
+    toks = F.regexp_extract_all(low, F.lit(TOKEN_WITH_LETTER), 0)
     kept = F.filter(
         toks,
-        lambda t: (F.length(t) > 1) & ~t.rlike(r"^[0-9]+$") & ~t.isin(*stop) if stop else
-        (F.length(t) > 1) & ~t.rlike(r"^[0-9]+$"),
+        lambda t: (F.length(t) > 1) & ~t.isin(*stop) if stop else (F.length(t) > 1),
     )
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def ensure_token_list(col) -> Column:
-    """fn_ensure_token_list: trim each token, drop NULL and blank ones."""
-    return F.filter(F.transform(F.coalesce(_c(col), F.array().cast("array<string>")), strip),
+    """fn_ensure_token_list: trim each token, drop NULL and blank ones.  Regex tokens can hold
+    only one whitespace character (U+1680, inside the letter range), so only those are stripped."""
+    return F.filter(F.transform(F.coalesce(_c(col), F.array().cast("array<string>")),
+                                lambda t: F.when(F.contains(t, F.lit("\u1680")), strip(t)).otherwise(t)),
                     lambda t: t.isNotNull() & (t != ""))
 
 

@@ -167,48 +167,53 @@ def yt_mentions(posts: DataFrame, tickers: list[str], max_words: int = YT_WINDOW
     non-overlapping): the +-20-word window, split at capitals, and for each not-yet-used sentence
     holding the ticker a (sentence, previous + sentence + next) row; neighbours become used.
 
-    Hits cannot span whitespace, so they are found word by word (posexplode) and the word index
-    is exact.  All per-hit work is array code on a <= 41-word window.
+    Hits cannot span whitespace, so they are found word by word and the word index is exact.
+    All work happens inside the post's row (array functions on its word list and on
+    <= 41-word windows); only the final mentions are exploded into rows.
     """
     if not tickers:
         return posts.sparkSession.createDataFrame(
             [], "post_id string, post_ticker string, post_sentence string, context string, post_at timestamp_ntz")
     import re
 
-    alternation = "|".join(re.escape(t) for t in sorted(tickers, key=len, reverse=True))
-    p = posts.select("post_id", "post_at", words("post_content").alias("_w"))
-    hits = p.select("post_id", "post_at", "_w", F.posexplode("_w").alias("_i", "_word"))
-    hits = hits.where(F.col("_word").rlike(alternation))
-    hits = hits.select("post_id", "post_at", "_w", "_i", F.explode(F.regexp_extract_all("_word", F.lit(f"({alternation})"), 1)).alias("tk"))
-    n = F.size("_w")
-    lo = F.greatest(F.col("_i") - max_words, F.lit(0))
-    hi = F.least(n, F.col("_i") + max_words + 1)
-    window = F.array_join(F.slice("_w", lo + 1, hi - lo), " ")
-    hits = hits.withColumn("_s", split_by_capital(window))
-    tk = F.col("tk")
-    init = F.struct(F.array().cast("array<int>").alias("used"),
-                    F.array().cast("array<struct<sentence:string,context:string>>").alias("out"))
-
-    def mentions_of(s):
+    from tickpulse.functions.sentences import let
+
+    alternation = "(" + "|".join(re.escape(t) for t in sorted(tickers, key=len, reverse=True)) + ")"
+    item_type = "array<struct<tk:string,sentence:string,context:string>>"
+
+    def mentions_in_window(sents, tk):
+        init = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(item_type).alias("out"))
+
         def step(acc, j):
-            cur = F.element_at(s, j + 1)
-            prev = F.when(j > 0, F.element_at(s, F.greatest(j, F.lit(1))))
-            nxt = F.when(j < F.size(s) - 1, F.element_at(s, F.least(j + 2, F.size(s))))
+            cur = F.element_at(sents, j + 1)
+            prev = F.when(j > 0, F.element_at(sents, F.greatest(j, F.lit(1))))
+            nxt = F.when(j < F.size(sents) - 1, F.element_at(sents, F.least(j + 2, F.size(sents))))
             skip = F.array_contains(acc["used"], j) | ~F.contains(cur, tk)
-            ctx = F.concat_ws(" ", prev, cur, nxt)
-            item = F.struct(cur.alias("sentence"), ctx.alias("context"))
+            item = F.struct(tk.alias("tk"), cur.alias("sentence"), F.concat_ws(" ", prev, cur, nxt).alias("context"))
             new = F.struct(F.array_union(acc["used"], F.array(j - 1, j, j + 1)).alias("used"),
                            F.array_append(acc["out"], item).alias("out"))
             return F.when(skip, acc).otherwise(new)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), init, step)["out"]
+        return F.aggregate(F.sequence(F.lit(0), F.size(sents) - 1), init, step)["out"]
 
-    from tickpulse.functions.sentences import let
-    found = let(F.col("_s"), mentions_of)
-    s = F.col("_s")
-    out = hits.where(F.size(s) > 0).select("post_id", "tk", "post_at", F.explode(found).alias("m"))
-    return out.select("post_id", F.col("tk").alias("post_ticker"), F.col("m.sentence").alias("post_sentence"),
-                      F.col("m.context").alias("context"), "post_at")
+    def per_post(ws):
+        n = F.size(ws)
+        hits = F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("i"), F.regexp_extract_all(
+            w, F.lit(alternation), 1).alias("tks"))), lambda h: F.size(h["tks"]) > 0)
+
+        def per_hit(h):
+            lo = F.greatest(h["i"] - max_words, F.lit(0))
+            hi = F.least(n, h["i"] + max_words + 1)
+            window = F.array_join(F.slice(ws, lo + 1, hi - lo), " ")
+            return let(split_by_capital(window), lambda sents: F.flatten(
+                F.transform(h["tks"], lambda tk: mentions_in_window(sents, tk))))
+
+        return F.flatten(F.transform(hits, per_hit))
+
+    p = posts.where(F.col("post_content").rlike(alternation))
+    m = p.select("post_id", "post_at", F.explode(let(words("post_content"), per_post)).alias("m"))
+    return m.select("post_id", F.col("m.tk").alias("post_ticker"), F.col("m.sentence").alias("post_sentence"),
+                    F.col("m.context").alias("context"), "post_at")
 
 
 def advice_rows(mentions: DataFrame) -> DataFrame:
