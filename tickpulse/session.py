@@ -48,6 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return spark.sparkContext.getCheckpointDir() or conf_dir
+    master = spark.sparkContext.master or ""
+    if not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    # local runs and tests only: nothing configured, so pick a folder on this machine
     local = os.environ.get("TICKPULSE_CHECKPOINT_DIR", "/tmp/tickpulse-checkpoints")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local
