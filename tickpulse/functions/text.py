@@ -32,9 +32,14 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# FIXED VALUES: the characters Python's str.strip() removes (str.isspace)
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+                 "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(col) -> Column:
-    """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: remove whitespace at both ends (scans only the ends, no regex)."""
+    return F.btrim(_c(col), F.lit(PY_WHITESPACE))
 
 
 def stripped_length(col) -> Column:

@@ -85,8 +85,19 @@ def finite(col: str):
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a small intermediate (one row per token) once: a reliable checkpoint in the
+    cluster's shared folder, so the floor, the three top-N lists and a lost executor all read
+    it instead of re-tokenising the texts."""
+    from tickpulse.session import shared_dir
+
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scored(counts: DataFrame, divisor: int, alpha=TRENDING_ALPHA, beta=TRENDING_BETA) -> DataFrame:
     """Growth, non-finite drop, flt_dynamic_min_count (count >= max(2, max // divisor)), score."""
+    counts = materialize(counts)
     g = counts.withColumn("growth", growth())
     g = g.where(finite("growth"))
     max_count = counts.agg(F.max("count_today")).scalar()  # scalar subquery, run once
