@@ -41,6 +41,11 @@ def to_zone(ts, zone: str, from_zone: str = "UTC") -> Column:
     return F.convert_timezone(F.lit(from_zone), F.lit(zone), _c(ts).cast("timestamp_ntz"))
 
 
+def ntz(value) -> Column:
+    """A wall-clock timestamp literal, independent of the session and process time zones."""
+    return F.lit(as_datetime(value).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def parse_ts(text) -> Column:
     """Coercing parse: unparseable text -> NULL (rows are dropped by the caller)."""
     return F.try_to_timestamp(_c(text)).cast("timestamp_ntz")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tickpulse.constants import TRENDING_ALPHA, TRENDING_BETA, TRENDING_ZONE
 from tickpulse.functions.text import ensure_token_list, tokenize
-from tickpulse.functions.timewin import as_datetime, to_zone
+from tickpulse.functions.timewin import as_datetime, ntz, to_zone
 
 
 def exploded_tokens(df: DataFrame, text_col: str = "content", ts_col: str = "date",
@@ -47,7 +47,7 @@ def window_counts(tokens: DataFrame, end_time, align: str | None = "hour") -> Da
     """agg_token_count_window + join_full_align_counts: count_now / count_prev per token in one
     pass over the 48 h span (a token seen in either window is kept, the other count is 0)."""
     prev, cur, end = window_bounds(end_time, align)
-    lo, mid, hi = (F.lit(x).cast("timestamp_ntz") for x in (prev, cur, end))
+    lo, mid, hi = (ntz(x) for x in (prev, cur, end))
     span = tokens.where((F.col("ts") >= lo) & (F.col("ts") < hi))
     is_now = F.col("ts") >= mid
     return span.groupBy(F.col("token").alias("word")).agg(
@@ -59,7 +59,7 @@ def window_counts(tokens: DataFrame, end_time, align: str | None = "hour") -> Da
 def window_row_counts(tokens: DataFrame, end_time, align: str | None = "hour") -> DataFrame:
     """agg_window_row_counts: exploded rows in now / prev / total (diagnostics, fallback trigger)."""
     prev, cur, end = window_bounds(end_time, align)
-    lo, mid, hi = (F.lit(x).cast("timestamp_ntz") for x in (prev, cur, end))
+    lo, mid, hi = (ntz(x) for x in (prev, cur, end))
     ts = F.col("ts")
     return tokens.agg(
         F.count(F.when((ts >= mid) & (ts < hi), 1)).alias("now_rows"),
@@ -154,7 +154,7 @@ def token_bins(tokens: DataFrame, words: DataFrame, end_time, freq: str = "1 hou
     ((prev_start, end], grid from prev_start + 1 s): hourly counts of the given words over a
     dense grid of bins, missing bins = 0.  The grid is (bins x the given words) only."""
     prev, cur, end = window_bounds(end_time, align)
-    lo, hi = F.lit(prev).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    lo, hi = ntz(prev), ntz(end)
     if closed == "left":
         rows = tokens.where((F.col("ts") >= lo) & (F.col("ts") < hi))
         grid_start = prev
@@ -167,7 +167,7 @@ def token_bins(tokens: DataFrame, words: DataFrame, end_time, freq: str = "1 hou
     binned = rows.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bin"),
                           F.col("token").alias("word")).count()
     # dense grid: every word gets every bin from grid_start to grid_end (an explode, no join)
-    bins = F.sequence(F.lit(grid_start).cast("timestamp_ntz"), F.lit(grid_end).cast("timestamp_ntz"),
+    bins = F.sequence(ntz(grid_start), ntz(grid_end),
                       F.expr(f"INTERVAL {freq}"))
     cells = words.select("word").distinct().select("word", F.explode(bins).alias("bin"))
     if closed != "left":

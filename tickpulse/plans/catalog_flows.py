@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tickpulse.functions.timewin import ntz
 from tickpulse.operators import trending as tr
 from tickpulse.plans import oracle_text as ot
 from tickpulse.plans.catalog_relational import TREND_FIXTURES, TREND_UNION_SQL, trend_union
@@ -74,9 +75,9 @@ def q_agg_token_count_window(spark, sf):
     on a.word = b.word""", *TREND_FIXTURES, extra=TOK_CTE))
 def q_join_full_align_counts(spark, sf):
     t = _toks(spark, sf)
-    now = t.where((F.col("ts") >= F.lit(CUR)) & (F.col("ts") < F.lit(_END))).groupBy(F.col("token").alias("word")) \
+    now = t.where((F.col("ts") >= ntz(CUR)) & (F.col("ts") < ntz(_END))).groupBy(F.col("token").alias("word")) \
         .agg(F.count(F.lit(1)).alias("n_now"))
-    prev = t.where((F.col("ts") >= F.lit(PREV)) & (F.col("ts") < F.lit(CUR))).groupBy(F.col("token").alias("word")) \
+    prev = t.where((F.col("ts") >= ntz(PREV)) & (F.col("ts") < ntz(CUR))).groupBy(F.col("token").alias("word")) \
         .agg(F.count(F.lit(1)).alias("n_prev"))
     j = now.join(prev, "word", "full_outer")
     return j.select("word", F.coalesce("n_now", F.lit(0)).alias("count_today"),
@@ -190,7 +191,7 @@ def q_flow_trending_daily(spark, sf):
 def q_join_stopword_anti(spark, sf):
     from tickpulse.operators.joins import drop_stopwords
 
-    t = _toks(spark, sf).where((F.col("ts") >= F.lit(CUR)) & (F.col("ts") < F.lit(_END)))
+    t = _toks(spark, sf).where((F.col("ts") >= ntz(CUR)) & (F.col("ts") < ntz(_END)))
     sw = spark.createDataFrame([(w,) for w in TEST_STOPWORDS], "word string")
     return drop_stopwords(t, sw).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 

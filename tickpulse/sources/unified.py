@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickpulse.functions.text import strip, text_present
-from tickpulse.functions.timewin import epoch_seconds, epoch_seconds_rounded, to_epoch, ts_of_epoch
+from tickpulse.functions.timewin import epoch_seconds, epoch_seconds_rounded, ntz, to_epoch, ts_of_epoch
 
 POST_COLUMNS = ["platform", "post_id", "content", "timestamp"]
 
@@ -49,7 +49,7 @@ def trending_union(fireant, fb_post, fb_reply, zalo, yt_post, since) -> DataFram
     numbers), so they reach the scans.
     """
     since_ep = to_epoch(since)
-    since_ts = F.lit(since).cast("timestamp_ntz")
+    since_ts = ntz(since)
     a = fireant.where(F.col("date") >= since_ts).select("date", F.col("original_content").alias("content"))
     b = fb_post.where(F.col("timestamp") >= since_ep).select(ts_of_epoch("timestamp").alias("date"), "content")
     posts = fb_post.where(F.col("timestamp") >= since_ep).select("post_id", "timestamp")
@@ -70,8 +70,8 @@ def fireant_tagged(fireant: DataFrame, start, end) -> DataFrame:
     """
     tags = F.from_json("tagged_symbols", "array<struct<symbol:string>>")
     syms = F.filter(F.transform(tags, lambda x: x["symbol"]), lambda s: s.isNotNull())
-    rows = fireant.where((F.col("date") >= F.lit(start).cast("timestamp_ntz"))
-                         & (F.col("date") < F.lit(end).cast("timestamp_ntz")))
+    rows = fireant.where((F.col("date") >= ntz(start))
+                         & (F.col("date") < ntz(end)))
     rows = rows.where(F.size(F.coalesce(tags, F.array())) > 0)
     return rows.select(
         F.col("post_id").cast("string").alias("id"),
@@ -110,8 +110,8 @@ def rumor_messages(fireant, zalo, start, end) -> DataFrame:
 
 def yt_window(yt_post: DataFrame, start, end) -> DataFrame:
     """src_yt_window: posts with post_at in [start, end)."""
-    return yt_post.where((F.col("post_at") >= F.lit(start).cast("timestamp_ntz"))
-                         & (F.col("post_at") < F.lit(end).cast("timestamp_ntz")))
+    return yt_post.where((F.col("post_at") >= ntz(start))
+                         & (F.col("post_at") < ntz(end)))
 
 
 def ticker_dimension(df: DataFrame, col: str = "symbol") -> DataFrame:
