@@ -32,20 +32,25 @@ def short_post_rows(posts: DataFrame) -> DataFrame:
 
 
 def post_rows(posts: DataFrame, dictionary: TickerDictionary, scorer=None) -> DataFrame:
-    """The long-post branch of flow_process_posts: one row per found ticker with its important
-    sentence, or one row with the whole (NFC) text when there is none; sentiment of that text."""
-    p = posts.where(F.col("content").isNotNull() & (stripped_length("content") >= 10))
-    p = p.withColumn("content", nfc("content"))
-    p = p.withColumn("_codes", extract_codes(F.col("content"), dictionary))
-    pairs = F.when(F.size("_codes") > 0, important_sentences(split_sentences("content"), F.col("_codes")))
-    p = p.select("*", F.explode_outer(pairs).alias("_pair"))
-    p = p.withColumn("symbol", F.col("_pair.symbol"))
-    sentence = F.when(F.col("symbol").isNull(), F.col("content")).otherwise(F.col("_pair.sentence"))
-    p = p.withColumn("_sentence", sentence)
-    p = p.withColumn("_sent_text", F.when(F.col("_sentence") != "", F.col("_sentence")).otherwise(F.col("content")))
+    """flow_process_posts rows in one pass over the posts: a short post (under 10 stripped
+    characters) gives one neutral row with its raw content; a longer post gives one row per
+    found ticker with its important sentence, or one row with the whole (NFC) text when it
+    names none; sentiment is scored on that sentence, or on the whole text when it is ''."""
+    short = F.col("content").isNull() | (stripped_length("content") < 10)
+    p = posts.withColumn("_short", short)
+    p = p.withColumn("_text", F.when(F.col("_short"), F.col("content")).otherwise(nfc("content")))
+    p = p.withColumn("_codes", F.when(F.col("_short"), F.array().cast("array<string>"))
+                     .otherwise(extract_codes(F.col("_text"), dictionary)))
+    one = F.array(F.struct(F.lit(None).cast("string").alias("symbol"), F.col("_text").alias("sentence")))
+    items = F.when(F.col("_short") | (F.size("_codes") == 0), one) \
+        .otherwise(important_sentences(split_sentences("_text"), F.col("_codes")))
+    p = p.select("*", F.explode(items).alias("_pair"))
+    p = p.withColumn("symbol", F.col("_pair.symbol")).withColumn("_sentence", F.col("_pair.sentence"))
+    p = p.withColumn("_sent_text", F.when(F.col("_sentence") != "", F.col("_sentence")).otherwise(F.col("_text")))
     p = transform_sentiment(p, "_sent_text", scorer)
+    sentiment = F.when(F.col("_short"), F.lit(NEUTRAL)).otherwise(F.col("sentiment"))
     return p.select("timestamp", F.col("platform").alias("source"), F.lit(None).cast("string").alias("title"),
-                    "symbol", F.col("_sentence").alias("content"), "sentiment")
+                    "symbol", F.col("_sentence").alias("content"), sentiment.alias("sentiment"))
 
 
 def process_posts(posts: DataFrame, dictionary: TickerDictionary, done: DataFrame | None = None, scorer=None,
@@ -59,8 +64,7 @@ def process_posts(posts: DataFrame, dictionary: TickerDictionary, done: DataFram
         p = joins.anti_processed_content(p, done)
     if batch_size is not None:
         p = p.orderBy("timestamp", "post_id").limit(batch_size)
-    rows = short_post_rows(p).unionByName(post_rows(p, dictionary, scorer))
-    return rows.dropDuplicates(["timestamp", "symbol", "content", "source", "sentiment"])
+    return post_rows(p, dictionary, scorer).dropDuplicates(["timestamp", "symbol", "content", "source", "sentiment"])
 
 
 def short_reply_rows(replies: DataFrame) -> DataFrame:
@@ -125,10 +129,10 @@ def dedup_first_content(df: DataFrame) -> DataFrame:
     content is combined in every task before the shuffle.
     """
     rank = F.when(F.col("source") == "fireant_posts", 0).otherwise(1)
-    cols = [c for c in df.columns]
+    cols = [c for c in df.columns if c != "content"]  # the key travels once, not twice
     best = df.groupBy("content").agg(
         F.min_by(F.struct(*cols), F.struct(rank.alias("r"), F.col("date"), F.col("id"))).alias("row"))
-    return best.select("row.*")
+    return best.select(*[F.col(f"row.{c}").alias(c) if c != "content" else F.col("content") for c in df.columns])
 
 
 def rumors_for_load(detected: DataFrame) -> DataFrame:
