@@ -42,26 +42,32 @@ def _nonspace(s) -> Column:
     return F.regexp_extract_all(s, F.lit(r"(?U)\S+"), 0)
 
 
-def _base_score(s) -> Column:
-    """The code-independent part of fn_sentence_score: length band, keywords, digits."""
-    wc = F.size(_nonspace(s))
-    low = F.lower(s)
+def _base_score_of(s, low, wc) -> Column:
     score = F.when((wc >= 5) & (wc <= 25), F.lit(2.0)).when(wc > 25, F.lit(-1.0)).otherwise(F.lit(0.0))
     for kw in SENTENCE_KEYWORDS:
         score = score + F.when(F.contains(low, F.lit(kw)), F.lit(1.0)).otherwise(F.lit(0.0))
     return score + F.when(s.rlike(r"(?U)\d"), F.lit(0.5)).otherwise(F.lit(0.0))
 
 
+def _base_score(s) -> Column:
+    """The code-independent part of fn_sentence_score: length band, keywords, digits."""
+    return let(F.struct(F.lower(s).alias("low"), F.size(_nonspace(s)).alias("wc")),
+               lambda v: _base_score_of(s, v["low"], v["wc"]))
+
+
 def sentence_table(sentences) -> Column:
     """Per-sentence features computed once per post: the sentence, its upper-cased word runs
     (for whole-word, case-insensitive code matching), its code-independent score and its
-    first three words."""
-    return F.transform(_c(sentences), lambda s: F.struct(
-        s.alias("s"),
-        F.array_distinct(F.regexp_extract_all(F.upper(s), F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("up"),
-        _base_score(s).alias("base"),
-        F.slice(_nonspace(s), 1, 3).alias("first3"),
-    ))
+    first three words.  The lower-cased text and the word list are bound once per sentence."""
+    def row(s):
+        return let(F.struct(F.lower(s).alias("low"), _nonspace(s).alias("ws")), lambda v: F.struct(
+            s.alias("s"),
+            F.array_distinct(F.regexp_extract_all(F.upper(s), F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("up"),
+            _base_score_of(s, v["low"], F.size(v["ws"])).alias("base"),
+            F.slice(v["ws"], 1, 3).alias("first3"),
+        ))
+
+    return F.transform(_c(sentences), row)
 
 
 def sentence_score(sentence, code) -> Column:
@@ -165,16 +171,19 @@ def smart_summary(text, max_length: int = 100, cleaned: bool = False) -> Column:
 
             def scored(s, i0):
                 i = i0 + 1
-                wc = F.size(_nonspace(s))
-                low = F.lower(s)
-                kw = F.lit(False)
-                for k in SUMMARY_KEYWORDS:
-                    kw = kw | F.contains(low, F.lit(k))
-                sc = (F.when(i == 1, 3).when(i <= 3, 1).otherwise(0)
-                      + F.when(kw, 2).otherwise(0)
-                      + F.when(has_digit(s), 1).otherwise(0)
-                      + F.when((wc >= 8) & (wc <= 25), 1).otherwise(0))
-                return F.struct((-sc).alias("neg"), i.alias("i"), s.alias("s"), wc.alias("wc"))
+
+                def body(v):
+                    wc, low = v["wc"], v["low"]
+                    kw = F.lit(False)
+                    for k in SUMMARY_KEYWORDS:
+                        kw = kw | F.contains(low, F.lit(k))
+                    sc = (F.when(i == 1, 3).when(i <= 3, 1).otherwise(0)
+                          + F.when(kw, 2).otherwise(0)
+                          + F.when(has_digit(s), 1).otherwise(0)
+                          + F.when((wc >= 8) & (wc <= 25), 1).otherwise(0))
+                    return F.struct((-sc).alias("neg"), i.alias("i"), s.alias("s"), wc.alias("wc"))
+
+                return let(F.struct(F.size(_nonspace(s)).alias("wc"), F.lower(s).alias("low")), body)
 
             def with_cands(cands):
                 ordered = F.array_sort(cands)  # score desc, then position: a stable sort

@@ -138,7 +138,9 @@ def ensure_token_list(col) -> Column:
                     lambda t: t.isNotNull() & (t != ""))
 
 
-_KEEP_CLASS = "\\p{L}\\p{N}_\\s" + VIETNAMESE_ACCENTS + VIETNAMESE_ACCENTS_UPPER + ".,!?;:\\-"
+# kept characters: word characters, whitespace and . , ! ? ; : -  (the accented Vietnamese
+# letters the rule lists explicitly are all letters, i.e. already inside \p{L})
+_KEEP_CLASS = "\\p{L}\\p{N}_\\s.,!?;:\\-"
 
 
 def sentiment_clean(col) -> Column:
