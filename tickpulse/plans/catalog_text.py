@@ -325,14 +325,14 @@ def q_fn_json_symbols(spark, sf):
     return f.select("post_id", F.get_json_object("tagged_symbols", "$[0].symbol").alias("first_symbol"))
 
 
-@register("fn_argmax_softmax", """select vec_id, list_position(p, list_max(p)) - 1 as pred, list_max(p) as confidence
+@register("fn_argmax_softmax", """select vec_id, list_position(p, list_max(p)) - 1 as pred, round(list_max(p), 9) as confidence
         from (select vec_id, list_transform(e, lambda x: exp(x - list_max(e)) / list_sum(list_transform(e, lambda y: exp(y - list_max(e))))) as p
               from (select vec_id, list_transform(embedding[1:3], lambda v: cast(v as double)) as e from embeddings))""")
 def q_fn_argmax_softmax(spark, sf):
     from tickpulse.operators.training import softmax_argmax
 
     e = fx.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("logits"))
-    return softmax_argmax(e, "logits").select("vec_id", "pred", "confidence")
+    return softmax_argmax(e, "logits").select("vec_id", "pred", F.round("confidence", 9).alias("confidence"))
 
 
 @register("fn_floor_minute", """select event_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') as minute_ts from events""")

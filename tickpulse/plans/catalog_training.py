@@ -15,6 +15,11 @@ def _pred(spark, sf):
     return fx.predictions(spark, sf)
 
 
+def _r(df, cols, digits=9):
+    """Round order-dependent floating results (sums, averages, interpolations) for comparison."""
+    return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 @register("flow_prepare_training", with_fixtures("select text, label, stock_code, has_stock from labelled", "labelled"))
 def q_flow_prepare_training(spark, sf):
     return trn.normalise_labelled(fx.labelled(spark, sf).select("text", "label", "stock_code", "has_stock"))
@@ -64,12 +69,12 @@ def q_sample_n(spark, sf):
 @register("agg_confidence_histogram", with_fixtures(
     """select case when confidence = 1.0 then '1.0' when confidence >= 0.9 then '0.9-1.0' when confidence >= 0.8 then '0.8-0.9'
         when confidence >= 0.7 then '0.7-0.8' when confidence >= 0.6 then '0.6-0.7' when confidence >= 0.5 then '0.5-0.6'
-        else '<0.5' end as bucket, count(*) as n, count(*) / (select count(*) from predictions) * 100.0 as pct,
+        else '<0.5' end as bucket, count(*) as n, round(count(*) / (select count(*) from predictions) * 100.0, 9) as pct,
         (select min(confidence) from predictions) as min_confidence, (select max(confidence) from predictions) as max_confidence,
-        (select avg(confidence) from predictions) as avg_confidence
+        round((select avg(confidence) from predictions), 9) as avg_confidence
         from predictions group by 1""", "predictions"))
 def q_agg_confidence_histogram(spark, sf):
-    return trn.confidence_histogram(_pred(spark, sf))
+    return _r(trn.confidence_histogram(_pred(spark, sf)), ("pct", "avg_confidence"))
 
 
 @register("agg_symbol_sentiment_matrix", with_fixtures(
@@ -81,12 +86,13 @@ def q_agg_symbol_sentiment_matrix(spark, sf):
 
 
 @register("agg_confidence_describe", with_fixtures(
-    """select true_label, count(confidence) as count, avg(confidence) as mean, stddev_samp(confidence) as std,
-        min(confidence) as min, quantile_cont(confidence, 0.25) as p25, quantile_cont(confidence, 0.5) as p50,
-        quantile_cont(confidence, 0.75) as p75, max(confidence) as max from predictions group by true_label""",
+    """select true_label, count(confidence) as count, round(avg(confidence), 9) as mean,
+        round(stddev_samp(confidence), 9) as std, min(confidence) as min, round(quantile_cont(confidence, 0.25), 9) as p25,
+        round(quantile_cont(confidence, 0.5), 9) as p50, round(quantile_cont(confidence, 0.75), 9) as p75,
+        max(confidence) as max from predictions group by true_label""",
     "predictions"))
 def q_agg_confidence_describe(spark, sf):
-    return trn.confidence_describe(_pred(spark, sf))
+    return _r(trn.confidence_describe(_pred(spark, sf)), ("mean", "std", "p25", "p50", "p75"))
 
 
 @register("agg_confusion_matrix", with_fixtures(
@@ -110,24 +116,25 @@ _PRF1 = """select *, case when precision + recall > 0 then 2 * precision * recal
 
 
 @register("agg_classification_report", with_fixtures(
-    """select label, precision, recall, f1_score, support from prf1
+    """select label, round(precision, 9) as precision, round(recall, 9) as recall, round(f1_score, 9) as f1_score, support
+    from (select label, precision, recall, f1_score, support from prf1
     union all select 'accuracy', null, null, (select count(*) filter (where true_label = pred_label) from predictions)
         / (select count(*) from predictions), (select count(*) from predictions)
     union all select 'macro avg', avg(precision), avg(recall), avg(f1_score), sum(support) from prf1
     union all select 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-        sum(f1_score * support) / sum(support), sum(support) from prf1""",
+        sum(f1_score * support) / sum(support), sum(support) from prf1)""",
     "predictions", extra=[("pc", _PC), ("prf", _PRF), ("prf1", _PRF1)]))
 def q_agg_classification_report(spark, sf):
-    return trn.classification_report(_pred(spark, sf))
+    return _r(trn.classification_report(_pred(spark, sf)), ("precision", "recall", "f1_score"))
 
 
 @register("agg_weighted_metrics", with_fixtures(
-    """select (select count(*) filter (where true_label = pred_label) from predictions) / sum(support) as accuracy,
-        sum(precision * support) / sum(support) as precision, sum(recall * support) / sum(support) as recall,
-        sum(f1_score * support) / sum(support) as f1 from prf1""",
+    """select round((select count(*) filter (where true_label = pred_label) from predictions) / sum(support), 9) as accuracy,
+        round(sum(precision * support) / sum(support), 9) as precision, round(sum(recall * support) / sum(support), 9) as recall,
+        round(sum(f1_score * support) / sum(support), 9) as f1 from prf1""",
     "predictions", extra=[("pc", _PC), ("prf", _PRF), ("prf1", _PRF1)]))
 def q_agg_weighted_metrics(spark, sf):
-    return trn.weighted_metrics(_pred(spark, sf))
+    return _r(trn.weighted_metrics(_pred(spark, sf)), ("accuracy", "precision", "recall", "f1"))
 
 
 def _labelled_split(spark, sf):
