@@ -21,9 +21,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickpulse.constants import NEGATIVE, NEUTRAL, POSITIVE
+from tickpulse.functions.timewin import epoch_seconds, ts_of_epoch
 from tickpulse.session import scratch_path
 
 
+def _event_time(col: str = "ts"):
+    """The absolute instant of a UTC wall-clock column (independent of the session zone)."""
+    return F.timestamp_seconds(epoch_seconds(col))
+
+
+def _wall_clock(col):
+    """A window bound (an instant) back to UTC wall clock."""
+    return ts_of_epoch(F.unix_seconds(col))
+
+
 def stage_as_files(df: DataFrame, name: str, day_col: str) -> tuple[str, object]:
     """Write a table as one folder per day (files a stream will discover); returns (path, schema)."""
     path = scratch_path(df.sparkSession, name)
@@ -57,7 +68,7 @@ def incremental_posts(posts: DataFrame, dictionary, watermark: str = "30 days",
 
     spark = posts.sparkSession
     path, schema = stage_as_files(posts, "posts-stream", "ts")
-    s = _read_stream(spark, path, schema).withColumn("event_ts", F.col("ts").cast("timestamp"))
+    s = _read_stream(spark, path, schema).withColumn("event_ts", _event_time("ts"))
     s = s.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(["platform", "content"])
     out = _run_batches(s, "posts-stream", lambda b: process_posts(b.drop("event_ts", "day"), dictionary, scorer=scorer))
     return spark.read.parquet(out).drop("batch")
@@ -79,29 +90,27 @@ def sliding_tokens(messages: DataFrame, ts_col: str, text_col: str, window: str
     spark = messages.sparkSession
     path, schema = stage_as_files(messages.select(F.col(ts_col).alias("ts"), F.col(text_col).alias("text")),
                                   "tokens-stream", "ts")
-    s = _read_stream(spark, path, schema).withColumn("event_ts", F.col("ts").cast("timestamp"))
+    s = _read_stream(spark, path, schema).withColumn("event_ts", _event_time("ts"))
     toks = s.select("event_ts", F.explode(tokenize(F.col("text"), stopwords)).alias("token"))
     agg = toks.withWatermark("event_ts", watermark).groupBy(F.window("event_ts", window, slide), "token") \
         .agg(F.count(F.lit(1)).alias("n"))
-    flat = lambda b: b.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                              F.col("window.end").cast("timestamp_ntz").alias("window_end"), "token", "n")
+    flat = lambda b: b.select(_wall_clock(F.col("window.start")).alias("window_start"),
+                              _wall_clock(F.col("window.end")).alias("window_end"), "token", "n")
     out = _run_batches(agg, "tokens-stream", flat, mode="update")
     return _latest(out, ["window_start", "token"])
 
 
 def tumbling_stock_sentiment(all_content: DataFrame, offset: str = "8 hours", watermark: str = "30 days") -> DataFrame:
     """st_tumbling_stock_sentiment: per-symbol sentiment counts per day running 08:00 to 08:00."""
-    from tickpulse.functions.timewin import ts_of_epoch
-
     spark = all_content.sparkSession
     rows = all_content.where(F.col("symbol").isNotNull()).withColumn("ts", ts_of_epoch("timestamp"))
     path, schema = stage_as_files(rows.select("ts", "symbol", "sentiment"), "sentiment-stream", "ts")
-    s = _read_stream(spark, path, schema).withColumn("event_ts", F.col("ts").cast("timestamp"))
+    s = _read_stream(spark, path, schema).withColumn("event_ts", _event_time("ts"))
     st = F.col("sentiment")
     agg = s.withWatermark("event_ts", watermark).groupBy(F.window("event_ts", "1 day", "1 day", offset), "symbol").agg(
         F.count(F.when(st == POSITIVE, 1)).alias("positive"), F.count(F.when(st == NEGATIVE, 1)).alias("negative"),
         F.count(F.when(st == NEUTRAL, 1)).alias("neutral"), F.count(F.lit(1)).alias("total"))
-    flat = lambda b: b.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+    flat = lambda b: b.select(_wall_clock(F.col("window.start")).alias("window_start"),
                               "symbol", "positive", "negative", "neutral", "total")
     out = _run_batches(agg, "sentiment-stream", flat, mode="update")
     return _latest(out, ["window_start", "symbol"])

@@ -53,6 +53,7 @@ def canon(cols, rows):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--tz", default=None, help="session time zone to run Spark with (robustness check)")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     import duckdb
@@ -61,6 +62,8 @@ def main():
 
     spark = build_session(cpus=8)
     spark.sparkContext.setLogLevel("ERROR")
+    if a.tz:
+        spark.conf.set("spark.sql.session.timeZone", a.tz)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from read_parquet('{a.sf}/{t}.parquet')")
