@@ -211,7 +211,16 @@ def q_agg_token_bins(spark, sf):
     return tr.token_bins(toks, top, END)
 
 
-@register("agg_token_bins_right_closed", None)
+_BINS_RC_SQL = f"""select b.bin, w.word, coalesce(c.n, 0) as count
+    from (select word from (select * from sc order by score desc, word limit 10)) w
+    cross join (select unnest(generate_series({_ts(PREV + dt.timedelta(seconds=1))}, {_ts(_END)}, interval 1 hour)) as bin) b
+    left join (select date_trunc('hour', ts) as bin_key, token as word, count(*) as n from tok
+               where ts > {_ts(PREV)} and ts <= {_ts(_END)} group by 1, 2) c
+      on c.bin_key = date_trunc('hour', b.bin) and c.word = w.word"""
+
+
+@register("agg_token_bins_right_closed", with_fixtures(_BINS_RC_SQL, *TREND_FIXTURES,
+                                                       extra=TOK_CTE + [("cnt", CNT_SQL), ("sc", _scored_sql(4))]))
 def q_agg_token_bins_right_closed(spark, sf):
     toks = _toks(spark, sf)
     top = tr.scored(tr.window_counts(toks, END), 4).orderBy(F.desc("score"), "word").limit(10).select("word")

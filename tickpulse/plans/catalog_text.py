@@ -109,7 +109,10 @@ def q_join_ticker_dictionary(spark, sf):
 _CANDS_SQL = "regexp_extract_all(text, '(^|[^\\p{L}\\p{N}_])([A-Z][a-z]{1,3})([^\\p{L}\\p{N}_]|$)', 2)"
 
 
-@register("fn_candidate_gate", None)
+_GATE_SQL = ot.candidate_gate("text", ot.title_words("text"), DICT.symbols)
+
+
+@register("fn_candidate_gate", f"select doc_id, array_to_string({_GATE_SQL}, ',') as codes from {FLAGGED_DOCS}")
 def q_fn_candidate_gate(spark, sf):
     """Gate applied to title-case words proposed as entities (stand-in for a NER column)."""
     d = docs(spark, sf)
@@ -118,7 +121,9 @@ def q_fn_candidate_gate(spark, sf):
     return d.select("doc_id", F.array_join(gated, ",").alias("codes"))
 
 
-@register("set_union_codes", None)
+@register("set_union_codes", f"""select doc_id, array_to_string(case when length({ot.strip('text')}) >= 5 then
+        list_sort(list_distinct(list_concat({ot.rule_codes('text', DICT.symbols)}, {_GATE_SQL}))) else [] end, ',') as codes
+        from {FLAGGED_DOCS}""")
 def q_set_union_codes(spark, sf):
     d = docs(spark, sf)
     cands = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-z]{1,3}(?![\p{L}\p{N}_])"), 0)

@@ -8,7 +8,7 @@ instead, which state the same rules.
 from __future__ import annotations
 
 from tickpulse.constants import (COMMON_WORDS, CONTEXT_VETO_WORDS, FALLBACK_STOPWORDS, SENTENCE_KEYWORDS,
-                                 SUMMARY_KEYWORDS)
+                                 SUMMARY_KEYWORDS, VIETNAMESE_ACCENTS)
 
 W = r"\p{L}\p{N}_"
 
@@ -88,6 +88,24 @@ def rule_codes(x: str, tickers: list[str]) -> str:
     return f"(case when length({strip(x)}) >= 5 then {found} else [] end)"
 
 
+def title_words(x: str) -> str:
+    """Whole words of the form [A-Z][a-z]{1,3} (the stand-in entity candidates), in text order."""
+    return f"list_filter(regexp_extract_all({x}, '[{W}]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{1,3}}'))"
+
+
+def candidate_gate(x: str, cands: str, tickers: list[str]) -> str:
+    """Sorted distinct gated candidates; needs the ``common_flags`` columns."""
+    common = [t for t in tickers if t in set(COMMON_WORDS)]
+    common_ok = " or ".join(f"(u = {q(c)} and ok_{c.lower()})" for c in common) or "false"
+    runs = f"list_distinct(regexp_extract_all(upper({x}), '[{W}]+'))"
+    keep = (f"not regexp_matches(lower(u), '[{VIETNAMESE_ACCENTS}]') and length(u) > 2 and length(u) <= 4 "
+            f"and regexp_full_match(u, '\\p{{L}}+') and list_contains({lst(tickers)}, u) and "
+            f"(case when list_contains({lst(common)}, u) then {common_ok} else list_contains({runs}, u) end)")
+    ups = f"list_transform(coalesce({cands}, []), lambda e: upper({strip('e')}))"
+    found = f"list_sort(list_distinct(list_filter({ups}, lambda u: {keep})))"
+    return f"(case when length({x}) >= 10 then {found} else [] end)"
+
+
 def code_regex(code: str) -> str:
     return f"'(?i)(^|[^{W}])' || {code} || '([^{W}]|$)'"
 
