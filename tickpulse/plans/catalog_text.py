@@ -211,7 +211,8 @@ def q_fn_truncate(spark, sf):
     return docs(spark, sf).select("doc_id", fs.truncate_text("text", 100).alias("truncated"))
 
 
-@register("fn_split_by_capital", None)
+@register("fn_split_by_capital", f"""select doc_id, len(parts) as n_parts, array_to_string(parts, ' | ') as parts
+        from {ot.split_by_capital('documents', 'doc_id', 'text')}""")
 def q_fn_split_by_capital(spark, sf):
     s = fs.split_by_capital("text")
     return docs(spark, sf).select("doc_id", F.size(s).alias("n_parts"), F.array_join(s, " | ").alias("parts"))

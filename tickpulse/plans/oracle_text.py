@@ -88,6 +88,17 @@ def rule_codes(x: str, tickers: list[str]) -> str:
     return f"(case when length({strip(x)}) >= 5 then {found} else [] end)"
 
 
+def split_by_capital(src: str, key: str, x: str) -> str:
+    """(key, parts): word runs cut before every word that starts upper case and is not all
+    [A-Z0-9]{2,}.  The word list and the opening positions are computed once per row."""
+    opens = ("list_filter(range(1, len(ws) + 1), lambda i: i = 1 or (regexp_matches(ws[i], '^\\p{Lu}') "
+             "and not regexp_full_match(ws[i], '[A-Z0-9]{2,}')))")
+    parts = ("list_transform(range(1, len(op) + 1), lambda k: "
+             "array_to_string(list_slice(ws, op[k], coalesce(op[k + 1] - 1, len(ws))), ' '))")
+    return (f"(select {key}, {parts} as parts from (select {key}, ws, {opens} as op from "
+            f"(select {key}, {words(x)} as ws from {src})))")
+
+
 def title_words(x: str) -> str:
     """Whole words of the form [A-Z][a-z]{1,3} (the stand-in entity candidates), in text order."""
     return f"list_filter(regexp_extract_all({x}, '[{W}]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{1,3}}'))"
