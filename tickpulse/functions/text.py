@@ -114,27 +114,37 @@ def nfc(col) -> Column:
     return F.when(needs, _nfc_udf(F.when(needs, c))).otherwise(c)
 
 
+def raw_tokens(col) -> Column:
+    """lower -> drop links -> maximal word runs that hold at least one non-digit (all-digit runs
+    are never extracted).  NULL text gives NULL."""
+    low = F.regexp_replace(F.lower(_c(col)), URL_ANY, "")
+    return F.regexp_extract_all(low, F.lit(TOKEN_WITH_LETTER), 0)
+
+
+def keep_token(t: Column, stopwords: list[str] | None = None) -> Column:
+    """The tokenizer's per-token rule: longer than one character and not a stopword."""
+    stop = FALLBACK_STOPWORDS if stopwords is None else stopwords
+    return (F.length(t) > 1) & ~t.isin(*stop) if stop else (F.length(t) > 1)
+
+
 def tokenize(col, stopwords: list[str] | None = None) -> Column:
     """fn_tokenize: lower -> drop links -> word runs -> drop stopwords, 1-char and all-digit tokens.
 
     NULL text gives an empty array.
     """
-    stop = FALLBACK_STOPWORDS if stopwords is None else stopwords
-    low = F.regexp_replace(F.lower(_c(col)), URL_ANY, "")
-    # maximal runs that hold at least one non-digit: all-digit runs are never extracted
-    toks = F.regexp_extract_all(low, F.lit(TOKEN_WITH_LETTER), 0)
-    kept = F.filter(
-        toks,
-        lambda t: (F.length(t) > 1) & ~t.isin(*stop) if stop else (F.length(t) > 1),
-    )
+    kept = F.filter(raw_tokens(col), lambda t: keep_token(t, stopwords))
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
+def clean_token(t: Column) -> Column:
+    """fn_ensure_token_list's per-token trim.  Regex tokens can hold only one whitespace
+    character (U+1680, inside the letter range), so only those are stripped."""
+    return F.when(F.contains(t, F.lit("\u1680")), strip(t)).otherwise(t)
+
+
 def ensure_token_list(col) -> Column:
-    """fn_ensure_token_list: trim each token, drop NULL and blank ones.  Regex tokens can hold
-    only one whitespace character (U+1680, inside the letter range), so only those are stripped."""
-    return F.filter(F.transform(F.coalesce(_c(col), F.array().cast("array<string>")),
-                                lambda t: F.when(F.contains(t, F.lit("\u1680")), strip(t)).otherwise(t)),
+    """fn_ensure_token_list: trim each token, drop NULL and blank ones."""
+    return F.filter(F.transform(F.coalesce(_c(col), F.array().cast("array<string>")), clean_token),
                     lambda t: t.isNotNull() & (t != ""))
 
 

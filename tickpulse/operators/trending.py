@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickpulse.constants import TRENDING_ALPHA, TRENDING_BETA, TRENDING_ZONE
-from tickpulse.functions.text import ensure_token_list, tokenize
+from tickpulse.functions.text import clean_token, keep_token, raw_tokens
 from tickpulse.functions.timewin import as_datetime, ntz, to_zone
 
 
@@ -27,8 +27,13 @@ def exploded_tokens(df: DataFrame, text_col: str = "content", ts_col: str = "dat
     Timestamps are converted from UTC to ``zone`` wall clock; rows whose time is NULL are dropped.
     """
     ts = to_zone(ts_col, zone) if zone else F.col(ts_col).cast("timestamp_ntz")
-    rows = df.select(ts.alias("ts"), ensure_token_list(tokenize(F.col(text_col), stopwords)).alias("tokens"))
-    return rows.where(F.col("ts").isNotNull()).select("ts", F.explode("tokens").alias("token"))
+    # The same rules as ensure_token_list(tokenize(...)), applied after the explode as plain row
+    # predicates: they stay inside whole-stage codegen, where array lambdas would be interpreted
+    # once per token.
+    rows = df.select(ts.alias("ts"), F.explode(raw_tokens(F.col(text_col))).alias("raw"))
+    rows = rows.where(F.col("ts").isNotNull() & keep_token(F.col("raw"), stopwords))
+    rows = rows.select("ts", clean_token(F.col("raw")).alias("token"))
+    return rows.where(F.col("token") != "")
 
 
 def window_bounds(end_time, align: str | None = "hour"):
