@@ -137,18 +137,29 @@ def daily_counts(tokens: DataFrame) -> DataFrame:
 
 
 def trending_daily(df: DataFrame, top_n: int = 20, alpha=TRENDING_ALPHA, beta=TRENDING_BETA,
-                   zone: str | None = TRENDING_ZONE, stopwords=None) -> DataFrame:
+                   zone: str | None = TRENDING_ZONE, stopwords=None, text_col: str = "content",
+                   ts_col: str = "date") -> DataFrame:
     """flow_trending_daily: today = latest date present, yesterday = the previous present date
-    (win_prev_day_lag); floor max//10; three top-N lists."""
-    toks = exploded_tokens(df, zone=zone, stopwords=stopwords)
-    daily = daily_counts(toks)
-    dates = daily.select("date").distinct()
+    (win_prev_day_lag); floor max//10; three top-N lists.
+
+    A date is present when one of its texts yields a kept token.  The two latest such dates
+    are found first (one row per date crosses the shuffle), and only the texts of those two
+    dates are exploded into tokens and counted: the token shuffle covers two days, not the
+    whole history.
+    """
+    ts = to_zone(ts_col, zone) if zone else F.col(ts_col).cast("timestamp_ntz")
+    texts = df.select(F.to_date(ts).alias("date"), F.col(text_col).alias("text")).where(F.col("date").isNotNull())
+    has_token = F.exists(raw_tokens(F.col("text")),
+                         lambda t: keep_token(t, stopwords) & (clean_token(t) != ""))
+    dates = texts.where(has_token).select("date").distinct()
     w = Window.orderBy(F.desc("date"))
     last2 = dates.orderBy(F.desc("date")).limit(2).withColumn("r", F.row_number().over(w))
-    j = daily.join(F.broadcast(last2), "date")
-    counts = j.groupBy("word").agg(
-        F.sum(F.when(F.col("r") == 1, F.col("count")).otherwise(0)).alias("count_today"),
-        F.sum(F.when(F.col("r") == 2, F.col("count")).otherwise(0)).alias("count_prev"),
+    recent = texts.join(F.broadcast(last2), "date")  # two rows: a bounded broadcast
+    raw = recent.select("r", F.explode(raw_tokens(F.col("text"))).alias("raw"))
+    toks = raw.where(keep_token(F.col("raw"), stopwords)).select("r", clean_token(F.col("raw")).alias("word"))
+    counts = toks.where(F.col("word") != "").groupBy("word").agg(
+        F.count(F.when(F.col("r") == 1, 1)).alias("count_today"),
+        F.count(F.when(F.col("r") == 2, 1)).alias("count_prev"),
     )
     return top_lists(scored(counts, 10, alpha, beta).drop("count_prev"), top_n)
 
