@@ -37,7 +37,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     total = F.sum("source_size").over(Window.partitionBy())
     level = (total - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     leveled = per.withColumn("weight", weight).withColumn("limit", limit).withColumn("level", level)
-    water = F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(Window.partitionBy())
+    water = F.max(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(Window.partitionBy())
     target = F.coalesce(F.least("limit", F.col("weight") * water), F.col("limit"))
     return written(leveled.withColumn("target", F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0))).select("source", "docs", "source_size", "target"), "targets")
 
@@ -121,8 +121,8 @@ def mix(
     place = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     rated = (
         base.join(facts, _same_source("source", "f_source"))
-        .drop("f_source", "mean", "a", "b")
         .withColumn("rate", rate)
+        .drop("f_source", "mean", "a", "b")
         .withColumn("whole", F.floor("rate"))
         .withColumn("part", F.col("rate") - F.col("whole"))
         .withColumn("q", F.when(F.col("part") > 0, place / F.col("part")))

@@ -36,7 +36,31 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
-@query()
+@query(
+    r"""
+    WITH b AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    s AS (SELECT source, sum(size)::DOUBLE AS total, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM b GROUP BY source),
+    l AS (
+      SELECT *, (sum(total) OVER () - coalesce(sum(3 * total) OVER (ORDER BY 3 * total / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(weight) OVER (ORDER BY 3 * total / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+      FROM s),
+    t AS (
+      SELECT source, total, least(3 * total, weight * (SELECT max(level) FROM l WHERE level * weight <= 3 * total)) AS target FROM l),
+    r AS (
+      SELECT doc_id, b.source, size, total, target, CASE WHEN size > 0 AND target > 0 THEN round(least(3, target / total), 7) ELSE 0 END AS rate,
+             ('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS place
+      FROM b JOIN t ON t.source IS NOT DISTINCT FROM b.source),
+    q AS (
+      SELECT *, floor(rate) AS whole, rate - floor(rate) AS part, CASE WHEN rate > floor(rate) THEN place / (rate - floor(rate)) END AS q FROM r),
+    o AS (
+      SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS owed,
+             coalesce(sum(size) OVER (PARTITION BY source, part > 0 ORDER BY q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM q)
+    SELECT doc_id, size, total::BIGINT AS source_size, target,
+           (size * (whole + CASE WHEN part > 0 AND before + size / 2 <= owed THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM o
+    """
+)
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,7 +93,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
     FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
-    """.replace("\\", "\")
+    """
 )
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
