@@ -152,3 +152,21 @@ class PieceTable:
         n = size[place]
         before = np.cumsum(n) - n
         return self.ids[np.repeat(start[place] - before, n) + np.arange(int(n.sum()))], n
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself where printable, else the next from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class PieceModel:
+    """Merges of single pre-tokens by the tokenizers library's model."""
+
+    def __init__(self, tokenizer):
+        self.model, self.alphabet = tokenizer.model, byte_alphabet()
+
+    def __call__(self, words: list[str]) -> list[list[int]]:
+        merge, alphabet = self.model.tokenize, self.alphabet
+        return [[t.id for t in merge(w.encode().decode("latin-1").translate(alphabet))] for w in words]

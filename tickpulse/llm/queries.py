@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,10 @@ from tickpulse.llm.exact_dedup import exact_dedup
 from tickpulse.llm.histogram_sort import shard
 from tickpulse.llm.minhash_join import near_duplicates
 from tickpulse.llm.mixing import mix
+from tickpulse.llm.scratch import fresh_path
 from tickpulse.llm.substring_sa import remove_repeats
+from tickpulse.llm.token_files import read_tokens, write_tokens
+from tickpulse.llm.word_bpe import compile_lexicon, encode_decode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +115,17 @@ def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query()
+def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "token-files")
+    manifest = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return read_tokens(spark, folder, manifest, with_ids=False)
+
+
+@query()
+def op5_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return encode_decode(docs, tokenizer, compile_lexicon(docs, tokenizer), full=False)
