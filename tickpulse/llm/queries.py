@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickpulse.llm.exact_dedup import exact_dedup
 from tickpulse.llm.histogram_sort import shard
+from tickpulse.llm.line_dedup import dedup_units
 from tickpulse.llm.minhash_join import near_duplicates
 from tickpulse.llm.mixing import mix
 from tickpulse.llm.scratch import fresh_path
@@ -129,3 +130,25 @@ def op5_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return encode_decode(docs, tokenizer, compile_lexicon(docs, tokenizer), full=False)
+
+
+@query(
+    r"""
+    WITH u AS (
+      SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS units FROM documents),
+    x AS (SELECT doc_id, len(units) AS n_units, unnest(units) AS unit, unnest(range(len(units))) AS pos FROM u),
+    n AS (
+      SELECT *, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words,
+             coalesce(sum(strlen(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+      FROM x),
+    r AS (SELECT *, len(words) >= 5 AND row_number() OVER (PARTITION BY words ORDER BY doc_id, pos) > 1 AS gone FROM n)
+    SELECT doc_id, n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(strlen(unit)) FILTER (gone), 0)::BIGINT AS removed_bytes,
+           coalesce(string_agg(start::BIGINT || '-' || (start + strlen(unit))::BIGINT, ',' ORDER BY pos) FILTER (gone), '') AS removed_spans,
+           sha256(coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM r GROUP BY doc_id, n_units
+    """
+)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_units(table(spark, sf_dir, "documents"), with_text=False)
+    spans = F.concat_ws(",", F.transform(F.coalesce("spans", F.array()), lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))))
+    return out.select("doc_id", "n_units", "n_removed", "removed_bytes", spans.alias("removed_spans"), "kept_sha256")
