@@ -13,6 +13,7 @@ from tickpulse.llm.histogram_sort import shard
 from tickpulse.llm.line_dedup import dedup_units
 from tickpulse.llm.minhash_join import near_duplicates
 from tickpulse.llm.mixing import mix
+from tickpulse.llm.quality import score, train
 from tickpulse.llm.scratch import fresh_path
 from tickpulse.llm.substring_sa import remove_repeats
 from tickpulse.llm.token_files import read_tokens, write_tokens
@@ -152,3 +153,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_units(table(spark, sf_dir, "documents"), with_text=False)
     spans = F.concat_ws(",", F.transform(F.coalesce("spans", F.array()), lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))))
     return out.select("doc_id", "n_units", "n_removed", "removed_bytes", spans.alias("removed_spans"), "kept_sha256")
+
+
+@query()
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
