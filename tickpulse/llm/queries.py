@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickpulse.llm.exact_dedup import exact_dedup
 from tickpulse.llm.histogram_sort import shard
+from tickpulse.llm.learned_partitions import search
 from tickpulse.llm.line_dedup import dedup_units
 from tickpulse.llm.minhash_join import near_duplicates
 from tickpulse.llm.mixing import mix
@@ -159,3 +160,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
