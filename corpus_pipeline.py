@@ -1,16 +1,63 @@
-"""Documents to training tokens: the stages in order, each on all that the one before it kept."""
+"""Documents to training tokens: the stages in order, each on all that the one before it kept.
+
+Every stage works on whole tables through the operators in ``tickpulse.llm``.  The
+first four return the columns of ``documents``; the last returns the token ids.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-#: Model scoring and tokenizers are not expressible in SQL; tests/llm compares with a brute-force version.
+from tickpulse.llm.exact_dedup import keep_last
+from tickpulse.llm.minhash_join import keep_one
+from tickpulse.llm.mixing import take_mix
+from tickpulse.llm.quality import keep_good, train
+from tickpulse.llm.scratch import written
+from tickpulse.llm.word_bpe import compile_lexicon, encode_decode
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine does not reject (score of 0.3 or more)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return keep_good(docs, train(docs, labels))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lowered) the document with the largest id."""
+    return keep_last(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 or more over five-word shingles."""
+    return keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; a document that it takes twice is two rows."""
+    return take_mix(docs)
+
+
+def encode_words(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` of every row of the mix."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return encode_decode(docs, tokenizer, compile_lexicon(docs, tokenizer), with_text=False)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("transducer_bpe", encode_words),
+]
+#: The learned score and the tokenizer have no SQL form; tests/llm/test_pipeline.py compares with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages on ``documents``; what each stage keeps is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

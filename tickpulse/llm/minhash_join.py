@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tickpulse.llm import rolling
 from tickpulse.llm.components import connected_components
+from tickpulse.llm.rows import chosen_rows
 from tickpulse.llm.scratch import written
 
 _BATCH_BYTES = 1 << 20
@@ -114,7 +115,7 @@ def _classes(rows: DataFrame) -> DataFrame:
     return rows.where("n_shingles > 0").groupBy("node").agg(
         F.first("n_shingles").alias("n"),
         F.min("doc_id").alias("low_id"),
-        F.min(F.struct("doc_id", "raw")).alias("rep"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("rep"),
         F.first("sig").alias("sig"),
     )
 
@@ -197,6 +198,18 @@ def near_duplicates(
     none is kept.  Rows that repeat an id are linked by their texts only; all rows with the kept id are kept.  An empty
     table gives no rows.
     """
+    found = _linked(docs, id_col, text_col, words, percent, coords, need, few).drop("raw", "stays")
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each group of linked texts (the smallest id; without ids
+    the first by a hash of the text), and every text without words."""
+    marks = _linked(docs, id_col, text_col, words, percent, 32, 14, 32).where("stays").select("doc_id", "raw").distinct()
+    return chosen_rows(docs, written(marks, "kept"), id_col, text_col)
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, coords: int, need: int, few: int) -> DataFrame:
     rows = written(signatures(docs, id_col, text_col, words, coords), "signatures")
     classes = written(_classes(rows), "classes")
     posts = written(_postings(classes, coords, need), "postings")
@@ -244,10 +257,11 @@ def near_duplicates(
         live = live.join(lists.where(~done).select("token"), "token", "left_semi")
         step += 1
 
-    named = classes.select(F.col("node").alias("c_node"), "low_id")
+    named = classes.select(F.col("node").alias("c_node"), "low_id", "rep")
     named = named.withColumn("label", F.col("c_node")) if labels is None else named.join(labels, F.col("c_node") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c_node")).drop("node")
-    lowest = named.groupBy("label").agg(F.min("low_id").alias("component_id"))
-    named = written(named.join(lowest, "label").select("c_node", "component_id"), "named")
-    out = rows.select("doc_id", "n_shingles", "node").join(named, F.col("node") == F.col("c_node"), "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    lowest = named.groupBy("label").agg(F.min("low_id").alias("component_id"), F.min("rep").alias("stays"))
+    named = written(named.join(lowest, "label").select("c_node", "component_id", "stays"), "named")
+    out = rows.select("doc_id", "raw", "n_shingles", "node").join(named, F.col("node") == F.col("c_node"), "left")
+    alone = F.col("node").isNull()
+    stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("raw") == F.col("stays.raw"))
+    return out.select("doc_id", "raw", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | stays).alias("stays"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickpulse.llm.rows import chosen_rows, text_hash
 from tickpulse.llm.scratch import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -97,9 +98,9 @@ def mix(
     weights: tuple[int, ...] = (1, 2, 3),
     most: float = 3.0,
 ) -> DataFrame:
-    """Copies of each document in the mix: ``doc_id, source, size, source_size, target, rate, copies, taken``.
+    """Copies of each document in the mix: ``doc_id, raw, source, size, source_size, target, rate, copies, taken``.
 
-    ``size`` counts the words of the text (null: 0), ``taken`` is ``copies * size``.  Documents without words get no copies.
+    ``raw`` is a hash of the text, ``size`` counts its words (null: 0), ``taken`` is ``copies * size``.  Documents without words get no copies.
     A null source is a source of its own; an empty table gives no rows; other columns are ignored.  The choice of the
     fractions hashes the id, so reruns agree; rows that repeat an id share its place in that order and differ only
     in the last bucket, where any of the equal rows may be the one that is taken.
@@ -107,6 +108,7 @@ def mix(
     text = F.col(text_col).cast("string")
     base = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
+        text_hash(text_col).alias("raw"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
@@ -150,8 +152,17 @@ def mix(
     placed = rated.join(last, _same_source("source", "l_source"), "left").join(edge, _same_source("source", "e_source"), "left").drop("l_source", "e_source")
     at_edge = F.col("bucket").isNotNull() & F.col("edge").isNotNull() & (F.col("bucket") == F.col("edge"))
     inner = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    final = ["doc_id", "source", "size", "source_size", "target", "rate"]
+    final = ["doc_id", "raw", "source", "size", "source_size", "target", "rate"]
     sure = placed.where(~at_edge).select(*final, (F.col("whole") + F.when(F.col("bucket") <= F.col("last"), 1).otherwise(0)).alias("copies"))
     extra = F.when(F.coalesce(F.sum("size").over(inner), F.lit(0)) + F.col("size") / 2 <= F.col("left_over"), 1).otherwise(0)
     edged = placed.where(at_edge).select(*final, (F.col("whole") + extra).alias("copies"))
     return sure.unionByName(edged).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of the mix with all their columns, each as often as it is taken; rows with no copies are left out.
+
+    Rows that repeat id and text share their copies.
+    """
+    marks = mix(docs, id_col, text_col, source_col, **options).where("copies > 0").groupBy("doc_id", "raw").agg(F.sum("copies").alias("copies"))
+    return chosen_rows(docs, written(marks, "mix"), id_col, text_col, "copies")

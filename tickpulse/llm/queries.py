@@ -131,7 +131,7 @@ def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return encode_decode(docs, tokenizer, compile_lexicon(docs, tokenizer), full=False)
+    return encode_decode(docs, tokenizer, compile_lexicon(docs, tokenizer), with_ids=False, with_text=False)
 
 
 @query(

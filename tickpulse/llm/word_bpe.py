@@ -166,8 +166,8 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", wor
     return path
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, lexicon: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if ``full``, ``ids`` and ``decoded`` of every row.
+def encode_decode(docs: DataFrame, tokenizer: str, lexicon: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = True) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` and ``decoded`` of every row.
 
     ``ids_sha256`` is that of the ids as little-endian unsigned 32-bit integers.  Null texts are empty; null ids stay null; rows
     that repeat give rows that repeat; other columns are ignored; an empty table gives no rows.
@@ -183,12 +183,16 @@ def encode_decode(docs: DataFrame, tokenizer: str, lexicon: str, id_col: str = "
                 n.append(len(x))
                 a.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
                 d.append(hashlib.sha256(decoded).hexdigest())
-                if full:
-                    ids.append(x.tolist())
+                if with_ids:
+                    ids.append(x.astype(np.int32))
+                if with_text:
                     texts.append(decoded.decode())
             out = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(d, pa.string())}
-            if full:
-                out |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
+            if with_ids:
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
+            if with_text:
+                out["decoded"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_pydict(out)
 
-    return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if full else ""))
+    return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text)
