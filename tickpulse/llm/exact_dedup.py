@@ -175,7 +175,8 @@ def _same_bytes(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t_text"),
     )
     ends = pairs.select("digest", "sha", "n_bytes", F.explode(F.array(F.col("old").alias("o"), F.col("new").alias("o"))).alias("end")).distinct()
-    found = ends.join(texts, F.col("end.doc_id").eqNullSafe(F.col("t_id")) & (F.col("end.raw") == F.col("t_raw")))
+    # always by a shuffle on both sides: the number of pairs grows with the copies, and the plan stays the same at every size
+    found = ends.hint("merge").join(texts, F.col("end.doc_id").eqNullSafe(F.col("t_id")) & (F.col("end.raw") == F.col("t_raw")))
     normal = F.translate("t_text", _UPPER, _UPPER.lower())
     agree = found.groupBy("digest", "sha", "n_bytes").agg((F.min(normal) == F.max(normal)).alias("agree"))
     return agree.where("agree").drop("agree")
