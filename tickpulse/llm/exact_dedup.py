@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickpulse.llm import rolling
+from tickpulse.llm.rows import chosen_rows
 from tickpulse.llm.scratch import fresh_path, written
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -214,6 +215,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest id stays; a null id stays only if the group has no other.  Of rows that repeat both
     id and text exactly one is kept.  Empty tables give no rows; other columns are ignored.
     """
+    return _marked(docs, id_col, text_col, in_snapshot).drop("raw")
+
+
+def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest id."""
+    marks = written(_marked(docs, id_col, text_col, None).where("kept").select("doc_id", "raw"), "kept")
+    return chosen_rows(docs, marks, id_col, text_col)
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, in_snapshot) -> DataFrame:
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     rows = written(digests(docs, id_col, text_col), "digests").withColumn("old", half if in_snapshot is None else in_snapshot)
     rows = rows.withColumn("old", F.coalesce("old", F.lit(False)))
@@ -226,8 +237,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     return out.select(
         "doc_id",
+        "raw",
         "keep_id",
         "group_size",
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
         F.lower(F.hex("sha")).alias("text_sha256"),
-    ).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    ).select("doc_id", "raw", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
