@@ -167,6 +167,3 @@ YT_WINDOW_WORDS = 20
 TOP_STOCKS = 10
 DEFAULT_CONFIDENCE = 0.5
 SUMMARY_MAX_LENGTH = 100
-REWRITE_MAX_CHARS = 1000
-PAIRS_MAX_LINES = 11000
-SYMBOL_MAX_CHARS = 10

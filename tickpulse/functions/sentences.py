@@ -241,7 +241,3 @@ def split_by_capital(text) -> Column:
     parts = F.split(joined, r" (?=\p{Lu})(?![A-Z0-9]{2,}(?: |$))", -1)
     return F.filter(parts, lambda s: s != "")
 
-
-def split_by_capital_nonempty(text) -> Column:
-    parts = split_by_capital(text)
-    return F.filter(parts, lambda s: s != "")

@@ -9,6 +9,7 @@ Unicode normaliser); it is an Arrow-batched ``pandas_udf`` that skips ASCII.
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -162,16 +163,16 @@ def sentiment_clean(col) -> Column:
     return collapse_spaces(t)
 
 
-# FIXED VALUES: HTML entities decoded by the summary cleaner (the common ones)
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                 ("&nbsp;", " "), ("&amp;", "&")]
+@F.pandas_udf(T.StringType())
+def _unescape_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
 
 
 def html_unescape(col) -> Column:
+    """All named, decimal and hexadecimal entities, once; only texts that can hold one leave the JVM."""
     t = _c(col)
-    for ent, ch in HTML_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
+    may = t.rlike("&[#A-Za-z]")
+    return F.when(may, _unescape_udf(F.when(may, t))).otherwise(t)
 
 
 def summary_clean(col) -> Column:
@@ -186,17 +187,8 @@ def summary_clean(col) -> Column:
 
 
 def validate_symbol(col) -> Column:
-    """prj_validate_symbol: strip, upper, cut to 10, drop [^A-Z0-9], empty -> NULL."""
-    cut = F.substring(F.upper(strip(_c(col))), 1, 10)
-    return F.nullif(F.regexp_replace(cut, "[^A-Z0-9]", ""), F.lit(""))
-
-
-def truncate_chars(col, n: int) -> Column:
-    return F.substring(_c(col), 1, n)
-
-
-def drop_summary_labels(col) -> Column:
-    return F.regexp_replace(_c(col), "(?iU)" + SUMMARY_LABEL_PATTERN, "")
+    """prj_validate_symbol: strip, upper, drop [^A-Z0-9], empty -> NULL (cleaned whole, never cut)."""
+    return F.nullif(F.regexp_replace(F.upper(strip(_c(col))), "[^A-Z0-9]", ""), F.lit(""))
 
 
 def word_count(col) -> Column:

@@ -1,11 +1,9 @@
 """Ticker recognition Column functions (fn_ticker_rules and friends).
 
 The ticker dictionary is a dimension table.  ``TickerDictionary`` reads it
-once per job: when it is within ``max_inline`` entries (a stock exchange lists
-a few thousand symbols) it becomes an ``IN`` set that Catalyst turns into a
-hash lookup evaluated inside the scan stage, so no shuffle or join is needed
-for membership.  Larger dictionaries are rejected here and handled by the
-join path in ``tickpulse.operators.tickers``.
+once per job (stock exchanges list some thousand symbols) and makes it an ``IN``
+set that Catalyst turns into a hash lookup evaluated inside the scan stage, so no
+shuffle or join is needed for membership.
 """
 
 from __future__ import annotations
@@ -17,11 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickpulse.constants import COMMON_WORDS, CONTEXT_RADIUS, CONTEXT_VETO_WORDS, VIETNAMESE_ACCENTS
-from tickpulse.functions.text import NOT_WORD_CHAR, strip, stripped_length
+from tickpulse.functions.text import strip, stripped_length
 
 # whole-word 2-4 letter upper-case runs (Unicode word boundaries)
 CANDIDATE = r"(?<![\p{L}\p{N}_])[A-Z]{2,4}(?![\p{L}\p{N}_])"
-MAX_INLINE_DICTIONARY = 50_000
 
 
 def _c(col) -> Column:
@@ -80,16 +77,14 @@ def context_ok(text, code: str, radius: int = CONTEXT_RADIUS) -> Column:
 
 @dataclass
 class TickerDictionary:
-    """A checked-size ticker set, inlined into expressions."""
+    """A ticker set, inlined into expressions as a hash set.  It is as large as the exchanges' listings;
+    ``operators.joins.dictionary_hits`` joins a dictionary that stays a table."""
 
     symbols: list[str]
 
     @classmethod
-    def from_table(cls, df: DataFrame, col: str = "symbol", max_inline: int = MAX_INLINE_DICTIONARY):
+    def from_table(cls, df: DataFrame, col: str = "symbol"):
         dim = df.select(F.upper(strip(F.col(col))).alias("s")).where("s <> ''").distinct()
-        n = dim.count()
-        if n > max_inline:
-            raise ValueError(f"ticker dictionary has {n} entries (> {max_inline}); use the join path")
         return cls(sorted(r.s for r in dim.collect()))
 
     @property
@@ -205,5 +200,3 @@ def symbols_csv(text, dictionary: TickerDictionary) -> Column:
     joined = F.array_join(F.array_sort(F.array_distinct(hits)), ",")
     return F.when(_c(text).isNull() | (_c(text) == ""), F.lit(None)).otherwise(F.nullif(joined, F.lit("")))
 
-
-NOT_WORD = NOT_WORD_CHAR

@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its row count is proven below this bound.
-BROADCAST_MAX_ROWS = 200_000
 
+def content_keys(col: str = "content") -> list[Column]:
+    """Two independent 64-bit hashes that stand for a long text as a shuffle key."""
+    c = F.col(col)
+    return [F.xxhash64(c).alias("_k1"), F.xxhash64(F.lit("second"), c).alias("_k2")]
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Mark a global-aggregate result (exactly one row by construction) as broadcastable."""
-    return F.broadcast(df)
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a small intermediate once: a reliable checkpoint in the cluster's shared folder, so all
+    later branches and a lost executor read it instead of computing it again."""
+    from tickpulse.session import shared_dir
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast a dimension only behind a size check; otherwise leave the join to a shuffle
-    (sort-merge, with AQE free to switch at run time)."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def rank_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Keep the first row per key by an explicit, total order (deterministic dedup)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
-def content_key(col: str = "content"):
-    """Hash of a long text used as a compact shuffle key (the text itself still decides equality)."""
-    return F.xxhash64(F.col(col))
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

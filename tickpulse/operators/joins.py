@@ -7,18 +7,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickpulse.functions.tickers import candidates
-from tickpulse.operators.common import broadcast_if_small
+from tickpulse.operators.common import content_keys
 
 
 def anti_processed_content(posts: DataFrame, done: DataFrame) -> DataFrame:
     """join_anti_processed_content: posts with no processed row of the same content and platform.
 
-    Only (source, content) of the processed table is read; the equality on the
-    text itself decides (a hash alone could collide).
+    Both sides are keyed by the platform and two 64-bit hashes of the text, so no text is shuffled as a
+    key and the processed side travels as hashes only, one row per distinct text.  A NULL platform or
+    content never matches.
     """
-    d = done.select(F.col("source").alias("platform"), F.col("content").alias("_done_content"))
-    cond = (posts["platform"] == d["platform"]) & (posts["content"] == d["_done_content"])
-    return posts.join(d, cond, "left_anti")
+    d = done.where(F.col("content").isNotNull()).select(F.col("source").alias("_p"), *content_keys("content"))
+    d = d.distinct().select("_p", F.col("_k1").alias("_d1"), F.col("_k2").alias("_d2"))
+    k1, k2 = content_keys("content")
+    p = posts.select("*", k1, k2)
+    cond = (p["platform"] == d["_p"]) & (p["_k1"] == d["_d1"]) & (p["_k2"] == d["_d2"]) & p["content"].isNotNull()
+    return p.join(d, cond, "left_anti").drop("_k1", "_k2")
 
 
 def anti_processed_reply(replies: DataFrame, summary: DataFrame) -> DataFrame:
@@ -48,15 +52,15 @@ def explode_tags(fireant: DataFrame) -> DataFrame:
 def dictionary_hits(texts: DataFrame, key: str, text_col: str, tickers: DataFrame) -> DataFrame:
     """join_ticker_dictionary: (key, code) for every candidate code found in the dictionary.
 
-    Candidates are exploded per row and matched with a hash join; the
-    dictionary is broadcast only after its size is checked.
+    Candidates are exploded per row and joined; whether the dictionary is small enough to be sent to
+    every task is left to the optimizer's own size check.
     """
     c = texts.select(key, F.explode(candidates(F.col(text_col))).alias("code"))
     dim = tickers.select(F.col("symbol").alias("code")).distinct()
-    return c.join(broadcast_if_small(dim), "code", "inner").select(key, "code")
+    return c.join(dim, "code", "inner").select(key, "code")
 
 
 def drop_stopwords(tokens: DataFrame, stopwords: DataFrame, token_col: str = "token") -> DataFrame:
-    """join_stopword_anti: remove stopword tokens with an anti join on a size-checked dictionary."""
+    """join_stopword_anti: remove stopword tokens with an anti join."""
     sw = stopwords.select(F.col("word").alias(token_col)).distinct()
-    return tokens.join(broadcast_if_small(sw), token_col, "left_anti")
+    return tokens.join(sw, token_col, "left_anti")

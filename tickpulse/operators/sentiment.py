@@ -7,7 +7,7 @@ cleaned-text column into raw ``_label`` / ``_score`` columns:
 * ``FallbackScorer`` -- no model loaded: neutral with confidence 0.5;
 * ``ColumnScorer``   -- any Column expression returning struct(label, score);
 * ``PandasScorer``   -- a vectorised Python function, run as an Arrow ``pandas_udf``
-  (failures of a batch fall back to neutral 0.5);
+  (a failing batch is scored again text by text; only the texts that fail are neutral 0.5, marked so);
 * ``MLScorer``       -- a fitted Spark ML ``PipelineModel`` (see ``operators.training``).
 """
 
@@ -68,19 +68,31 @@ class PandasScorer:
     def __init__(self, fn: Callable[[pd.Series], pd.DataFrame], source: str = "pandas"):
         self.source = source
 
-        @F.pandas_udf(T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]))
+        kinds = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType()),
+                              T.StructField("failed", T.BooleanType())])
+
+        def whole(s: pd.Series) -> pd.DataFrame:
+            out = fn(s)
+            return pd.DataFrame({"label": list(out["label"]), "score": [float(x) for x in out["score"]], "failed": False})
+
+        @F.pandas_udf(kinds)
         def _udf(s: pd.Series) -> pd.DataFrame:
             try:
-                out = fn(s)
-                return pd.DataFrame({"label": out["label"].astype(object), "score": out["score"].astype(float)})
-            except Exception:  # noqa: BLE001 - a failing batch is scored neutral, as the reference does per text
-                return pd.DataFrame({"label": [NEUTRAL_EN] * len(s), "score": [DEFAULT_CONFIDENCE] * len(s)})
+                return whole(s)
+            except Exception:  # noqa: BLE001 - find the texts that the scorer cannot take
+                parts = []
+                for i in range(len(s)):
+                    try:
+                        parts.append(whole(s.iloc[i:i + 1]))
+                    except Exception:  # noqa: BLE001
+                        parts.append(pd.DataFrame({"label": [NEUTRAL_EN], "score": [DEFAULT_CONFIDENCE], "failed": [True]}))
+                return pd.concat(parts, ignore_index=True)
 
         self._udf = _udf
 
     def score(self, df: DataFrame, text_col: str) -> DataFrame:
         return df.withColumn("_r", self._udf(F.col(text_col))).withColumn("_label", F.col("_r.label")) \
-            .withColumn("_score", F.col("_r.score")).drop("_r")
+            .withColumn("_score", F.col("_r.score")).withColumn("_failed", F.col("_r.failed")).drop("_r")
 
 
 class MLScorer:
@@ -121,7 +133,8 @@ def transform_sentiment(df: DataFrame, text_col: str, scorer=None, prefix: str =
     label = (F.when(short_raw | short_clean, F.lit(NEUTRAL)).otherwise(canonical_label(F.col("_label"))))
     conf = F.when(short_raw | short_clean, F.lit(DEFAULT_CONFIDENCE)).otherwise(
         F.coalesce(F.col("_score"), F.lit(DEFAULT_CONFIDENCE)))
+    failed = F.col("_failed") if "_failed" in d.columns else F.lit(False)
     src = (F.when(short_raw, F.lit("Text too short")).when(short_clean, F.lit("Text too short after cleaning"))
-           .otherwise(F.lit(scorer.source)))
+           .when(failed, F.lit("Scorer failed")).otherwise(F.lit(scorer.source)))
     return d.withColumn(prefix + "sentiment", label).withColumn(prefix + "confidence", conf) \
-        .withColumn(prefix + "sentiment_source", src).drop(clean_col, "_label", "_score")
+        .withColumn(prefix + "sentiment_source", src).drop(clean_col, "_label", "_score", "_failed")

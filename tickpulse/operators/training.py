@@ -56,42 +56,51 @@ def split_by_stock(df: DataFrame, min_confidence: float | None = None, include_n
     return out.withColumn("part", F.when(F.col("has_stock"), F.lit("with_stock")).otherwise(F.lit("without_stock")))
 
 
+def _spread(key: Column, seed: int) -> Column:
+    """Multiplicative hash of an integer key; the key is first reduced so that the product never overflows."""
+    reduced = F.pmod(F.pmod(key, F.lit(1 << 31)) + F.lit(seed), F.lit(1 << 31))
+    return F.pmod(reduced * F.lit(2654435761), F.lit(4294967296))
+
+
 def hash_split(df: DataFrame, key: str, train_pct: int = 80, seed: int = 42) -> DataFrame:
     """flow_train_test_split: a stable 80/20 split by a multiplicative hash of an integer key
     (or xxhash64 of any other key), seeded."""
     k = F.col(key)
     if dict(df.dtypes)[key] in ("int", "bigint", "smallint", "tinyint"):
-        bucket = F.pmod((k + F.lit(seed)) * F.lit(2654435761), F.lit(4294967296)) % 100
+        bucket = _spread(k, seed) % 100
     else:
         bucket = F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(100))
     return df.withColumn("split", F.when(bucket < train_pct, F.lit("train")).otherwise(F.lit("test")))
 
 
 def with_line_numbers(df: DataFrame, order: list[str], col: str = "line_no") -> DataFrame:
-    """Dense 0-based line numbers in ``order``: a range-partitioned sort, then each partition's
-    offset from per-partition counts (``zipWithIndex``), with no single-partition window."""
-    spark = df.sparkSession
-    sorted_df = df.orderBy(*order)
-    schema = sorted_df.schema.add(col, "long")
-    rdd = sorted_df.rdd.zipWithIndex().map(lambda rv: tuple(rv[0]) + (rv[1],))
-    return spark.createDataFrame(rdd, schema)
-
+    """Dense 0-based line numbers in ``order``: a range-partitioned sort written once with each row's place
+    in its partition, then the row counts of the partitions before (one row per partition)."""
+    from tickpulse.session import scratch_path
 
-def ordered_split(df: DataFrame, order: list[str], train_fraction: float = 0.9, min_rows: int = 100) -> DataFrame:
-    """flow_ordered_split: first floor(0.9 n) rows by line order -> train, the rest -> test.
-    Fewer than ``min_rows`` rows -> no split (all rows marked 'too_small')."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "lines")
+    df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at") % (1 << 33))
+    counts = rows.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = rows.join(counts, F.col("_part") == F.col("_p")).withColumn(col, F.col("_before") + F.col("_row"))
+    return out.select(*df.columns, col)
+
+
+def ordered_split(df: DataFrame, order: list[str], train_fraction: float = 0.9) -> DataFrame:
+    """flow_ordered_split: first floor(0.9 n) rows by line order -> train, the rest -> test, at any size."""
     numbered = with_line_numbers(df, order)
     n = df.agg(F.count(F.lit(1))).scalar()
     cut = F.floor(n * F.lit(train_fraction))
-    split = F.when(n < min_rows, F.lit("too_small")).when(F.col("line_no") < cut, F.lit("train")).otherwise(F.lit("test"))
-    return numbered.withColumn("split", split)
+    return numbered.withColumn("split", F.when(F.col("line_no") < cut, F.lit("train")).otherwise(F.lit("test")))
 
 
 def sample_rows(df: DataFrame, key: str, n: int = 100, seed: int = 42) -> DataFrame:
     """sample_n: a deterministic pseudo-random sample of n rows (all rows if fewer)."""
     k = F.col(key)
-    h = F.pmod((k + F.lit(seed)) * F.lit(2654435761), F.lit(4294967296))
-    return df.orderBy(h, k).limit(n)
+    return df.orderBy(_spread(k, seed), k).limit(n)
 
 
 # ---------------------------------------------------------------- distributions
@@ -106,14 +115,12 @@ def confidence_histogram(df: DataFrame, col: str = "confidence") -> DataFrame:
     bucket = (F.when(c == 1.0, F.lit("1.0")).when(c >= 0.9, F.lit("0.9-1.0")).when(c >= 0.8, F.lit("0.8-0.9"))
               .when(c >= 0.7, F.lit("0.7-0.8")).when(c >= 0.6, F.lit("0.6-0.7")).when(c >= 0.5, F.lit("0.5-0.6"))
               .otherwise(F.lit("<0.5")))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    stats = df.agg(F.min(c).alias("min_confidence"), F.max(c).alias("max_confidence"),
-                   F.avg(c).alias("avg_confidence"))
-    hist = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    hist = hist.withColumn("pct", F.col("n") / total * F.lit(100.0))
-    return hist.withColumn("min_confidence", stats.select("min_confidence").scalar()) \
-        .withColumn("max_confidence", stats.select("max_confidence").scalar()) \
-        .withColumn("avg_confidence", stats.select("avg_confidence").scalar())
+    per = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"),
+                                                 F.sum(c).alias("s"), F.count(c).alias("k"))
+    every = Window.partitionBy()  # over at most seven rows
+    return per.select("bucket", "n", (F.col("n") / F.sum("n").over(every) * F.lit(100.0)).alias("pct"),
+                      F.min("lo").over(every).alias("min_confidence"), F.max("hi").over(every).alias("max_confidence"),
+                      (F.sum("s").over(every) / F.sum("k").over(every)).alias("avg_confidence"))
 
 
 def symbol_sentiment_matrix(df: DataFrame) -> DataFrame:
@@ -150,54 +157,61 @@ def confusion_matrix(df: DataFrame, labels: list[str] = CLASS_LABELS, true_col="
         "true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def _per_class(df: DataFrame, true_col="true_label", pred_col="pred_label") -> DataFrame:
-    t = df.groupBy(F.col(true_col).alias("label")).agg(F.count(F.lit(1)).alias("support"))
-    p = df.groupBy(F.col(pred_col).alias("label")).agg(F.count(F.lit(1)).alias("predicted"))
-    tp = df.where(F.col(true_col) == F.col(pred_col)).groupBy(F.col(true_col).alias("label")) \
-        .agg(F.count(F.lit(1)).alias("tp"))
-    j = t.join(p, "label", "full").join(tp, "label", "left").na.fill(0, ["support", "predicted", "tp"])
-    prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
-    rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
-    j = j.withColumn("precision", prec).withColumn("recall", rec)
-    f1 = F.when(F.col("precision") + F.col("recall") > 0,
-                2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
-    return j.withColumn("f1_score", f1)
+def _class_table(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
+    """One row: the true x predicted counts (classes squared cells at most) and the ratios per class, from one pass."""
+    cells = df.groupBy(F.col(true_col).alias("t"), F.col(pred_col).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    one = cells.agg(F.collect_list(F.struct("t", "p", "n")).alias("cells"))
+    zero = F.lit(0).cast("bigint")
+
+    def total(cond):
+        return F.aggregate(F.filter("cells", cond), zero, lambda a, c: a + c["n"])
+
+    def ratio(x, y):
+        return F.when(y > 0, x / y).otherwise(F.lit(0.0))
+
+    names = F.array_distinct(F.flatten(F.transform("cells", lambda c: F.array(c["t"], c["p"]))))
+    names = F.filter(names, lambda x: x.isNotNull())
+    one = one.withColumn("counts", F.transform(names, lambda x: F.struct(
+        x.alias("label"), total(lambda c: c["t"] == x).alias("support"), total(lambda c: c["p"] == x).alias("predicted"),
+        total(lambda c: (c["t"] == x) & (c["p"] == x)).alias("tp"))))
+    one = one.withColumn("ratios", F.transform("counts", lambda c: F.struct(
+        c["label"].alias("label"), ratio(c["tp"], c["predicted"]).alias("precision"), ratio(c["tp"], c["support"]).alias("recall"),
+        c["support"].alias("support"))))
+    one = one.withColumn("classes", F.transform("ratios", lambda r: F.struct(
+        r["label"].alias("label"), r["precision"].alias("precision"), r["recall"].alias("recall"),
+        ratio(2 * r["precision"] * r["recall"], r["precision"] + r["recall"]).alias("f1_score"), r["support"].alias("support"))))
+    return one.withColumn("right", total(lambda c: c["t"] == c["p"])).withColumn("rows", total(lambda c: F.lit(True)))
+
+
+def _mean(field: str, weighted: bool) -> Column:
+    add = (lambda a, c: a + c[field] * c["support"]) if weighted else (lambda a, c: a + c[field])
+    by = F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, c: a + c["support"]) if weighted else F.size("classes")
+    return F.when(by > 0, F.aggregate("classes", F.lit(0.0), add) / by)
 
 
 def classification_report(df: DataFrame, true_col="true_label", pred_col="pred_label") -> DataFrame:
     """agg_classification_report: per-class precision / recall / F1 / support, accuracy,
-    macro and weighted averages (undefined ratios -> 0)."""
-    pc = _per_class(df, true_col, pred_col)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    correct = df.agg(F.count(F.when(F.col(true_col) == F.col(pred_col), 1))).scalar()
-    rows = pc.select("label", "precision", "recall", "f1_score", F.col("support").cast("bigint").alias("support"))
-    acc = df.sparkSession.range(1).select(
-        F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-        F.lit(None).cast("double").alias("recall"), (correct / total).alias("f1_score"),
-        total.cast("bigint").alias("support"))
-    macro = pc.agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
-                   F.avg("recall").alias("recall"), F.avg("f1_score").alias("f1_score"),
-                   F.sum("support").cast("bigint").alias("support"))
-    wsum = F.sum("support")
-    weighted = pc.agg(F.lit("weighted avg").alias("label"),
-                      (F.sum(F.col("precision") * F.col("support")) / wsum).alias("precision"),
-                      (F.sum(F.col("recall") * F.col("support")) / wsum).alias("recall"),
-                      (F.sum(F.col("f1_score") * F.col("support")) / wsum).alias("f1_score"),
-                      wsum.cast("bigint").alias("support"))
-    return rows.unionByName(acc).unionByName(macro).unionByName(weighted)
+    macro and weighted averages (undefined ratios -> 0); the input is evaluated once."""
+    one = _class_table(df, true_col, pred_col)
+    support = F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, c: a + c["support"])
+
+    def row(name, *values):
+        fields = ("precision", "recall", "f1_score", "support")
+        return F.struct(F.lit(name).alias("label"), *[v.alias(f) for v, f in zip(values, fields)])
+
+    none = F.lit(None).cast("double")
+    extra = F.array(
+        row("accuracy", none, none, F.when(F.col("rows") > 0, F.col("right") / F.col("rows")), F.col("rows")),
+        row("macro avg", *[_mean(f, False) for f in ("precision", "recall", "f1_score")], support),
+        row("weighted avg", *[_mean(f, True) for f in ("precision", "recall", "f1_score")], support))
+    return one.select(F.explode(F.concat("classes", extra)).alias("c")).select("c.*")
 
 
 def weighted_metrics(df: DataFrame, true_col="true_label", pred_col="pred_label") -> DataFrame:
-    """agg_weighted_metrics: accuracy and support-weighted precision / recall / F1."""
-    pc = _per_class(df, true_col, pred_col)
-    correct = df.agg(F.count(F.when(F.col(true_col) == F.col(pred_col), 1))).scalar()
-    wsum = F.sum("support")
-    return pc.agg(
-        (correct / wsum).alias("accuracy"),
-        (F.sum(F.col("precision") * F.col("support")) / wsum).alias("precision"),
-        (F.sum(F.col("recall") * F.col("support")) / wsum).alias("recall"),
-        (F.sum(F.col("f1_score") * F.col("support")) / wsum).alias("f1"),
-    )
+    """agg_weighted_metrics: accuracy and support-weighted precision / recall / F1 from one pass."""
+    one = _class_table(df, true_col, pred_col)
+    return one.select(F.when(F.col("rows") > 0, F.col("right") / F.col("rows")).alias("accuracy"), _mean("precision", True).alias("precision"),
+                      _mean("recall", True).alias("recall"), _mean("f1_score", True).alias("f1"))
 
 
 # ---------------------------------------------------------------- classifier

@@ -18,14 +18,29 @@ from pyspark.sql import functions as F
 from tickpulse.constants import TRENDING_ALPHA, TRENDING_BETA, TRENDING_ZONE
 from tickpulse.functions.text import clean_token, keep_token, raw_tokens
 from tickpulse.functions.timewin import as_datetime, ntz, to_zone
+from tickpulse.operators.common import materialize
+
+
+def _utc_bounds(lo: dt.datetime, hi: dt.datetime, zone: str | None) -> tuple[dt.datetime, dt.datetime]:
+    """Stored UTC times that can fall in [lo, hi] of the zone's wall clock (a clock change widens them by its hours)."""
+    if zone is None:
+        return lo, hi
+    from zoneinfo import ZoneInfo
+
+    utc = [(t - t.replace(tzinfo=ZoneInfo(zone)).utcoffset()) for t in (lo, hi)]
+    return utc[0] - dt.timedelta(hours=3), utc[1] + dt.timedelta(hours=3)
 
 
 def exploded_tokens(df: DataFrame, text_col: str = "content", ts_col: str = "date",
-                    zone: str | None = TRENDING_ZONE, stopwords=None) -> DataFrame:
+                    zone: str | None = TRENDING_ZONE, stopwords=None, between=None) -> DataFrame:
     """fn_tokenize + fn_ensure_token_list + fn_explode_tokens: one (ts, token) row per token.
 
     Timestamps are converted from UTC to ``zone`` wall clock; rows whose time is NULL are dropped.
+    ``between`` (two wall-clock times) first bounds the stored column by literals, which reach the scan.
     """
+    if between is not None:
+        first, last = _utc_bounds(*between, zone)
+        df = df.where((F.col(ts_col) >= ntz(first)) & (F.col(ts_col) <= ntz(last)))
     ts = to_zone(ts_col, zone) if zone else F.col(ts_col).cast("timestamp_ntz")
     # The same rules as ensure_token_list(tokenize(...)), applied after the explode as plain row
     # predicates: they stay inside whole-stage codegen, where array lambdas would be interpreted
@@ -90,16 +105,6 @@ def finite(col: str):
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute a small intermediate (one row per token) once: a reliable checkpoint in the
-    cluster's shared folder, so the floor, the three top-N lists and a lost executor all read
-    it instead of re-tokenising the texts."""
-    from tickpulse.session import shared_dir
-
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scored(counts: DataFrame, divisor: int, alpha=TRENDING_ALPHA, beta=TRENDING_BETA) -> DataFrame:
     """Growth, non-finite drop, flt_dynamic_min_count (count >= max(2, max // divisor)), score."""
     counts = materialize(counts)
@@ -126,7 +131,8 @@ def top_lists(sc: DataFrame, n: int) -> DataFrame:
 def trending_2days(df: DataFrame, end_time, top_n: int = 10, alpha=TRENDING_ALPHA, beta=TRENDING_BETA,
                    zone: str | None = TRENDING_ZONE, align: str | None = "hour", stopwords=None) -> DataFrame:
     """flow_trending_2days: now vs previous 24 h window, floor max//4, three top-N lists."""
-    toks = exploded_tokens(df, zone=zone, stopwords=stopwords)
+    prev, _, end = window_bounds(end_time, align)
+    toks = exploded_tokens(df, zone=zone, stopwords=stopwords, between=(prev, end))
     counts = window_counts(toks, end_time, align)
     return top_lists(scored(counts, 4, alpha, beta), top_n)
 
@@ -164,31 +170,32 @@ def trending_daily(df: DataFrame, top_n: int = 20, alpha=TRENDING_ALPHA, beta=TR
     return top_lists(scored(counts, 10, alpha, beta).drop("count_prev"), top_n)
 
 
+def _seconds(freq: str) -> int:
+    """Length of a bin such as '30 minutes' or '1 hour'."""
+    n, unit = freq.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
 def token_bins(tokens: DataFrame, words: DataFrame, end_time, freq: str = "1 hour",
                align: str | None = "hour", closed: str = "left") -> DataFrame:
     """agg_token_bins (closed='left', [prev_start, end)) / agg_token_bins_right_closed
-    ((prev_start, end], grid from prev_start + 1 s): hourly counts of the given words over a
-    dense grid of bins, missing bins = 0.  The grid is (bins x the given words) only."""
-    prev, cur, end = window_bounds(end_time, align)
+    ((prev_start, end], grid from prev_start + 1 s): counts of the given words per ``freq`` over a
+    dense grid of bins, missing bins = 0.  The grid is (bins x the given words) only; the word
+    table is joined, and sent to every task only if the optimizer finds it small."""
+    prev, _, end = window_bounds(end_time, align)
     lo, hi = ntz(prev), ntz(end)
+    step = _seconds(freq)
     if closed == "left":
         rows = tokens.where((F.col("ts") >= lo) & (F.col("ts") < hi))
-        grid_start = prev
-        grid_end = end - dt.timedelta(hours=1)
+        label, grid_end = prev, end - dt.timedelta(seconds=step)
     else:
         rows = tokens.where((F.col("ts") > lo) & (F.col("ts") <= hi))
-        grid_start = prev + dt.timedelta(seconds=1)
-        grid_end = end
-    rows = rows.join(F.broadcast(words.select(F.col("word").alias("token")).distinct()), "token", "left_semi")
-    binned = rows.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bin"),
-                          F.col("token").alias("word")).count()
-    # dense grid: every word gets every bin from grid_start to grid_end (an explode, no join)
-    bins = F.sequence(ntz(grid_start), ntz(grid_end),
-                      F.expr(f"INTERVAL {freq}"))
-    cells = words.select("word").distinct().select("word", F.explode(bins).alias("bin"))
-    if closed != "left":
-        # right-closed bins are labelled by their start: floor the grid to the hour for the join
-        cells = cells.withColumn("bin_key", F.date_trunc("hour", "bin").cast("timestamp_ntz"))
-        return cells.join(binned.withColumnRenamed("bin", "bin_key"), ["bin_key", "word"], "left") \
-            .select("bin", "word", F.coalesce("count", F.lit(0)).alias("count"))
-    return cells.join(binned, ["bin", "word"], "left").select("bin", "word", F.coalesce("count", F.lit(0)).alias("count"))
+        label, grid_end = prev + dt.timedelta(seconds=1), end
+    rows = rows.join(words.select(F.col("word").alias("token")).distinct(), "token", "left_semi")
+    number = F.floor(F.timestamp_diff("SECOND", lo, F.col("ts")) / step)
+    binned = rows.groupBy(number.alias("_n"), F.col("token").alias("word")).count()
+    # dense grid: every word gets every bin (an explode, no join); bin n starts n steps after the first
+    count = int((grid_end - label).total_seconds() // step) + 1
+    cells = words.select("word").distinct().select("word", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("_n"))
+    start = F.timestamp_add("SECOND", F.col("_n") * step, ntz(label))
+    return cells.join(binned, ["_n", "word"], "left").select(start.alias("bin"), "word", F.coalesce("count", F.lit(0)).alias("count"))

@@ -18,12 +18,18 @@ def _null_key(keys):
     return cond
 
 
+def _unhashable(df: DataFrame) -> bool:
+    return any("map<" in t for _, t in df.dtypes)
+
+
 def dedup_batch(df: DataFrame, keys: list[str], order: list, keep: str = "first") -> DataFrame:
     """One row per key inside a batch: the first (or last) by ``order``; NULL keys all kept."""
     o = order if keep == "first" else [c.desc() if hasattr(c, "desc") else F.desc(c) for c in order]
-    w = Window.partitionBy(*keys).orderBy(*o)
-    ranked = df.withColumn("_rn", F.when(_null_key(keys), F.lit(1)).otherwise(F.row_number().over(w)))
-    return ranked.where("_rn = 1").drop("_rn")
+    # rows with a NULL key are spread over the other key values: they need no common partition
+    spread = F.when(_null_key(keys), F.xxhash64(*df.columns) if not _unhashable(df) else F.monotonically_increasing_id())
+    w = Window.partitionBy(*keys, "_apart").orderBy(*o)
+    ranked = df.withColumn("_apart", spread).withColumn("_rn", F.when(F.col("_apart").isNotNull(), F.lit(1)).otherwise(F.row_number().over(w)))
+    return ranked.where("_rn = 1").drop("_rn", "_apart")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], mode: str = "update",

@@ -245,7 +245,8 @@ _POSTS_LONG = _flag_sql("(select *, nfc_normalize(content) as c from posts where
                         f"and length({_STRIP('content')}) >= 10)", "post_id", "c", '"timestamp", platform')
 _POST_CODES = f"(select *, {ot.rule_codes('text', DICT.symbols)} as codes from {_POSTS_LONG})"
 _POST_BEST = ot.best_sentences(_POST_CODES, ot.split_sentences("text"), "codes", DICT.symbols)
-PROCESS_POSTS_SQL = f"""select distinct * from (
+PROCESS_POSTS_SQL = f"""select "timestamp", source, title, symbol, content, sentiment from (select *,
+        row_number() over (partition by "timestamp", symbol, content order by source, sentiment) as rn from (
     select "timestamp", platform as source, cast(null as varchar) as title, cast(null as varchar) as symbol,
         content, 'TRUNG_TÍNH' as sentiment from posts where content is not null and length({_STRIP('content')}) < 10
     union all
@@ -254,7 +255,7 @@ PROCESS_POSTS_SQL = f"""select distinct * from (
     select p."timestamp", p.platform, null, b.code,
         case when b.best_pos is null then '' else {ot.context_at('b.ss', 'list_position(b.ss, b.ss[b.best_pos])')} end,
         'TRUNG_TÍNH'
-    from ({_POST_BEST}) b join {_POST_CODES} p on p.doc_id = b.doc_id)"""
+    from ({_POST_BEST}) b join {_POST_CODES} p on p.doc_id = b.doc_id)) where rn = 1"""
 
 
 @register("flow_process_posts", with_fixtures(PROCESS_POSTS_SQL, "posts"))
@@ -363,8 +364,8 @@ def q_sink_bulk_rumor(spark, sf):
                       F.lit(None).cast("string").alias("sentiment"), "source")
 
 
-_VALID_SYM = f"nullif(regexp_replace(substring(upper({_STRIP('symbol')}), 1, 10), '[^A-Z0-9]', '', 'g'), '')"
-REWRITE_SQL = f"""select substring(content, 1, 1000) as original_content, substring(content, 1, 1000) as rewritten_content,
+_VALID_SYM = f"nullif(regexp_replace(upper({_STRIP('symbol')}), '[^A-Z0-9]', '', 'g'), '')"
+REWRITE_SQL = f"""select content as original_content, content as rewritten_content,
         {_VALID_SYM} as symbol, sentiment, source, "timestamp", id as processed_from_rumor_id
     from rumors r where not exists (select 1 from rumor_analyst a where a.processed_from_rumor_id = r.id)
         and content is not null and length({_STRIP('content')}) >= 3"""
@@ -612,7 +613,7 @@ def q_flow_summarize(spark, sf):
 
 
 # ================================================================ streams
-@register("st_incremental_posts", None)
+@register("st_incremental_posts", with_fixtures(PROCESS_POSTS_SQL, "posts"))
 def q_st_incremental_posts(spark, sf):
     from tickpulse.streaming.streams import incremental_posts
 

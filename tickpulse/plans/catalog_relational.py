@@ -385,7 +385,7 @@ def q_prj_default_fill(spark, sf):
 
 
 @register("prj_validate_symbol", with_fixtures(
-    """select id, symbol, nullif(regexp_replace(substring(upper(regexp_replace(symbol, '^\\s+|\\s+$', '', 'g')), 1, 10),
+    """select id, symbol, nullif(regexp_replace(upper(regexp_replace(symbol, '^\\s+|\\s+$', '', 'g')),
         '[^A-Z0-9]', '', 'g'), '') as safe_symbol from rumors""", "rumors"))
 def q_prj_validate_symbol(spark, sf):
     r = fx.rumors(spark, sf)

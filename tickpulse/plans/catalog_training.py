@@ -44,7 +44,7 @@ def q_flow_split_by_stock(spark, sf):
 
 
 @register("flow_train_test_split", with_fixtures(
-    """select doc_id, label, case when ((doc_id + 42) * 2654435761) % 4294967296 % 100 < 80 then 'train' else 'test' end
+    """select doc_id, label, case when (((doc_id % 2147483648 + 42) % 2147483648) * 2654435761) % 4294967296 % 100 < 80 then 'train' else 'test' end
         as split from labelled""", "labelled"))
 def q_flow_train_test_split(spark, sf):
     return trn.hash_split(fx.labelled(spark, sf), "doc_id").select("doc_id", "label", "split")
@@ -52,15 +52,14 @@ def q_flow_train_test_split(spark, sf):
 
 @register("flow_ordered_split", with_fixtures(
     """select pair_id, row_number() over (order by pair_id) - 1 as line_no,
-        case when (select count(*) from rewrite_pairs) < 100 then 'too_small'
-             when row_number() over (order by pair_id) - 1 < floor((select count(*) from rewrite_pairs) * 0.9) then 'train'
+        case when row_number() over (order by pair_id) - 1 < floor((select count(*) from rewrite_pairs) * 0.9) then 'train'
              else 'test' end as split from rewrite_pairs""", "rewrite_pairs"))
 def q_flow_ordered_split(spark, sf):
     return trn.ordered_split(fx.rewrite_pairs(spark, sf).select("pair_id"), ["pair_id"])
 
 
 @register("sample_n", with_fixtures(
-    "select pair_id from rewrite_pairs order by ((pair_id + 42) * 2654435761) % 4294967296, pair_id limit 100",
+    "select pair_id from rewrite_pairs order by (((pair_id % 2147483648 + 42) % 2147483648) * 2654435761) % 4294967296, pair_id limit 100",
     "rewrite_pairs"))
 def q_sample_n(spark, sf):
     return trn.sample_rows(fx.rewrite_pairs(spark, sf).select("pair_id"), "pair_id", 100)
@@ -199,27 +198,50 @@ def q_fn_rouge_2(spark, sf):
     return _r9(ev.rouge_n(_pairs(spark, sf), 2))
 
 
-@register("fn_rouge_l", None)
+# longest common subsequence of two token lists: one row of the table per token of the first, cell by cell
+_LCS = """list_reduce(list_transform(a, lambda x: {'t': x, 'r': []::INT[]}),
+    lambda acc, e: {'t': '', 'r': list_reduce(list_transform(range(1, len(b) + 1), lambda j: {'j': j::INT, 'c': []::INT[]}),
+        lambda cur, k: {'j': 0, 'c': list_append(cur.c, case when b[k.j] = e.t then acc.r[k.j] + 1
+            else greatest(acc.r[k.j + 1], cur.c[k.j]) end)},
+        {'j': 0, 'c': [0]::INT[]}).c},
+    {'t': '', 'r': list_resize([0]::INT[], len(b) + 1, 0)}).r[len(b) + 1]"""
+_ROUGE_L_SQL = f"""with p as (select pair_id as id, regexp_extract_all(lower(rewritten), '[a-z0-9]+') as a,
+        regexp_extract_all(lower(original), '[a-z0-9]+') as b from rewrite_pairs),
+    m as (select id, len(a) as ref_total, len(b) as pred_total,
+        case when len(a) > 0 and len(b) > 0 then {_LCS} else 0 end as overlap from p),
+    s as (select id, case when pred_total > 0 then overlap / pred_total else 0.0 end as precision,
+        case when ref_total > 0 then overlap / ref_total else 0.0 end as recall from m)
+    select id, round(precision, 9) as precision, round(recall, 9) as recall,
+        round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0 end, 9) as fmeasure
+    from s"""
+
+
+@register("fn_rouge_l", with_fixtures(f"select * from ({_ROUGE_L_SQL})", "rewrite_pairs"))
 def q_fn_rouge_l(spark, sf):
     return _r9(ev.rouge_l(_pairs(spark, sf)))
 
 
-@register("agg_rouge_mean", with_fixtures(
-    f"""select round((select avg(fmeasure) from ({_ngram_sql(1)})), 6) as rouge1,
-        round((select avg(fmeasure) from ({_ngram_sql(2)})), 6) as rouge2""", "rewrite_pairs"))
+_MEANS_SQL = f"""select round((select avg(fmeasure) from ({_ngram_sql(1)})), 6) as rouge1,
+        round((select avg(fmeasure) from ({_ngram_sql(2)})), 6) as rouge2,
+        round((select avg(fmeasure) from ({_ROUGE_L_SQL})), 6) as "rougeL", (select count(*) from rewrite_pairs) as pairs"""
+
+
+def _means(pairs):
+    m = ev.rouge_means(pairs)
+    return m.select(*[F.round(c, 6).alias(c) for c in ("rouge1", "rouge2", "rougeL")], "pairs")
+
+
+@register("agg_rouge_mean", with_fixtures(_MEANS_SQL, "rewrite_pairs"))
 def q_agg_rouge_mean(spark, sf):
-    p = _pairs(spark, sf)
-    r1 = ev.rouge_n(p, 1).agg(F.avg("fmeasure")).scalar()
-    r2 = ev.rouge_n(p, 2).agg(F.avg("fmeasure")).scalar()
-    return spark.range(1).select(F.round(r1, 6).alias("rouge1"), F.round(r2, 6).alias("rouge2"))
+    return _means(_pairs(spark, sf))
 
 
-@register("flow_evaluate_rewriter", None)
+@register("flow_evaluate_rewriter", with_fixtures(_MEANS_SQL, "rewrite_pairs"))
 def q_flow_evaluate_rewriter(spark, sf):
-    """Sample 100 pairs, rewrite the originals with the rule rewriter, score against the references."""
+    """Rewrite every original with the rule rewriter and score it against its reference (texts without
+    a cue stay as they are, which is what the SQL states)."""
     from tickpulse.functions.rumor_rules import accept_rewrite, rewrite_text
 
-    s = trn.sample_rows(fx.rewrite_pairs(spark, sf), "pair_id", 100)
-    s = s.select(F.col("pair_id").alias("id"), F.col("rewritten").alias("reference"),
-                 accept_rewrite(rewrite_text(F.col("original")), F.col("original")).alias("prediction"))
-    return ev.rouge_means(s)
+    s = fx.rewrite_pairs(spark, sf)
+    return _means(s.select(F.col("pair_id").alias("id"), F.col("rewritten").alias("reference"),
+                           accept_rewrite(rewrite_text(F.col("original")), F.col("original")).alias("prediction")))

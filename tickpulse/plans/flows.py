@@ -4,13 +4,10 @@ explicit so that results are repeatable."""
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickpulse.constants import (DEFAULT_CONFIDENCE, NEUTRAL, REWRITE_MAX_CHARS, SUMMARY_MAX_LENGTH,
-                                 YT_WINDOW_WORDS)
+from tickpulse.constants import DEFAULT_CONFIDENCE, NEUTRAL, YT_WINDOW_WORDS
 from tickpulse.functions.rumor_rules import accept_rewrite, rewrite_text, rumor_pattern
 from tickpulse.functions.sentences import (important_sentences, smart_summary, split_by_capital,
                                            split_sentences)
@@ -18,6 +15,7 @@ from tickpulse.functions.text import nfc, stripped_length, summary_clean, valida
 from tickpulse.functions.tickers import TickerDictionary, extract_codes, symbols_csv
 from tickpulse.functions.timewin import normalize_calendar_date
 from tickpulse.operators import joins, rollup
+from tickpulse.operators.common import content_keys, materialize
 from tickpulse.operators.sentiment import transform_sentiment
 from tickpulse.sources import unified
 
@@ -54,17 +52,25 @@ def post_rows(posts: DataFrame, dictionary: TickerDictionary, scorer=None) -> Da
 
 
 def process_posts(posts: DataFrame, dictionary: TickerDictionary, done: DataFrame | None = None, scorer=None,
-                  since_epoch: int | None = None, batch_size: int | None = None) -> DataFrame:
-    """flow_process_posts: unprocessed posts -> all_content rows (deduplicated on
-    (timestamp, symbol, content), first row kept)."""
+                  since_epoch: int | None = None) -> DataFrame:
+    """flow_process_posts: unprocessed posts -> all_content rows, one per (timestamp, symbol, content)."""
     p = posts.where(F.col("content").isNotNull())
     if since_epoch is not None:
         p = unified.posts_since(p, since_epoch, 0)
     if done is not None:
         p = joins.anti_processed_content(p, done)
-    if batch_size is not None:
-        p = p.orderBy("timestamp", "post_id").limit(batch_size)
-    return post_rows(p, dictionary, scorer).dropDuplicates(["timestamp", "symbol", "content", "source", "sentiment"])
+    return first_rows(post_rows(p, dictionary, scorer))
+
+
+def first_rows(rows: DataFrame) -> DataFrame:
+    """One row per (timestamp, symbol, content): the first by (source, sentiment).
+
+    The text is not a shuffle key: two 64-bit hashes stand for it, and repeated rows combine in
+    every task before the shuffle.
+    """
+    rest = F.struct("source", "sentiment", "title", "content")
+    best = rows.groupBy("timestamp", "symbol", *content_keys("content")).agg(F.min(rest).alias("row"))
+    return best.select("timestamp", "row.source", "row.title", "symbol", "row.content", "row.sentiment")
 
 
 def short_reply_rows(replies: DataFrame) -> DataFrame:
@@ -76,35 +82,35 @@ def short_reply_rows(replies: DataFrame) -> DataFrame:
 
 def process_replies(replies: DataFrame, posts: DataFrame, dictionary: TickerDictionary,
                     summary: DataFrame | None = None, scorer=None) -> DataFrame:
-    """flow_process_replies: every unprocessed reply of every post, processed at once."""
+    """flow_process_replies: every unprocessed reply of every post in one pass: a short reply or one
+    without a ticker gives one neutral row, any other one row per ticker with its important sentence."""
     r = joins.reply_with_post(replies, posts)
     if summary is not None:
         r = joins.anti_processed_reply(r, summary)
-    short = short_reply_rows(r).withColumn("confidence_score", F.lit(DEFAULT_CONFIDENCE))
-    lr = r.where(F.col("rely_content").isNotNull() & (stripped_length("rely_content") >= 5))
-    lr = lr.withColumn("_text", nfc("rely_content"))
-    lr = lr.withColumn("_codes", extract_codes(F.col("_text"), dictionary))
-    none = lr.where(F.size("_codes") == 0).select(
-        "reply_id", "post_id", F.lit(None).cast("string").alias("stock_id"),
-        F.lit(None).cast("string").alias("cau_quan_trong"), F.lit(NEUTRAL).alias("cam_xuc"), "timestamp",
-        F.lit(DEFAULT_CONFIDENCE).alias("confidence_score"))
-    some = lr.where(F.size("_codes") > 0).select(
-        "*", F.explode(important_sentences(split_sentences("_text"), F.col("_codes"))).alias("_pair"))
-    some = some.withColumn("stock_id", F.col("_pair.symbol")).withColumn("cau_quan_trong", F.col("_pair.sentence"))
-    some = transform_sentiment(some, "cau_quan_trong", scorer)
-    has = F.col("cau_quan_trong") != ""
-    some = some.select("reply_id", "post_id", "stock_id", "cau_quan_trong",
-                       F.when(has, F.col("sentiment")).otherwise(F.lit(NEUTRAL)).alias("cam_xuc"), "timestamp",
-                       F.when(has, F.col("confidence")).otherwise(F.lit(DEFAULT_CONFIDENCE)).alias("confidence_score"))
-    return short.unionByName(none).unionByName(some)
+    short = F.col("rely_content").isNull() | (stripped_length("rely_content") < 5)
+    r = r.withColumn("_short", short).withColumn("_text", F.when(~short, nfc("rely_content")))
+    r = r.withColumn("_codes", F.when(F.col("_short"), F.array().cast("array<string>"))
+                     .otherwise(extract_codes(F.col("_text"), dictionary)))
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("sentence")))
+    items = F.when(F.size("_codes") == 0, nothing).otherwise(important_sentences(split_sentences("_text"), F.col("_codes")))
+    r = r.select("*", F.explode(items).alias("_pair"))
+    r = r.withColumn("stock_id", F.col("_pair.symbol")).withColumn("cau_quan_trong", F.col("_pair.sentence"))
+    r = transform_sentiment(r, "cau_quan_trong", scorer)
+    has = F.coalesce(F.col("cau_quan_trong") != "", F.lit(False))
+    return r.select("reply_id", "post_id", "stock_id", "cau_quan_trong",
+                    F.when(has, F.col("sentiment")).otherwise(F.lit(NEUTRAL)).alias("cam_xuc"), "timestamp",
+                    F.when(has, F.col("confidence")).otherwise(F.lit(DEFAULT_CONFIDENCE)).alias("confidence_score"))
 
 
 # ---------------------------------------------------------------- roll-ups
 
 
 def stock_sentiment_job(all_content: DataFrame, run_time) -> DataFrame:
-    """flow_stock_sentiment: 24h / week / month roll-ups (row_num NULL) plus the ranked 24h top-10."""
-    ss = rollup.stock_sentiment_all_intervals(all_content, run_time)
+    """flow_stock_sentiment: 24h / week / month roll-ups (row_num NULL) plus the ranked 24h top-10.
+
+    The finished roll-up (one row per symbol and interval) is written once, so the facts are read once.
+    """
+    ss = materialize(rollup.stock_sentiment_all_intervals(all_content, run_time))
     top = rollup.top_stocks(ss, "24h").withColumnRenamed("updated_at", "timestamp")
     return ss.withColumn("row_num", F.lit(None).cast("int")).unionByName(top)
 
@@ -125,14 +131,13 @@ def detect_rumors(messages: DataFrame, dictionary: TickerDictionary, patterns=No
 def dedup_first_content(df: DataFrame) -> DataFrame:
     """dedup_keep_first_content: one row per content, the first by (source order, date, id).
 
-    A hash aggregation with map-side partial minima, so a heavily repeated
-    content is combined in every task before the shuffle.
+    Grouped on two hashes of the content with map-side partial minima, so a heavily repeated
+    content is combined in every task and no text is a shuffle key.
     """
     rank = F.when(F.col("source") == "fireant_posts", 0).otherwise(1)
-    cols = [c for c in df.columns if c != "content"]  # the key travels once, not twice
-    best = df.groupBy("content").agg(
-        F.min_by(F.struct(*cols), F.struct(rank.alias("r"), F.col("date"), F.col("id"))).alias("row"))
-    return best.select(*[F.col(f"row.{c}").alias(c) if c != "content" else F.col("content") for c in df.columns])
+    best = df.groupBy(*content_keys("content")).agg(
+        F.min(F.struct(rank.alias("_r"), "date", "id", *[c for c in df.columns if c not in ("date", "id")])).alias("row"))
+    return best.select(*[F.col(f"row.{c}").alias(c) for c in df.columns])
 
 
 def rumors_for_load(detected: DataFrame) -> DataFrame:
@@ -141,7 +146,7 @@ def rumors_for_load(detected: DataFrame) -> DataFrame:
                            F.lit(None).cast("string").alias("sentiment"), "source")
 
 
-def rewrite_rumors(rumors: DataFrame, analyst: DataFrame | None = None, batch_size: int | None = None,
+def rewrite_rumors(rumors: DataFrame, analyst: DataFrame | None = None,
                    since_epoch: int | None = None, rewriter=None) -> DataFrame:
     """flow_rewrite_rumors: queue -> length gate -> rewrite -> accept -> validate symbol -> rows
     to append to rumor_analyst.  ``rewriter`` maps a text Column to a rewritten Column
@@ -151,14 +156,11 @@ def rewrite_rumors(rumors: DataFrame, analyst: DataFrame | None = None, batch_si
         q = joins.anti_processed_rumor(q, analyst)
     if since_epoch is not None:
         q = q.where(F.col("timestamp") >= since_epoch)
-    if batch_size is not None:
-        q = q.orderBy(F.desc("timestamp"), F.asc("id")).limit(batch_size)
     q = q.where(F.col("content").isNotNull() & (stripped_length("content") >= 3))
     rw = (rewriter or rewrite_text)(F.col("content"))
     out = q.withColumn("_rw", accept_rewrite(rw, F.col("content")))
     return out.select(
-        F.substring("content", 1, REWRITE_MAX_CHARS).alias("original_content"),
-        F.substring("_rw", 1, REWRITE_MAX_CHARS).alias("rewritten_content"),
+        F.col("content").alias("original_content"), F.col("_rw").alias("rewritten_content"),
         validate_symbol("symbol").alias("symbol"), "sentiment", "source", "timestamp",
         F.col("id").alias("processed_from_rumor_id"))
 
@@ -186,16 +188,15 @@ def yt_mentions(posts: DataFrame, tickers: list[str], max_words: int = YT_WINDOW
     item_type = "array<struct<tk:string,sentence:string,context:string>>"
 
     def mentions_in_window(sents, tk):
-        init = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(item_type).alias("out"))
+        init = F.struct(F.lit(-1).alias("used"), F.array().cast(item_type).alias("out"))  # used: last sentence taken
 
         def step(acc, j):
             cur = F.element_at(sents, j + 1)
             prev = F.when(j > 0, F.element_at(sents, F.greatest(j, F.lit(1))))
             nxt = F.when(j < F.size(sents) - 1, F.element_at(sents, F.least(j + 2, F.size(sents))))
-            skip = F.array_contains(acc["used"], j) | ~F.contains(cur, tk)
+            skip = (j <= acc["used"]) | ~F.contains(cur, tk)
             item = F.struct(tk.alias("tk"), cur.alias("sentence"), F.concat_ws(" ", prev, cur, nxt).alias("context"))
-            new = F.struct(F.array_union(acc["used"], F.array(j - 1, j, j + 1)).alias("used"),
-                           F.array_append(acc["out"], item).alias("out"))
+            new = F.struct((j + 1).alias("used"), F.array_append(acc["out"], item).alias("out"))
             return F.when(skip, acc).otherwise(new)
 
         return F.aggregate(F.sequence(F.lit(0), F.size(sents) - 1), init, step)["out"]
@@ -293,7 +294,3 @@ def summarize(df: DataFrame, text_col: str, max_length: int = 150, summarizer=No
     model = summary_post_process(summarizer(F.col("_clean")), F.col("_clean"))
     return d.withColumn("summary", F.when(word_count("_clean") < 20, extractive).otherwise(model)).drop("_clean")
 
-
-def run_day_bounds(run_time, hour: int):
-    end = dt.datetime(run_time.year, run_time.month, run_time.day, hour)
-    return end - dt.timedelta(days=1), end

@@ -20,7 +20,8 @@ def build_session(master: str | None = None, cpus: int | None = None, app: str =
         master = f"local[{cpus}]"
     if master is not None:
         builder = builder.master(master)
-    shuffle_parts = str(max(8, 2 * (cpus or 8)))
+    if cpus is not None:  # a local run; a cluster's own setting stands
+        builder = builder.config("spark.sql.shuffle.partitions", str(max(8, 2 * cpus)))
     return (
         builder.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -28,7 +29,6 @@ def build_session(master: str | None = None, cpus: int | None = None, app: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", shuffle_parts)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TICKPULSE_DRIVER_MEMORY", "16g"))
         .getOrCreate()

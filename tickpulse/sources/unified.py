@@ -140,17 +140,11 @@ def read_labelled_jsonl(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def read_pairs_jsonl(spark: SparkSession, path, max_lines: int | None = None) -> DataFrame:
+def read_pairs_jsonl(spark: SparkSession, path) -> DataFrame:
     """src_pairs_jsonl: (original, rewritten) JSON lines; malformed lines and rows missing a field
     are skipped; the rewritten text may be named 'rewriter' or 'rewritten'.
-
-    With ``max_lines`` only the first N physical lines count (line order = file
-    order, numbered once with ``zipWithIndex``-style ids).
     """
     lines = spark.read.text(path)
-    if max_lines is not None:
-        lines = lines.withColumn("line_no", F.monotonically_increasing_id())
-        lines = lines.orderBy("line_no").limit(max_lines)
     schema = "original string, rewriter string, rewritten string"
     parsed = lines.select(F.from_json("value", schema).alias("j"))
     out = parsed.select(F.col("j.original").alias("original"),
@@ -182,6 +176,3 @@ def posts_since(df: DataFrame, now_epoch: int, seconds: int = 86400) -> DataFram
     """flt_last_24h: timestamp >= now - 24h (no upper bound)."""
     return df.where(F.col("timestamp") >= F.lit(now_epoch - seconds))
 
-
-def epoch_col(ts):
-    return epoch_seconds(ts)

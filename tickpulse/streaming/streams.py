@@ -4,20 +4,21 @@ The reference polls its tables on a schedule and anti-joins what it already
 processed.  Here the same work runs as streams over a directory of arriving
 files, with ``trigger(availableNow=True)`` for scheduled runs:
 
-* ``incremental_posts``  -- dedup (platform, content) within a watermark, then the
-  post flow per micro-batch (``foreachBatch``);
+* ``incremental_posts``  -- the post flow per micro-batch, one row per post key;
 * ``sliding_tokens``     -- token counts over 24 h windows sliding every hour;
 * ``tumbling_stock_sentiment`` -- per-ticker sentiment per 08:00-to-08:00 day.
 
-Each micro-batch is written to its own ``batch=<id>`` folder with overwrite, so
-a retried batch replaces its own output (exactly-once files); aggregations
-run in ``update`` mode and the final value of a key is its latest emission.
-Checkpoints live under the cluster's shared checkpoint folder.
+No watermark decides what counts: a backfill reads files in any order of event
+time.  Each micro-batch is reduced on its own (partial counts, finished post rows)
+and written to its own ``batch=<id>`` folder with overwrite, so a retried batch
+replaces its own output (exactly-once files).  The result sums the partial counts
+of all batches per key; a late row adds to its key whenever it arrives, and no
+state grows in the stream.  Checkpoints live under the cluster's shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickpulse.constants import NEGATIVE, NEUTRAL, POSITIVE
@@ -25,25 +26,15 @@ from tickpulse.functions.timewin import epoch_seconds, ts_of_epoch
 from tickpulse.session import scratch_path
 
 
-def _event_time(col: str = "ts"):
-    """The absolute instant of a UTC wall-clock column (independent of the session zone)."""
-    return F.timestamp_seconds(epoch_seconds(col))
-
-
-def _wall_clock(col):
-    """A window bound (an instant) back to UTC wall clock."""
-    return ts_of_epoch(F.unix_seconds(col))
-
-
-def stage_as_files(df: DataFrame, name: str, day_col: str) -> tuple[str, object]:
-    """Write a table as one folder per day (files a stream will discover); returns (path, schema)."""
+def stage_as_files(df: DataFrame, name: str) -> tuple[str, object]:
+    """Write a table as files a stream will discover, in no particular order of event time; returns (path, schema)."""
     path = scratch_path(df.sparkSession, name)
-    staged = df.withColumn("day", F.to_date(F.col(day_col)))
-    staged.repartition("day").write.mode("overwrite").partitionBy("day").parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return path, df.sparkSession.read.parquet(path).schema
 
 
-def _run_batches(stream: DataFrame, name: str, fn, mode: str = "append", max_files: int | None = None) -> str:
+def _run_batches(stream: DataFrame, name: str, fn) -> DataFrame:
+    """Run the stream to the end of what has arrived; ``fn`` turns each micro-batch into rows to write."""
     spark = stream.sparkSession
     out = scratch_path(spark, name + "-out")
     ckpt = scratch_path(spark, name + "-ckpt")
@@ -51,66 +42,68 @@ def _run_batches(stream: DataFrame, name: str, fn, mode: str = "append", max_fil
     def write_batch(batch: DataFrame, batch_id: int):
         fn(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = (stream.writeStream.outputMode(mode).foreachBatch(write_batch)
+    # an empty batch folder gives the result its columns when nothing has arrived
+    empty = spark.createDataFrame([], stream.schema)
+    fn(empty).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    q = (stream.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return out
+    return spark.read.parquet(out).drop("batch")
 
 
 def _read_stream(spark: SparkSession, path: str, schema, max_files: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def incremental_posts(posts: DataFrame, dictionary, watermark: str = "30 days", scorer=None) -> DataFrame:
-    """st_incremental_posts: the post flow over a stream of post files; a (platform, content) pair
-    seen again within the watermark is processed once."""
-    from tickpulse.plans.flows import process_posts
+def incremental_posts(posts: DataFrame, dictionary, scorer=None) -> DataFrame:
+    """st_incremental_posts: the post flow over a stream of post files, equal to the batch flow on the same posts.
 
-    spark = posts.sparkSession
-    path, schema = stage_as_files(posts, "posts-stream", "ts")
-    s = _read_stream(spark, path, schema).withColumn("event_ts", _event_time("ts"))
-    s = s.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(["platform", "content"])
-    out = _run_batches(s, "posts-stream", lambda b: process_posts(b.drop("event_ts", "day"), dictionary, scorer=scorer))
-    return spark.read.parquet(out).drop("batch")
+    Each micro-batch writes its finished rows; the table read back keeps one row per (timestamp, symbol, content)
+    by the batch flow's own order, so the order in which files arrive does not matter and no text is kept as state.
+    """
+    from tickpulse.plans.flows import first_rows, process_posts
 
+    path, schema = stage_as_files(posts, "posts-stream")
+    s = _read_stream(posts.sparkSession, path, schema)
+    return first_rows(_run_batches(s, "posts-stream", lambda b: process_posts(b, dictionary, scorer=scorer)))
 
-def _latest(out_path: str, keys: list[str]) -> DataFrame:
-    """Final value per key: the row of the highest batch id (update-mode emissions)."""
-    spark = SparkSession.getActiveSession()
-    rows = spark.read.parquet(out_path)
-    w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "batch")
 
+def sliding_tokens(messages: DataFrame, ts_col: str, text_col: str, window_hours: int = 24, stopwords=None) -> DataFrame:
+    """st_sliding_tokens: token counts per window of ``window_hours`` sliding by the hour (the hourly 24 h trending counts).
 
-def sliding_tokens(messages: DataFrame, ts_col: str, text_col: str, window: str = "24 hours",
-                   slide: str = "1 hour", watermark: str = "30 days", stopwords=None) -> DataFrame:
-    """st_sliding_tokens: token counts per sliding window (the hourly 24 h trending counts)."""
+    Micro-batches count per (hour, token); a window's count is the sum of its hours, so a token is counted once,
+    not once per window that holds it, and a late row only adds to its hour.
+    """
     from tickpulse.functions.text import tokenize
 
     spark = messages.sparkSession
-    path, schema = stage_as_files(messages.select(F.col(ts_col).alias("ts"), F.col(text_col).alias("text")),
-                                  "tokens-stream", "ts")
-    s = _read_stream(spark, path, schema).withColumn("event_ts", _event_time("ts"))
-    toks = s.select("event_ts", F.explode(tokenize(F.col("text"), stopwords)).alias("token"))
-    agg = toks.withWatermark("event_ts", watermark).groupBy(F.window("event_ts", window, slide), "token") \
-        .agg(F.count(F.lit(1)).alias("n"))
-    flat = lambda b: b.select(_wall_clock(F.col("window.start")).alias("window_start"),
-                              _wall_clock(F.col("window.end")).alias("window_end"), "token", "n")
-    out = _run_batches(agg, "tokens-stream", flat, mode="update")
-    return _latest(out, ["window_start", "token"])
-
-
-def tumbling_stock_sentiment(all_content: DataFrame, offset: str = "8 hours", watermark: str = "30 days") -> DataFrame:
+    path, schema = stage_as_files(messages.select(F.col(ts_col).alias("ts"), F.col(text_col).alias("text")), "tokens-stream")
+    hour = epoch_seconds("ts") - F.pmod(epoch_seconds("ts"), F.lit(3600))
+
+    def count(batch: DataFrame) -> DataFrame:
+        toks = batch.where(F.col("ts").isNotNull()).select(hour.alias("hour"), F.explode(tokenize(F.col("text"), stopwords)).alias("token"))
+        return toks.groupBy("hour", "token").agg(F.count(F.lit(1)).alias("n"))
+
+    per_hour = _run_batches(_read_stream(spark, path, schema), "tokens-stream", count).groupBy("hour", "token").agg(F.sum("n").alias("n"))
+    starts = F.explode(F.sequence(F.col("hour") - 3600 * (window_hours - 1), F.col("hour"), F.lit(3600).cast("long")))
+    windows = per_hour.select(starts.alias("start"), "token", "n").groupBy("start", "token").agg(F.sum("n").alias("n"))
+    return windows.select(ts_of_epoch("start").alias("window_start"), ts_of_epoch(F.col("start") + 3600 * window_hours).alias("window_end"), "token", "n")
+
+
+def tumbling_stock_sentiment(all_content: DataFrame, offset_hours: int = 8) -> DataFrame:
     """st_tumbling_stock_sentiment: per-symbol sentiment counts per day running 08:00 to 08:00."""
-    spark = all_content.sparkSession
-    rows = all_content.where(F.col("symbol").isNotNull()).withColumn("ts", ts_of_epoch("timestamp"))
-    path, schema = stage_as_files(rows.select("ts", "symbol", "sentiment"), "sentiment-stream", "ts")
-    s = _read_stream(spark, path, schema).withColumn("event_ts", _event_time("ts"))
+    rows = all_content.where(F.col("symbol").isNotNull()).select("timestamp", "symbol", "sentiment")
+    path, schema = stage_as_files(rows, "sentiment-stream")
+    shift = offset_hours * 3600
+    day = F.col("timestamp") - F.pmod(F.col("timestamp") - shift, F.lit(86400))
     st = F.col("sentiment")
-    agg = s.withWatermark("event_ts", watermark).groupBy(F.window("event_ts", "1 day", "1 day", offset), "symbol").agg(
-        F.count(F.when(st == POSITIVE, 1)).alias("positive"), F.count(F.when(st == NEGATIVE, 1)).alias("negative"),
-        F.count(F.when(st == NEUTRAL, 1)).alias("neutral"), F.count(F.lit(1)).alias("total"))
-    flat = lambda b: b.select(_wall_clock(F.col("window.start")).alias("window_start"),
-                              "symbol", "positive", "negative", "neutral", "total")
-    out = _run_batches(agg, "sentiment-stream", flat, mode="update")
-    return _latest(out, ["window_start", "symbol"])
+    names = ["positive", "negative", "neutral", "total"]
+
+    def count(batch: DataFrame) -> DataFrame:
+        return batch.where(F.col("timestamp").isNotNull()).groupBy(day.alias("start"), "symbol").agg(
+            F.count(F.when(st == POSITIVE, 1)).alias("positive"), F.count(F.when(st == NEGATIVE, 1)).alias("negative"),
+            F.count(F.when(st == NEUTRAL, 1)).alias("neutral"), F.count(F.lit(1)).alias("total"))
+
+    parts = _run_batches(_read_stream(all_content.sparkSession, path, schema), "sentiment-stream", count)
+    per = parts.groupBy("start", "symbol").agg(*[F.sum(n).alias(n) for n in names])
+    return per.select(ts_of_epoch("start").alias("window_start"), "symbol", *names)
