@@ -215,7 +215,8 @@ def weighted_metrics(df: DataFrame, true_col="true_label", pred_col="pred_label"
 
 
 # ---------------------------------------------------------------- classifier
-def classifier_pipeline(text_col: str = "model_text", label_col: str = "label_idx", num_features: int = 1 << 16):
+def classifier_pipeline(text_col: str = "model_text", label_col: str = "label_idx", num_features: int = 1 << 16,
+                        reg_param: float = 0.01):
     """flow_train_classifier (re-aimed): a Spark ML text classifier."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -225,7 +226,7 @@ def classifier_pipeline(text_col: str = "model_text", label_col: str = "label_id
                          toLowercase=True)
     tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=30, regParam=0.01,
+    lr = LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=30, regParam=reg_param,
                             family="multinomial")
     return Pipeline(stages=[tok, tf, idf, lr])
 
@@ -236,13 +237,22 @@ def label_index(col="label") -> Column:
     return F.when(c == "negative", 0.0).when(c == "positive", 2.0).otherwise(1.0)
 
 
-def train_classifier(labelled: DataFrame, include_stock_info: bool = True):
-    """Train on the 'train' split and return (model, scored test rows with true/pred labels)."""
+def train_classifier(labelled: DataFrame, include_stock_info: bool = True, reg_params=(0.01, 0.1), key: str = "doc_id"):
+    """flow_train_classifier: fit one model per candidate on three quarters of the train split, keep the candidate with
+    the best weighted F1 on the last quarter, and fit it on the whole train split."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
     data = labelled.withColumn("model_text", stock_tag("text", "stock_code") if include_stock_info else F.col("text")) \
         .withColumn("label_idx", label_index())
     train = data.where(F.col("split") == "train")
-    model = classifier_pipeline().fit(train)
-    return model
+    best = reg_params[0]
+    if len(reg_params) > 1 and key in train.columns:
+        part = F.pmod(F.xxhash64(key), F.lit(4))
+        fit_rows, check_rows = train.where(part > 0), train.where(part == 0)
+        judge = MulticlassClassificationEvaluator(labelCol="label_idx", metricName="f1")
+        scores = [judge.evaluate(classifier_pipeline(reg_param=r).fit(fit_rows).transform(check_rows)) for r in reg_params]
+        best = reg_params[scores.index(max(scores))]
+    return classifier_pipeline(reg_param=best).fit(train)
 
 
 def evaluate_classifier(model, rows: DataFrame, include_stock_info: bool = True) -> DataFrame:

@@ -386,6 +386,8 @@ def q_sink_rumor_analyst_append(spark, sf):
 
 
 # ================================================================ YouTube mentions
+from tickpulse.plans.catalog_relational import YT_WINDOW_SQL  # noqa: E402
+
 # FIXED VALUES: title-case words that act as case-sensitive "tickers" in the test text
 YT_TICKERS = ["The", "Les", "Die", "Der", "Que", "El", "La"]
 
@@ -397,12 +399,19 @@ def _yt(spark, sf):
     return yt_window(fx.yt_post(spark, sf), _epoch_dt(YT_WIN[0]), _epoch_dt(YT_WIN[1]))
 
 
-@register("flow_yt_mentions", None)
+@register("flow_yt_mentions", with_fixtures(f"select * from {ot.mentions('yt_post', YT_TICKERS, 20)}", "yt_post"))
 def q_flow_yt_mentions(spark, sf):
     return flows.yt_mentions(fx.yt_post(spark, sf), YT_TICKERS)
 
 
-@register("flow_yt_job", None)
+_ADVICE_SQL = f"""select distinct floor(epoch(post_at))::bigint as "timestamp", post_ticker as symbol, context as advise, post_id as source
+    from {ot.mentions('yt_win', YT_TICKERS, 20)}"""
+
+
+@register("flow_yt_job", with_fixtures(
+    f"""select * from youtuber_advice union all by name select * from ({_ADVICE_SQL}) i where not exists (select 1 from youtuber_advice e
+        where e."timestamp" = i."timestamp" and e.symbol = i.symbol and e.advise = i.advise and e.source = i.source)""",
+    "yt_post", "youtuber_advice", extra=[("yt_win", YT_WINDOW_SQL)]))
 def q_flow_yt_job(spark, sf):
     from tickpulse.operators.upsert import upsert
 
@@ -606,7 +615,7 @@ def q_sink_table_export(spark, sf):
     return back
 
 
-@register("flow_summarize", None)
+@register("flow_summarize", ot.smart_summary("documents", ot.summary_clean("text"), 150)[1:-1])
 def q_flow_summarize(spark, sf):
     d = fx.table(spark, sf, "documents").select("doc_id", "text")
     return flows.summarize(d, "text").select("doc_id", "summary")

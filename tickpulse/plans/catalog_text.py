@@ -218,12 +218,19 @@ def q_fn_split_by_capital(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(s).alias("n_parts"), F.array_join(s, " | ").alias("parts"))
 
 
-@register("fn_smart_summary", None)
+@register("fn_smart_summary", ot.smart_summary("documents", ot.summary_clean("text"), 100)[1:-1])
 def q_fn_smart_summary(spark, sf):
     return docs(spark, sf).select("doc_id", fs.smart_summary("text", 100).alias("summary"))
 
 
-@register("fn_summary_post", None)
+_FIRST = f"(select doc_id, ct, {ot.split_sentences('ct')}[1] as first from (select doc_id, {ot.summary_clean('text')} as ct from documents))"
+_LABEL_FREE = r"regexp_replace(first, '(?i)\b(vietnews|tóm tắt|summary):?\s*', '', 'g')"
+
+
+@register("fn_summary_post", f"""select a.doc_id, case when {ot.word_count('s')} < 5 then b.summary when regexp_matches(s, '[.!?]$') then s
+        else regexp_replace(s, '\\s+$', '') || '.' end as summary
+    from (select *, {_LABEL_FREE} as s from {_FIRST}) a
+    join {ot.smart_summary(_FIRST, ot.summary_clean('ct'), 100)} b on b.doc_id = a.doc_id""")
 def q_fn_summary_post(spark, sf):
     """Post-processing applied to a first-sentence 'model summary' of each document."""
     d = docs(spark, sf).withColumn("_c", ft.summary_clean("text"))
@@ -232,19 +239,27 @@ def q_fn_summary_post(spark, sf):
 
 
 # ---------------------------------------------------------------- rewriting
-_PAIRS = "rewrite_pairs"
+# literal rows that hit each branch of the rules, next to the table's pairs
+_CUES = [(-1, "Nghe đồn FPT sắp chia cổ tức 20%!", ""), (-2, "Tôi nghe  nói vậy, nghe nói HPG (thép) lỗ", None),
+         (-3, "Hình như VNM tăng; có vẻ như mạnh", "hình như VNM tăng; có vẻ như mạnh"), (-4, "không có gì", "  kết quả   mới"),
+         (-5, "CÓ VẺ NHƯ thị trường yên", " CÓ VẺ NHƯ thị trường yên "), (-6, "giá vàng", "đã xong?")]
+_PAIRS_SQL = "(select pair_id, original, rewritten from rewrite_pairs union all select * from (values " + ", ".join(
+    f"({i}, {ot.q(o)}, {'null' if r is None else ot.q(r)})" for i, o, r in _CUES) + ") v(pair_id, original, rewritten))"
+
 
+def _rewrite_rows(spark, sf):
+    cues = spark.createDataFrame(_CUES, "pair_id long, original string, rewritten string")
+    return fx.rewrite_pairs(spark, sf).select("pair_id", "original", "rewritten").unionByName(cues)
 
-@register("fn_rewrite_rules", None)
+
+@register("fn_rewrite_rules", with_fixtures(f"select pair_id, {ot.rewrite_rules('original')} as rewritten from {_PAIRS_SQL}", "rewrite_pairs"))
 def q_fn_rewrite_rules(spark, sf):
-    p = fx.rewrite_pairs(spark, sf)
-    return p.select("pair_id", rewrite_rules("original", F.col("pair_id"), prefix_other=True).alias("rewritten"))
+    return _rewrite_rows(spark, sf).select("pair_id", rewrite_rules("original").alias("rewritten"))
 
 
-@register("fn_rewrite_post", None)
+@register("fn_rewrite_post", with_fixtures(f"select pair_id, {ot.rewrite_post('rewritten', 'original')} as rewritten from {_PAIRS_SQL}", "rewrite_pairs"))
 def q_fn_rewrite_post(spark, sf):
-    p = fx.rewrite_pairs(spark, sf)
-    return p.select("pair_id", rewrite_post("rewritten", "original").alias("rewritten"))
+    return _rewrite_rows(spark, sf).select("pair_id", rewrite_post("rewritten", "original").alias("rewritten"))
 
 
 @register("fn_rewrite_accept", with_fixtures(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tickpulse.operators import evaluation as ev
@@ -140,24 +142,34 @@ def _labelled_split(spark, sf):
     return trn.hash_split(fx.labelled(spark, sf), "doc_id")
 
 
-@register("flow_train_classifier", None)
+_SPLIT_SQL = "(((doc_id % 2147483648 + 42) % 2147483648) * 2654435761) % 4294967296 % 100"
+ACCURACY_FLOOR = 0.6
+
+
+@register("flow_train_classifier", with_fixtures(
+    f"select label, count(*) as train_rows, true as learned from labelled where {_SPLIT_SQL} < 80 group by label", "labelled"))
 def q_flow_train_classifier(spark, sf):
-    """Train on the 80 % split; the result lists the learned per-class intercepts and sizes."""
+    """Train on the 80 % split: the rows each class was learned from, and whether its intercept is a finite number other than 0."""
     data = _labelled_split(spark, sf)
-    model = trn.train_classifier(data)
-    lr = model.stages[-1]
-    rows = [(trn.CLASS_LABELS[i], float(lr.interceptVector[i])) for i in range(len(lr.interceptVector))]
+    lr = trn.train_classifier(data).stages[-1]
+    found = [(trn.CLASS_LABELS[i], math.isfinite(x) and x != 0) for i, x in enumerate(lr.interceptVector.toArray().tolist())]
     counts = data.where("split = 'train'").groupBy("label").agg(F.count(F.lit(1)).alias("train_rows"))
-    return spark.createDataFrame(rows, "label string, intercept double").join(counts, "label", "left")
+    return counts.join(spark.createDataFrame(found, "label string, learned boolean"), "label", "left")
 
 
-@register("flow_evaluate_classifier", None)
+@register("flow_evaluate_classifier", with_fixtures(
+    f"""select * from (with t as (select label from labelled where {_SPLIT_SQL} >= 80)
+    select label, count(*) as support, true as holds from t group by label
+    union all select unnest(['accuracy', 'macro avg', 'weighted avg']), count(*), true from t)""", "labelled"))
 def q_flow_evaluate_classifier(spark, sf):
-    """Held-out evaluation of the trained classifier: the classification report of its predictions."""
+    """Held-out evaluation of the trained classifier, as facts that hold for any training run: the supports, ratios between
+    0 and 1, and an accuracy of at least ``ACCURACY_FLOOR``."""
     data = _labelled_split(spark, sf)
     model = trn.train_classifier(data)
-    scored = trn.evaluate_classifier(model, data.where("split = 'test'"))
-    return trn.classification_report(scored)
+    report = trn.classification_report(trn.evaluate_classifier(model, data.where("split = 'test'")))
+    sound = F.col("f1_score").between(0.0, 1.0) & F.coalesce(F.col("precision").between(0.0, 1.0), F.lit(True))
+    good = F.when(F.col("label") == "accuracy", F.col("f1_score") >= ACCURACY_FLOOR).otherwise(F.lit(True))
+    return report.select("label", "support", (sound & good).alias("holds"))
 
 
 # ---------------------------------------------------------------- ROUGE

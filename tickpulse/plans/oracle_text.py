@@ -200,3 +200,62 @@ def truncate(x: str, n: int) -> str:
 
 def summary_keywords_hit(s: str) -> str:
     return "(" + " or ".join(f"contains(lower({s}), {q(k)})" for k in SUMMARY_KEYWORDS) + ")"
+
+
+def smart_summary(src: str, x: str, n: int) -> str:
+    """(doc_id, summary) of a (doc_id, cleaned text) source.  The greedy choice takes a prefix of the candidates in
+    score order: each next one must fit behind those before it, and three are enough."""
+    sents = (rf"list_filter(list_transform(string_split(regexp_replace(ct, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), "
+             f"lambda s: {strip('s')}), lambda s: s <> '')")
+    score = (f"(case when pos = 1 then 3 when pos <= 3 then 1 else 0 end) + (case when {summary_keywords_hit('s')} then 2 else 0 end) "
+             "+ (case when regexp_matches(s, '\\p{Nd}') then 1 else 0 end) + (case when wc between 8 and 25 then 1 else 0 end)")
+    return f"""(with c as (select doc_id, {x} as ct from {src}), t as (select doc_id, ct, {sents} as ss from c),
+        u as (select doc_id, ss[pos] as s, pos, len({words('ss[pos]')}) as wc from (select doc_id, ss, unnest(range(1, len(ss) + 1)) as pos from t)),
+        k as (select doc_id, s, pos, row_number() over w as rk, sum(length(s) + 1) over w - 1 as upto from
+              (select *, {score} as score from u where wc between 5 and 50) window w as (partition by doc_id order by score desc, pos)),
+        p as (select doc_id, count(*) as n_cands, string_agg(s, ' ' order by rk) filter (rk <= 3 and upto <= {n}) as picked from k group by doc_id),
+        f as (select doc_id, first(s order by pos) as s from u where wc between 10 and 40 group by doc_id)
+        select t.doc_id, case when len({words('ct')}) <= 8 then ct when len(ss) = 0 then substring(ct, 1, {n}) || '...'
+            when p.n_cands is null then case when f.s is not null then {truncate('f.s', n)} else {truncate('ct', n)} end
+            when p.picked is null then {truncate('ss[1]', n)} else p.picked end as summary
+        from t left join p on p.doc_id = t.doc_id left join f on f.doc_id = t.doc_id)"""
+
+
+def rewrite_rules(o: str) -> str:
+    """The rule rewriter without a prefix for other texts (NULL)."""
+    from tickpulse.constants import REWRITE_PREFIX_HEARSAY, REWRITE_PREFIX_OPINION
+
+    clean = strip(rf"regexp_replace(regexp_replace({o}, '[^{W}\s.,!?]', '', 'g'), '\s+', ' ', 'g')")
+
+    def without(cue: str) -> str:  # a cue between word boundaries, with the blanks after it
+        return rf"regexp_replace({clean}, '(?i)(^|[^{W}])(?:{cue})(?:\s+|([^{W}\s])|$)', '\1\2', 'g')"
+
+    def has(*cues: str) -> str:
+        return " or ".join(f"contains(lower({o}), {q(c)})" for c in cues)
+
+    return (f"(case when {has('nghe đồn', 'nghe nói')} then {q(REWRITE_PREFIX_HEARSAY)} || {without('nghe[ ]+(?:đồn|nói|bảo)')} "
+            f"when {has('hình như', 'có vẻ như')} then {q(REWRITE_PREFIX_OPINION)} || {without('hình như|có vẻ như')} end)")
+
+
+def rewrite_post(r: str, o: str) -> str:
+    c = strip(rf"regexp_replace({r}, '\s+', ' ', 'g')")
+    cap = f"(upper(substring({c}, 1, 1)) || substring({c}, 2))"
+    return (f"(case when {r} is null or {r} = '' or {strip(r)} = {strip(o)} then {rewrite_rules(o)} "
+            f"when regexp_matches({cap}, '[.?!]$') then {cap} else {cap} || '.' end)")
+
+
+def mentions(src: str, tickers: list[str], radius: int) -> str:
+    """(post_id, post_ticker, post_sentence, context, post_at): every hit's window, cut at capitals; of the sentences that hold the
+    ticker each next one is taken that is not a neighbour of the one taken before."""
+    alternation = q("(" + "|".join(sorted(tickers, key=len, reverse=True)) + ")")
+    hits = f"""(select post_id, post_at, ws, i, hit, tks[hit] as tk from (select *, unnest(range(1, len(tks) + 1)) as hit from
+        (select *, regexp_extract_all(ws[i], {alternation}) as tks from (select post_id, post_at, ws, unnest(range(1, len(ws) + 1)) as i from
+        (select post_id, post_at, {words('post_content')} as ws from {src}))))) """
+    window = f"array_to_string(list_slice(ws, greatest(i - {radius}, 1), i + {radius}), ' ')"
+    parts = split_by_capital(f"(select *, {window} as w from {hits})", "post_id, post_at, i, hit, tk", "w")
+    holds = "list_filter(range(1, len(parts) + 1), lambda j: contains(parts[j], tk))"
+    taken = ("(case when len(held) = 0 then [] else list_reduce(list_transform(held, lambda j: [j]), "
+             "lambda a, b: case when b[1] > a[len(a)] + 1 then list_concat(a, b) else a end) end)")
+    return f"""(select post_id, tk as post_ticker, parts[j] as post_sentence,
+        concat_ws(' ', case when j > 1 then parts[j - 1] end, parts[j], parts[j + 1]) as context, post_at
+        from (select *, unnest({taken}) as j from (select *, {holds} as held from {parts})))"""
