@@ -56,18 +56,15 @@ def _base_score(s) -> Column:
 
 
 def sentence_table(sentences) -> Column:
-    """Per-sentence features computed once per post: the sentence, its upper-cased word runs
-    (for whole-word, case-insensitive code matching), its code-independent score and its
-    first three words.  The lower-cased text and the word list are bound once per sentence."""
-    def row(s):
-        return let(F.struct(F.lower(s).alias("low"), _nonspace(s).alias("ws")), lambda v: F.struct(
-            s.alias("s"),
-            F.array_distinct(F.regexp_extract_all(F.upper(s), F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("up"),
-            _base_score_of(s, v["low"], F.size(v["ws"])).alias("base"),
-            F.slice(v["ws"], 1, 3).alias("first3"),
-        ))
+    """The sentences of a post with their upper-cased text, which finds the sentences that can name a
+    code.  Word runs and scores are worked out only for those (see ``best_sentence_index``)."""
+    return F.transform(_c(sentences), lambda s: F.struct(s.alias("s"), F.upper(s).alias("up")))
 
-    return F.transform(_c(sentences), row)
+
+def _names(f, code) -> Column:
+    """The code is a whole word of the sentence, in any case: the word runs are extracted only where the letters occur."""
+    runs = F.regexp_extract_all(f["up"], F.lit(r"[\p{L}\p{N}_]+"), 0)
+    return F.coalesce(F.contains(f["up"], code) & F.array_contains(runs, code), F.lit(False))
 
 
 def sentence_score(sentence, code) -> Column:
@@ -77,9 +74,11 @@ def sentence_score(sentence, code) -> Column:
     return _base_score(s) + F.when(near, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def _feat_score(f, code) -> Column:
-    near = F.startswith(f["s"], code) | F.array_contains(f["first3"], code)
-    return f["base"] + F.when(near, F.lit(1.0)).otherwise(F.lit(0.0))
+def _score_for(s, code) -> Column:
+    """fn_sentence_score with the lower-cased text and the word list bound once."""
+    near = lambda v: F.startswith(s, code) | F.array_contains(F.slice(v["ws"], 1, 3), code)
+    return let(F.struct(F.lower(s).alias("low"), _nonspace(s).alias("ws")),
+               lambda v: _base_score_of(s, v["low"], F.size(v["ws"])) + F.when(near(v), F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
 def context_of(sentences, pos) -> Column:
@@ -97,10 +96,14 @@ def best_sentence_index(table, code) -> Column:
     t = _c(table)
     c = _c(code)
     hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))),
-                    lambda i: F.coalesce(F.array_contains(F.try_element_at(t, i)["up"], c), F.lit(False)))
-    best = F.array_max(F.transform(hits, lambda i: F.struct(_feat_score(F.element_at(t, i), c).alias("sc"),
-                                                             (-i).alias("neg_i"))))
-    return F.when(F.size(hits) == 0, F.lit(None)).otherwise(-best["neg_i"])
+                    lambda i: F.coalesce(_names(F.try_element_at(t, i), c), F.lit(False)))
+
+    def best(found):
+        scored = F.transform(found, lambda i: F.struct(_score_for(F.element_at(t, i)["s"], c).alias("sc"), (-i).alias("neg_i")))
+        return (F.when(F.size(found) == 0, F.lit(None)).when(F.size(found) == 1, F.element_at(found, 1))
+                .otherwise(-F.array_max(scored)["neg_i"]))
+
+    return let(hits, best)
 
 
 def important_sentence(table, code) -> Column:
