@@ -149,3 +149,19 @@ def test_report_evaluates_its_input_once(spark):
     assert m.accuracy == 0.5 and abs(m.recall - 0.5) < 1e-12
     plan = training.classification_report(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_one_page_is_filled_by_many_blocks(spark):
+    from tickpulse.operators.fill import carry_down
+
+    rows = [(1 if i < 900 else 2, i, f"v{i}" if i % 97 == 0 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, i long, v string").repartition(5)
+    got = {r.i: (r.last, r.n) for r in carry_down(df, ["k"], "i", {"last": F.col("v")}, {"n": F.col("v").isNotNull()}, block=16).collect()}
+    want, last, n = {}, None, 0
+    for k, i, v in rows:
+        if i == 900:
+            last, n = None, 0
+        if v is not None:
+            last, n = v, n + 1
+        want[i] = (last, n)
+    assert got == want

@@ -466,29 +466,15 @@ def q_flow_calendar(spark, sf):
 @register("win_ffill_date", with_fixtures("select row_idx, hdr as date_header, grp from cr where grp > 0", *CAL_FIX,
                                           extra=CAL_CTE[:1]))
 def q_win_ffill_date(spark, sf):
-    from pyspark.sql import Window
-
-    raw = fx.calendar_raw(spark, sf)
-    w = Window.partitionBy("page_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    has = F.col("date").isNotNull() & (F.regexp_replace("date", r"(?U)\s", "") != "")
-    r = raw.select("row_idx", F.sum(F.when(has, 1).otherwise(0)).over(w).alias("grp"),
-                   F.last(F.when(has, F.col("date")), ignorenulls=True).over(w).alias("date_header"))
-    return r.where("grp > 0")
+    r = flows.calendar_headers(fx.calendar_raw(spark, sf))
+    return r.where("grp > 0").select("row_idx", F.col("_hdr").alias("date_header"), "grp")
 
 
 @register("win_ffill_time", with_fixtures("select row_idx, event_time from cf", *CAL_FIX, extra=CAL_CTE[:3]))
 def q_win_ffill_time(spark, sf):
-    from pyspark.sql import Window
-
-    raw = fx.calendar_raw(spark, sf)
-    w = Window.partitionBy("page_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    has = F.col("date").isNotNull() & (F.regexp_replace("date", r"(?U)\s", "") != "")
-    r = raw.withColumn("grp", F.sum(F.when(has, 1).otherwise(0)).over(w))
+    r = flows.calendar_headers(fx.calendar_raw(spark, sf))
     r = r.where((F.col("grp") > 0) & (F.regexp_replace("event", r"(?U)^\s+|\s+$", "") != ""))
-    wg = Window.partitionBy("page_id", "grp").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    t = F.regexp_replace("time", r"(?U)^\s+|\s+$", "")
-    return r.select("row_idx", F.coalesce(F.last(F.nullif(t, F.lit("")), ignorenulls=True).over(wg), F.lit(""))
-                    .alias("event_time"))
+    return flows.calendar_times(r).select("row_idx", "event_time")
 
 
 @register("fn_nest_events", with_fixtures(

@@ -4,7 +4,7 @@ explicit so that results are repeatable."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickpulse.constants import DEFAULT_CONFIDENCE, NEUTRAL, YT_WINDOW_WORDS
@@ -16,6 +16,7 @@ from tickpulse.functions.tickers import TickerDictionary, extract_codes, symbols
 from tickpulse.functions.timewin import normalize_calendar_date
 from tickpulse.operators import joins, rollup
 from tickpulse.operators.common import content_keys, materialize
+from tickpulse.operators.fill import carry_down
 from tickpulse.operators.sentiment import transform_sentiment
 from tickpulse.sources import unified
 
@@ -232,20 +233,27 @@ def advice_rows(mentions: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- calendar
 
 
+def calendar_headers(raw: DataFrame) -> DataFrame:
+    """win_ffill_date: ``_hdr``, the last date header of the page at or above the row, and ``grp``, its number (0: none yet)."""
+    has_date = F.col("date").isNotNull() & (F.regexp_replace("date", r"(?U)\s", "") != "")
+    return carry_down(raw, ["page_id"], "row_idx", {"_hdr": F.when(has_date, F.col("date"))}, {"grp": has_date})
+
+
+def calendar_times(rows: DataFrame) -> DataFrame:
+    """win_ffill_time: a blank time takes the last time of its date group ('' when there is none)."""
+    t = F.nullif(F.regexp_replace("time", r"(?U)^\s+|\s+$", ""), F.lit(""))
+    out = carry_down(rows, ["page_id", "grp"], "row_idx", {"event_time": t})
+    return out.withColumn("event_time", F.coalesce("event_time", F.lit("")))
+
+
 def calendar_events(raw: DataFrame, base_date) -> DataFrame:
     """flow_calendar (flat): date headers fill down within a page (win_ffill_date), rows without
     an event title are dropped (flt_event_present), blank times take the last time of the same
     date group (win_ffill_time), dates are normalised (fn_normalize_date); rows before the first
     header or under an empty date are dropped."""
-    w_page = Window.partitionBy("page_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    has_date = F.col("date").isNotNull() & (F.regexp_replace("date", r"(?U)\s", "") != "")
-    r = raw.withColumn("_is_hdr", F.when(has_date, 1).otherwise(0))
-    r = r.withColumn("grp", F.sum("_is_hdr").over(w_page))
-    r = r.withColumn("_hdr", F.last(F.when(has_date, F.col("date")), ignorenulls=True).over(w_page))
+    r = calendar_headers(raw)
     r = r.where((F.col("grp") > 0) & (F.regexp_replace("event", r"(?U)^\s+|\s+$", "") != ""))
-    w_grp = Window.partitionBy("page_id", "grp").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    t = F.regexp_replace("time", r"(?U)^\s+|\s+$", "")
-    r = r.withColumn("event_time", F.coalesce(F.last(F.nullif(t, F.lit("")), ignorenulls=True).over(w_grp), F.lit("")))
+    r = calendar_times(r)
     r = r.withColumn("event_date", normalize_calendar_date(F.col("_hdr"), base_date))
     r = r.where(F.col("event_date") != "")
     return r.select("page_id", "grp", "row_idx", "event_date", "event_time", "currency", "impact", "event", "actual",
