@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import inspect
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
+from tickpulse.constants import CONTEXT_VETO_WORDS, RUMOR_PATTERNS
 from tickpulse.functions import sentences as fs
 from tickpulse.functions import text as ft
 from tickpulse.functions import tickers as tk
@@ -13,7 +18,7 @@ from tickpulse.functions.timewin import epoch_seconds, floor_to, normalize_calen
 from tickpulse.operators.training import stock_tag
 from tickpulse.plans import oracle_text as ot
 from tickpulse.plans.oracle_fixtures import with_fixtures
-from tickpulse.plans.registry import register
+from tickpulse.plans.registry import register as _register
 from tickpulse.sources import fixtures as fx
 
 DICT = tk.TickerDictionary(sorted(fx.TEST_TICKERS))
@@ -22,11 +27,41 @@ TEST_CUE_WORDS = ["that", "was", "und"]
 TEST_PATTERNS = whole_word_patterns(TEST_CUE_WORDS)
 
 
+# Literal rows beside the documents, so that every rule bites in both engines: one text per rumor cue (the next two hold two
+# cues), a veto word on either side of a ticker, decomposed accents, entities, links, short texts.
+_CUE_TEXTS = [
+    "Tôi nghe đồn là FPT lên", "họ đồn rằng giá giảm", "có tin đồn rằng lãi", "theo lời đồn thì tốt", "người ta nói là lỗ",
+    "có nguồn tin rằng bán", "nhiều người nói vậy", "có người cho rằng mua", "cả nhóm xì xào", "tin vỉa hè thôi",
+    "tin chưa kiểm chứng", "chưa có căn cứ gì", "Hình như tăng", "nghe bảo thế", "nghe kể lại", "được cho là lớn",
+    "có vẻ như giảm", "có khả năng là đúng", "tin nội bộ nhé", "tin rò rỉ ra", "có lời đồn mới", "có người truyền tai nhau",
+    "đồn đại phát sinh", "đồn đại nhiều", "đồn thổi mãi", "a rumor here", "pure hearsay", "Word on the street is up",
+    "people say so", "sources say no", "allegedly true", "reportedly sold", "unconfirmed news", "mere speculation", "a whisper",
+    "it is said", "according to rumors", "gossip only", "rumor has it", "reportedly a rumour", "THEO LỜI ĐỒN, hình như thế",
+]
+_OTHER_TEXTS = [
+    *[f"hôm nay {w} IT tăng mạnh" for w in CONTEXT_VETO_WORDS], *[f"mua IT {w} ngay" for w in CONTEXT_VETO_WORDS],
+    "IT dẫn đầu, AI theo sau", "it và ai không phải mã", unicodedata.normalize("NFD", "Cổ phiếu tăng trưởng ổn định"),
+    "A&amp;B &lt;x&gt; &quot;q&quot; it&#39;s", "xem http://a.b/c @user #tag ngay!!!", "hearsays rumorous gossipy", "ok", "",
+    "Giá cổ phiếu tăng 5% hôm nay. Nhà đầu tư mua mạnh trên thị trường trong phiên sáng. Lợi nhuận quý này đạt 900 tỷ đồng!",
+]
+LITERAL_DOCS = [(-1 - i, t) for i, t in enumerate([*_CUE_TEXTS, *_OTHER_TEXTS])]
+DOCS_SQL = "(select doc_id, text from documents union all select * from (values " + ", ".join(
+    f"({i}, {ot.q(t)})" for i, t in LITERAL_DOCS) + ") v(doc_id, text))"
 FLAGGED_DOCS = f"(select doc_id, text, {ot.common_flags('text', DICT.symbols)} from documents)"
 
 
 def docs(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", "text")
+    literal = spark.createDataFrame(LITERAL_DOCS, "doc_id long, text string")
+    return fx.table(spark, sf, "documents").select("doc_id", "text").unionByName(literal)
+
+
+def register(name: str, sql: str | None = None):
+    """Registers a query; one over ``docs`` reads the literal rows in its SQL too."""
+    def deco(fn):
+        over = sql is not None and "docs(spark, sf)" in inspect.getsource(fn)
+        return _register(name, re.sub(r"\bfrom documents\b", lambda m: f"from {DOCS_SQL}", sql) if over else sql)(fn)
+
+    return deco
 
 
 # ---------------------------------------------------------------- cleaning / tokens
@@ -146,17 +181,20 @@ def q_set_sorted_distinct_join(spark, sf):
     return z.select("id", tk.symbols_csv("content", DICT).alias("symbol"))
 
 
+ALL_PATTERNS = [*RUMOR_PATTERNS, *TEST_PATTERNS]
+
+
 def _pattern_sql(x):
     out = "null"
-    for w in reversed(TEST_CUE_WORDS):
-        pat = r"\b" + w + r"\b"
-        out = f"case when regexp_matches(lower({x}), '(^|[^\\p{{L}}\\p{{N}}_]){w}([^\\p{{L}}\\p{{N}}_]|$)') then {ot.q(pat)} else {out} end"
-    return out
+    for pat in reversed(ALL_PATTERNS):
+        body = pat.removeprefix(r"\b").removesuffix(r"\b")
+        out = f"case when regexp_matches(low, {ot.q(f'(^|[^{ot.W}])(?:{body})([^{ot.W}]|$)')}) then {ot.q(pat)} else {out} end"
+    return f"case when {x} is null or {x} = '' then null else {out} end"
 
 
-@register("fn_rumor_pattern", f"select doc_id, {_pattern_sql('text')} as matched_keyword from documents")
+@register("fn_rumor_pattern", f"select doc_id, {_pattern_sql('text')} as matched_keyword from (select *, lower(text) as low from documents)")
 def q_fn_rumor_pattern(spark, sf):
-    return docs(spark, sf).select("doc_id", rumor_pattern("text", TEST_PATTERNS).alias("matched_keyword"))
+    return docs(spark, sf).select("doc_id", rumor_pattern("text", ALL_PATTERNS).alias("matched_keyword"))
 
 
 # ---------------------------------------------------------------- sentences
