@@ -229,6 +229,7 @@ def q_agg_token_bins_right_closed(spark, sf):
 
 # ================================================================ post / reply flows
 from tickpulse.functions import tickers as tk  # noqa: E402
+from tickpulse.operators.sentiment import ColumnScorer  # noqa: E402
 from tickpulse.plans import flows  # noqa: E402
 from tickpulse.plans.catalog_relational import (REPLY_SUMMARY_SQL, RUMOR_MSG_SQL, RUMOR_WIN, SPLIT_NEW,  # noqa: E402
                                                 _reply_summary, rumor_msgs)
@@ -237,6 +238,17 @@ from tickpulse.plans.catalog_text import DICT, TEST_CUE_WORDS, TEST_PATTERNS  #
 _STRIP = ot.strip
 
 
+def _word_score(c):
+    """A deterministic scorer with a DuckDB twin (``ot.word_score``), so that the flows' sentiment columns vary."""
+    low = F.lower(c)
+    up, down = F.contains(low, F.lit(" the ")) | F.contains(low, F.lit("tăng")), F.contains(low, F.lit(" und "))
+    return F.struct(F.when(up, "positive").when(down, "negative").otherwise("neutral").alias("label"),
+                    F.when(up, 0.9).when(down, 0.8).otherwise(0.6).alias("score"))
+
+
+WORD_SCORER = ColumnScorer(_word_score, "words")
+_LABEL, _SCORE = (lambda x: ot.word_score(x, "label")), (lambda x: ot.word_score(x, "score"))
+
 def _flag_sql(src: str, key: str, text: str, extra_cols: str) -> str:
     return f"(select {key} as doc_id, {text} as text, {extra_cols}, {ot.common_flags(text, DICT.symbols)} from {src})"
 
@@ -250,17 +262,17 @@ PROCESS_POSTS_SQL = f"""select "timestamp", source, title, symbol, content, sent
     select "timestamp", platform as source, cast(null as varchar) as title, cast(null as varchar) as symbol,
         content, 'TRUNG_TÍNH' as sentiment from posts where content is not null and length({_STRIP('content')}) < 10
     union all
-    select "timestamp", platform, null, null, text, 'TRUNG_TÍNH' from {_POST_CODES} where len(codes) = 0
+    select "timestamp", platform, null, null, text, {_LABEL('text')} from {_POST_CODES} where len(codes) = 0
     union all
-    select p."timestamp", p.platform, null, b.code,
-        case when b.best_pos is null then '' else {ot.context_at('b.ss', 'list_position(b.ss, b.ss[b.best_pos])')} end,
-        'TRUNG_TÍNH'
-    from ({_POST_BEST}) b join {_POST_CODES} p on p.doc_id = b.doc_id)) where rn = 1"""
+    select "timestamp", platform, null, code, content, {_LABEL("(case when content <> '' then content else text end)")}
+    from (select p."timestamp", p.platform, p.text, b.code,
+        case when b.best_pos is null then '' else {ot.context_at('b.ss', 'list_position(b.ss, b.ss[b.best_pos])')} end as content
+    from ({_POST_BEST}) b join {_POST_CODES} p on p.doc_id = b.doc_id))) where rn = 1"""
 
 
 @register("flow_process_posts", with_fixtures(PROCESS_POSTS_SQL, "posts"))
 def q_flow_process_posts(spark, sf):
-    return flows.process_posts(fx.posts(spark, sf), DICT)
+    return flows.process_posts(fx.posts(spark, sf), DICT, scorer=WORD_SCORER)
 
 
 _REPLIES = """(select r.reply_id, r.post_id, r.rely_content, p."timestamp" from fb_reply r join fb_post p on r.post_id = p.post_id
@@ -276,30 +288,30 @@ PROCESS_REPLIES_SQL = f"""
     union all
     select doc_id, post_id, null, null, 'TRUNG_TÍNH', "timestamp", 0.5 from {_REPLY_CODES} where len(codes) = 0
     union all
-    select b.doc_id, p.post_id, b.code,
-        case when b.best_pos is null then '' else {ot.context_at('b.ss', 'list_position(b.ss, b.ss[b.best_pos])')} end,
-        'TRUNG_TÍNH', p."timestamp", 0.5
-    from ({_REPLY_BEST}) b join {_REPLY_CODES} p on p.doc_id = b.doc_id"""
+    select doc_id, post_id, code, content, {_LABEL('content')}, "timestamp", {_SCORE('content')}
+    from (select b.doc_id, p.post_id, b.code, p."timestamp",
+        case when b.best_pos is null then '' else {ot.context_at('b.ss', 'list_position(b.ss, b.ss[b.best_pos])')} end as content
+    from ({_REPLY_BEST}) b join {_REPLY_CODES} p on p.doc_id = b.doc_id)"""
 
 
 @register("flow_process_replies", with_fixtures(PROCESS_REPLIES_SQL, "fb_reply", "fb_post",
                                                extra=[("rs", REPLY_SUMMARY_SQL)]))
 def q_flow_process_replies(spark, sf):
-    return flows.process_replies(fx.fb_reply(spark, sf), fx.fb_post(spark, sf), DICT, _reply_summary(spark, sf))
+    return flows.process_replies(fx.fb_reply(spark, sf), fx.fb_post(spark, sf), DICT, _reply_summary(spark, sf), scorer=WORD_SCORER)
 
 
 _SENT_GATE = f"""case when text is null or text = '' or length({_STRIP('text')}) < 3 then 'Text too short'
         when length({_STRIP(ot.sentiment_clean('nfc_normalize(text)'))}) < 2 then 'Text too short after cleaning'
-        else 'Model not loaded' end"""
+        else 'words' end"""
 
 
-@register("flow_sentiment_score", f"""select doc_id, 'TRUNG_TÍNH' as sentiment, 0.5 as confidence,
+@register("flow_sentiment_score", f"""select doc_id, {_LABEL('text')} as sentiment, {_SCORE('text')} as confidence,
         {_SENT_GATE} as sentiment_source from documents""")
 def q_flow_sentiment_score(spark, sf):
     from tickpulse.operators.sentiment import transform_sentiment
 
     d = fx.table(spark, sf, "documents").select("doc_id", "text")
-    return transform_sentiment(d, "text").select("doc_id", "sentiment", "confidence", "sentiment_source")
+    return transform_sentiment(d, "text", WORD_SCORER).select("doc_id", "sentiment", "confidence", "sentiment_source")
 
 
 # ================================================================ rumors
@@ -612,7 +624,7 @@ def q_flow_summarize(spark, sf):
 def q_st_incremental_posts(spark, sf):
     from tickpulse.streaming.streams import incremental_posts
 
-    return incremental_posts(fx.posts(spark, sf), DICT)
+    return incremental_posts(fx.posts(spark, sf), DICT, scorer=WORD_SCORER)
 
 
 @register("st_sliding_tokens", with_fixtures(

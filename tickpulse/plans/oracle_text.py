@@ -167,6 +167,15 @@ def sentiment_clean(x: str) -> str:
     return strip(rf"regexp_replace({t}, '\s+', ' ', 'g')")
 
 
+def word_score(x: str, field: str) -> str:
+    """The label or score that the word scorer of the registered flows gives a text, after the flow's gates."""
+    clean = f"lower({sentiment_clean(f'nfc_normalize({x})')})"
+    values = {"label": ("'TÍCH_CỰC'", "'TIÊU_CỰC'", "'TRUNG_TÍNH'", "'TRUNG_TÍNH'"), "score": ("0.9", "0.8", "0.6", "0.5")}[field]
+    return (f"(case when {x} is null or {x} = '' or length({strip(x)}) < 3 or length({strip(sentiment_clean(f'nfc_normalize({x})'))}) < 2 "
+            f"then {values[3]} when contains({clean}, ' the ') or contains({clean}, 'tăng') then {values[0]} "
+            f"when contains({clean}, ' und ') then {values[1]} else {values[2]} end)")
+
+
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
             ("&amp;", "&")]
 
