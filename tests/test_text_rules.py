@@ -53,7 +53,7 @@ def test_rewrite_opinion_cue(spark):
 def test_validate_symbol(spark):
     df = one_col(spark, [" fpt-vn@hose ", "", None, "@@"])
     got = [r.s for r in df.select(ft.validate_symbol("t").alias("s")).collect()]
-    assert got == ["FPTVNHOS", None, None, None]
+    assert got == ["FPTVNHOSE", None, None, None]  # cleaned, never cut
 
 
 def test_normalize_date(spark):
