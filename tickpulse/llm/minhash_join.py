@@ -131,8 +131,9 @@ def _postings(classes: DataFrame, coords: int, need: int) -> DataFrame:
     keep = F.greatest(F.lit(0), F.size("common") - F.lit(need - 1))
     posted = ranked.select("node", F.slice("common", 1, keep).alias("kept")).where(F.size("kept") > 0)
     mask = F.aggregate("kept", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x["token"], 32).cast("int"))))
-    rows = posted.select("node", F.explode("kept.token").alias("token"), mask.alias("mask"))
-    return rows.join(classes.select("node", "n", "sig"), "node")
+    rows = written(posted.select("node", F.explode("kept.token").alias("token"), mask.alias("mask")), "posted")
+    several = rows.groupBy("token").agg(F.count("*").alias("often")).where("often > 1").select("token")
+    return rows.join(several, "token").join(classes.select("node", "n", "sig"), "node")
 
 
 def _agreeing(pairs: DataFrame, coords: int, need: int) -> DataFrame:
@@ -152,11 +153,11 @@ def _agreeing(pairs: DataFrame, coords: int, need: int) -> DataFrame:
     return pairs.mapInArrow(count, "a binary, b binary")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``node, n, hashes`` of the wanted classes, from the texts of their representatives."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("t_id"), F.xxhash64(text).alias("t_raw"), text.alias("text"))
-    found = texts.join(wanted.select("node", "rep"), F.col("rep.doc_id").eqNullSafe(F.col("t_id")) & (F.col("rep.raw") == F.col("t_raw")))
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, always_shuffle: bool) -> DataFrame:
+    """``node, hashes`` of the wanted classes, from the texts of their representatives."""
+    marks = wanted.select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.raw").alias("raw"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = chosen_rows(texts, marks, carry=("node",), always_shuffle=always_shuffle)
 
     def collect(batches):
         for b in batches:
@@ -213,9 +214,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     rows = written(signatures(docs, id_col, text_col, words, coords), "signatures")
     classes = written(_classes(rows), "classes")
     posts = written(_postings(classes, coords, need), "postings")
-    wanted = classes.join(posts.select("node").distinct(), "node", "left_semi")
-    sets = written(_sets(docs, wanted, id_col, text_col, words).dropDuplicates(["node"]), "sets")
-
+    sets = None  # of the classes in any candidate pair so far
     labels = None  # node, label of the nodes with links
     links = None
     live = posts
@@ -249,7 +248,14 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
             F.col("node_a").alias("a"), F.col("node_b").alias("b"), "sig_a", "sig_b", "mask_a", "mask_b", F.shiftright("token", 32).cast("int").alias("coord")
         )
         found = _agreeing(pairs, coords, need).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = written(_confirm(written(found, "candidates"), sets, percent), "links")
+        found = written(found, "candidates")
+        asked = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if sets is not None:
+            asked = asked.join(sets.select("node"), "node", "left_anti")
+        asked = written(classes.select("node", "rep").join(asked, "node", "left_semi"), "asked")
+        more = written(_sets(docs, asked, id_col, text_col, words, step == 0), "sets")
+        sets = more if sets is None else sets.unionByName(more)
+        new = written(_confirm(found, sets, percent), "links")
         if not new.isEmpty():
             links = new if links is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new)
             labels = written(connected_components(links, "a", "b"), "labels")

@@ -13,19 +13,20 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def chosen_rows(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", copies: str | None = None) -> DataFrame:
+def chosen_rows(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", copies: str | None = None, carry: tuple[str, ...] = (), always_shuffle: bool = True) -> DataFrame:
     """One full row of ``docs`` for each distinct ``doc_id, raw`` of ``marks``, or as many as its ``copies`` column says.
 
-    All columns are returned as they are.  Of rows that repeat id and text the first by a hash of all columns is taken.  The join
-    always shuffles both sides, so a table of any size takes the same plan.
+    All columns are returned as they are, and the ``carry`` columns of ``marks``.  Of rows that repeat id and text the first by
+    a hash of all columns is taken.  The join shuffles both sides, so a table of any size takes the same plan; without
+    ``always_shuffle`` Spark may send round ``marks`` that it measured as small.
     """
     of = lambda i: (F.col(i).isNull().alias("__none"), F.coalesce(F.col(i).cast("long"), F.lit(0)).alias("__id"))
     left = docs.select("*", *of(id_col), text_hash(text_col).alias("__raw"))
     extra = [F.col(copies).cast("int").alias("__copies")] if copies else []
-    right = marks.select(*of("doc_id"), F.col("raw").alias("__raw"), *extra)
-    both = left.join(right.hint("merge"), list(_KEY))
+    right = marks.select(*of("doc_id"), F.col("raw").alias("__raw"), *extra, *[F.col(c).alias(f"__carry_{c}") for c in carry])
+    both = left.join(right.hint("merge") if always_shuffle else right, list(_KEY))
     simple = [c for c, t in docs.dtypes if not t.startswith("map")]
     first = both.withColumn("__n", F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.xxhash64(*simple)))).where("__n = 1")
     if copies:
         first = first.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return first.select(*docs.columns)
+    return first.select(*docs.columns, *[F.col(f"__carry_{c}").alias(c) for c in carry])
