@@ -10,11 +10,14 @@ posting list but the first both have, and pairs that reach ``need`` are
 confirmed on their full sets.
 
 Groups are never expanded into all pairs.  Round 0 compares each list's members
-with its smallest one.  Later rounds look only at lists that still hold several
-components, and compare members outside the largest component with members of
-other components: all of them where they are few (the list is then
-finished), a hashed choice that grows fourfold by the round where they are many.  The
-rounds end when every list is finished, so no link between components is left out.
+with its smallest one, the centre.  What a member lacks of its centre's set, and
+which of its other shingles any further member has, bounds what two members can
+share, so most members that the centre does not link are settled by this bound alone.
+Later rounds compare, between different components only, the members that the
+bound leaves open, and members that agree too little with their centre to have
+one: all of them where they are few (the group is then finished), a hashed choice
+that grows fourfold by the round where they are many.  The rounds end when every
+group is finished, so no link between components is left out.
 """
 
 from __future__ import annotations
@@ -147,7 +150,8 @@ def _agreeing(pairs: DataFrame, coords: int, need: int) -> DataFrame:
             equal = a == b
             posted = (t.column("mask_a").to_numpy() & t.column("mask_b").to_numpy())[:, None] >> np.arange(coords) & 1
             both = equal & (posted > 0)
-            ok = (equal.sum(axis=1) >= need) & (both.argmax(axis=1) == t.column("coord").to_numpy())
+            coord = t.column("coord").to_numpy()
+            ok = (equal.sum(axis=1) >= need) & ((coord < 0) | (both.argmax(axis=1) == coord))
             yield pa.RecordBatch.from_arrays([t.column("a").filter(pa.array(ok)), t.column("b").filter(pa.array(ok))], names=["a", "b"])
 
     return pairs.mapInArrow(count, "a binary, b binary")
@@ -171,11 +175,36 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words:
     return found.select("node", "text").mapInArrow(collect, "node binary, hashes array<bigint>")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, na, nb, more``: set sizes, and the hashes of ``b`` that ``a`` lacks."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-    both = F.size(F.array_intersect("ha", "hb"))
-    return two.where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+    return two.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.array_except("hb", "ha").alias("more"))
+
+
+def _linked_sets(percent: int):
+    both = F.col("nb") - F.size("more")
+    return 100 * both >= percent * (F.col("na") + F.col("nb") - both)
+
+
+def _hubs(stars: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Members of every round-0 centre with an exact bound on what two of them can share.
+
+    With ``lost`` hashes of the centre missing in a member, and ``shared`` of its own others that some other member of the hub has too,
+    two members share at most ``size of the centre - larger lost + smaller shared``.  ``probe`` is False for a member that cannot
+    reach the similarity with any other member by this bound.
+    """
+    extra = stars.select("a", "b", F.explode("more").alias("h"))
+    common = extra.groupBy("a", "h").agg(F.count("*").alias("k")).where("k > 1").select("a", "h")
+    shared = extra.join(common, ["a", "h"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    rows = stars.select("a", "b", "na", F.col("nb").alias("n"), (F.col("na") - F.col("nb") + F.size("more")).alias("lost"))
+    rows = rows.join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    centre = stars.groupBy("a").agg(F.first("na").alias("na")).select("a", F.col("a").alias("b"), "na", F.col("na").alias("n"), F.lit(0).alias("lost"), F.lit(0).cast("long").alias("shared"))
+    rows = rows.unionByName(centre)
+    smallest = rows.groupBy("a").agg(F.min("n").alias("small"))
+    room = (100 + percent) * (F.col("na") - F.col("lost") + F.col("shared")) >= percent * (F.col("n") + F.col("small"))
+    rows = rows.join(smallest, "a").select(F.col("a").alias("grp"), F.col("b").alias("node"), "n", "na", "lost", "shared", room.alias("probe"))
+    return rows.join(classes.select("node", "sig"), "node").withColumn("mask", F.lit(-1).cast("long")).withColumn("coord", F.lit(-1))
 
 
 def near_duplicates(
@@ -184,15 +213,15 @@ def near_duplicates(
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
-    coords: int = 32,
-    need: int = 14,
+    coords: int = 64,
+    need: int = 37,
     few: int = 32,
 ) -> DataFrame:
     """Link texts whose shingle sets have ``100 * intersection >= percent * union``; one row per document.
 
     Returns ``doc_id, n_shingles, component_id, kept``; the component is the smallest id reachable over links and the
     document with that id stays.  ``need`` equal coordinates of ``coords`` make a candidate: at the threshold 0.8 a link is
-    missed with a probability of about 2e-6, above it with less.
+    missed with a probability of about 1.4e-5, at 0.85 of about 3e-8.
 
     Null and empty texts and texts without words have no shingles and no links; they keep their own id.  Rows without an
     id belong to the component of their text, but never name one; a component of such rows only has a null id and
@@ -206,7 +235,7 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of linked texts (the smallest id; without ids
     the first by a hash of the text), and every text without words."""
-    marks = _linked(docs, id_col, text_col, words, percent, 32, 14, 32).where("stays").select("doc_id", "raw").distinct()
+    marks = _linked(docs, id_col, text_col, words, percent, 64, 37, 32).where("stays").select("doc_id", "raw").distinct()
     return chosen_rows(docs, written(marks, "kept"), id_col, text_col)
 
 
@@ -214,57 +243,79 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     rows = written(signatures(docs, id_col, text_col, words, coords), "signatures")
     classes = written(_classes(rows), "classes")
     posts = written(_postings(classes, coords, need), "postings")
-    sets = None  # of the classes in any candidate pair so far
-    labels = None  # node, label of the nodes with links
-    links = None
-    live = posts
-    step = 0
-    while True:
-        if labels is None:
-            members = live.withColumn("label", F.col("node"))
-        else:
-            members = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            members = written(members, "members")
-        per = members.groupBy("token", "label").agg(F.count("*").alias("k"))
-        lists = per.groupBy("token").agg(F.sum("k").alias("size"), F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("top"))
-        lists = lists.where("labels > 1").select("token", "size", F.col("top.label").alias("top"), (F.col("size") - F.col("top.k")).alias("rest"))
-        lists = written(lists, "lists")
-        limit = few * 4 ** (step - 1)
-        if step == 0:
-            low = members.groupBy("token").agg(F.min("node").alias("low"))
-            centers = members.join(low, "token").where("node = low").drop("low")
-        else:
-            if lists.isEmpty():
-                break
-            choice = (F.col("rest") <= limit) | (F.pmod(F.xxhash64("node", F.lit(step)), F.col("rest")) < limit)
-            centers = members.join(lists, "token").where("label <> top").where(choice).select(*members.columns)
-        a = centers.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "sig", "mask")])
-        b = members.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "sig", "mask")])
-        near = a.join(b, "token").where(
-            "label_a <> label_b and node_a <> node_b"
-            f" and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-        )
-        pairs = near.select(
-            F.col("node_a").alias("a"), F.col("node_b").alias("b"), "sig_a", "sig_b", "mask_a", "mask_b", F.shiftright("token", 32).cast("int").alias("coord")
-        )
-        found = _agreeing(pairs, coords, need).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = written(found, "candidates")
-        asked = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if sets is not None:
-            asked = asked.join(sets.select("node"), "node", "left_anti")
+    near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    side = lambda m, t, cols: m.select("grp", *[F.col(c).alias(f"{c}_{t}") for c in cols])
+
+    def met(centres: DataFrame, members: DataFrame, condition: str, extra: tuple[str, ...] = ()) -> DataFrame:
+        """Candidate pairs of centres and members of their groups, signatures compared."""
+        cols = ("node", "n", "sig", "mask", *extra)
+        both = side(centres.withColumnRenamed("coord", "coord_"), "a", cols).join(side(members, "b", cols), "grp").where(f"node_a <> node_b and {near} and {condition}")
+        # the group of a list is its token, with the coordinate in the upper half; hubs have no coordinate
+        coord = F.shiftright("grp", 32).cast("int") if dict(members.dtypes)["grp"] == "bigint" else F.lit(-1)
+        pairs = both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "sig_a", "sig_b", "mask_a", "mask_b", coord.alias("coord"))
+        return _agreeing(pairs, coords, need).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    # round 0: every list's members against its smallest one
+    lists = posts.withColumnRenamed("token", "grp")
+    low = written(lists.groupBy("grp").agg(F.min("node").alias("low")), "centres")
+    lists = lists.join(low, "grp")
+    found = written(met(lists.where("node = low"), lists.where("node <> low"), "true").distinct(), "candidates")
+
+    def fetch(pairs: DataFrame, have: DataFrame | None) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if have is not None:
+            asked = asked.join(have.select("node"), "node", "left_anti")
         asked = written(classes.select("node", "rep").join(asked, "node", "left_semi"), "asked")
-        more = written(_sets(docs, asked, id_col, text_col, words, step == 0), "sets")
-        sets = more if sets is None else sets.unionByName(more)
-        new = written(_confirm(found, sets, percent), "links")
+        more = written(_sets(docs, asked, id_col, text_col, words, have is None), "sets")
+        return more if have is None else have.unionByName(more)
+
+    sets = fetch(found, None)
+    stars = written(_compare(found, sets), "stars")
+    links = stars.where(_linked_sets(percent)).select("a", "b")
+    labels = written(connected_components(links, "a", "b"), "labels")
+
+    # later rounds: pairs of one hub that its bound allows, and pairs of a list with a member that its centre knows nothing of
+    hubs = written(_hubs(stars, classes, percent), "hubs")
+    known = stars.select(F.col("a").alias("low"), F.col("b").alias("node"), F.lit(True).alias("known"))
+    odd = lists.join(known, ["low", "node"], "left").withColumn("probe", F.col("known").isNull() & (F.col("node") != F.col("low")))
+    odd = odd.join(odd.where("probe").select("grp").distinct(), "grp", "left_semi")
+    odd = written(odd.select("grp", "node", "n", "sig", "mask", "probe"), "open-lists")
+    bound = f"{100 + percent} * (na_a - greatest(lost_a, lost_b) + least(shared_a, shared_b)) >= {percent} * (n_a + n_b)"
+    work = [(hubs, True, bound, ("label", "na", "lost", "shared")), (odd, False, "true", ("label",))]
+    step = 1
+    while work:
+        limit = few * 4 ** (step - 1)
+        pairs, rest = None, []
+        for members, skip_top, condition, extra in work:
+            m = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            per = m.groupBy("grp", "label").agg(F.count("*").alias("k"), F.count(F.when(F.col("probe"), 1)).alias("p"))
+            state = per.groupBy("grp").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label", "p")).alias("top"), F.sum("p").alias("p"))
+            open_ = (F.col("p") - F.col("top.p")) if skip_top else F.col("p")
+            state = written(state.select(F.col("grp").alias("g"), "labels", F.col("top.label").alias("top"), open_.alias("open")).where("labels > 1 and open > 0"), "open-groups")
+            if state.isEmpty():
+                continue
+            m = m.join(state, F.col("grp") == F.col("g")).drop("g")
+            choice = F.col("probe") & ((F.col("open") <= limit) | (F.pmod(F.xxhash64("node", F.lit(step)), F.col("open")) < limit))
+            if skip_top:
+                choice = choice & (F.col("label") != F.col("top"))
+            got = met(m.where(choice), m, f"label_a <> label_b and {condition}", extra)
+            pairs = got if pairs is None else pairs.unionByName(got)
+            left = state.where(F.col("open") > limit).select("g")
+            if not left.isEmpty():
+                rest.append((members.join(left, F.col("grp") == F.col("g"), "left_semi"), skip_top, condition, extra))
+        if pairs is None:
+            break
+        found = written(pairs.distinct(), "candidates")
+        sets = fetch(found, sets)
+        new = written(_compare(found, sets).where(_linked_sets(percent)).select("a", "b"), "links")
         if not new.isEmpty():
-            links = new if links is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new)
+            links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new)
             labels = written(connected_components(links, "a", "b"), "labels")
-        done = F.col("size") <= 2 if step == 0 else F.col("rest") <= limit
-        live = live.join(lists.where(~done).select("token"), "token", "left_semi")
+        work = rest
         step += 1
 
     named = classes.select(F.col("node").alias("c_node"), "low_id", "rep")
-    named = named.withColumn("label", F.col("c_node")) if labels is None else named.join(labels, F.col("c_node") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c_node")).drop("node")
+    named = named.join(labels, F.col("c_node") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c_node")).drop("node")
     lowest = named.groupBy("label").agg(F.min("low_id").alias("component_id"), F.min("rep").alias("stays"))
     named = written(named.join(lowest, "label").select("c_node", "component_id", "stays"), "named")
     out = rows.select("doc_id", "raw", "n_shingles", "node").join(named, F.col("node") == F.col("c_node"), "left")
