@@ -21,8 +21,8 @@ import numpy as np
 
 
 def _flat_ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    before = np.cumsum(sizes) - sizes
-    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=starts.dtype)
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -44,22 +44,24 @@ def suffix_arrays(text: np.ndarray, lane_starts: np.ndarray) -> np.ndarray:
     n = len(text)
     if n == 0:
         return np.empty(0, np.int64)
-    lane_sizes = np.diff(np.append(lane_starts, n))
+    kind = np.int32 if n < 1 << 31 else np.int64
+    lane_starts = lane_starts.astype(kind)
+    lane_sizes = np.diff(np.append(lane_starts, kind(n)))
     lane = np.repeat(np.arange(len(lane_starts)), lane_sizes)
-    sa = np.argsort(lane * 4096 + text, kind="stable")
-    first = _runs(lane[sa], text[sa])
-    sizes = np.diff(np.append(first, n))
-    gid = np.empty(n, np.int64)
+    sa = np.argsort(lane * 4096 + text, kind="stable").astype(kind)
+    first = _runs(lane[sa], text[sa]).astype(kind)
+    sizes = np.diff(np.append(first, kind(n)))
+    gid = np.empty(n, kind)
     gid[sa] = np.repeat(first, sizes)
-    gend = np.zeros(n, np.int64)
+    gend = np.zeros(n, kind)
     gend[first] = first + sizes
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.arange(n)
+    rank = np.empty(n, kind)
+    rank[sa] = np.arange(n, dtype=kind)
     separator = text == 0
-    prev = np.full(n, -1, np.int64)
+    prev = np.full(n, -1, kind)
     moved = np.zeros(n, bool)
     cur = lane_starts + lane_sizes
-    low = lane_starts + np.add.reduceat(separator.astype(np.int64), lane_starts)
+    low = lane_starts + np.add.reduceat(separator.astype(kind), lane_starts)
 
     active = np.flatnonzero(cur > low)
     while len(active):
@@ -86,13 +88,13 @@ def suffix_arrays(text: np.ndarray, lane_starts: np.ndarray) -> np.ndarray:
         if len(hit):
             hit.sort()
             at = _runs(hit)
-            times = np.diff(np.append(at, len(hit)))
+            times = np.diff(np.append(at, len(hit))).astype(kind)
             p = hit[at]
             home = gid[p]
             order = np.lexsort((times, home))
             p, times, home = p[order], times[order], home[order]
             at = _runs(home)
-            t = np.diff(np.append(at, len(p)))
+            t = np.diff(np.append(at, len(p))).astype(kind)
             start = home[at]
             new_start = gend[start] - t
             slot = _flat_ranges(new_start, t)
@@ -108,12 +110,12 @@ def suffix_arrays(text: np.ndarray, lane_starts: np.ndarray) -> np.ndarray:
             moved[p] = False
             gend[start] = new_start
             at = _runs(home, times)
-            t = np.diff(np.append(at, len(p)))
+            t = np.diff(np.append(at, len(p))).astype(kind)
             gend[slot[at]] = slot[at] + t
             gid[p] = np.repeat(slot[at], t)
         active = active[cur[active] > low[active]]
 
-    free = np.arange(n)
+    free = np.arange(n, dtype=kind)
     placed = separator.copy()
     by_size = np.argsort(-lane_sizes, kind="stable")
     starts, longest = lane_starts[by_size], lane_sizes[by_size]
