@@ -187,7 +187,7 @@ def _linked_sets(percent: int):
     return 100 * both >= percent * (F.col("na") + F.col("nb") - both)
 
 
-def _hubs(stars: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _hubs(stars: DataFrame, percent: int) -> DataFrame:
     """Members of every round-0 centre with an exact bound on what two of them can share.
 
     With ``lost`` hashes of the centre missing in a member, and ``shared`` of its own others that some other member of the hub has too,
@@ -204,7 +204,7 @@ def _hubs(stars: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     smallest = rows.groupBy("a").agg(F.min("n").alias("small"))
     room = (100 + percent) * (F.col("na") - F.col("lost") + F.col("shared")) >= percent * (F.col("n") + F.col("small"))
     rows = rows.join(smallest, "a").select(F.col("a").alias("grp"), F.col("b").alias("node"), "n", "na", "lost", "shared", room.alias("probe"))
-    return rows.join(classes.select("node", "sig"), "node").withColumn("mask", F.lit(-1).cast("long")).withColumn("coord", F.lit(-1))
+    return rows.withColumn("mask", F.lit(-1).cast("long"))
 
 
 def near_duplicates(
@@ -249,7 +249,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     def met(centres: DataFrame, members: DataFrame, condition: str, extra: tuple[str, ...] = ()) -> DataFrame:
         """Candidate pairs of centres and members of their groups, signatures compared."""
         cols = ("node", "n", "sig", "mask", *extra)
-        both = side(centres.withColumnRenamed("coord", "coord_"), "a", cols).join(side(members, "b", cols), "grp").where(f"node_a <> node_b and {near} and {condition}")
+        both = side(centres, "a", cols).join(side(members, "b", cols), "grp").where(f"node_a <> node_b and {near} and {condition}")
         # the group of a list is its token, with the coordinate in the upper half; hubs have no coordinate
         coord = F.shiftright("grp", 32).cast("int") if dict(members.dtypes)["grp"] == "bigint" else F.lit(-1)
         pairs = both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "sig_a", "sig_b", "mask_a", "mask_b", coord.alias("coord"))
@@ -275,11 +275,11 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     labels = written(connected_components(links, "a", "b"), "labels")
 
     # later rounds: pairs of one hub that its bound allows, and pairs of a list with a member that its centre knows nothing of
-    hubs = written(_hubs(stars, classes, percent), "hubs")
+    hubs = written(_hubs(stars, percent), "hubs")
     known = stars.select(F.col("a").alias("low"), F.col("b").alias("node"), F.lit(True).alias("known"))
     odd = lists.join(known, ["low", "node"], "left").withColumn("probe", F.col("known").isNull() & (F.col("node") != F.col("low")))
     odd = odd.join(odd.where("probe").select("grp").distinct(), "grp", "left_semi")
-    odd = written(odd.select("grp", "node", "n", "sig", "mask", "probe"), "open-lists")
+    odd = written(odd.select("grp", "node", "n", "mask", "probe"), "open-lists")
     bound = f"{100 + percent} * (na_a - greatest(lost_a, lost_b) + least(shared_a, shared_b)) >= {percent} * (n_a + n_b)"
     work = [(hubs, True, bound, ("label", "na", "lost", "shared")), (odd, False, "true", ("label",))]
     step = 1
@@ -294,7 +294,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
             state = written(state.select(F.col("grp").alias("g"), "labels", F.col("top.label").alias("top"), open_.alias("open")).where("labels > 1 and open > 0"), "open-groups")
             if state.isEmpty():
                 continue
-            m = m.join(state, F.col("grp") == F.col("g")).drop("g")
+            m = m.join(state, F.col("grp") == F.col("g")).drop("g")  # members of open groups only get their signatures
+            m = written(m.join(classes.select("node", "sig"), "node"), "open-members")
             choice = F.col("probe") & ((F.col("open") <= limit) | (F.pmod(F.xxhash64("node", F.lit(step)), F.col("open")) < limit))
             if skip_top:
                 choice = choice & (F.col("label") != F.col("top"))
