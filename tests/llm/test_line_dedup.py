@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickpulse.llm.line_dedup import dedup_units
+from tickpulse.llm.queries import op3_line_dedup
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -59,3 +60,13 @@ def test_paragraphs(spark):
     docs = spark.createDataFrame([(1, "a b\nc d\n\ne f g"), (2, "x\n\nA b\nc d")], "doc_id long, text string")
     got = {r.doc_id: r for r in dedup_units(docs, paragraphs=True, min_words=3).collect()}
     assert got[1].n_removed == 0 and got[2].n_removed == 1 and got[2].kept.strip() == "x"
+
+
+def test_registered_query_takes_short_lines(spark, tmp_path):
+    lines = ["All rights reserved.", "}", "", "  ", "one two three four", "a line of five words"]
+    rows = [(i, "\n".join([lines[i % 6], f"only {i}", lines[i % 4], "}"])) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_line_dedup(spark, str(tmp_path)).collect()
+    names = ["doc_id", "n_units", "n_removed", "removed_bytes", "kept_sha256"]
+    assert sorted((tuple(r[c] for c in names) for r in got), key=str) == [r[:5] for r in brute(rows, 1, "\n")]
+    assert {r.doc_id: r.removed_spans for r in got}[7] == "0-1,12-13"

@@ -88,7 +88,7 @@ def dedup_units(
     id_col: str = "doc_id",
     text_col: str = "text",
     paragraphs: bool = False,
-    min_words: int = 5,
+    min_words: int = 1,
     with_text: bool = True,
 ) -> DataFrame:
     """Cut every unit of ``min_words`` words or more whose words occurred in an earlier unit, in any document.
@@ -98,6 +98,8 @@ def dedup_units(
     and offset of the occurrence that stays.  The kept units are joined by the separator (a line feed; between
     paragraphs what stood there).  Earlier: smaller document id (null last), then earlier in the text.
 
+    By default only units without words (empty, or white space alone) are left out of this; they stay wherever they are.
+
     Null and empty texts have one empty unit, which stays.  Rows that repeat id and text count as one document, so each of them
     keeps what the document keeps.  Other columns are ignored; an empty table gives no rows.
     """
