@@ -1,10 +1,12 @@
+import inspect
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tickpulse.llm.minhash_join import near_duplicates
+from tickpulse.llm.minhash_join import keep_one, near_duplicates
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -83,3 +85,10 @@ def test_odd_rows(spark):
     check(spark, rows)
     check(spark, rows, words=5)
     check(spark, [])
+
+
+def test_a_link_at_the_threshold_is_missed_no_more_often_than_with_14_of_32():
+    miss = lambda n, need: sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(need))
+    for f in (near_duplicates, keep_one):
+        given = inspect.signature(f).parameters
+        assert miss(given["coords"].default, given["need"].default) <= miss(32, 14)

@@ -33,6 +33,9 @@ from tickpulse.llm.rows import chosen_rows
 from tickpulse.llm.scratch import written
 
 _BATCH_BYTES = 1 << 20
+COORDS = 64
+NEED = 34
+FEW = 32
 
 
 def _multipliers(coords: int) -> np.ndarray:
@@ -213,15 +216,15 @@ def near_duplicates(
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
-    coords: int = 64,
-    need: int = 37,
-    few: int = 32,
+    coords: int = COORDS,
+    need: int = NEED,
+    few: int = FEW,
 ) -> DataFrame:
     """Link texts whose shingle sets have ``100 * intersection >= percent * union``; one row per document.
 
     Returns ``doc_id, n_shingles, component_id, kept``; the component is the smallest id reachable over links and the
     document with that id stays.  ``need`` equal coordinates of ``coords`` make a candidate: at the threshold 0.8 a link is
-    missed with a probability of about 1.4e-5, at 0.85 of about 3e-8.
+    missed with a probability of about 3.2e-7, at 0.85 of about 3e-10.
 
     Null and empty texts and texts without words have no shingles and no links; they keep their own id.  Rows without an
     id belong to the component of their text, but never name one; a component of such rows only has a null id and
@@ -232,10 +235,10 @@ def near_duplicates(
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, coords: int = COORDS, need: int = NEED) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of linked texts (the smallest id; without ids
     the first by a hash of the text), and every text without words."""
-    marks = _linked(docs, id_col, text_col, words, percent, 64, 37, 32).where("stays").select("doc_id", "raw").distinct()
+    marks = _linked(docs, id_col, text_col, words, percent, coords, need, FEW).where("stays").select("doc_id", "raw").distinct()
     return chosen_rows(docs, written(marks, "kept"), id_col, text_col)
 
 
