@@ -89,10 +89,17 @@ def posts(spark, sf_dir) -> DataFrame:
     )
 
 
+def _anchored(c: DataFrame, t: DataFrame) -> DataFrame:
+    """Every conversation row with its anchor event; anchors beyond the last event wrap round, without any event the times are NULL."""
+    last = t.agg(F.max("event_id")).scalar()
+    c = c.withColumn("anchor", F.pmod(F.col("conv_id") * CONV_STRIDE, last + 1))
+    return c.join(t, c.anchor == t.event_id, "left")
+
+
 def fb_post(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("turn = 0")
     t = event_times(spark, sf_dir).select("event_id", "epoch")
-    return c.join(t, c.conv_id * CONV_STRIDE == t.event_id, "inner").select(
+    return _anchored(c, t).select(
         F.col("conv_id").cast("string").alias("post_id"),
         F.col("text").alias("content"),
         F.col("epoch").alias("timestamp"),
@@ -132,7 +139,7 @@ def zalo_chat(spark, sf_dir) -> DataFrame:
     """All turns of a conversation share the second of its anchor event."""
     c = table(spark, sf_dir, "conversations")
     t = event_times(spark, sf_dir).select("event_id", "epoch")
-    return c.join(t, c.conv_id * CONV_STRIDE == t.event_id, "inner").select(
+    return _anchored(c, t).select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
         F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 3), F.lit("NA"))
         .otherwise(F.col("text")).alias("content"),
@@ -153,7 +160,7 @@ def yt_post(spark, sf_dir) -> DataFrame:
 def youtuber_advice(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     t = event_times(spark, sf_dir).select("event_id", "epoch", "user_id")
-    return c.join(t, c.conv_id * CONV_STRIDE == t.event_id, "inner").select(
+    return _anchored(c, t).select(
         (F.col("epoch") + F.col("turn")).alias("timestamp"),
         _symbol_of(F.col("user_id")).alias("symbol"),
         F.col("text").alias("advise"),
@@ -179,7 +186,7 @@ def rumors(spark, sf_dir) -> DataFrame:
     """rumor table (id, timestamp, symbol, content, sentiment, source) from user turns."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     t = event_times(spark, sf_dir).select("event_id", "epoch", "user_id", "k")
-    return c.join(t, c.conv_id * CONV_STRIDE == t.event_id, "inner").select(
+    return _anchored(c, t).select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
         (F.col("epoch") + F.col("turn")).alias("timestamp"),
         F.when(F.col("k") % 10 == 0, F.lit(None).cast("string"))
