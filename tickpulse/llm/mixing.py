@@ -8,6 +8,9 @@ tilt ``exp(a + b * x)`` of its centred size ``x``.  Newton steps run on a writte
 histogram (source, size, documents): one aggregation per step gives gradient and
 Hessian of all sources at once.  Rates are then rounded to whole copies: the
 whole part for every document, the fractions in hash order up to the target.
+
+With these constraints ``b`` is 0 up to rounding: every document of a source gets
+the same rate, ``target / source_size``, and nothing is tilted by size.
 """
 
 from __future__ import annotations
