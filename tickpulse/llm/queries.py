@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickpulse.llm.collocations import collocations
 from tickpulse.llm.exact_dedup import exact_dedup
 from tickpulse.llm.histogram_sort import shard
 from tickpulse.llm.learned_partitions import search
 from tickpulse.llm.line_dedup import dedup_units
 from tickpulse.llm.minhash_join import near_duplicates
 from tickpulse.llm.mixing import mix
+from tickpulse.llm.periodic_runs import periodic_runs
 from tickpulse.llm.quality import score, train
 from tickpulse.llm.scratch import fresh_path
 from tickpulse.llm.substring_sa import remove_repeats
@@ -165,3 +167,42 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+             regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+      FROM documents),
+    w AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM d),
+    p AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+    g AS (SELECT lang, m, list_aggregate(w[i : i + m - 1], 'string_agg', ' ') AS phrase FROM p, range(1, 6) r(m) WHERE i + m - 1 <= len(w)),
+    f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+    n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+    c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+    x AS (
+      SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM c JOIN n USING (lang)
+      JOIN f l ON l.lang = c.lang AND l.phrase = list_aggregate(c.w[1 : k], 'string_agg', ' ')
+      JOIN f r ON r.lang = c.lang AND r.phrase = list_aggregate(c.w[k + 1 : m], 'string_agg', ' ')),
+    b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    s AS (
+      SELECT lang, f, w[i : i + z - 1] AS part
+      FROM (SELECT lang, f, m, string_split(phrase, ' ') AS w, unnest(range(1, m + 1)) AS i FROM f WHERE m > 2), range(2, 5) y(z)
+      WHERE z < m AND i + z - 1 <= m),
+    o AS (SELECT lang, list_aggregate(part, 'string_agg', ' ') AS phrase, max(f) AS longer FROM s GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+    FROM b LEFT JOIN o USING (lang, phrase)
+    WHERE longer IS NULL OR 100 * longer < 100 * a
+    QUALIFY rank <= 2000
+    """
+)
+def op11_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), planted=True, with_text=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")

@@ -113,13 +113,15 @@ def lower_az(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text number of every run of bytes other than ``\\x20 \\x09-\\x0D`` (never across texts)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text number of every run of bytes outside ``gaps`` (never across texts).
+
+    ``gaps`` is a table of 256 flags; as given it holds ``\\x20 \\x09-\\x0D``."""
     n = len(data)
     if n == 0:
         e = np.empty(0, np.int64)
         return e, e, e
-    inside = ~_SPACE[data]
+    inside = ~gaps[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
