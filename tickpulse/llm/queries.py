@@ -185,7 +185,7 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
       FROM c JOIN n USING (lang)
       JOIN f l ON l.lang = c.lang AND l.phrase = list_aggregate(c.w[1 : k], 'string_agg', ' ')
-      JOIN f r ON r.lang = c.lang AND r.phrase = list_aggregate(c.w[k + 1 : m], 'string_agg', ' ')),
+      JOIN f r ON r.lang = c.lang AND r.phrase = list_aggregate(c.w[k + 1 : c.m], 'string_agg', ' ')),
     b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
     s AS (
       SELECT lang, f, w[i : i + z - 1] AS part
