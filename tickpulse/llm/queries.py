@@ -18,6 +18,7 @@ from tickpulse.llm.mixing import mix
 from tickpulse.llm.periodic_runs import periodic_runs
 from tickpulse.llm.quality import score, train
 from tickpulse.llm.scratch import fresh_path
+from tickpulse.llm.signature_trees import jaccard_join
 from tickpulse.llm.substring_sa import remove_repeats
 from tickpulse.llm.token_files import read_tokens, write_tokens
 from tickpulse.llm.word_bpe import compile_lexicon, encode_decode
@@ -206,3 +207,28 @@ def op11_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs(table(spark, sf_dir, "documents"), planted=True, with_text=False)
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+@query(
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id,
+             unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g
+      FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS (
+      SELECT a, b FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+    l AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
+    r(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v),
+    c AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+    FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+    """
+)
+def op13_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
