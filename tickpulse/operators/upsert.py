@@ -1,35 +1,47 @@
 """Table-write semantics as pure DataFrame functions (inventory 2.2).
 
-``upsert`` returns the content of the target table after the write; callers
-write it to a fresh path (or use ``MERGE INTO`` where the catalog supports it).
-Rows whose key has a NULL never conflict, as with SQL unique constraints.
+``upsert`` returns the content of the target table after the write;
+``tickpulse.tables.bucket_table`` writes and commits the same merges.  Rows whose key has a NULL never
+conflict, as with SQL unique constraints.  Keys travel as two 64-bit hashes, so a long
+text in a key is neither a shuffle nor a sort key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _null_key(keys):
+def null_key(keys: list[str]) -> Column:
+    """True for a key that never conflicts: one with a NULL in it."""
     cond = F.lit(False)
     for k in keys:
         cond = cond | F.col(k).isNull()
     return cond
 
 
-def _unhashable(df: DataFrame) -> bool:
-    return any("map<" in t for _, t in df.dtypes)
+def key_hashes(keys: list[str], columns: list[str], k1: str = "_k1", k2: str = "_k2") -> list[Column]:
+    """Two hashes that stand for the key.  A key with a NULL has no second hash (it joins nothing) and a first one that spreads its rows."""
+    nothing = null_key(keys)
+    text = [F.col(c).cast("string") for c in columns]
+    return [
+        F.when(nothing, F.xxhash64(*text)).otherwise(F.xxhash64(*keys)).alias(k1),
+        F.when(~nothing, F.xxhash64(F.lit("second"), *keys)).alias(k2),
+    ]
 
 
-def dedup_batch(df: DataFrame, keys: list[str], order: list, keep: str = "first") -> DataFrame:
-    """One row per key inside a batch: the first (or last) by ``order``; NULL keys all kept."""
-    o = order if keep == "first" else [c.desc() if hasattr(c, "desc") else F.desc(c) for c in order]
-    # rows with a NULL key are spread over the other key values: they need no common partition
-    spread = F.when(_null_key(keys), F.xxhash64(*df.columns) if not _unhashable(df) else F.monotonically_increasing_id())
-    w = Window.partitionBy(*keys, "_apart").orderBy(*o)
-    ranked = df.withColumn("_apart", spread).withColumn("_rn", F.when(F.col("_apart").isNotNull(), F.lit(1)).otherwise(F.row_number().over(w)))
-    return ranked.where("_rn = 1").drop("_rn", "_apart")
+def dedup_batch(df: DataFrame, keys: list[str], order: list, keep: str = "first", null_apart: str | None = None) -> DataFrame:
+    """One row per key inside a batch: the first (or last) by ``order``; rows with a NULL key are all kept.
+
+    Rows of one key are reduced in every task before the shuffle, so a key may be repeated any number of times.  ``null_apart``
+    names the column whose NULL marks a key that never conflicts; as given any NULL among the keys does.
+    """
+    apart = F.col(null_apart).isNull() if null_apart else null_key(keys)
+    named = [c if isinstance(c, Column) else F.col(c) for c in order]
+    rows = df.where(~apart).select(*df.columns, *key_hashes(keys, keys, "_h1", "_h2"), F.struct(*named).alias("_o"))
+    best = F.min_by if keep == "first" else F.max_by
+    one = rows.groupBy("_h1", "_h2").agg(best(F.struct(*df.columns), "_o").alias("_row")).select("_row.*")
+    return one.unionByName(df.where(apart))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], mode: str = "update",
@@ -40,18 +52,17 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], mode: str
     mode='ignore': existing rows stay, new keys are inserted (first incoming row per key wins).
     ``order`` is the batch order of ``incoming`` (a total order makes the result deterministic).
     """
-    order = order or keys
+    if mode not in ("update", "ignore"):
+        raise ValueError(f"unknown upsert mode {mode!r}")
     cols = existing.columns
-    inc = incoming.select(*cols)
+    hashed = key_hashes(keys, keys)
+    same = [F.col(c).cast(t) for c, t in existing.dtypes]  # equal values of two types hash apart
+    inc = dedup_batch(incoming.select(*same), keys, order or keys, keep="first" if mode == "ignore" else "last")
+    inc, old = inc.select("*", *hashed), existing.select("*", *hashed)
+    of = lambda df: df.select("_k1", "_k2").where("_k2 is not null")
     if mode == "ignore":
-        inc = dedup_batch(inc, keys, order, keep="first")
-        new = inc.join(existing.select(*keys).where(~_null_key(keys)), keys, "left_anti")
-        return existing.unionByName(new)
-    if mode == "update":
-        inc = dedup_batch(inc, keys, order, keep="last")
-        kept = existing.join(inc.select(*keys).where(~_null_key(keys)), keys, "left_anti")
-        return kept.unionByName(inc)
-    raise ValueError(f"unknown upsert mode {mode!r}")
+        return existing.unionByName(inc.join(of(old), ["_k1", "_k2"], "left_anti").select(*cols))
+    return old.join(of(inc), ["_k1", "_k2"], "left_anti").select(*cols).unionByName(inc.select(*cols))
 
 
 def insert_unique(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list) -> DataFrame:
