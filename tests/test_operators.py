@@ -64,10 +64,13 @@ def test_entry_smoke(spark):
 
 
 def test_stream_equals_batch(spark):
+    from tickpulse.session import scratch_path
     from tickpulse.streaming.streams import tumbling_stock_sentiment
 
     ac = fx.all_content(spark, SF_SMALL)
-    got = tumbling_stock_sentiment(ac)
+    source, state = scratch_path(spark, "source"), scratch_path(spark, "state")
+    ac.write.parquet(source)
+    got = tumbling_stock_sentiment(spark, source, ac.schema, state)
     start = F.col("timestamp") - 28800 - F.pmod(F.col("timestamp") - 28800, F.lit(86400)) + 28800
     want = ac.where("symbol is not null").groupBy(start.alias("s"), "symbol").agg(F.count(F.lit(1)).alias("total"))
     g = sorted((r.symbol, r.total) for r in got.collect())

@@ -12,6 +12,7 @@ from tickpulse.functions.tickers import TickerDictionary, extract_codes
 from tickpulse.operators import training, trending, upsert
 from tickpulse.operators.sentiment import PandasScorer, transform_sentiment
 from tickpulse.plans import flows
+from tickpulse.session import scratch_path
 from tickpulse.streaming import streams
 
 DAYS = 220
@@ -28,6 +29,13 @@ def many_writers(spark):
         spark.conf.set(k, v)
 
 
+def arrived(df):
+    """The rows as files in a source folder, and a fresh state folder: what the streams take."""
+    source, state = scratch_path(df.sparkSession, "source"), scratch_path(df.sparkSession, "state")
+    df.write.parquet(source)
+    return df.sparkSession, source, df.schema, state
+
+
 def epoch(day, second):
     return 1_600_000_000 + day * 86400 + second
 
@@ -35,7 +43,7 @@ def epoch(day, second):
 def test_streams_keep_every_row_of_a_long_history(spark, many_writers):
     rows = [(epoch(d, 7 * i), "FPT" if i % 2 else "HPG", ["TÍCH_CỰC", "TIÊU_CỰC", "TRUNG_TÍNH", None][i % 4]) for d in range(DAYS) for i in range(4)]
     facts = spark.createDataFrame(rows, "timestamp long, symbol string, sentiment string").repartition(30)
-    got = streams.tumbling_stock_sentiment(facts).collect()
+    got = streams.tumbling_stock_sentiment(*arrived(facts), options={"maxFilesPerTrigger": 8}).collect()
     assert sum(r.total for r in got) == len(rows) and len(got) == 2 * DAYS
     assert sum(r.positive for r in got) == sum(r.negative for r in got) == sum(r.neutral for r in got) == DAYS
 
@@ -44,7 +52,7 @@ def test_sliding_counts_equal_the_batch_counts(spark, many_writers):
     base = dt.datetime(2023, 1, 1)
     rows = [(base + dt.timedelta(days=d, minutes=i), f"word{i} common") for d in range(DAYS) for i in range(2)]
     texts = spark.createDataFrame(rows, "ts timestamp_ntz, text string").repartition(30)
-    got = {(r.window_start, r.token): r.n for r in streams.sliding_tokens(texts, "ts", "text").collect()}
+    got = {(r.window_start, r.token): r.n for r in streams.sliding_tokens(*arrived(texts), "ts", "text", options={"maxFilesPerTrigger": 8}).collect()}
     want = {}
     for ts, text in rows:
         hour = ts.replace(minute=0)
@@ -59,7 +67,7 @@ def test_incremental_posts_equal_the_batch_flow(spark, many_writers):
     d = TickerDictionary(["FPT", "HPG"])
     rows = [(f"p{n}-{i}", f"Hôm nay FPT tăng mạnh lần {n % 50}.", epoch(n, 0) if i else epoch(n % 9, 0), "facebook" if i else "zalo_chat") for n in range(DAYS) for i in range(2)]
     posts = spark.createDataFrame(rows, "post_id string, content string, timestamp long, platform string").repartition(20)
-    got = sorted(tuple(r) for r in streams.incremental_posts(posts, d).collect())
+    got = sorted(tuple(r) for r in streams.incremental_posts(*arrived(posts), d, options={"maxFilesPerTrigger": 8}).collect())
     want = sorted(tuple(r) for r in flows.process_posts(posts, d).collect())
     assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in want] and len(got) > DAYS
 
