@@ -163,18 +163,16 @@ def q_agg_token_count_daily(spark, sf):
     return tr.daily_counts(_toks(spark, sf))
 
 
-@register("win_prev_day_lag", with_fixtures("select word, count_today, count_prev from dcnt", *TREND_FIXTURES,
-                                            extra=TOK_CTE + DAILY_CTE))
-def q_win_prev_day_lag(spark, sf):
-    from tickpulse.operators.trending import daily_counts
-    from pyspark.sql import Window
+_LAG_SQL = """select coalesce(t.date, p.nxt) as date, coalesce(t.word, p.word) as word, coalesce(t.n, 0) as count_today, coalesce(p.n, 0) as count_prev
+    from daily t full join (select d.word, d.n, x.nxt from daily d join nd x on d.date = x.date where x.nxt is not null) p
+      on t.date = p.nxt and t.word = p.word"""
 
-    daily = daily_counts(_toks(spark, sf))
-    last2 = daily.select("date").distinct().orderBy(F.desc("date")).limit(2) \
-        .withColumn("r", F.row_number().over(Window.orderBy(F.desc("date"))))
-    j = daily.join(F.broadcast(last2), "date")
-    return j.groupBy("word").agg(F.sum(F.when(F.col("r") == 1, F.col("count")).otherwise(0)).alias("count_today"),
-                                 F.sum(F.when(F.col("r") == 2, F.col("count")).otherwise(0)).alias("count_prev"))
+
+@register("win_prev_day_lag", with_fixtures(_LAG_SQL, *TREND_FIXTURES, extra=TOK_CTE + DAILY_CTE[:1] + [
+    ("nd", "select date, lead(date) over (order by date) as nxt from (select distinct date from daily)")]))
+def q_win_prev_day_lag(spark, sf):
+    """Every date of the table; its last one is what the daily trending list is made of."""
+    return tr.prev_day_lag(tr.daily_counts(_toks(spark, sf)))
 
 
 @register("flow_trending_daily", with_fixtures(
@@ -272,7 +270,13 @@ PROCESS_POSTS_SQL = f"""select "timestamp", source, title, symbol, content, sent
 
 @register("flow_process_posts", with_fixtures(PROCESS_POSTS_SQL, "posts"))
 def q_flow_process_posts(spark, sf):
-    return flows.process_posts(fx.posts(spark, sf), DICT, scorer=WORD_SCORER)
+    """Two runs of the job: the posts of the first half of the month, then all posts, of which the ledger leaves the others."""
+    from tickpulse.session import scratch_path
+
+    posts, state = fx.posts(spark, sf), scratch_path(spark, "posts-job")
+    flows.run_posts(posts.where(F.col("timestamp") < SPLIT_NEW), state, DICT, scorer=WORD_SCORER)
+    flows.run_posts(posts, state, DICT, scorer=WORD_SCORER)
+    return flows.content_table(spark, state).read().drop("symbol_key")
 
 
 _REPLIES = """(select r.reply_id, r.post_id, r.rely_content, p."timestamp" from fb_reply r join fb_post p on r.post_id = p.post_id
@@ -425,11 +429,12 @@ _ADVICE_SQL = f"""select distinct floor(epoch(post_at))::bigint as "timestamp",
         where e."timestamp" = i."timestamp" and e.symbol = i.symbol and e.advise = i.advise and e.source = i.source)""",
     "yt_post", "youtuber_advice", extra=[("yt_win", YT_WINDOW_SQL)]))
 def q_flow_yt_job(spark, sf):
-    from tickpulse.operators.upsert import upsert
+    from tickpulse.plans.catalog_relational import committed
 
     new = flows.advice_rows(flows.yt_mentions(_yt(spark, sf), YT_TICKERS))
-    keys = ["timestamp", "symbol", "advise", "source"]
-    return upsert(fx.youtuber_advice(spark, sf), new, keys, "ignore", keys)
+    table = committed(fx.youtuber_advice(spark, sf), "youtuber-advice", ["timestamp", "symbol", "advise", "source"])
+    table.merge(new, "ignore")
+    return table.read()
 
 
 @register("sink_advice_ignore", with_fixtures(
@@ -439,12 +444,13 @@ def q_flow_yt_job(spark, sf):
             and e."timestamp" = i."timestamp" and e.symbol = i.symbol and e.advise = i.advise and e.source = i.source)""",
     "youtuber_advice"))
 def q_sink_advice_ignore(spark, sf):
-    from tickpulse.operators.upsert import upsert
+    from tickpulse.plans.catalog_relational import committed
 
     a = fx.youtuber_advice(spark, sf)
-    keys = ["timestamp", "symbol", "advise", "source"]
-    return upsert(a.where(F.col("timestamp") < SPLIT_NEW + 5 * 86400), a.where(F.col("timestamp") >= SPLIT_NEW),
-                  keys, "ignore", keys)
+    old = a.where(F.col("timestamp") < SPLIT_NEW + 5 * 86400)
+    table = committed(old, "youtuber-advice", ["timestamp", "symbol", "advise", "source"])
+    table.merge(a.where(F.col("timestamp") >= SPLIT_NEW), "ignore")
+    return table.read()
 
 
 # ================================================================ calendar
@@ -525,10 +531,12 @@ def q_sink_calendar_json(spark, sf):
         select *, row_number() over (partition by event_date, event_time, event order by page_id desc, row_idx desc) as rn
         from flat) where rn = 1""", *CAL_FIX, extra=CAL_CTE))
 def q_sink_calendar_upsert(spark, sf):
+    from tickpulse.session import scratch_path
+
     flat = _flat(spark, sf)
     existing = flat.where(F.col("event_date") < "2024-01-10").withColumn("actual", F.lit("old")) \
         .select("event_date", "event_time", "currency", "impact", "event", "actual", "forecast", "previous")
-    return flows.calendar_upsert(existing, flat)
+    return flows.calendar_upsert(existing, flat, scratch_path(spark, "calendar"))
 
 
 # ================================================================ trending job and file sinks
@@ -620,11 +628,28 @@ def q_flow_summarize(spark, sf):
 
 
 # ================================================================ streams
+def _in_two_runs(rows, name: str, run):
+    """The stream of ``rows`` as two scheduled runs: half of the files arrive, a run reads them, the others arrive, the next run
+    goes on from its state.  ``run(source, schema, state)`` is called once for each."""
+    from tickpulse.session import scratch_path
+
+    spark = rows.sparkSession
+    source, state = scratch_path(spark, name), scratch_path(spark, name + "-state")
+    half = F.pmod(F.xxhash64(*rows.columns), F.lit(2))
+    rows.where(half == 0).write.parquet(source)
+    run(source, rows.schema, state)
+    rows.where(half == 1).write.mode("append").parquet(source)
+    return run(source, rows.schema, state)
+
+
+_FEW_FILES = {"maxFilesPerTrigger": 8}
+
+
 @register("st_incremental_posts", with_fixtures(PROCESS_POSTS_SQL, "posts"))
 def q_st_incremental_posts(spark, sf):
     from tickpulse.streaming.streams import incremental_posts
 
-    return incremental_posts(fx.posts(spark, sf), DICT, scorer=WORD_SCORER)
+    return _in_two_runs(fx.posts(spark, sf), "posts-stream", lambda *at: incremental_posts(spark, *at, DICT, scorer=WORD_SCORER, options=_FEW_FILES))
 
 
 @register("st_sliding_tokens", with_fixtures(
@@ -639,7 +664,8 @@ def q_st_sliding_tokens(spark, sf):
     from tickpulse.streaming.streams import sliding_tokens
 
     z = fx.zalo_chat(spark, sf).where(F.col("content").isNotNull() & (F.col("content") != "NA"))
-    return sliding_tokens(z.withColumn("ts", ts_of_epoch("date")), "ts", "content")
+    z = z.select(ts_of_epoch("date").alias("ts"), "content")
+    return _in_two_runs(z, "tokens-stream", lambda *at: sliding_tokens(spark, *at, "ts", "content", options=_FEW_FILES))
 
 
 @register("st_tumbling_stock_sentiment", with_fixtures(
@@ -651,4 +677,5 @@ def q_st_sliding_tokens(spark, sf):
 def q_st_tumbling_stock_sentiment(spark, sf):
     from tickpulse.streaming.streams import tumbling_stock_sentiment
 
-    return tumbling_stock_sentiment(fx.all_content(spark, sf))
+    rows = fx.all_content(spark, sf).select("timestamp", "symbol", "sentiment")
+    return _in_two_runs(rows, "sentiment-stream", lambda *at: tumbling_stock_sentiment(spark, *at, options=_FEW_FILES))

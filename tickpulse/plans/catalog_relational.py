@@ -511,6 +511,14 @@ _AC_OLD = f'select * from all_content where "timestamp" < {SPLIT_OLD}'
 _AC_NEW = f'select * from all_content where "timestamp" >= {SPLIT_NEW}'
 
 
+def committed(rows, name: str, keys: list[str]):
+    """A committed table over ``rows`` in the shared folder."""
+    from tickpulse.session import scratch_path
+    from tickpulse.tables.bucket_table import BucketTable
+
+    return BucketTable.of(rows, scratch_path(rows.sparkSession, name), keys)
+
+
 def _ac_halves(spark, sf):
     ac = fx.all_content(spark, sf)
     return ac.where(F.col("timestamp") < SPLIT_OLD), ac.where(F.col("timestamp") >= SPLIT_NEW)
@@ -535,8 +543,11 @@ def q_dedup_unique_key(spark, sf):
         where rn = 1 and not exists (select 1 from ex e where e."timestamp" = i."timestamp" and e.content = i.content)""",
     "all_content", extra=[("ex", _AC_OLD), ("inc", _AC_NEW)]))
 def q_sink_insert_unique(spark, sf):
+    """Written: the old rows are a committed table, the new ones are merged into it, and the new version is read back."""
     old, new = _ac_halves(spark, sf)
-    return upsert.insert_unique(old, new, ["timestamp", "content"], ["id"])
+    table = committed(old, "all-content", ["timestamp", "content"])
+    table.merge(new, "ignore", ["id"])
+    return table.read()
 
 
 _RS_EX = f"""select r.reply_id, r.post_id, cast(null as varchar) as stock_id, 'TRUNG_TÍNH' as cam_xuc, p."timestamp"
@@ -554,7 +565,9 @@ def q_sink_replace_by_key(spark, sf):
                                                          F.lit(NEUTRAL).alias("cam_xuc"), "timestamp")
     inc = r.where(F.col("timestamp") >= SPLIT_NEW).select("reply_id", "post_id", F.lit("S01").alias("stock_id"),
                                                            F.lit("TÍCH_CỰC").alias("cam_xuc"), "timestamp")
-    return upsert.replace_by_key(ex, inc, "reply_id")
+    table = committed(ex, "reply-summary", ["reply_id"])
+    table.merge(inc, "replace")
+    return table.read()
 
 
 @register("sink_stats_upsert", with_fixtures(

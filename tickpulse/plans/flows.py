@@ -46,7 +46,7 @@ def post_rows(posts: DataFrame, dictionary: TickerDictionary, scorer=None) -> Da
     p = p.select("*", F.explode(items).alias("_pair"))
     p = p.withColumn("symbol", F.col("_pair.symbol")).withColumn("_sentence", F.col("_pair.sentence"))
     p = p.withColumn("_sent_text", F.when(F.col("_sentence") != "", F.col("_sentence")).otherwise(F.col("_text")))
-    p = transform_sentiment(p, "_sent_text", scorer)
+    p = transform_sentiment(p, "_sent_text", scorer, normalized=True)
     sentiment = F.when(F.col("_short"), F.lit(NEUTRAL)).otherwise(F.col("sentiment"))
     return p.select("timestamp", F.col("platform").alias("source"), F.lit(None).cast("string").alias("title"),
                     "symbol", F.col("_sentence").alias("content"), sentiment.alias("sentiment"))
@@ -63,6 +63,41 @@ def process_posts(posts: DataFrame, dictionary: TickerDictionary, done: DataFram
     return first_rows(post_rows(p, dictionary, scorer))
 
 
+def run_posts(posts: DataFrame, state: str, dictionary: TickerDictionary, scorer=None, since_epoch: int | None = None) -> DataFrame:
+    """flow_process_posts as a scheduled job: posts the ledger does not hold are processed, their rows are merged into the
+    committed all_content table, and then they enter the ledger.  Returns the rows of the run.
+
+    ``state`` is the job's folder.  A run that fails after its merge is repeated without effect on the table, because rows
+    that are there already are not inserted again.
+    """
+    from tickpulse.session import scratch_path
+    from tickpulse.tables.ledger import Ledger
+
+    spark = posts.sparkSession
+    ledger, table = Ledger(spark, f"{state}/processed"), content_table(spark, state)
+    fresh = posts if since_epoch is None else unified.posts_since(posts, since_epoch, 0)
+    path = scratch_path(spark, "fresh-posts")  # read for the rows and for the ledger: the anti-join runs once
+    ledger.unprocessed(fresh.select("platform", "post_id", "content", "timestamp").where(F.col("content").isNotNull())).write.parquet(path)
+    fresh = spark.read.parquet(path)
+    staged = scratch_path(spark, "post-rows")
+    process_posts(fresh, dictionary, scorer=scorer).write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    table.merge(rows.withColumn("symbol_key", F.coalesce("symbol", F.lit(""))), "ignore", ["source", "sentiment"])
+    ledger.add(fresh)
+    return rows
+
+
+def content_table(spark, state: str):
+    """The committed all_content table of a job; a row without a symbol is one key like any other (``symbol_key``)."""
+    from tickpulse.tables.bucket_table import BucketTable
+
+    try:
+        return BucketTable(spark, f"{state}/all_content")
+    except FileNotFoundError:
+        schema = spark.createDataFrame([], "timestamp long, source string, title string, symbol string, content string, sentiment string, symbol_key string").schema
+        return BucketTable.create(spark, f"{state}/all_content", schema, ["timestamp", "symbol_key", "content"])
+
+
 def first_rows(rows: DataFrame) -> DataFrame:
     """One row per (timestamp, symbol, content): the first by (source, sentiment).
 
@@ -96,7 +131,7 @@ def process_replies(replies: DataFrame, posts: DataFrame, dictionary: TickerDict
     items = F.when(F.size("_codes") == 0, nothing).otherwise(important_sentences(split_sentences("_text"), F.col("_codes")))
     r = r.select("*", F.explode(items).alias("_pair"))
     r = r.withColumn("stock_id", F.col("_pair.symbol")).withColumn("cau_quan_trong", F.col("_pair.sentence"))
-    r = transform_sentiment(r, "cau_quan_trong", scorer)
+    r = transform_sentiment(r, "cau_quan_trong", scorer, normalized=True)
     has = F.coalesce(F.col("cau_quan_trong") != "", F.lit(False))
     return r.select("reply_id", "post_id", "stock_id", "cau_quan_trong",
                     F.when(has, F.col("sentiment")).otherwise(F.lit(NEUTRAL)).alias("cam_xuc"), "timestamp",
@@ -275,15 +310,17 @@ def unnest_events(nested: DataFrame) -> DataFrame:
                     "e.event", "e.actual", "e.forecast", "e.previous", "e.row_idx", "page_id", "grp")
 
 
-def calendar_upsert(existing: DataFrame, flat: DataFrame) -> DataFrame:
-    """sink_calendar_upsert: key (event_date, event_time, event); the last row of the batch wins."""
-    from tickpulse.operators.upsert import upsert
+CALENDAR_KEY = ["event_date", "event_time", "event"]
+CALENDAR_COLUMNS = ["event_date", "event_time", "currency", "impact", "event", "actual", "forecast", "previous"]
+
+
+def calendar_upsert(existing: DataFrame, flat: DataFrame, path: str) -> DataFrame:
+    """sink_calendar_upsert: key (event_date, event_time, event), written and committed at ``path``; the last row of the batch wins."""
+    from tickpulse.tables.bucket_table import BucketTable
 
-    cols = ["event_date", "event_time", "currency", "impact", "event", "actual", "forecast", "previous"]
-    inc = flat.select(*cols, F.struct("page_id", "row_idx").alias("_ord"))
-    ex = existing.select(*cols, F.struct(F.lit(-1).cast("bigint").alias("page_id"),
-                                         F.lit(-1).cast("bigint").alias("row_idx")).alias("_ord"))
-    return upsert(ex, inc, ["event_date", "event_time", "event"], "update", [F.col("_ord")]).drop("_ord")
+    table = BucketTable.of(existing.select(*CALENDAR_COLUMNS), path, CALENDAR_KEY)
+    table.merge(flat, "update", ["page_id", "row_idx"])
+    return table.read()
 
 
 # ---------------------------------------------------------------- summaries

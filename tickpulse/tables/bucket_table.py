@@ -50,6 +50,13 @@ class BucketTable:
         manifest.commit(spark, path.rstrip("/"), 0, content)
         return cls(spark, path)
 
+    @classmethod
+    def of(cls, rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> BucketTable:
+        """A table that holds ``rows`` as they are."""
+        table = cls.create(rows.sparkSession, path, rows.schema, keys, buckets)
+        table.merge(rows, "append")
+        return table
+
     # ------------------------------------------------------------ reading
     @property
     def version(self) -> int:
