@@ -55,16 +55,20 @@ def _base_score(s) -> Column:
                lambda v: _base_score_of(s, v["low"], v["wc"]))
 
 
-def sentence_table(sentences) -> Column:
-    """The sentences of a post with their upper-cased text, which finds the sentences that can name a
-    code.  Word runs and scores are worked out only for those (see ``best_sentence_index``)."""
-    return F.transform(_c(sentences), lambda s: F.struct(s.alias("s"), F.upper(s).alias("up")))
+def sentence_table(sentences, codes) -> Column:
+    """The sentences of a post with the codes each one names (whole words, any case).  The word runs of a sentence are
+    extracted once, whatever the number of codes; what the score needs is worked out once too, for sentences that name one."""
+    def entry(s):
+        runs = F.regexp_extract_all(F.upper(s), F.lit(r"[\p{L}\p{N}_]+"), 0)
 
+        def scored(hit):
+            body = let(F.struct(F.lower(s).alias("low"), _nonspace(s).alias("ws")), lambda v: F.struct(
+                _base_score_of(s, v["low"], F.size(v["ws"])).alias("score"), F.slice(v["ws"], 1, 3).alias("head")))
+            return F.struct(s.alias("s"), hit.alias("codes"), F.when(F.size(hit) > 0, body).alias("v"))
 
-def _names(f, code) -> Column:
-    """The code is a whole word of the sentence, in any case: the word runs are extracted only where the letters occur."""
-    runs = F.regexp_extract_all(f["up"], F.lit(r"[\p{L}\p{N}_]+"), 0)
-    return F.coalesce(F.contains(f["up"], code) & F.array_contains(runs, code), F.lit(False))
+        return let(F.array_intersect(_c(codes), runs), scored)
+
+    return F.transform(_c(sentences), entry)
 
 
 def sentence_score(sentence, code) -> Column:
@@ -74,13 +78,6 @@ def sentence_score(sentence, code) -> Column:
     return _base_score(s) + F.when(near, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def _score_for(s, code) -> Column:
-    """fn_sentence_score with the lower-cased text and the word list bound once."""
-    near = lambda v: F.startswith(s, code) | F.array_contains(F.slice(v["ws"], 1, 3), code)
-    return let(F.struct(F.lower(s).alias("low"), _nonspace(s).alias("ws")),
-               lambda v: _base_score_of(s, v["low"], F.size(v["ws"])) + F.when(near(v), F.lit(1.0)).otherwise(F.lit(0.0)))
-
-
 def context_of(sentences, pos) -> Column:
     """win_sentence_context: previous + target + next sentence joined by a space."""
     s = _c(sentences)
@@ -93,17 +90,14 @@ def context_of(sentences, pos) -> Column:
 def best_sentence_index(table, code) -> Column:
     """win_best_sentence: 1-based index of the highest-scored sentence naming the code
     (whole word, any case); ties -> earliest; NULL when none names it."""
-    t = _c(table)
-    c = _c(code)
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))),
-                    lambda i: F.coalesce(_names(F.try_element_at(t, i), c), F.lit(False)))
+    t, c = _c(table), _c(code)
 
-    def best(found):
-        scored = F.transform(found, lambda i: F.struct(_score_for(F.element_at(t, i)["s"], c).alias("sc"), (-i).alias("neg_i")))
-        return (F.when(F.size(found) == 0, F.lit(None)).when(F.size(found) == 1, F.element_at(found, 1))
-                .otherwise(-F.array_max(scored)["neg_i"]))
+    def entry(f, i):
+        near = F.startswith(f["s"], c) | F.array_contains(f["v"]["head"], c)
+        score = f["v"]["score"] + F.when(near, F.lit(1.0)).otherwise(F.lit(0.0))
+        return F.when(F.array_contains(f["codes"], c), F.struct(score.alias("sc"), (-i).alias("neg_i")))
 
-    return let(hits, best)
+    return 1 - F.array_max(F.transform(t, entry))["neg_i"]
 
 
 def important_sentence(table, code) -> Column:
@@ -125,13 +119,13 @@ def important_sentence(table, code) -> Column:
 def important_sentences(sentences, codes) -> Column:
     """fn_important_sentence for all codes of a post: array<struct<symbol, sentence>>.  The
     sentence table is built once per post and shared by its codes."""
-    return let(sentence_table(sentences), lambda t: F.transform(
+    return let(sentence_table(sentences, codes), lambda t: F.transform(
         _c(codes), lambda c: F.struct(c.alias("symbol"), important_sentence(t, c).alias("sentence"))))
 
 
 def best_sentence_positions(sentences, codes) -> Column:
     """win_best_sentence for all codes of a post: array<struct<symbol, best_pos>>."""
-    return let(sentence_table(sentences), lambda t: F.transform(
+    return let(sentence_table(sentences, codes), lambda t: F.transform(
         _c(codes), lambda c: F.struct(c.alias("symbol"), best_sentence_index(t, c).alias("best_pos"))))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +42,13 @@ def upper_in_text(text, code: str) -> Column:
     return _c(text).rlike(_ww(code))
 
 
-def context_ok(text, code: str, radius: int = CONTEXT_RADIUS) -> Column:
-    """fn_ticker_context_ok: no veto word next to the code in any +-radius character window.
+def raw_runs(text) -> Column:
+    """The 2-4 letter whole-word codes that stand in the text in upper case: what ``upper_in_text`` finds, for any number of codes."""
+    return F.array_distinct(F.regexp_extract_all(_c(text), F.lit(CANDIDATE), 0))
+
+
+def context_ok(text, code: str | Column, radius: int = CONTEXT_RADIUS) -> Column:
+    """fn_ticker_context_ok: no veto word next to the code in any +-radius character window.  ``code`` may be a column of 2-4 letter codes.
 
     Occurrences are the non-overlapping case-insensitive matches of ``code``.
     One regex pass per part captures, for every occurrence, the ``radius``
@@ -51,13 +58,16 @@ def context_ok(text, code: str, radius: int = CONTEXT_RADIUS) -> Column:
     code is vetoed when its left or right neighbour is a veto word.
     """
     t = _c(text)
-    low = code.lower()
-    body = re.escape(code).replace("\\&", "&")
     # the code is matched first; only then is the bounded look-behind checked
-    pat = f"(?si){body}(?<=(.{{{radius}}}|^.{{0,{radius - 1}}}){body})(?=(.{{0,{radius}}}))"
-    pre = F.regexp_extract_all(t, F.lit(pat), 1)
-    mid = F.regexp_extract_all(t, F.lit(pat), 0)
-    post = F.regexp_extract_all(t, F.lit(pat), 2)
+    behind, ahead = f"(?<=(.{{{radius}}}|^.{{0,{radius - 1}}})", f")(?=(.{{0,{radius}}}))"
+    if isinstance(code, str):
+        body = re.escape(code).replace("\\&", "&")
+        low, pat = F.lit(code.lower()), F.lit(f"(?si){body}{behind}{body}{ahead}")
+    else:
+        low, pat = F.lower(code), F.concat(F.lit("(?si)"), code, F.lit(behind), code, F.lit(ahead))
+    pre = F.regexp_extract_all(t, pat, 1)
+    mid = F.regexp_extract_all(t, pat, 0)
+    post = F.regexp_extract_all(t, pat, 2)
     veto = list(CONTEXT_VETO_WORDS)
 
     def window_bad(z):
@@ -67,12 +77,14 @@ def context_ok(text, code: str, radius: int = CONTEXT_RADIUS) -> Column:
         def bad_at(i):
             prev = F.when(i > 1, F.try_element_at(ws, i - 1)).otherwise(F.lit(""))
             nxt = F.when(i < size, F.try_element_at(ws, i + 1)).otherwise(F.lit(""))
-            return F.contains(F.try_element_at(ws, i), F.lit(low)) & (prev.isin(*veto) | nxt.isin(*veto))
+            return F.contains(F.try_element_at(ws, i), low) & (prev.isin(*veto) | nxt.isin(*veto))
 
         return (size > 1) & F.exists(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), bad_at)
 
     zipped = F.arrays_zip(pre.alias("pre"), mid.alias("mid"), post.alias("post"))
-    return ~F.coalesce(F.exists(zipped, window_bad), F.lit(False))
+    # a window is vetoed by a veto word only, so a text that holds none needs no windows
+    veto_somewhere = _let(F.lower(t), lambda x: reduce(or_, [F.contains(x, F.lit(w)) for w in veto]))
+    return F.when(veto_somewhere, ~F.coalesce(F.exists(zipped, window_bad), F.lit(False))).otherwise(F.lit(True))
 
 
 @dataclass

@@ -19,3 +19,16 @@ def materialize(df: DataFrame) -> DataFrame:
 
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a table too small to fill the cluster over all of its cores, before work that is heavy per row.
+
+    A file of one row group is read by one task, whatever its number of splits.  Only the rows' place changes; a table of
+    as many bytes as the cores read in one wave is left as its files are, so a large one is never shuffled for this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    wave = cores * int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores, *keys) if size < wave else df

@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickpulse.functions.tickers import candidates
+from tickpulse.constants import COMMON_WORDS
+from tickpulse.functions.text import strip, stripped_length
+from tickpulse.functions.tickers import candidates, context_ok, raw_runs
 from tickpulse.operators.common import content_keys
 
 
@@ -60,6 +62,24 @@ def dictionary_hits(texts: DataFrame, key: str, text_col: str, tickers: DataFram
     return c.join(dim, "code", "inner").select(key, "code")
 
 
+def codes_by_table(texts: DataFrame, key: str, text_col: str, tickers: DataFrame, col: str = "symbol") -> DataFrame:
+    """fn_ticker_rules / fn_extract_codes with a dictionary that stays a table: ``key, codes`` of every text, as ``rule_codes`` gives them.
+
+    Candidates are exploded in the task that reads the text and looked up; (key, code) rows are gathered per text with
+    partial aggregation, so no text is shuffled.  Only the symbols that a candidate can equal are sent to the tasks: words of
+    two to four letters A-Z, of which there are 475,254 at most, whatever else the dictionary lists.
+    """
+    t = F.col(text_col)
+    code = F.upper(strip(F.col(col)))
+    dim = F.broadcast(tickers.select(code.alias("code")).where(F.col("code").rlike("^[A-Z]{2,4}$")).distinct())
+    rows = texts.where(stripped_length(t) >= 5).select(key, t.alias("_t"), F.explode(candidates(t)).alias("code"))
+    rows = rows.join(dim, "code", "left_semi")
+    plain = ~F.col("code").isin(*COMMON_WORDS)
+    named = rows.where(plain | (F.array_contains(raw_runs("_t"), F.col("code")) & context_ok("_t", F.col("code"))))
+    per = named.groupBy(key).agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    return texts.select(key).join(per, key, "left").select(key, F.coalesce("codes", F.array().cast("array<string>")).alias("codes"))
+
+
 def drop_stopwords(tokens: DataFrame, stopwords: DataFrame, token_col: str = "token") -> DataFrame:
     """join_stopword_anti: remove stopword tokens with an anti join."""
     sw = stopwords.select(F.col("word").alias(token_col)).distinct()

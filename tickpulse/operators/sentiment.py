@@ -117,16 +117,18 @@ class MLScorer:
         return out.select(*keep)
 
 
-def transform_sentiment(df: DataFrame, text_col: str, scorer=None, prefix: str = "") -> DataFrame:
+def transform_sentiment(df: DataFrame, text_col: str, scorer=None, prefix: str = "", normalized: bool = False) -> DataFrame:
     """Score ``text_col`` into ``sentiment`` (canonical label), ``confidence`` and ``sentiment_source``.
 
+    ``normalized`` says that the text is NFC already, so it is not normalised again.
+
     Gates: empty or < 3 stripped characters -> neutral 0.5; after cleaning
     < 2 characters -> neutral 0.5; otherwise the scorer's label, mapped.
     """
     scorer = scorer or FallbackScorer()
     t = F.col(text_col)
     clean_col = "_clean"
-    d = df.withColumn(clean_col, F.when(t.isNull(), F.lit("")).otherwise(sentiment_clean(nfc(t))))
+    d = df.withColumn(clean_col, F.when(t.isNull(), F.lit("")).otherwise(sentiment_clean(t if normalized else nfc(t))))
     d = scorer.score(d, clean_col)
     short_raw = t.isNull() | (t == "") | (stripped_length(t) < 3)
     short_clean = stripped_length(F.col(clean_col)) < 2

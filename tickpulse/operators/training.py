@@ -56,6 +56,13 @@ def split_by_stock(df: DataFrame, min_confidence: float | None = None, include_n
     return out.withColumn("part", F.when(F.col("has_stock"), F.lit("with_stock")).otherwise(F.lit("without_stock")))
 
 
+def write_by_stock(df: DataFrame, path: str, min_confidence: float | None = None, include_no_stock: bool = True) -> None:
+    """flow_split_by_stock as outputs: ``part=with_stock`` and ``part=without_stock`` below ``path``.  Dynamic partition overwrite:
+    a run replaces the parts it has rows for and leaves the other as it was."""
+    out = split_by_stock(df, min_confidence, include_no_stock)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
 def _spread(key: Column, seed: int) -> Column:
     """Multiplicative hash of an integer key; the key is first reduced so that the product never overflows."""
     reduced = F.pmod(F.pmod(key, F.lit(1 << 31)) + F.lit(seed), F.lit(1 << 31))
@@ -89,9 +96,11 @@ def with_line_numbers(df: DataFrame, order: list[str], col: str = "line_no") ->
     return out.select(*df.columns, col)
 
 
-def ordered_split(df: DataFrame, order: list[str], train_fraction: float = 0.9) -> DataFrame:
-    """flow_ordered_split: first floor(0.9 n) rows by line order -> train, the rest -> test, at any size."""
-    numbered = with_line_numbers(df, order)
+def ordered_split(df: DataFrame, order: list[str] | None = None, train_fraction: float = 0.9) -> DataFrame:
+    """flow_ordered_split: first floor(0.9 n) rows by line order -> train, the rest -> test, at any size.
+
+    Without ``order`` the rows carry their ``line_no`` already (``sources.unified.numbered_lines``)."""
+    numbered = with_line_numbers(df, order) if order else df
     n = df.agg(F.count(F.lit(1))).scalar()
     cut = F.floor(n * F.lit(train_fraction))
     return numbered.withColumn("split", F.when(F.col("line_no") < cut, F.lit("train")).otherwise(F.lit("test")))
@@ -135,13 +144,56 @@ def symbol_sentiment_matrix(df: DataFrame) -> DataFrame:
     )
 
 
+def exact_quantiles(df: DataFrame, by: str, col: str, qs: list[float], slots: int = 256) -> DataFrame:
+    """``by, q, value``: quantiles with linear interpolation, exact and in bounded memory.
+
+    Rank refinement: for each group and each of the two order statistics a quantile lies between, a bracket of values is
+    cut into ``slots`` equal pieces, the rows in each are counted (with the smallest and largest value there), and the piece
+    that holds the rank becomes the next bracket, until it holds one value.  Every pass is one partial aggregation of at most
+    ``slots`` rows per group and rank, whatever the number of distinct values.  NULL and NaN take no part.
+    """
+    from tickpulse.session import scratch_path
+
+    spark = df.sparkSession
+    rows = df.select(F.col(by).alias("_g"), F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+
+    def written(state: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        state.write.parquet(path)
+        return spark.read.parquet(path)
+
+    per = rows.groupBy("_g").agg(F.count("_x").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    at = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
+    ranks = per.select("_g", "n", "lo", "hi", at).withColumn("place", F.col("q") * (F.col("n") - 1))
+    rank = F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank")
+    brackets = written(ranks.select(F.col("_g").alias("g"), "q", "place", "lo", "hi", F.lit(0).cast("long").alias("below"), rank), "brackets")
+    while not brackets.where("lo < hi").isEmpty():
+        # ranks of one group often share a bracket; it is counted once
+        open_ = brackets.where("lo < hi").select("g", "lo", "hi").distinct()
+        inside = rows.join(open_, F.col("_g").eqNullSafe(F.col("g")) & F.col("_x").between(F.col("lo"), F.col("hi")))
+        share = F.nanvl((F.col("_x") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.5))  # infinite ends
+        slot = F.when(F.col("_x") == F.col("lo"), 0).when(F.col("_x") == F.col("hi"), slots - 1).otherwise(F.least(F.lit(slots - 2), F.greatest(F.lit(1), F.floor(share * slots).cast("int"))))
+        count = inside.groupBy("g", "lo", "hi", slot.alias("slot")).agg(F.count("*").alias("k"), F.min("_x").alias("from"), F.max("_x").alias("to"))
+        before = Window.partitionBy("g", "lo", "hi").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # over the slots
+        count = count.select(F.col("g").alias("_g"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "k", "from", "to", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("less"))
+        same = F.col("g").eqNullSafe(F.col("_g")) & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi"))
+        inner = F.col("rank") - F.col("below")
+        step = brackets.where("lo < hi").join(count, same).where((inner >= F.col("less")) & (inner < F.col("less") + F.col("k")))
+        step = step.select("g", "q", "place", F.col("from").alias("lo"), F.col("to").alias("hi"), (F.col("below") + F.col("less")).alias("below"), "rank")
+        brackets = written(step.unionByName(brackets.where("lo = hi")), "brackets")
+    ends = brackets.groupBy("g", "q", "place").agg(F.min("lo").alias("a"), F.max("lo").alias("b"))
+    part = F.col("place") - F.floor("place")
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * part)
+    return ends.select(F.col("g").alias(by), "q", value.alias("value"))
+
+
 def confidence_describe(df: DataFrame, by: str = "true_label", col: str = "confidence") -> DataFrame:
     """agg_confidence_describe: count, mean, std, min, 25/50/75 % (linear interpolation), max."""
     c = F.col(col)
-    return df.groupBy(by).agg(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-        F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("p50"), F.percentile(c, 0.75).alias("p75"),
-        F.max(c).alias("max"))
+    plain = df.groupBy(by).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    at = {0.25: "p25", 0.5: "p50", 0.75: "p75"}
+    wide = exact_quantiles(df, by, col, list(at)).groupBy(F.col(by).alias("_g")).agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(n) for q, n in at.items()])
+    return plain.join(wide, F.col(by).eqNullSafe(F.col("_g")), "left").select(by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def confusion_matrix(df: DataFrame, labels: list[str] = CLASS_LABELS, true_col="true_label",

@@ -137,11 +137,45 @@ def trending_2days(df: DataFrame, end_time, top_n: int = 10, alpha=TRENDING_ALPH
     return top_lists(scored(counts, 4, alpha, beta), top_n)
 
 
+def latest_token_dates(texts: DataFrame, stopwords=None, most: int = 2) -> DataFrame:
+    """``date, r``: the latest ``most`` dates of which a text yields a kept token, newest first (r = 1).
+
+    The dates of the table are found without looking at any text; then the newest ones are looked at, twice as many each time, until
+    enough hold a token.  The history is not tokenised.
+    """
+    spark = texts.sparkSession
+    dates = [r.date for r in texts.select("date").distinct().orderBy(F.desc("date")).collect()]  # one row per calendar day
+    has_token = F.exists(raw_tokens(F.col("text")), lambda t: keep_token(t, stopwords) & (clean_token(t) != ""))
+    found, first, step = [], 0, most
+    while first < len(dates) and len(found) < most:
+        part = dates[first : first + step]
+        some = texts.where(F.col("date").between(part[-1], part[0])).groupBy("date").agg(F.max(has_token).alias("any")).where("any")
+        found += sorted((r.date for r in some.collect()), reverse=True)
+        first, step = first + step, step * 2
+    return spark.createDataFrame([(d, i + 1) for i, d in enumerate(found[:most])], "date date, r int")
+
+
 def daily_counts(tokens: DataFrame) -> DataFrame:
     """agg_token_count_daily: count per (local date, token)."""
     return tokens.groupBy(F.to_date("ts").alias("date"), F.col("token").alias("word")).count()
 
 
+def prev_day_lag(daily: DataFrame) -> DataFrame:
+    """win_prev_day_lag for every date: ``date, word, count_today, count_prev`` against the previous date that is present.
+
+    Sparse: a (date, token) row adds to its own date and, as the previous count, to the next present date, so a token missing
+    on that date gets its one row with a count of 0 and no grid of dates and tokens is made.  The dates are numbered apart;
+    there are no more of them than days in the history.
+    """
+    day = Window.orderBy("date")
+    dates = daily.select("date").distinct().select("date", F.lead("date").over(day).alias("_next"))
+    rows = daily.join(dates, "date")
+    own = F.struct(F.col("date").alias("date"), F.col("count").alias("today"), F.lit(0).cast("long").alias("prev"))
+    after = F.struct(F.col("_next").alias("date"), F.lit(0).cast("long").alias("today"), F.col("count").alias("prev"))
+    both = rows.select("word", F.explode(F.array(own, after)).alias("_r")).where("_r.date is not null")
+    return both.groupBy("_r.date", "word").agg(F.sum("_r.today").alias("count_today"), F.sum("_r.prev").alias("count_prev"))
+
+
 def trending_daily(df: DataFrame, top_n: int = 20, alpha=TRENDING_ALPHA, beta=TRENDING_BETA,
                    zone: str | None = TRENDING_ZONE, stopwords=None, text_col: str = "content",
                    ts_col: str = "date") -> DataFrame:
@@ -155,11 +189,7 @@ def trending_daily(df: DataFrame, top_n: int = 20, alpha=TRENDING_ALPHA, beta=TR
     """
     ts = to_zone(ts_col, zone) if zone else F.col(ts_col).cast("timestamp_ntz")
     texts = df.select(F.to_date(ts).alias("date"), F.col(text_col).alias("text")).where(F.col("date").isNotNull())
-    has_token = F.exists(raw_tokens(F.col("text")),
-                         lambda t: keep_token(t, stopwords) & (clean_token(t) != ""))
-    dates = texts.where(has_token).select("date").distinct()
-    w = Window.orderBy(F.desc("date"))
-    last2 = dates.orderBy(F.desc("date")).limit(2).withColumn("r", F.row_number().over(w))
+    last2 = latest_token_dates(texts, stopwords)
     recent = texts.join(F.broadcast(last2), "date")  # two rows: a bounded broadcast
     raw = recent.select("r", F.explode(raw_tokens(F.col("text"))).alias("raw"))
     toks = raw.where(keep_token(F.col("raw"), stopwords)).select("r", clean_token(F.col("raw")).alias("word"))

@@ -114,8 +114,12 @@ def q_fn_ticker_rules(spark, sf):
 @register("fn_extract_codes", f"""select doc_id, array_to_string({ot.rule_codes('text', DICT.symbols)}, ',') as codes,
         len({ot.rule_codes('text', DICT.symbols)}) > 0 as has_mention from {FLAGGED_DOCS}""")
 def q_fn_extract_codes(spark, sf):
-    c = tk.extract_codes(F.col("text"), DICT)
-    return docs(spark, sf).select("doc_id", F.array_join(c, ",").alias("codes"), tk.has_mention(c).alias("has_mention"))
+    """The dictionary stays a table: the tickers and the listed symbols, one row per event."""
+    from tickpulse.operators.joins import codes_by_table
+
+    listed = fx.tickers(spark, sf).unionByName(fx.institution_profiles(spark, sf))
+    found = codes_by_table(docs(spark, sf), "doc_id", "text", listed)
+    return found.select("doc_id", F.array_join("codes", ",").alias("codes"), tk.has_mention("codes").alias("has_mention"))
 
 
 @register("fn_upper_in_text", f"""select doc_id, {ot.upper_in_text('text', 'IT')} as it_upper,

@@ -10,7 +10,9 @@ from tickpulse.operators import evaluation as ev
 from tickpulse.operators import training as trn
 from tickpulse.plans.oracle_fixtures import with_fixtures
 from tickpulse.plans.registry import register
+from tickpulse.session import scratch_path
 from tickpulse.sources import fixtures as fx
+from tickpulse.sources.unified import read_pairs_jsonl
 
 
 def _pred(spark, sf):
@@ -42,7 +44,9 @@ _LAB_CONF = """select l.text, l.label, l.stock_code, l.has_stock, p.confidence f
 def q_flow_split_by_stock(spark, sf):
     lc = fx.labelled(spark, sf).join(_pred(spark, sf).select("doc_id", "confidence"), "doc_id") \
         .select("text", "label", "stock_code", "has_stock", "confidence")
-    return trn.split_by_stock(lc, min_confidence=0.5)
+    path = scratch_path(spark, "by-stock")
+    trn.write_by_stock(lc, path, min_confidence=0.5)
+    return spark.read.parquet(path)
 
 
 @register("flow_train_test_split", with_fixtures(
@@ -57,7 +61,12 @@ def q_flow_train_test_split(spark, sf):
         case when row_number() over (order by pair_id) - 1 < floor((select count(*) from rewrite_pairs) * 0.9) then 'train'
              else 'test' end as split from rewrite_pairs""", "rewrite_pairs"))
 def q_flow_ordered_split(spark, sf):
-    return trn.ordered_split(fx.rewrite_pairs(spark, sf).select("pair_id"), ["pair_id"])
+    """The pairs as JSON lines in several files, in the order of their ids; the split follows the lines of the files."""
+    path = scratch_path(spark, "pairs-jsonl")
+    pairs = fx.rewrite_pairs(spark, sf).repartitionByRange(4, "pair_id").sortWithinPartitions("pair_id")
+    pairs.withColumnRenamed("rewritten", "rewriter").write.json(path)
+    numbered = read_pairs_jsonl(spark, path, numbered=True, extra="pair_id long")
+    return trn.ordered_split(numbered.select("pair_id", "line_no"))
 
 
 @register("sample_n", with_fixtures(

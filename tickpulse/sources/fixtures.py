@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tickpulse.constants import NEGATIVE, NEUTRAL, POSITIVE, STAT_SOURCES
 from tickpulse.functions.timewin import epoch_seconds, to_epoch
+from tickpulse.operators.common import spread
 
 # FIXED VALUES: ticker dictionary used with the multilingual test documents
 # (all are frequent words there; IT and AI are also common words)
@@ -31,8 +32,13 @@ SPLIT_INCOMING_FROM = dt.datetime(2024, 1, 15)
 CONV_STRIDE = 97
 
 
+# the tables that hold texts, and what deals their rows out
+TEXT_TABLES = {"documents": ("doc_id",), "conversations": ("conv_id", "turn")}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, *TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def _k(props="props"):

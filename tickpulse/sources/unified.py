@@ -140,17 +140,49 @@ def read_labelled_jsonl(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def read_pairs_jsonl(spark: SparkSession, path) -> DataFrame:
+def numbered_lines(spark: SparkSession, path, parse=None) -> DataFrame:
+    """The lines of one or more text files with ``line_no`` as ``cat`` would number them: files by path, lines as they stand.
+
+    The place of a line is known from file metadata: its file, the start of its split, its turn in that split.  The
+    splits' row counts, one row per split, make the numbers gapless; nothing is sorted by content and no file passes through
+    one task.  ``parse`` may turn ``value`` into columns and drop lines (the three place columns must stay); the others are
+    numbered then.
+    """
+    from pyspark.sql import Window
+
+    from tickpulse.session import scratch_path
+
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")]
+    lines = spark.read.text(path).select("value", *place)
+    staged = scratch_path(spark, "lines")  # read for the counts and for the rows
+    (parse(lines) if parse else lines).write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    splits = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
+    turn = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at")) - 1  # a split is bounded
+    out = rows.withColumn("_turn", turn).join(splits, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    return out.withColumn("line_no", F.col("_before") + F.col("_turn")).drop("_file", "_block", "_at", "_turn", "_f", "_b", "_before")
+
+
+def read_pairs_jsonl(spark: SparkSession, path, numbered: bool = False, extra: str = "") -> DataFrame:
     """src_pairs_jsonl: (original, rewritten) JSON lines; malformed lines and rows missing a field
     are skipped; the rewritten text may be named 'rewriter' or 'rewritten'.
+
+    ``numbered`` adds ``line_no``, the pairs' turn in the files from 0; ``extra`` names further fields to keep, as a schema.
     """
-    lines = spark.read.text(path)
-    schema = "original string, rewriter string, rewritten string"
-    parsed = lines.select(F.from_json("value", schema).alias("j"))
-    out = parsed.select(F.col("j.original").alias("original"),
-                        F.coalesce(F.col("j.rewritten"), F.col("j.rewriter")).alias("rewritten"))
-    return out.where(F.col("original").isNotNull() & F.col("rewritten").isNotNull()
-                     & (F.col("original") != "") & (F.col("rewritten") != ""))
+    schema = "original string, rewriter string, rewritten string" + (f", {extra}" if extra else "")
+    more = [c.split()[0] for c in extra.split(",")] if extra else []
+
+    def parse(lines: DataFrame) -> DataFrame:
+        place = [c for c in lines.columns if c != "value"]
+        parsed = lines.select(F.from_json("value", schema).alias("j"), *place)
+        out = parsed.select(*[F.col(f"j.{c}").alias(c) for c in more], F.col("j.original").alias("original"),
+                            F.coalesce(F.col("j.rewritten"), F.col("j.rewriter")).alias("rewritten"), *place)
+        return out.where(F.col("original").isNotNull() & F.col("rewritten").isNotNull()
+                         & (F.col("original") != "") & (F.col("rewritten") != ""))
+
+    return numbered_lines(spark, path, parse) if numbered else parse(spark.read.text(path))
 
 
 def read_multi_jsonl(spark: SparkSession, paths: list[str], schema: str = LABELLED_SCHEMA) -> DataFrame:
