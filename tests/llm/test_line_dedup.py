@@ -62,11 +62,16 @@ def test_paragraphs(spark):
     assert got[1].n_removed == 0 and got[2].n_removed == 1 and got[2].kept.strip() == "x"
 
 
-def test_registered_query_takes_short_lines(spark, tmp_path):
-    lines = ["All rights reserved.", "}", "", "  ", "one two three four", "a line of five words"]
-    rows = [(i, "\n".join([lines[i % 6], f"only {i}", lines[i % 4], "}"])) for i in range(12)]
+def test_registered_query_takes_short_paragraphs(spark, tmp_path):
+    units = ["All rights reserved.", "}", "", "  ", "one two three four", "a line of five words\nand another"]
+    rows = [(i, "\n\n".join([units[i % 6], f"only {i}", units[i % 4], "}"])) for i in range(12)] + [(20, "\n\nx\n\n\ny"), (21, "\nx\n\ny\n\n")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = op3_line_dedup(spark, str(tmp_path)).collect()
     names = ["doc_id", "n_units", "n_removed", "removed_bytes", "kept_sha256"]
-    assert sorted((tuple(r[c] for c in names) for r in got), key=str) == [r[:5] for r in brute(rows, 1, "\n")]
-    assert {r.doc_id: r.removed_spans for r in got}[7] == "0-1,12-13"
+    assert sorted((tuple(r[c] for c in names) for r in got), key=str) == [r[:5] for r in brute(rows, 1, r"(?<=\n)\n")]
+    assert {r.doc_id: r.removed_spans for r in got}[7] == "0-2,15-16"
+
+
+def test_lines_as_units(spark):
+    lines = ["All rights reserved.", "}", "", "  ", "one two three four", "a line of five words"]
+    check(spark, [(i, "\n".join([lines[i % 6], f"only {i}", lines[i % 4], "}"])) for i in range(12)], min_words=1)

@@ -138,15 +138,20 @@ def op5_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
+    # a line feed right after another one ends a paragraph: that is the line feed after an empty line other than the first
     r"""
-    WITH u AS (
-      SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS units FROM documents),
-    x AS (SELECT doc_id, len(units) AS n_units, unnest(units) AS unit, unnest(range(len(units))) AS pos FROM u),
+    WITH l AS (
+      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents),
+    g AS (
+      SELECT *, coalesce(sum(CASE WHEN k > 0 AND line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+      FROM l),
+    x AS (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY k) AS unit FROM g GROUP BY doc_id, pos),
     n AS (
-      SELECT *, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words,
+      SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_units,
+             regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words,
              coalesce(sum(strlen(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM x),
-    r AS (SELECT *, len(words) >= 5 AND row_number() OVER (PARTITION BY words ORDER BY doc_id, pos) > 1 AS gone FROM n)
+    r AS (SELECT *, len(words) > 0 AND row_number() OVER (PARTITION BY words ORDER BY doc_id, pos) > 1 AS gone FROM n)
     SELECT doc_id, n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(strlen(unit)) FILTER (gone), 0)::BIGINT AS removed_bytes,
            coalesce(string_agg(start::BIGINT || '-' || (start + strlen(unit))::BIGINT, ',' ORDER BY pos) FILTER (gone), '') AS removed_spans,
            sha256(coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
@@ -154,7 +159,8 @@ def op5_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_units(table(spark, sf_dir, "documents"), with_text=False)
+    """By paragraphs: a line of a few words that recurs by chance does not tear a clean text, a repeated passage still goes."""
+    out = dedup_units(table(spark, sf_dir, "documents"), paragraphs=True, with_text=False)
     spans = F.concat_ws(",", F.transform(F.coalesce("spans", F.array()), lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))))
     return out.select("doc_id", "n_units", "n_removed", "removed_bytes", spans.alias("removed_spans"), "kept_sha256")
 
