@@ -8,12 +8,13 @@ cleaned-text column into raw ``_label`` / ``_score`` columns:
 * ``ColumnScorer``   -- any Column expression returning struct(label, score);
 * ``PandasScorer``   -- a vectorised Python function, run as an Arrow ``pandas_udf``
   (a failing batch is scored again text by text; only the texts that fail are neutral 0.5, marked so);
+* ``LoadedScorer``   -- the same for a model that each worker loads once, when its first batch arrives;
 * ``MLScorer``       -- a fitted Spark ML ``PipelineModel`` (see ``operators.training``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,31 +63,36 @@ class ColumnScorer:
             .withColumn("_score", F.col("_r.score").cast("double")).drop("_r")
 
 
+def _scored_batch(fn: Callable[[pd.Series], pd.DataFrame], s: pd.Series) -> pd.DataFrame:
+    """``label, score, failed`` of a batch; where the batch fails, text by text, and only the texts that fail are neutral."""
+    def whole(part: pd.Series) -> pd.DataFrame:
+        out = fn(part)
+        return pd.DataFrame({"label": list(out["label"]), "score": [float(x) for x in out["score"]], "failed": False})
+
+    try:
+        return whole(s)
+    except Exception:  # noqa: BLE001 - find the texts that the scorer cannot take
+        parts = []
+        for i in range(len(s)):
+            try:
+                parts.append(whole(s.iloc[i:i + 1]))
+            except Exception:  # noqa: BLE001
+                parts.append(pd.DataFrame({"label": [NEUTRAL_EN], "score": [DEFAULT_CONFIDENCE], "failed": [True]}))
+        return pd.concat(parts, ignore_index=True)
+
+
+_SCORED = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("failed", T.BooleanType())])
+
+
 class PandasScorer:
     """``fn(pd.Series[str]) -> pd.DataFrame[label, score]``, run on Arrow batches."""
 
     def __init__(self, fn: Callable[[pd.Series], pd.DataFrame], source: str = "pandas"):
         self.source = source
 
-        kinds = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType()),
-                              T.StructField("failed", T.BooleanType())])
-
-        def whole(s: pd.Series) -> pd.DataFrame:
-            out = fn(s)
-            return pd.DataFrame({"label": list(out["label"]), "score": [float(x) for x in out["score"]], "failed": False})
-
-        @F.pandas_udf(kinds)
+        @F.pandas_udf(_SCORED)
         def _udf(s: pd.Series) -> pd.DataFrame:
-            try:
-                return whole(s)
-            except Exception:  # noqa: BLE001 - find the texts that the scorer cannot take
-                parts = []
-                for i in range(len(s)):
-                    try:
-                        parts.append(whole(s.iloc[i:i + 1]))
-                    except Exception:  # noqa: BLE001
-                        parts.append(pd.DataFrame({"label": [NEUTRAL_EN], "score": [DEFAULT_CONFIDENCE], "failed": [True]}))
-                return pd.concat(parts, ignore_index=True)
+            return _scored_batch(fn, s)
 
         self._udf = _udf
 
@@ -95,6 +101,30 @@ class PandasScorer:
             .withColumn("_score", F.col("_r.score")).withColumn("_failed", F.col("_r.failed")).drop("_r")
 
 
+_LOADED: dict = {}  # what this worker has loaded, by key
+
+
+class LoadedScorer(PandasScorer):
+    """A model that is loaded in the worker: ``load() -> fn`` runs when the first batch arrives, and once for all tasks of the worker.
+
+    ``key`` names the saved model (its path and version); ``fn`` takes and returns what a ``PandasScorer``'s function does.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[pd.Series], pd.DataFrame]], key: str, source: str = "loaded_model"):
+        self.source = source
+
+        def _udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            fn = None
+            for s in batches:
+                if fn is None:
+                    if key not in _LOADED:
+                        _LOADED[key] = load()
+                    fn = _LOADED[key]
+                yield _scored_batch(fn, s)
+
+        self._udf = F.pandas_udf(_udf, _SCORED)
+
+
 class MLScorer:
     """A fitted Spark ML pipeline whose output has ``prediction`` and ``probability``."""
 
@@ -107,14 +137,18 @@ class MLScorer:
     def score(self, df: DataFrame, text_col: str) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
-        scored = self.model.transform(df.withColumn(self.input_col + "__in", F.col(text_col))
-                                      if self.input_col != text_col else df)
+        # the pipeline sees the given text under its own input name, and the row's columns apart from it
+        scored = self.model.transform(df.select(F.struct(*df.columns).alias("_row"), F.col(text_col).alias(self.input_col)))
         names = F.array(*[F.lit(x) for x in self.labels])
-        probs = vector_to_array("probability")
-        out = scored.withColumn("_label", F.element_at(names, (F.col("prediction") + 1).cast("int"))) \
-            .withColumn("_score", F.array_max(probs))
-        keep = df.columns + ["_label", "_score"]
-        return out.select(*keep)
+        label = F.element_at(names, (F.col("prediction") + 1).cast("int"))
+        return scored.select("_row.*", label.alias("_label"), F.array_max(vector_to_array("probability")).alias("_score"))
+
+
+def saved_scorer(path: str, labels: list[str], input_col: str = "text", source: str = "custom_model") -> MLScorer:
+    """A scorer of the pipeline that ``PipelineModel.save`` left at ``path`` in the shared folder."""
+    from pyspark.ml import PipelineModel
+
+    return MLScorer(PipelineModel.load(path), labels, input_col, source)
 
 
 def transform_sentiment(df: DataFrame, text_col: str, scorer=None, prefix: str = "", normalized: bool = False) -> DataFrame:
