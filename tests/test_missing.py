@@ -165,3 +165,40 @@ def test_a_pipeline_scores_the_cleaned_text(spark):
     texts = spark.createDataFrame([(1, "bad http://good.good/good bad", "kept"), (2, "good", "kept")], "id long, text string, model_text string")
     got = {r.id: r for r in transform_sentiment(texts, "text", saved_scorer(path, ["negative", "neutral", "positive"], "model_text")).collect()}
     assert (got[1].sentiment, got[2].sentiment, got[1].model_text) == ("TIÊU_CỰC", "TÍCH_CỰC", "kept")
+
+
+def test_whole_words_only(spark):
+    from tickpulse.plans import flows
+
+    posts = spark.createDataFrame([("p", "Hôm nay FPT tăng. Còn FPTS thì giảm", dt.datetime(2024, 1, 1))], "post_id string, post_content string, post_at timestamp_ntz")
+    assert flows.yt_mentions(posts, ["FPT"]).count() == 2
+    assert [r.post_sentence for r in flows.yt_mentions(posts, ["FPT"], whole_word=True).collect()] == ["Hôm nay FPT tăng."]
+
+
+def test_untagged_posts_can_be_kept(spark):
+    day = dt.datetime(2024, 1, 1)
+    rows = [("1", "a", day, '[{"symbol":"FPT"}]'), ("2", "b", day, "[]"), ("3", "c", day, None)]
+    posts = spark.createDataFrame(rows, "post_id string, original_content string, date timestamp_ntz, tagged_symbols string")
+    span = (day, day + dt.timedelta(days=1))
+    assert [r.id for r in unified.fireant_tagged(posts, *span).collect()] == ["1"]
+    assert sorted((r.id, r.symbols) for r in unified.fireant_tagged(posts, *span, keep_untagged=True).collect()) == [("1", "FPT"), ("2", None), ("3", None)]
+
+
+def test_a_shorter_list_replaces_its_interval(spark):
+    from tickpulse.operators.upsert import upsert_ranks
+
+    schema = "interval string, row_num int, symbol string"
+    old = spark.createDataFrame([("24h", 1, "a"), ("24h", 2, "b"), ("week", 1, "c")], schema)
+    new = spark.createDataFrame([("24h", 1, "z")], schema)
+    rows = lambda **kw: sorted(map(tuple, upsert_ranks(old, new, ["interval", "row_num"], **kw).collect()))
+    assert rows() == [("24h", 1, "z"), ("24h", 2, "b"), ("week", 1, "c")]
+    assert rows(replace_interval=True) == [("24h", 1, "z"), ("week", 1, "c")]
+
+
+def test_texts_at_the_midnight_of_their_day(spark):
+    base = dt.datetime(2024, 1, 10)
+    rows = [(base + dt.timedelta(hours=h), "vàng") for h in (-30, -20, -2, 2, 11)]
+    texts = spark.createDataFrame(rows, "date timestamp_ntz, content string")
+    run = lambda **kw: {(r.count_today, r.count_prev) for r in trending.trending_2days(texts, base + dt.timedelta(hours=12), zone=None, **kw).collect()}
+    assert run() == {(3, 2)}
+    assert run(truncate_to_day=True) == {(2, 2)}

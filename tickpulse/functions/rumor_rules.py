@@ -30,7 +30,6 @@ def to_java(pattern: str) -> str:
         out = _LB + out[2:]
     if out.endswith(r"\b"):
         out = out[:-2] + _LA
-    out = out.replace(r"\b", r"\b")
     return "(?U)" + out
 
 

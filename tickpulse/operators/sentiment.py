@@ -104,6 +104,13 @@ class PandasScorer:
 _LOADED: dict = {}  # what this worker has loaded, by key
 
 
+def _load_once(key: str, load: Callable):
+    """A module-level function: it reaches the worker by name, and so do the models that the worker keeps."""
+    if key not in _LOADED:
+        _LOADED[key] = load()
+    return _LOADED[key]
+
+
 class LoadedScorer(PandasScorer):
     """A model that is loaded in the worker: ``load() -> fn`` runs when the first batch arrives, and once for all tasks of the worker.
 
@@ -116,10 +123,7 @@ class LoadedScorer(PandasScorer):
         def _udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             fn = None
             for s in batches:
-                if fn is None:
-                    if key not in _LOADED:
-                        _LOADED[key] = load()
-                    fn = _LOADED[key]
+                fn = fn or _load_once(key, load)
                 yield _scored_batch(fn, s)
 
         self._udf = F.pandas_udf(_udf, _SCORED)

@@ -129,10 +129,17 @@ def top_lists(sc: DataFrame, n: int) -> DataFrame:
 
 
 def trending_2days(df: DataFrame, end_time, top_n: int = 10, alpha=TRENDING_ALPHA, beta=TRENDING_BETA,
-                   zone: str | None = TRENDING_ZONE, align: str | None = "hour", stopwords=None) -> DataFrame:
-    """flow_trending_2days: now vs previous 24 h window, floor max//4, three top-N lists."""
+                   zone: str | None = TRENDING_ZONE, align: str | None = "hour", stopwords=None,
+                   truncate_to_day: bool = False) -> DataFrame:
+    """flow_trending_2days: now vs previous 24 h window, floor max//4, three top-N lists.
+
+    ``truncate_to_day`` counts every text at the midnight of its local day, as the reference's job does when both of its
+    analyses share one table (SURVEY Q7)."""
     prev, _, end = window_bounds(end_time, align)
-    toks = exploded_tokens(df, zone=zone, stopwords=stopwords, between=(prev, end))
+    wide = (prev, end + dt.timedelta(days=1)) if truncate_to_day else (prev, end)
+    toks = exploded_tokens(df, zone=zone, stopwords=stopwords, between=wide)
+    if truncate_to_day:
+        toks = toks.withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz"))
     counts = window_counts(toks, end_time, align)
     return top_lists(scored(counts, 4, alpha, beta), top_n)
 

@@ -76,6 +76,14 @@ def replace_by_key(existing: DataFrame, incoming: DataFrame, key: str) -> DataFr
     return existing.join(keys, key, "left_anti").unionByName(incoming.select(*existing.columns))
 
 
+def upsert_ranks(existing: DataFrame, incoming: DataFrame, keys: list[str], interval: str = "interval", replace_interval: bool = False) -> DataFrame:
+    """sink_top_upsert / sink_trending_upsert: incoming ranks replace those of the same key.
+
+    A list that got shorter leaves the old list's further ranks behind, as in the reference; ``replace_interval`` deletes the whole
+    old list of every incoming interval first (SURVEY Q16)."""
+    return replace_by_key(existing, incoming, interval) if replace_interval else upsert(existing, incoming, keys, "update")
+
+
 def append(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Plain append (bulk insert)."""
     return existing.unionByName(incoming.select(*existing.columns))

@@ -231,7 +231,7 @@ from tickpulse.operators.sentiment import ColumnScorer  # noqa: E402
 from tickpulse.plans import flows  # noqa: E402
 from tickpulse.plans.catalog_relational import (REPLY_SUMMARY_SQL, RUMOR_MSG_SQL, RUMOR_WIN, SPLIT_NEW,  # noqa: E402
                                                 _reply_summary, rumor_msgs)
-from tickpulse.plans.catalog_text import DICT, TEST_CUE_WORDS, TEST_PATTERNS  # noqa: E402
+from tickpulse.plans.catalog_text import ALL_PATTERNS, CUE_TEXTS, DICT, pattern_sql  # noqa: E402
 
 _STRIP = ot.strip
 
@@ -319,20 +319,22 @@ def q_flow_sentiment_score(spark, sf):
 
 
 # ================================================================ rumors
-def _cue_sql(x: str) -> str:
-    out = "null"
-    for w in reversed(TEST_CUE_WORDS):
-        pat = r"\b" + w + r"\b"
-        out = (f"case when regexp_matches(lower({x}), '(^|[^\\p{{L}}\\p{{N}}_]){w}([^\\p{{L}}\\p{{N}}_]|$)') "
-               f"then {ot.q(pat)} else {out} end")
-    return out
+# every message ends in one of the cue texts, or in none
+_CUED_SQL = f"select id, content || coalesce(' ' || {ot.lst(CUE_TEXTS)}[length(content) % {2 * len(CUE_TEXTS)} + 1], '') as content, date, source, symbols from msgs"
+
+
+def _cued_msgs(spark, sf):
+    cue = F.get(F.array(*[F.lit(x) for x in CUE_TEXTS]), F.length("content") % (2 * len(CUE_TEXTS)))
+    m = rumor_msgs(spark, sf)
+    return m.withColumn("content", F.concat("content", F.coalesce(F.concat(F.lit(" "), cue), F.lit(""))))
 
 
 _SYMCSV = ("(case when content is null or content = '' then null else nullif(array_to_string(list_sort(list_distinct("
            "list_filter(regexp_extract_all(upper(content), '[\\p{L}\\p{N}_]+'), lambda w: list_contains("
            + ot.lst(DICT.symbols) + ", w)))), ','), '') end)")
 MATCHED_SQL = f"""select id, content, case when source = 'zalo_chat' then {_SYMCSV} else symbols end as symbol, source, date,
-        {_cue_sql('content')} as matched_keyword from msgs where {_cue_sql('content')} is not null"""
+        matched_keyword from (select *, {pattern_sql('content')} as matched_keyword from (select *, lower(content) as low from ({_CUED_SQL})))
+        where matched_keyword is not null"""
 DETECT_SQL = f"""select id, content, symbol, source, date, matched_keyword from (
         select *, row_number() over (partition by content order by case when source = 'fireant_posts' then 0 else 1 end,
             date, id) as rn from ({MATCHED_SQL})) where rn = 1"""
@@ -342,7 +344,7 @@ DETECT_SQL = f"""select id, content, symbol, source, date, matched_keyword from
 def q_flt_rumor_matched(spark, sf):
     from tickpulse.functions.rumor_rules import rumor_pattern
 
-    m = rumor_msgs(spark, sf).withColumn("matched_keyword", rumor_pattern("content", TEST_PATTERNS))
+    m = _cued_msgs(spark, sf).withColumn("matched_keyword", rumor_pattern("content", ALL_PATTERNS))
     m = m.where(F.col("matched_keyword").isNotNull())
     m = m.withColumn("symbol", F.when(F.col("source") == "zalo_chat", tk.symbols_csv("content", DICT))
                      .otherwise(F.col("symbols")))
@@ -351,13 +353,14 @@ def q_flt_rumor_matched(spark, sf):
 
 @register("flow_detect_rumors", with_fixtures(DETECT_SQL, "fireant_posts", "zalo_chat", extra=[("msgs", RUMOR_MSG_SQL)]))
 def q_flow_detect_rumors(spark, sf):
-    return flows.detect_rumors(rumor_msgs(spark, sf), DICT, TEST_PATTERNS)
+    return flows.detect_rumors(_cued_msgs(spark, sf), DICT, ALL_PATTERNS)
 
 
 @register("dedup_keep_first_content", """select arg_min(doc_id, doc_id) as doc_id, text from documents group by text""")
 def q_dedup_keep_first_content(spark, sf):
-    d = fx.table(spark, sf, "documents").select("doc_id", "text")
-    return d.groupBy("text").agg(F.min_by("doc_id", "doc_id").alias("doc_id"))
+    d = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    first = flows.dedup_first_content(d.select("*", F.lit("zalo_chat").alias("source"), F.lit(0).alias("date")))
+    return first.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
 
 
 @register("sink_rumor_append", with_fixtures(
@@ -368,28 +371,40 @@ def q_sink_rumor_append(spark, sf):
     from tickpulse.operators.upsert import append
 
     existing = fx.rumors(spark, sf).select("timestamp", "symbol", "content", "sentiment", "source")
-    return append(existing, flows.rumors_for_load(flows.detect_rumors(rumor_msgs(spark, sf), DICT, TEST_PATTERNS)))
+    return append(existing, flows.rumors_for_load(flows.detect_rumors(_cued_msgs(spark, sf), DICT, ALL_PATTERNS)))
 
 
 @register("sink_bulk_rumor", with_fixtures(
     f"""select id, date as "timestamp", symbol, content, cast(null as varchar) as sentiment, source from ({DETECT_SQL})""",
     "fireant_posts", "zalo_chat", extra=[("msgs", RUMOR_MSG_SQL)]))
 def q_sink_bulk_rumor(spark, sf):
-    det = flows.detect_rumors(rumor_msgs(spark, sf), DICT, TEST_PATTERNS)
+    det = flows.detect_rumors(_cued_msgs(spark, sf), DICT, ALL_PATTERNS)
     return det.select("id", F.col("date").alias("timestamp"), "symbol", "content",
                       F.lit(None).cast("string").alias("sentiment"), "source")
 
 
 _VALID_SYM = f"nullif(regexp_replace(upper({_STRIP('symbol')}), '[^A-Z0-9]', '', 'g'), '')"
-REWRITE_SQL = f"""select content as original_content, content as rewritten_content,
+# two in five rumors open with a cue
+_CUED_RUMORS_SQL = """select id, "timestamp", symbol, case id % 5 when 0 then 'Nghe đồn ' || content when 1 then 'Hình như ' || content else content end as content,
+    sentiment, source from rumors"""
+
+
+def _cued_rumors(spark, sf):
+    n = F.col("id") % 5
+    cue = F.when(n == 0, F.lit("Nghe đồn ")).when(n == 1, F.lit("Hình như ")).otherwise(F.lit(""))
+    return fx.rumors(spark, sf).withColumn("content", F.concat(cue, F.col("content")))
+
+
+_RW = f"(case when length({_STRIP('content')}) < 3 then content else {ot.rewrite_rules('content')} end)"
+REWRITE_SQL = f"""select content as original_content, case when {_RW} is null or length({_STRIP(_RW)}) < 3 then content else {_RW} end as rewritten_content,
         {_VALID_SYM} as symbol, sentiment, source, "timestamp", id as processed_from_rumor_id
-    from rumors r where not exists (select 1 from rumor_analyst a where a.processed_from_rumor_id = r.id)
+    from ({_CUED_RUMORS_SQL}) r where not exists (select 1 from rumor_analyst a where a.processed_from_rumor_id = r.id)
         and content is not null and length({_STRIP('content')}) >= 3"""
 
 
 @register("flow_rewrite_rumors", with_fixtures(REWRITE_SQL, "rumors", "rumor_analyst"))
 def q_flow_rewrite_rumors(spark, sf):
-    return flows.rewrite_rumors(fx.rumors(spark, sf), fx.rumor_analyst(spark, sf))
+    return flows.rewrite_rumors(_cued_rumors(spark, sf), fx.rumor_analyst(spark, sf))
 
 
 @register("sink_rumor_analyst_append", with_fixtures(
@@ -398,7 +413,7 @@ def q_sink_rumor_analyst_append(spark, sf):
     from tickpulse.operators.upsert import append
 
     existing = fx.rumor_analyst(spark, sf)
-    return append(existing, flows.rewrite_rumors(fx.rumors(spark, sf), existing))
+    return append(existing, flows.rewrite_rumors(_cued_rumors(spark, sf), existing))
 
 
 # ================================================================ YouTube mentions
@@ -561,12 +576,12 @@ _TREND_ROWS = ("select '{iv}' as \"interval\", rank as row_num, word as keyword,
         ("ex", _TREND_ROWS.format(iv="24h", ts=_END_EP - 86400, src=_lists_sql("scd", 20, "word, count_today, growth, score"))),
         ("inc", _TREND_ROWS.format(iv="24h", ts=_END_EP, src=_LIST2))]))
 def q_sink_trending_upsert(spark, sf):
-    from tickpulse.operators.upsert import upsert
+    from tickpulse.operators.upsert import upsert_ranks
 
     tu = trend_union(spark, sf)
     ex = _trend_rows(tr.trending_daily(tu, top_n=20), "24h", _END_EP - 86400)
     inc = _trend_rows(tr.trending_2days(tu, END, top_n=10), "24h", _END_EP)
-    return upsert(ex, inc, ["interval", "row_num"], "update")
+    return upsert_ranks(ex, inc, ["interval", "row_num"])
 
 
 @register("flow_trending_job", with_fixtures(
@@ -621,10 +636,22 @@ def q_sink_table_export(spark, sf):
     return back
 
 
-@register("flow_summarize", ot.smart_summary("documents", ot.summary_clean("text"), 150)[1:-1])
+_CLEAN = ot.summary_clean("text")
+_SAID = f"('Tóm tắt: ' || substring({_CLEAN}, 1, 60))"
+_SAID_FREE = rf"regexp_replace({_SAID}, '(?i)\b(vietnews|tóm tắt|summary):?\s*', '', 'g')"
+
+
+@register("flow_summarize", f"""select a.doc_id, b.summary, case when a.words < 20 then b.summary when {ot.word_count('s')} < 5 then c.summary
+        when regexp_matches(s, '[.!?]$') then s else regexp_replace(s, '\\s+$', '') || '.' end as model_summary
+    from (select doc_id, {ot.word_count(_CLEAN)} as words, {_SAID_FREE} as s from documents) a
+    join {ot.smart_summary("documents", _CLEAN, 150)} b on b.doc_id = a.doc_id
+    join {ot.smart_summary(f"(select doc_id, {_CLEAN} as text from documents)", _CLEAN, 100)} c on c.doc_id = a.doc_id""")
 def q_flow_summarize(spark, sf):
+    """Without a model, and with a stand-in that says the first 60 characters under a label: the 20-word gate and the post-processing run."""
     d = fx.table(spark, sf, "documents").select("doc_id", "text")
-    return flows.summarize(d, "text").select("doc_id", "summary")
+    d = flows.summarize(d, "text")
+    with_model = flows.summarize(d.withColumnRenamed("summary", "plain"), "text", summarizer=lambda c: F.concat(F.lit("Tóm tắt: "), F.substring(c, 1, 60)))
+    return with_model.select("doc_id", F.col("plain").alias("summary"), F.col("summary").alias("model_summary"))
 
 
 # ================================================================ streams

@@ -79,7 +79,7 @@ from tickpulse.functions.text import strip, stripped_length, text_present, valid
 from tickpulse.functions.timewin import epoch_seconds_rounded  # noqa: E402
 from tickpulse.operators import joins, upsert  # noqa: E402
 from tickpulse.sources import unified  # noqa: E402
-from tickpulse.constants import CUSTOM_LABEL_MAP, NEUTRAL  # noqa: E402
+from tickpulse.constants import CLASS_ID_LABEL_MAP, CUSTOM_LABEL_MAP, EN_TO_VI_LABEL_MAP, MODEL_LABEL_MAP, NEUTRAL, VI_TO_EN_LABEL_MAP
 import datetime as _dt  # noqa: E402
 
 NOW = to_epoch(RUN)
@@ -337,15 +337,21 @@ def q_flt_short_text_route(spark, sf):
     return short_post_rows(fx.posts(spark, sf))
 
 
+CUT_REPLY_SQL = """select reply_id, post_id, substr(rely_content, 1, cast(reply_id as bigint) % 9) as rely_content from fb_reply"""
+
+
 @register("flt_short_reply_route", with_fixtures(
     f"""select r.reply_id, r.post_id, cast(null as varchar) as stock_id, cast(null as varchar) as cau_quan_trong,
         'TRUNG_TÍNH' as cam_xuc, p."timestamp"
-    from fb_reply r join fb_post p on r.post_id = p.post_id
+    from (select * from fb_reply union all ({CUT_REPLY_SQL})) r join fb_post p on r.post_id = p.post_id
     where r.rely_content is null or length({_STRIP_SQL.format(c='r.rely_content')}) < 5""", "fb_reply", "fb_post"))
 def q_flt_short_reply_route(spark, sf):
+    """All replies, and all of them again cut to 0 to 8 characters, so that the route takes some."""
     from tickpulse.plans.flows import short_reply_rows
 
-    return short_reply_rows(joins.reply_with_post(fx.fb_reply(spark, sf), fx.fb_post(spark, sf)))
+    replies = fx.fb_reply(spark, sf)
+    cut = replies.withColumn("rely_content", F.expr("substr(rely_content, 1, cast(cast(reply_id as bigint) % 9 as int))"))
+    return short_reply_rows(joins.reply_with_post(replies.unionByName(cut), fx.fb_post(spark, sf)))
 
 
 @register("flt_symbol_not_null", with_fixtures("select * from all_content where symbol is not null", "all_content"))
@@ -359,17 +365,32 @@ def q_flt_event_present(spark, sf):
     return fx.calendar_raw(spark, sf).where(strip("event") != "")
 
 
-_CASE_LABEL_SQL = """select doc_id, pred_label,
-        coalesce(map_extract(MAP {'negative': 'TIÊU_CỰC', 'neutral': 'TRUNG_TÍNH', 'positive': 'TÍCH_CỰC'}, pred_label)[1],
-                 'TRUNG_TÍNH') as sentiment from predictions"""
+def _map_sql(mapping: dict, x: str, default: str | None) -> str:
+    key = lambda k: str(k) if isinstance(k, int) else f"'{k}'"
+    return f"coalesce(map_extract(MAP {{{', '.join(f'{key(k)}: ' + chr(39) + v + chr(39) for k, v in mapping.items())}}}, {x})[1], {'null' if default is None else chr(39) + default + chr(39)})"
+
+
+_RAW_LABELS = [*MODEL_LABEL_MAP, "surprise", "NEGATIVE"]
+_RAW_SQL = "[" + ", ".join(f"'{x}'" for x in _RAW_LABELS) + f"][doc_id % {len(_RAW_LABELS)} + 1]"
+_CASE_LABEL_SQL = f"""select doc_id, pred_label, {_map_sql(CUSTOM_LABEL_MAP, 'pred_label', NEUTRAL)} as sentiment, raw, {_map_sql(MODEL_LABEL_MAP, 'raw', None)} as english,
+    {_map_sql(CLASS_ID_LABEL_MAP, 'doc_id % 6', 'NEUTRAL')} as of_class, {_map_sql(EN_TO_VI_LABEL_MAP, _map_sql(MODEL_LABEL_MAP, 'raw', None), NEUTRAL)} as vietnamese,
+    {_map_sql(VI_TO_EN_LABEL_MAP, _map_sql(CUSTOM_LABEL_MAP, 'pred_label', NEUTRAL), 'neutral')} as training
+    from (select *, {_RAW_SQL} as raw from predictions)"""
 
 
 @register("prj_case_label", with_fixtures(_CASE_LABEL_SQL, "predictions"))
 def q_prj_case_label(spark, sf):
+    """All five label maps, with labels that a map does not hold."""
     from tickpulse.operators.sentiment import map_label
 
-    p = fx.predictions(spark, sf)
-    return p.select("doc_id", "pred_label", map_label("pred_label", CUSTOM_LABEL_MAP, NEUTRAL).alias("sentiment"))
+    raw = F.element_at(F.array(*[F.lit(x) for x in _RAW_LABELS]), (F.col("doc_id") % len(_RAW_LABELS) + 1).cast("int"))
+    p = fx.predictions(spark, sf).withColumn("raw", raw)
+    sentiment, english = map_label("pred_label", CUSTOM_LABEL_MAP, NEUTRAL), map_label("raw", MODEL_LABEL_MAP, None)
+    return p.select(
+        "doc_id", "pred_label", sentiment.alias("sentiment"), "raw", english.alias("english"),
+        map_label((F.col("doc_id") % 6).cast("int"), CLASS_ID_LABEL_MAP, "NEUTRAL").alias("of_class"),
+        map_label(english, EN_TO_VI_LABEL_MAP, NEUTRAL).alias("vietnamese"),
+        map_label(sentiment, VI_TO_EN_LABEL_MAP, "neutral").alias("training"))
 
 
 @register("prj_default_fill", with_fixtures(
@@ -616,4 +637,4 @@ def q_sink_top_upsert(spark, sf):
     ac = fx.all_content(spark, sf)
     ex = rollup.top_stocks(rollup.stock_sentiment(ac, "24h", _PREV_RUN), "24h", 10)
     inc = rollup.top_stocks(rollup.stock_sentiment(ac, "24h", RUN), "24h", 5)
-    return upsert.upsert(ex, inc, ["interval", "row_num"], "update")
+    return upsert.upsert_ranks(ex, inc, ["interval", "row_num"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import inspect
 import re
 import unicodedata
@@ -29,7 +30,7 @@ TEST_PATTERNS = whole_word_patterns(TEST_CUE_WORDS)
 
 # Literal rows beside the documents, so that every rule bites in both engines: one text per rumor cue (the next two hold two
 # cues), a veto word on either side of a ticker, decomposed accents, entities, links, short texts.
-_CUE_TEXTS = [
+CUE_TEXTS = [
     "Tôi nghe đồn là FPT lên", "họ đồn rằng giá giảm", "có tin đồn rằng lãi", "theo lời đồn thì tốt", "người ta nói là lỗ",
     "có nguồn tin rằng bán", "nhiều người nói vậy", "có người cho rằng mua", "cả nhóm xì xào", "tin vỉa hè thôi",
     "tin chưa kiểm chứng", "chưa có căn cứ gì", "Hình như tăng", "nghe bảo thế", "nghe kể lại", "được cho là lớn",
@@ -44,7 +45,7 @@ _OTHER_TEXTS = [
     "A&amp;B &lt;x&gt; &quot;q&quot; it&#39;s", "xem http://a.b/c @user #tag ngay!!!", "hearsays rumorous gossipy", "ok", "",
     "Giá cổ phiếu tăng 5% hôm nay. Nhà đầu tư mua mạnh trên thị trường trong phiên sáng. Lợi nhuận quý này đạt 900 tỷ đồng!",
 ]
-LITERAL_DOCS = [(-1 - i, t) for i, t in enumerate([*_CUE_TEXTS, *_OTHER_TEXTS])]
+LITERAL_DOCS = [(-1 - i, t) for i, t in enumerate([*CUE_TEXTS, *_OTHER_TEXTS])]
 DOCS_SQL = "(select doc_id, text from documents union all select * from (values " + ", ".join(
     f"({i}, {ot.q(t)})" for i, t in LITERAL_DOCS) + ") v(doc_id, text))"
 FLAGGED_DOCS = f"(select doc_id, text, {ot.common_flags('text', DICT.symbols)} from documents)"
@@ -188,7 +189,7 @@ def q_set_sorted_distinct_join(spark, sf):
 ALL_PATTERNS = [*RUMOR_PATTERNS, *TEST_PATTERNS]
 
 
-def _pattern_sql(x):
+def pattern_sql(x):
     out = "null"
     for pat in reversed(ALL_PATTERNS):
         body = pat.removeprefix(r"\b").removesuffix(r"\b")
@@ -196,7 +197,7 @@ def _pattern_sql(x):
     return f"case when {x} is null or {x} = '' then null else {out} end"
 
 
-@register("fn_rumor_pattern", f"select doc_id, {_pattern_sql('text')} as matched_keyword from (select *, lower(text) as low from documents)")
+@register("fn_rumor_pattern", f"select doc_id, {pattern_sql('text')} as matched_keyword from (select *, lower(text) as low from documents)")
 def q_fn_rumor_pattern(spark, sf):
     return docs(spark, sf).select("doc_id", rumor_pattern("text", ALL_PATTERNS).alias("matched_keyword"))
 
@@ -372,12 +373,15 @@ def q_fn_week_start(spark, sf):
 
 @register("fn_normalize_date", with_fixtures(
     """select row_idx, date as raw_date, case when regexp_replace(date, '\\s', '', 'g') = '' then ''
-        else strftime(strptime(regexp_replace(date, '^\\S+\\s+', '') || ' 2024', '%b %d %Y'), '%Y-%m-%d') end as event_date
-        from calendar_raw""", "calendar_raw"))
+        else strftime(strptime(regexp_replace(date, '^\\S+\\s+', '') || ' 2024', '%b %d %Y'), '%Y-%m-%d') end as event_date,
+        case when regexp_replace(date, '\\s', '', 'g') = '' then '' else strftime(strptime(regexp_replace(date, '^\\S+\\s+', '') || ' 2031', '%b %d %Y'), '%Y-%m-%d')
+        end as from_december from calendar_raw""", "calendar_raw"))
 def q_fn_normalize_date(spark, sf):
     c = fx.calendar_raw(spark, sf)
     return c.select("row_idx", F.col("date").alias("raw_date"),
-                    normalize_calendar_date(F.col("date"), fx.RUN_TIME).alias("event_date"))
+                    normalize_calendar_date(F.col("date"), fx.RUN_TIME).alias("event_date"),
+                    # January headers seen in December 2030 are those of the next year
+                    normalize_calendar_date(F.col("date"), dt.datetime(2030, 12, 20)).alias("from_december"))
 
 
 @register("fn_json_symbols", with_fixtures(

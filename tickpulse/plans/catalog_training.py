@@ -290,12 +290,19 @@ def q_agg_rouge_mean(spark, sf):
     return _means(_pairs(spark, sf))
 
 
-@register("flow_evaluate_rewriter", with_fixtures(_MEANS_SQL, "rewrite_pairs"))
+# every third original opens with a cue; what the rules make of it is the prediction
+_CUED_PAIRS_SQL = "select pair_id, case when pair_id % 3 = 0 then 'Nghe đồn ' || original else original end as cued, rewritten from rewrite_pairs"
+_RULED = f"(case when length({ot.strip('cued')}) < 3 then cued else {ot.rewrite_rules('cued')} end)"
+_SAID_PAIRS_SQL = f"select pair_id, case when {_RULED} is null or length({ot.strip(_RULED)}) < 3 then cued else {_RULED} end as original, rewritten from ({_CUED_PAIRS_SQL})"
+
+
+@register("flow_evaluate_rewriter", with_fixtures(_MEANS_SQL.replace("rewrite_pairs", "said_pairs"), "rewrite_pairs", extra=[("said_pairs", _SAID_PAIRS_SQL)]))
 def q_flow_evaluate_rewriter(spark, sf):
-    """Rewrite every original with the rule rewriter and score it against its reference (texts without
-    a cue stay as they are, which is what the SQL states)."""
+    """Rewrite every original with the rule rewriter and score it against its reference (texts without a cue stay as they are)."""
     from tickpulse.functions.rumor_rules import accept_rewrite, rewrite_text
 
     s = fx.rewrite_pairs(spark, sf)
+    cued = F.when(F.col("pair_id") % 3 == 0, F.concat(F.lit("Nghe đồn "), F.col("original"))).otherwise(F.col("original"))
+    s = s.withColumn("original", cued)
     return _means(s.select(F.col("pair_id").alias("id"), F.col("rewritten").alias("reference"),
                            accept_rewrite(rewrite_text(F.col("original")), F.col("original")).alias("prediction")))

@@ -204,11 +204,13 @@ def rewrite_rumors(rumors: DataFrame, analyst: DataFrame | None = None,
 # ---------------------------------------------------------------- YouTube mentions
 
 
-def yt_mentions(posts: DataFrame, tickers: list[str], max_words: int = YT_WINDOW_WORDS) -> DataFrame:
+def yt_mentions(posts: DataFrame, tickers: list[str], max_words: int = YT_WINDOW_WORDS, whole_word: bool = False) -> DataFrame:
     """flow_yt_mentions: for every case-sensitive substring hit of a ticker (longest tickers first,
     non-overlapping): the +-20-word window, split at capitals, and for each not-yet-used sentence
     holding the ticker a (sentence, previous + sentence + next) row; neighbours become used.
 
+    A ticker inside a longer word counts too, as in the reference; ``whole_word`` takes whole words only (SURVEY Q14).
+
     Hits cannot span whitespace, so they are found word by word and the word index is exact.
     All work happens inside the post's row (array functions on its word list and on
     <= 41-word windows); only the final mentions are exploded into rows.
@@ -221,6 +223,8 @@ def yt_mentions(posts: DataFrame, tickers: list[str], max_words: int = YT_WINDOW
     from tickpulse.functions.sentences import let
 
     alternation = "(" + "|".join(re.escape(t) for t in sorted(tickers, key=len, reverse=True)) + ")"
+    if whole_word:
+        alternation = r"(?<![\p{L}\p{N}_])" + alternation + r"(?![\p{L}\p{N}_])"
     item_type = "array<struct<tk:string,sentence:string,context:string>>"
 
     def mentions_in_window(sents, tk):
@@ -230,7 +234,8 @@ def yt_mentions(posts: DataFrame, tickers: list[str], max_words: int = YT_WINDOW
             cur = F.element_at(sents, j + 1)
             prev = F.when(j > 0, F.element_at(sents, F.greatest(j, F.lit(1))))
             nxt = F.when(j < F.size(sents) - 1, F.element_at(sents, F.least(j + 2, F.size(sents))))
-            skip = (j <= acc["used"]) | ~F.contains(cur, tk)
+            named = F.array_contains(F.regexp_extract_all(cur, F.lit(alternation), 1), tk) if whole_word else F.contains(cur, tk)
+            skip = (j <= acc["used"]) | ~named
             item = F.struct(tk.alias("tk"), cur.alias("sentence"), F.concat_ws(" ", prev, cur, nxt).alias("context"))
             new = F.struct((j + 1).alias("used"), F.array_append(acc["out"], item).alias("out"))
             return F.when(skip, acc).otherwise(new)
@@ -286,9 +291,15 @@ def calendar_events(raw: DataFrame, base_date) -> DataFrame:
     an event title are dropped (flt_event_present), blank times take the last time of the same
     date group (win_ffill_time), dates are normalised (fn_normalize_date); rows before the first
     header or under an empty date are dropped."""
-    r = calendar_headers(raw)
-    r = r.where((F.col("grp") > 0) & (F.regexp_replace("event", r"(?U)^\s+|\s+$", "") != ""))
-    r = calendar_times(r)
+    # both fills in one pass: a time counts if it stands at or below the header that the row is under
+    has_date = F.col("date").isNotNull() & (F.regexp_replace("date", r"(?U)\s", "") != "")
+    present = F.regexp_replace("event", r"(?U)^\s+|\s+$", "") != ""
+    time = F.nullif(F.regexp_replace("time", r"(?U)^\s+|\s+$", ""), F.lit(""))
+    r = carry_down(raw, ["page_id"], "row_idx", {
+        "_head": F.when(has_date, F.struct(F.col("row_idx").alias("at"), F.col("date").alias("text"))),
+        "_time": F.when(present & time.isNotNull(), F.struct(F.col("row_idx").alias("at"), time.alias("text")))}, {"grp": has_date})
+    r = r.where((F.col("grp") > 0) & present).withColumn("_hdr", F.col("_head.text"))
+    r = r.withColumn("event_time", F.when(F.col("_time.at") >= F.col("_head.at"), F.col("_time.text")).otherwise(F.lit("")))
     r = r.withColumn("event_date", normalize_calendar_date(F.col("_hdr"), base_date))
     r = r.where(F.col("event_date") != "")
     return r.select("page_id", "grp", "row_idx", "event_date", "event_time", "currency", "impact", "event", "actual",

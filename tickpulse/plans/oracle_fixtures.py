@@ -30,7 +30,7 @@ FIXTURES: dict[str, tuple[str, tuple[str, ...]]] = {
               d.text as content, e.ts, e.epoch as "timestamp"
               from documents d join ev e on d.doc_id * 5 = e.event_id""", ("ev",)),
     "fb_post": ("""select cast(c.conv_id as varchar) as post_id, c.text as content, e.epoch as "timestamp"
-              from conversations c join ev e on c.conv_id * 97 = e.event_id where c.turn = 0""", ("ev",)),
+              from conversations c left join ev e on e.event_id = (c.conv_id * 97) % ((select max(event_id) from events) + 1) where c.turn = 0""", ("ev",)),
     "fb_reply": ("""select cast(conv_id * 100 + turn as varchar) as reply_id, cast(conv_id as varchar) as post_id,
               text as rely_content from conversations where turn > 0""", ()),
     "fireant_posts": (f"""select cast(d.doc_id as varchar) as post_id, d.text as original_content, e.ts as date,
@@ -41,12 +41,12 @@ FIXTURES: dict[str, tuple[str, tuple[str, ...]]] = {
     "zalo_chat": ("""select c.conv_id * 100 + c.turn as id,
               case when c.role = 'assistant' and c.turn % 4 = 3 then 'NA' else c.text end as content,
               e.epoch as date
-              from conversations c join ev e on c.conv_id * 97 = e.event_id""", ("ev",)),
+              from conversations c left join ev e on e.event_id = (c.conv_id * 97) % ((select max(event_id) from events) + 1)""", ("ev",)),
     "yt_post": ("""select cast(d.doc_id as varchar) as post_id, d.text as post_content, e.ts as post_at
               from documents d join ev e on d.doc_id * 5 + 1 = e.event_id""", ("ev",)),
     "youtuber_advice": (f"""select e.epoch + c.turn as "timestamp", {sym('e.user_id')} as symbol, c.text as advise,
               'yt' || cast(c.conv_id as varchar) as source
-              from conversations c join ev e on c.conv_id * 97 = e.event_id where c.role = 'assistant'""", ("ev",)),
+              from conversations c left join ev e on e.event_id = (c.conv_id * 97) % ((select max(event_id) from events) + 1) where c.role = 'assistant'""", ("ev",)),
     "tickers": ("""select unnest(['THE','CI','DER','DIE','UND','QUE','LES','IT','AI','ER']) as symbol""", ()),
     "institution_profiles": (f"""select case when {K} % 10 = 0 then '' when {K} % 2 = 0 then lower({sym('user_id')})
               else {sym('user_id')} end as symbol from events""", ()),
@@ -55,7 +55,7 @@ FIXTURES: dict[str, tuple[str, tuple[str, ...]]] = {
                    when e.k % 5 = 1 then ' ' || lower({sym('e.user_id')}) || '-vn@hose '
                    else {sym('e.user_id')} end as symbol,
               c.text as content, cast(null as varchar) as sentiment, 'zalo_chat' as source
-              from conversations c join ev e on c.conv_id * 97 = e.event_id where c.role = 'user'""", ("ev",)),
+              from conversations c left join ev e on e.event_id = (c.conv_id * 97) % ((select max(event_id) from events) + 1) where c.role = 'user'""", ("ev",)),
     "rumor_analyst": ("""select content as original_content, content as rewritten_content, symbol, sentiment,
               source, "timestamp", id as processed_from_rumor_id
               from rumors where "timestamp" < 1705276800""", ("rumors",)),

@@ -62,17 +62,18 @@ def trending_union(fireant, fb_post, fb_reply, zalo, yt_post, since) -> DataFram
     return a.unionByName(b).unionByName(c).unionByName(d).unionByName(e)
 
 
-def fireant_tagged(fireant: DataFrame, start, end) -> DataFrame:
+def fireant_tagged(fireant: DataFrame, start, end, keep_untagged: bool = False) -> DataFrame:
     """fireant half of src_rumor_messages: posts in [start, end) with their tags joined by ', '.
 
     Tags are parsed inside the row (from_json) -- no explode/regroup shuffle.
-    Posts without any tag vanish, as with a lateral join.
+    Posts without any tag vanish, as with a lateral join; ``keep_untagged`` keeps them without symbols (SURVEY Q21).
     """
     tags = F.from_json("tagged_symbols", "array<struct<symbol:string>>")
     syms = F.filter(F.transform(tags, lambda x: x["symbol"]), lambda s: s.isNotNull())
     rows = fireant.where((F.col("date") >= ntz(start))
                          & (F.col("date") < ntz(end)))
-    rows = rows.where(F.size(F.coalesce(tags, F.array())) > 0)
+    if not keep_untagged:
+        rows = rows.where(F.size(F.coalesce(tags, F.array())) > 0)
     return rows.select(
         F.col("post_id").cast("string").alias("id"),
         F.col("original_content").alias("content"),
@@ -103,9 +104,9 @@ def concat_by_second(zalo: DataFrame, start_ts: int, end_ts: int, bucket: int =
                         F.lit("zalo_chat").alias("source"), F.lit("").alias("symbols"))
 
 
-def rumor_messages(fireant, zalo, start, end) -> DataFrame:
+def rumor_messages(fireant, zalo, start, end, keep_untagged: bool = False) -> DataFrame:
     """src_rumor_messages: tagged fireant posts UNION ALL zalo chats concatenated per second."""
-    return fireant_tagged(fireant, start, end).unionByName(concat_by_second(zalo, to_epoch(start), to_epoch(end)))
+    return fireant_tagged(fireant, start, end, keep_untagged).unionByName(concat_by_second(zalo, to_epoch(start), to_epoch(end)))
 
 
 def yt_window(yt_post: DataFrame, start, end) -> DataFrame:
