@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_dir(application: str) -> str:
+    """The folder of a local session that names none; the setting itself cannot be changed while a session runs."""
+    return "file://" + tempfile.mkdtemp(prefix="llm-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -16,15 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local[") and master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return _local_dir(spark.sparkContext.applicationId)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most from here on: a worker holds a batch several times over while it works on its texts."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    if not size.startswith("8388608"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608b")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -1,15 +1,15 @@
 """Exact Jaccard self-join of shingle sets by signature trees.
 
 1. Texts with equal sets form one class.
-2. Classes that can link at all share a token of their prefixes: of a set's tokens in one global order the first
-   ``n - ceil(percent * n / 100) + 1``.  The order puts tokens that recur in a sample of the documents last, so common passages rarely
-   take part; any order is right, a good one keeps strangers apart.  Classes chained by shared prefix tokens are a *family*, and
-   no link leaves a family.
+2. The token universe is cut into parts by hash, a few tokens of a set to a part, and more parts than two linked sets differ in
+   tokens: they must agree on a whole part (``_Parts``).  Classes chained by equal parts are a *family*, and no link leaves a
+   family.  Texts that share a passage rarely agree on a part.
 3. Every family has one signature tree.  Its sets, sorted by their smallest hash so that similar ones are neighbours, fill leaves of
    bounded size; a node of each level spans up to 16 nodes below.  A node holds the OR of its sets' token bitmaps, the range of
    their sizes, and the most tokens that any of its sets loses to bit collisions.
-4. Leaves link their own sets (and the last one of the leaf before) when they are made.  The dual traversal then descends all trees
-   together, one join per level.  A pair of nodes is dropped when its sizes cannot match, when the common bits plus the
+4. Leaves link their own sets (and the last one of the leaf before) when they are made, which joins near copies into components.
+   Families of several leaves that are not one component by then get trees sorted by component, and the dual traversal descends
+   all of them together, one join per level.  A pair of nodes is dropped when its sizes cannot match, when the common bits plus the
    collisions allow too small an overlap, or when all sets of both are in one component already.  Pairs of leaves that are left
    are compared set by set, exactly.
 
@@ -28,15 +28,14 @@ from pyspark.sql import functions as F
 from tickpulse.llm import rolling
 from tickpulse.llm.components import connected_components
 from tickpulse.llm.key_filter import build_filter, holds
-from tickpulse.llm.minhash_join import shingle_sets
 from tickpulse.llm.rows import chosen_rows, text_hash
-from tickpulse.llm.scratch import written
+from tickpulse.llm.scratch import small_batches, written
+from tickpulse.llm.shingles import shingle_sets
 
 _LEAF_SETS, _LEAF_TOKENS = 32, 1 << 16  # a leaf is closed by whichever comes first
 _FAN_BITS = 4  # 16 children
 _MIN_BITS, _MAX_BITS = 1 << 8, 1 << 16
 _OUT_BYTES = 1 << 22
-_SAMPLE = 8  # one document of eight says which tokens recur
 
 
 def _digest(g: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,48 +62,143 @@ def _set_rows(base: DataFrame, words: int) -> DataFrame:
     return base.mapInArrow(digest, "doc_id long, raw long, n_shingles long, node binary, cid long")
 
 
-def _recurring(base: DataFrame, words: int):
-    """A filter of the tokens that two documents of the sample have."""
+class _Parts:
+    """How sets of every size are cut into parts of the token universe.
 
-    def tokens(batches):
-        for b in batches:
-            for _, g, _, _, _ in shingle_sets(b.column("text"), words):
-                token, count = np.unique(g, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], names=["key", "k"])
+    Sizes fall into classes so wide that sets that can link lie in one class or in two neighbours.  Group ``c`` holds the
+    sets of classes ``c`` and ``c + 1``; each set is in two groups.  A group has one number of parts, and a token's part is its
+    hash.  Two linked sets differ in at most ``most`` tokens, so in at most as many parts: a set whose tokens fill more
+    parts than that agrees with every partner on a whole part that is not empty.  Sets that fill fewer, by bad luck, are
+    told apart (``short``).
+    """
 
-    sample = base.where(F.pmod(F.xxhash64("doc_id", "raw"), F.lit(_SAMPLE)) == 0).select("text")
-    often = sample.mapInArrow(tokens, "key long, k long").groupBy("key").agg(F.sum("k").alias("k")).where("k > 1")
-    return build_filter(written(often.select("key"), "recurring"))
+    def __init__(self, percent: int):
+        self.percent = percent
+        low = [1]
+        while low[-1] < 1 << 40:
+            low.append(max(low[-1] + 1, low[-1] * 100 // percent + 1))
+        self.low = np.array(low, np.int64)
+        top = self.low[1:] - 1  # largest size of each class
+        differ = self._most(top[:-1], np.minimum(top[:-1] * 100 // percent, top[1:]))
+        self.parts = np.ceil(1.1 * (differ + 1) + 1.5 * np.sqrt(differ + 1)).astype(np.int64)
+        self.parts[differ == 0] = 0  # only equal sets link here
+
+    def _most(self, n, m):
+        """Tokens that two sets of these sizes may differ in and still link."""
+        return (100 - self.percent) * (n + m) // (100 + self.percent)
+
+    def keys(self, g: np.ndarray, r: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``key, row, need`` of every part that a set of the rows fills, in both of its groups, and the rows that are ``short`` in one.
+
+        ``need`` is the least number of parts of that group on which the set agrees with any linked one."""
+        of = np.searchsorted(self.low, size, side="right") - 1
+        out, short = [], np.zeros(len(size), bool)
+        token = rolling.mix(g ^ np.uint64(0xA24BAED4963EE407))
+        place = rolling.mix(g + np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)
+        for down in (0, 1):
+            group = of - down
+            parts = np.where((group >= 0) & (size > 0), self.parts[np.maximum(group, 0)], 0)
+            partner = np.minimum(size * 100 // self.percent, self.low[np.maximum(group + 2, 0)] - 1) if not down else self.low[np.maximum(group + 1, 0)] - 1
+            most = self._most(size, partner)
+            here = np.flatnonzero(parts[r])
+            if not len(here):
+                continue
+            row = r[here]
+            # parts of all rows numbered through, so that one sort brings them together
+            base = np.cumsum(parts) - parts
+            number = base[row] + (place[here] * parts[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(number, kind="stable")
+            number, row = number[order], row[order]
+            first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+            row = row[first]
+            with np.errstate(over="ignore"):
+                content = np.add.reduceat(token[here][order], first)
+                name = (group[row].astype(np.uint64) << np.uint64(40)) + (number[first] - base[row]).astype(np.uint64)
+                key = rolling.mix(content ^ rolling.mix(name))
+            need = np.bincount(row, minlength=len(size)) - most
+            short |= (parts > 0) & (need <= 0)
+            out.append((key, row, np.maximum(need, 1)[row]))
+        if not out:
+            e = np.empty(0, np.int64)
+            return e.view(np.uint64), e, e, short
+        return *(np.concatenate(x) for x in zip(*out, strict=True)), short
+
+
+def _prefix(g: np.ndarray, r: np.ndarray, at: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Which tokens belong to their set's prefix: the first ``n - ceil(percent * n / 100) + 1`` by value.  Linked sets share one of them."""
+    return np.arange(len(g)) - at[r] < (size + (-percent * size) // 100 + 1)[r]
+
+
+def _slices_once(b: pa.RecordBatch, words: int):
+    """The sets of a batch by slices, equal sets of a slice once: tokens, row, first, size, and the half digest per row."""
+    for _, g, r, at, size in shingle_sets(b.column("text"), words):
+        full = np.flatnonzero(size)
+        if not len(full):
+            continue
+        cid = np.zeros(len(size), np.uint64)
+        cid[full], _ = _digest(g, at[full])
+        once = np.zeros(len(size), bool)
+        once[full[np.unique(cid[full], return_index=True)[1]]] = True
+        keep = once[r]
+        size = np.where(once, size, 0)
+        yield g[keep], r[keep], np.cumsum(size) - size, size, cid
 
 
-def _prefixes(base: DataFrame, words: int, percent: int) -> DataFrame:
-    """``token, cid``: every class under the prefix of its tokens, the ones that recur in the sample last."""
-    hot = _recurring(base, words)
+def _posts(key: np.ndarray, cid: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cid.view(np.int64)), pa.array(need, pa.int32())], names=["key", "cid", "need"])
 
-    def post(batches):
-        for b in batches:
-            for _, g, r, at, size in shingle_sets(b.column("text"), words):
-                full = np.flatnonzero(size)
-                if not len(full):
-                    continue
-                cid = np.zeros(len(size), np.uint64)
-                cid[full], _ = _digest(g, at[full])
-                once = np.zeros(len(size), bool)  # equal sets of a slice are posted once
-                once[full[np.unique(cid[full], return_index=True)[1]]] = True
-                order = np.lexsort((g, holds(hot.value, g), r))
-                place = np.arange(len(g)) - at[r]
-                length = size + (-percent * size) // 100 + 1
-                keep = (place < length[r]) & once[r]
-                yield pa.RecordBatch.from_arrays([pa.array(g[order][keep].view(np.int64)), pa.array(cid[r[keep]].view(np.int64))], names=["token", "cid"])
 
-    return base.select("text").mapInArrow(post, "token long, cid long")
+def _met(posts: DataFrame) -> DataFrame:
+    """The posts whose key another class has too."""
+    line = Window.partitionBy("key").orderBy("cid")
+    beside = [F.coalesce(f("cid").over(line) != F.col("cid"), F.lit(False)).alias(n) for f, n in ((F.lag, "a"), (F.lead, "b"))]
+    return posts.select("*", *beside).where("a or b").drop("a", "b")
 
 
 def _families(base: DataFrame, words: int, percent: int) -> DataFrame:
-    """``node, label``: classes (by half digest) chained by shared prefix tokens; classes that share none are left out."""
-    before = F.lag("cid").over(Window.partitionBy("token").orderBy("cid"))
-    chain = _prefixes(base, words, percent).select("cid", before.alias("prev")).where("prev is not null and prev <> cid")
-    return written(connected_components(written(chain.distinct(), "chains"), "cid", "prev"), "families")
+    """``node, label``: classes (by half digest) chained by equal parts; classes that agree with no other on a part are left out.
+
+    A class that agrees with all others together on fewer parts than it would with a single linked one links with nothing: it
+    is dropped before the rest is chained.  That is what keeps texts out that merely share passages.
+    """
+    texts = base.select("text")
+
+    def parts(batches):
+        cut = _Parts(percent)
+        for b in batches:
+            for g, r, _, size, cid in _slices_once(b, words):
+                key, row, need, _ = cut.keys(g, r, size)
+                yield _posts(key, cid[row], need)
+
+    def prefixes_of_short(batches):
+        cut = _Parts(percent)
+        for b in batches:
+            for g, r, at, size, cid in _slices_once(b, words):
+                keep = _prefix(g, r, at, size, percent) & cut.keys(g, r, size)[3][r]
+                yield _posts(g[keep], cid[r[keep]], np.zeros(int(keep.sum())))
+
+    schema = "key long, cid long, need int"
+    met = written(_met(texts.mapInArrow(parts, schema)), "met-parts")
+    for _ in range(2):  # what is dropped leaves others with too few
+        enough = met.groupBy("cid", "need").agg(F.count("*").alias("k")).where("k >= need").select("cid").distinct()
+        met = written(_met(met.join(enough, "cid", "left_semi")), "met-parts")
+    before = F.lag("cid").over(Window.partitionBy("key").orderBy("cid"))
+    chain = met.select("cid", before.alias("prev")).where("prev is not null and prev <> cid").distinct()
+
+    # the few sets that fill too few parts meet every partner under a token of their prefix
+    asked = written(texts.mapInArrow(prefixes_of_short, schema).distinct(), "short-prefixes")
+    wanted = build_filter(asked)
+
+    def prefixes(batches):
+        for b in batches:
+            for g, r, at, size, cid in _slices_once(b, words):
+                keep = np.flatnonzero(_prefix(g, r, at, size, percent))
+                keep = keep[holds(wanted.value, g[keep])]
+                yield _posts(g[keep], cid[r[keep]], np.zeros(len(keep)))
+
+    partner = texts.mapInArrow(prefixes, schema).select("key", "cid").distinct()
+    few = asked.select("key", F.col("cid").alias("prev")).join(partner, "key").where("prev <> cid").select("cid", "prev").distinct()
+    return written(connected_components(written(chain.unionByName(few), "chains"), "cid", "prev"), "families")
 
 
 def _bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -155,53 +249,61 @@ def _links(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 _EDGES = pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())]))
 _LEAF_SCHEMA = (
-    "family long, pid long, seq long, nodes array<binary>, sizes array<bigint>, tokens binary, bits binary, low long, high long, excess long, links array<struct<a: binary, b: binary>>"
+    "family long, pid long, seq long, nodes array<binary>, sizes array<bigint>, tokens binary, bits binary, low long, high long, excess long, same binary, "
+    "links array<struct<a: binary, b: binary>>"
 )
-_LEAF_TYPES = [pa.int64()] * 3 + [pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()] + [pa.int64()] * 3 + [_EDGES]
-_LEAF_NAMES = ["family", "pid", "seq", "nodes", "sizes", "tokens", "bits", "low", "high", "excess", "links"]
+_LEAF_TYPES = [pa.int64()] * 3 + [pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()] + [pa.int64()] * 3 + [pa.binary(), _EDGES]
+_LEAF_NAMES = ["family", "pid", "seq", "nodes", "sizes", "tokens", "bits", "low", "high", "excess", "same", "links"]
 
 
 def _leaves(sets: DataFrame, percent: int) -> DataFrame:
-    """Leaves of all trees, cut from the sorted sets of each partition, with the links inside."""
+    """Leaves of all trees, cut from the sorted sets of each partition, with the links inside.
 
-    def cut(batches):
-        pid, seq, out, held = TaskContext.get().partitionId(), 0, [], 0
-        family, bits, nodes, tokens, carry = None, 0, [], [], None
+    ``label`` is the component a set is known to be in: a leaf of one component (``same``) is not searched.  A leaf does not
+    reach over a change of ``family`` or ``cut``."""
 
-        def close():
-            maps = [_bitmap(t, bits) for t in tokens]
-            ones = [int(np.bitwise_count(m).sum()) for m in maps]
-            size = [len(t) for t in tokens]
-            names, members = ([carry[0], *nodes], [carry[1], *tokens]) if carry else (nodes, tokens)
-            edges = [dict(a=names[i], b=names[j]) for i, j in _forest(_links(members, percent))] if len(members) > 1 else []
-            excess = max(n - k for n, k in zip(size, ones, strict=True))
-            return (family, pid, seq, list(nodes), size, np.concatenate(tokens).tobytes(), np.bitwise_or.reduce(maps).tobytes(), min(size), max(size), excess, edges)
+    def close(family, pid, seq, bits, nodes, labels, tokens, carry):
+        maps = [_bitmap(t, bits) for t in tokens]
+        size = [len(t) for t in tokens]
+        same = labels[0] if len(set(labels)) == 1 else None
+        names, members = ([carry[0], *nodes], [carry[1], *tokens]) if carry else (nodes, tokens)
+        search = len(members) > 1 and (carry or same is None)
+        edges = [dict(a=names[i], b=names[j]) for i, j in _forest(_links(members, percent))] if search else []
+        excess = max(n - int(np.bitwise_count(m).sum()) for n, m in zip(size, maps, strict=True))
+        return (family, pid, seq, nodes, size, np.concatenate(tokens).tobytes(), np.bitwise_or.reduce(maps).tobytes(), min(size), max(size), excess, same, edges)
 
-        def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _LEAF_TYPES, strict=True)], names=_LEAF_NAMES)
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _LEAF_TYPES, strict=True)], names=_LEAF_NAMES)
 
+    def cut(batches):
+        pid, seq, out, held = TaskContext.get().partitionId(), 0, [], 0
+        now, bits, nodes, labels, tokens, carry = None, 0, [], [], [], None
         for b in batches:
-            for fam, width, node, raw in zip(*[b.column(c).to_pylist() for c in ("family", "width", "node", "tokens")], strict=True):
-                t = np.frombuffer(raw, np.uint64)
-                if nodes and (fam != family or len(nodes) == _LEAF_SETS or sum(map(len, tokens)) + len(t) > _LEAF_TOKENS):
-                    out.append(close())
+            plain = zip(*[b.column(c).to_pylist() for c in ("family", "cut", "width", "node", "label")], strict=True)
+            for i, (family, part, width, node, label) in enumerate(plain):
+                t = np.frombuffer(b.column("tokens")[i].as_buffer(), np.uint64)
+                if nodes and ((family, part) != now or len(nodes) == _LEAF_SETS or sum(map(len, tokens)) + len(t) > _LEAF_TOKENS):
+                    out.append(close(now[0], pid, seq, bits, nodes, labels, tokens, carry))
                     held += len(out[-1][5])
                     seq += 1
-                    carry = (nodes[-1], tokens[-1])
-                    nodes, tokens = [], []
+                    carry = (nodes[-1], tokens[-1].copy())
+                    nodes, labels, tokens = [], [], []
                     if held > _OUT_BYTES or len(out) == 2000:
                         yield batch(out)
                         out, held = [], 0
-                if fam != family:
-                    family, bits, carry = fam, width, None
+                if (family, part) != now:
+                    if now is None or family != now[0]:
+                        carry = None
+                    now, bits = (family, part), width
                 nodes.append(node)
+                labels.append(label)
                 tokens.append(t)
         if nodes:
-            out.append(close())
+            out.append(close(now[0], pid, seq, bits, nodes, labels, tokens, carry))
         if out:
             yield batch(out)
 
-    return sets.select("family", "width", "node", "tokens").mapInArrow(cut, _LEAF_SCHEMA)
+    return sets.select("family", "cut", "width", "node", "label", "tokens").mapInArrow(cut, _LEAF_SCHEMA)
 
 
 def _parents(level: DataFrame) -> DataFrame:
@@ -252,7 +354,7 @@ def _compared(pairs: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
             for i in range(b.num_rows):
                 names, members = [], []
                 for t in "ab":
-                    flat = np.frombuffer(b.column(f"tokens_{t}")[i].as_py(), np.uint64)
+                    flat = np.frombuffer(b.column(f"tokens_{t}")[i].as_buffer(), np.uint64)
                     members += np.split(flat, np.cumsum(b.column(f"sizes_{t}")[i].as_py())[:-1])
                     names += b.column(f"nodes_{t}")[i].as_py()
                 edges = _forest(_links(members, percent))
@@ -262,31 +364,43 @@ def _compared(pairs: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "a binary, b binary")
 
 
-def _tree_links(leaves: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
-    """The links between leaves, by dual traversal of all trees of several leaves; None where there is no such tree."""
+def _tree_links(sets: DataFrame, leaves: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
+    """The links that the first leaves did not see, by dual traversal of the trees of families with several leaves and several
+    components; None where there is no such family.
+
+    The trees are made anew: a component's sets fill leaves of their own, so a pair of nodes inside one is dropped at once,
+    and sets that are alone share leaves.
+    """
     spark = leaves.sparkSession
-    several = written(leaves.groupBy("family").agg(F.count("*").alias("k")).where("k > 1").select("family"), "tall-families")
-    trees = several.count()
+    several = leaves.groupBy("family").agg(F.count("*").alias("k")).where("k > 1").select("family")
+    named = sets.select("family", "node").join(several, "family", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = written(named.groupBy("family", "label").agg(F.count("*").alias("k")), "tall-components")
+    open_ = written(parts.groupBy("family").agg(F.count("*").alias("k")).where("k > 1").select("family"), "tall-families")
+    trees = open_.count()
     if not trees:
         return None
+    parts = parts.join(open_, "family", "left_semi").select("family", "label", F.when(F.col("k") > 1, F.col("label")).alias("cut"))
+    members = named.join(parts, ["family", "label"]).select("node", "label", "cut")
+    members = written(sets.join(members, "node"), "tall-sets")
+    order = ["family", "cut", "lowest", "node"]
+    leaves = written(_leaves(members.repartitionByRange(*order).sortWithinPartitions(*order), percent), "tall-leaves")
+
     # one number per partition: leaves get gapless numbers in sorted order, so a family's leaves are neighbours
     counts = sorted((r["pid"], r["k"]) for r in leaves.groupBy("pid").agg(F.count("*").alias("k")).collect())
     before = np.cumsum([0] + [k for _, k in counts])[:-1].tolist()
     offsets = spark.createDataFrame([(p, o) for (p, _), o in zip(counts, before, strict=True)], "pid long, before long")
-    numbered = leaves.join(several, "family", "left_semi").join(offsets, "pid").withColumn("id", F.col("seq") + F.col("before"))
-    numbered = written(numbered.drop("links", "pid", "seq", "before"), "tall-leaves")
-
-    member = numbered.select("family", "id", F.explode("nodes").alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    same = member.groupBy("family", "id").agg(F.min("label").alias("l"), F.max("label").alias("h")).select("family", "id", F.when(F.col("l") == F.col("h"), F.col("l")).alias("same"))
-    level = numbered.select("family", "id", "low", "high", "excess", "bits").join(same, ["family", "id"])
-    levels = [written(level, "level-0")]
+    numbered = leaves.join(offsets, "pid").withColumn("id", F.col("seq") + F.col("before"))
+    levels = [written(numbered.select("family", "id", "low", "high", "excess", "bits", "same"), "level-0")]
     while levels[-1].count() > trees:
         levels.append(written(_parents(levels[-1]), f"level-{len(levels)}"))
 
+    links = leaves.select(F.explode("links").alias("l")).select("l.a", "l.b")
+    if len(levels) == 1:
+        return links
     pairs = levels[-1].where("same is null").select("family", F.col("id").alias("x"), F.col("id").alias("y"))
     for level in reversed(levels[:-1]):
         pairs = written(_descend(pairs, level, percent), "node-pairs")
-    return written(_compared(pairs.where("x < y"), numbered, percent), "tree-links")
+    return written(links.unionByName(_compared(pairs.where("x < y"), numbered, percent)), "tree-links")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -300,6 +414,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their texts only.  Very long texts are slices of work of their own length.  An empty table gives no rows, and columns other than the
     two named are not read.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_hash(f"`{text_col}`").alias("raw"))
     rows = written(_set_rows(base, words), "set-rows")
     classes = rows.where("n_shingles > 0").groupBy("node").agg(
@@ -333,11 +448,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     sets = written(texts.mapInArrow(tokens, "family long, width long, node binary, lowest long, tokens binary"), "member-sets")
     ordered = sets.repartitionByRange("family", "lowest", "node").sortWithinPartitions("family", "lowest", "node")
-    leaves = written(_leaves(ordered, percent), "leaves")
+    leaves = written(_leaves(ordered.withColumn("label", F.col("node")).withColumn("cut", F.lit(None).cast("binary")), percent), "leaves")
 
     links = leaves.select(F.explode("links").alias("l")).select("l.a", "l.b")
     labels = written(connected_components(links, "a", "b"), "labels")
-    more = _tree_links(leaves, labels, percent)
+    more = _tree_links(sets, leaves, labels, percent)
     if more is not None and not more.isEmpty():
         links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
         labels = written(connected_components(links, "a", "b"), "labels")
