@@ -46,24 +46,11 @@ def ntz(value) -> Column:
     return F.lit(as_datetime(value).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def parse_ts(text) -> Column:
-    """Coercing parse: unparseable text -> NULL (rows are dropped by the caller)."""
-    return F.try_to_timestamp(_c(text)).cast("timestamp_ntz")
-
-
 def floor_to(ts, unit: str) -> Column:
     """fn_floor_hour / fn_floor_minute (``unit`` = 'hour' | 'minute' | 'day')."""
     return F.date_trunc(unit, _c(ts)).cast("timestamp_ntz")
 
 
-def date_text(epoch, fmt: str = "yyyy-MM-dd") -> Column:
-    return F.date_format(ts_of_epoch(epoch), fmt)
-
-
-# ---------------------------------------------------------------------------
-# driver-side anchors (a handful of scalars, never data)
-# ---------------------------------------------------------------------------
-
 def as_datetime(value) -> dt.datetime:
     if isinstance(value, dt.datetime):
         return value.replace(tzinfo=None)
