@@ -34,8 +34,11 @@ def test_the_latest_dates_with_a_token(spark):
     day = lambda n: dt.date(2024, 1, n)
     rows = [(day(1), "cổ phiếu"), (day(3), "tăng mạnh"), (day(5), "123 456"), (day(7), ""), (day(9), None), (day(11), "http://a.b/c"), (day(13), "x")]
     texts = spark.createDataFrame(rows, "date date, text string")
-    assert [(r.date, r.r) for r in trending.latest_token_dates(texts).collect()] == [(day(3), 1), (day(1), 2)]
-    assert trending.latest_token_dates(texts.where("text = 'x'")).count() == 0
+    counts, found = trending.latest_token_counts(texts)
+    assert found == [day(3), day(1)] and {r.date for r in counts.collect()} == {day(3), day(1)}
+    assert trending.latest_token_counts(texts.where("text = 'x'"))[1] == []
+    empty = texts.where("false").withColumnRenamed("text", "content")
+    assert trending.trending_daily(empty, zone=None).count() == 0
 
 
 def test_quantiles_equal_numpy(spark):

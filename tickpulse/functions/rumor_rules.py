@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,18 +35,37 @@ def to_java(pattern: str) -> str:
     return "(?U)" + out
 
 
+def _head(pattern: str) -> str:
+    """Plain letters that every match of the pattern opens with; '' where that cannot be told."""
+    body = pattern.removeprefix(r"\b")
+    depth = 0
+    for c in body:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            return ""
+    head = re.match(r"[^\\.\[\](){}*+?^$|]*", body).group()
+    return head[:-1] if body[len(head) : len(head) + 1] in ("*", "+", "?", "{") else head
+
+
+def _words(pattern: str) -> list[str]:
+    """Plain words that every match holds: those between blanks, as far as the pattern has neither choices nor classes."""
+    return [_head(pattern), *(w for w in re.split(r"\\s\+", pattern.removeprefix(r"\b").removesuffix(r"\b"))[1:] if re.fullmatch(r"\w+", w))] if not re.search(r"[|(\[]", pattern) else [_head(pattern)]
+
+
 def rumor_pattern(text, patterns: list[str] | None = None) -> Column:
     """fn_rumor_pattern: the first cue pattern (its source text) found in lower(text), else NULL.
 
-    One combined regex is tested first, so rows without any cue cost one scan.
+    A pattern is tried only on texts that hold the letters it opens with, so most rows cost plain substring searches.
     """
     pats = RUMOR_PATTERNS if patterns is None else patterns
-    low = F.lower(_c(text))
-    combined = "(?U)(?:" + "|".join(to_java(p)[4:] for p in pats) + ")"
-    first = F.coalesce(*[F.when(low.rlike(to_java(p)), F.lit(p)) for p in pats]) if len(pats) > 1 else \
-        F.when(low.rlike(to_java(pats[0])), F.lit(pats[0]))
-    return F.when(_c(text).isNull() | (_c(text) == ""), F.lit(None).cast("string")) \
-        .when(low.rlike(combined), first).otherwise(F.lit(None).cast("string"))
+
+    def first(low):
+        holds = lambda p: reduce(and_, [F.contains(low, F.lit(w)) for w in _words(p)])
+        return F.coalesce(*[F.when(holds(p) & low.rlike(to_java(p)), F.lit(p)) for p in pats], F.lit(None).cast("string"))
+
+    # the lower-cased text is bound once for all patterns
+    found = F.element_at(F.transform(F.array(F.lower(_c(text))), first), 1)
+    return F.when(_c(text).isNull() | (_c(text) == ""), F.lit(None).cast("string")).otherwise(found)
 
 
 def whole_word_patterns(words: list[str]) -> list[str]:

@@ -144,22 +144,23 @@ def trending_2days(df: DataFrame, end_time, top_n: int = 10, alpha=TRENDING_ALPH
     return top_lists(scored(counts, 4, alpha, beta), top_n)
 
 
-def latest_token_dates(texts: DataFrame, stopwords=None, most: int = 2) -> DataFrame:
-    """``date, r``: the latest ``most`` dates of which a text yields a kept token, newest first (r = 1).
+def latest_token_counts(texts: DataFrame, stopwords=None, most: int = 2) -> tuple[DataFrame | None, list]:
+    """``date, word, n`` of the newest dates that hold a token, and the latest ``most`` of these dates, newest first.
 
-    The dates of the table are found without looking at any text; then the newest ones are looked at, twice as many each time, until
-    enough hold a token.  The history is not tokenised.
+    The dates of the table are found without looking at any text, one row per calendar day; then the newest ones are counted,
+    twice as many each time, until enough hold a token.  The history is not tokenised.
     """
-    spark = texts.sparkSession
-    dates = [r.date for r in texts.select("date").distinct().orderBy(F.desc("date")).collect()]  # one row per calendar day
-    has_token = F.exists(raw_tokens(F.col("text")), lambda t: keep_token(t, stopwords) & (clean_token(t) != ""))
-    found, first, step = [], 0, most
+    dates = [r.date for r in texts.select("date").distinct().orderBy(F.desc("date")).collect()]
+    counts, found, first, step = None, [], 0, most
     while first < len(dates) and len(found) < most:
         part = dates[first : first + step]
-        some = texts.where(F.col("date").between(part[-1], part[0])).groupBy("date").agg(F.max(has_token).alias("any")).where("any")
-        found += sorted((r.date for r in some.collect()), reverse=True)
+        raw = texts.where(F.col("date").between(part[-1], part[0])).select("date", F.explode(raw_tokens(F.col("text"))).alias("raw"))
+        toks = raw.where(keep_token(F.col("raw"), stopwords)).select("date", clean_token(F.col("raw")).alias("word")).where(F.col("word") != "")
+        some = materialize(toks.groupBy("date", "word").agg(F.count(F.lit(1)).alias("n")))
+        counts = some if counts is None else counts.unionByName(some)
+        found += sorted((r.date for r in some.select("date").distinct().collect()), reverse=True)
         first, step = first + step, step * 2
-    return spark.createDataFrame([(d, i + 1) for i, d in enumerate(found[:most])], "date date, r int")
+    return counts, found[:most]
 
 
 def daily_counts(tokens: DataFrame) -> DataFrame:
@@ -189,21 +190,16 @@ def trending_daily(df: DataFrame, top_n: int = 20, alpha=TRENDING_ALPHA, beta=TR
     """flow_trending_daily: today = latest date present, yesterday = the previous present date
     (win_prev_day_lag); floor max//10; three top-N lists.
 
-    A date is present when one of its texts yields a kept token.  The two latest such dates
-    are found first (one row per date crosses the shuffle), and only the texts of those two
-    dates are exploded into tokens and counted: the token shuffle covers two days, not the
-    whole history.
+    A date is present when one of its texts yields a kept token.  Only the newest dates' texts are tokenised and counted,
+    not the whole history.
     """
     ts = to_zone(ts_col, zone) if zone else F.col(ts_col).cast("timestamp_ntz")
     texts = df.select(F.to_date(ts).alias("date"), F.col(text_col).alias("text")).where(F.col("date").isNotNull())
-    last2 = latest_token_dates(texts, stopwords)
-    recent = texts.join(F.broadcast(last2), "date")  # two rows: a bounded broadcast
-    raw = recent.select("r", F.explode(raw_tokens(F.col("text"))).alias("raw"))
-    toks = raw.where(keep_token(F.col("raw"), stopwords)).select("r", clean_token(F.col("raw")).alias("word"))
-    counts = toks.where(F.col("word") != "").groupBy("word").agg(
-        F.count(F.when(F.col("r") == 1, 1)).alias("count_today"),
-        F.count(F.when(F.col("r") == 2, 1)).alias("count_prev"),
-    )
+    per, last2 = latest_token_counts(texts, stopwords)
+    if per is None:  # no rows at all
+        per, last2 = df.sparkSession.createDataFrame([], "date date, word string, n long"), []
+    on = lambda i: F.sum(F.when(F.col("date") == F.lit(last2[i]), F.col("n")).otherwise(0)) if i < len(last2) else F.sum(F.lit(0))
+    counts = per.where(F.col("date").isin(last2)).groupBy("word").agg(on(0).alias("count_today"), on(1).alias("count_prev"))
     return top_lists(scored(counts, 10, alpha, beta).drop("count_prev"), top_n)
 
 
