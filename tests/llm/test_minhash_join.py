@@ -66,7 +66,7 @@ def test_against_all_pairs(spark, seed):
 
 
 def test_one_large_group_and_a_common_passage(spark):
-    """Most rows are variants of one text near the threshold; small limits force several rounds."""
+    """Most rows are variants of one text near the threshold, at production parameters."""
     r = random.Random(3)
     base = [f"b{i}" for i in range(60)]
     rows = []
@@ -76,7 +76,30 @@ def test_one_large_group_and_a_common_passage(spark):
             w[r.randrange(60)] = f"x{r.randrange(1000)}"
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, " ".join(base[:20]) + " " + " ".join(f"u{r.randrange(10**6)}" for _ in range(6))) for i in range(60)]
-    check(spark, rows, few=2)
+    check(spark, rows)
+
+
+def test_some_hundred_half_alike_texts(spark):
+    """Texts that share half of their words in blocks: the lists they meet in are settled exactly."""
+    r = random.Random(8)
+    blocks = [[f"k{b}_{i}" for i in range(12)] for b in range(10)]
+    rows = []
+    for i in range(350):
+        w = [x for b in sorted(r.sample(range(10), 5)) for x in blocks[b]] + [f"u{r.randrange(10**6)}" for _ in range(r.randint(0, 20))]
+        if r.random() < 0.3:
+            w[r.randrange(len(w))] = f"v{i}"
+        rows.append((i, " ".join(w)))
+    check(spark, rows)
+
+
+def test_kept_rows_keep_odd_columns(spark):
+    """Names that the operator uses itself, and maps inside other columns."""
+    rows = [(1, "a b c d e f", 1), (2, "a b c d e f", 2), (2, "a b c d e f", 2), (3, "x y", 3), (None, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, v long")
+    docs = docs.select("*", F.col("v").alias("__id"), F.col("v").alias("__raw"), F.col("v").alias("___none"), F.array(F.struct(F.create_map(F.lit("k"), "v").alias("m"))).alias("node"))
+    got = sorted((r.doc_id, r["__id"], r["node"][0]["m"]["k"]) for r in keep_one(docs).where("doc_id is not null").collect())
+    assert got == [(1, 1, 1), (3, 3, 3)]
+    assert keep_one(docs).columns == docs.columns
 
 
 def test_odd_rows(spark):

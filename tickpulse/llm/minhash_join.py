@@ -9,15 +9,14 @@ counted over all coordinates of the two signatures, skipping a pair in every
 posting list but the first both have, and pairs that reach ``need`` are
 confirmed on their full sets.
 
-Groups are never expanded into all pairs.  Round 0 compares each list's members
-with its smallest one, the centre.  What a member lacks of its centre's set, and
+Groups are never expanded into all pairs.  Each list's members are compared with
+its smallest one, the centre.  What a member lacks of its centre's set, and
 which of its other shingles any further member has, bounds what two members can
 share, so most members that the centre does not link are settled by this bound alone.
-Later rounds compare, between different components only, the members that the
-bound leaves open, and members that agree too little with their centre to have
-one: all of them where they are few (the group is then finished), a hashed choice
-that grows fourfold by the round where they are many.  The rounds end when every
-group is finished, so no link between components is left out.
+Groups that still hold several components with members the bound leaves open, or
+members that agree too little with their centre to have a bound, are settled exactly:
+their classes, all groups together, go through the signature trees on their full sets, so
+no link between components is left out and no pair is listed.
 """
 
 from __future__ import annotations
@@ -29,62 +28,19 @@ from pyspark.sql import functions as F
 
 from tickpulse.llm import rolling
 from tickpulse.llm.components import connected_components
-from tickpulse.llm.rows import chosen_rows
-from tickpulse.llm.scratch import written
+from tickpulse.llm.rows import chosen_rows, screened
+from tickpulse.llm.scratch import discard, small_batches, written
+from tickpulse.llm.shingles import shingle_sets
+from tickpulse.llm.signature_trees import jaccard_join
 
-_BATCH_BYTES = 1 << 20
 COORDS = 64
 NEED = 34
-FEW = 32
 
 
 def _multipliers(coords: int) -> np.ndarray:
     return np.random.default_rng(20).integers(1, 1 << 63, coords, dtype=np.uint64) | np.uint64(1)
 
 
-def shingle_sets(texts: pa.Array, words: int):
-    """For slices of the texts: first row, distinct shingle hashes sorted per row, their row, first index and count per row.
-
-    Words are runs of bytes other than ``\\x20 \\x09-\\x0D`` in the text with A-Z lowered.  A text with fewer than
-    ``words`` words is one shingle; without words it has none.
-    """
-    data, offsets = rolling.utf8_buffer(texts)
-    first, n = 0, len(offsets) - 1
-    while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + _BATCH_BYTES, side="left"))
-        last = min(max(last, first + 1), n)
-        low = rolling.lower_az(data[offsets[first] : offsets[last]])
-        start, end, row = rolling.word_spans(low, offsets[first : last + 1] - offsets[first])
-        h = rolling.span_hashes(rolling.prefix_hashes(low), start, end)
-        count = np.bincount(row, minlength=last - first)
-        with np.errstate(over="ignore"):
-            full = h
-            for j in range(1, words):  # order-dependent mix of the next words
-                m = max(0, len(h) - j)
-                full = rolling.mix(full[:m] * np.uint64(0x9FB21C651E98DF25) + h[j:])
-            at = np.arange(len(full))
-            inside = row[at] == row[at + words - 1] if len(full) else np.empty(0, bool)
-            g, r = full[inside], row[at][inside]
-            short = np.flatnonzero((count > 0) & (count < words))
-            if len(short):
-                head = np.cumsum(count) - count
-                extra = []
-                for i in short.tolist():
-                    x = np.uint64(count[i])
-                    for y in h[head[i] : head[i] + count[i]]:
-                        x = rolling.mix(np.array([x * np.uint64(0x9FB21C651E98DF25) + y + np.uint64(1)]))[0]
-                    extra.append(x)
-                g, r = np.append(g, np.array(extra, np.uint64)), np.append(r, short)
-        order = np.lexsort((g, r))
-        g, r = g[order], r[order]
-        keep = np.ones(len(g), bool)
-        keep[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
-        g, r = g[keep], r[keep]
-        size = np.bincount(r, minlength=last - first)
-        yield first, g, r, np.cumsum(size) - size, size
-        first = last
-
-
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, coords: int) -> DataFrame:
     """``doc_id, raw, n_shingles, node, sig``: set size, 128-bit digest of the set (null if empty), 4 bytes per coordinate."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -139,7 +95,9 @@ def _postings(classes: DataFrame, coords: int, need: int) -> DataFrame:
     mask = F.aggregate("kept", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x["token"], 32).cast("int"))))
     rows = written(posted.select("node", F.explode("kept.token").alias("token"), mask.alias("mask")), "posted")
     several = rows.groupBy("token").agg(F.count("*").alias("often")).where("often > 1").select("token")
-    return rows.join(several, "token").join(classes.select("node", "n", "sig"), "node")
+    lists = written(rows.join(several, "token").join(classes.select("node", "n", "sig"), "node"), "postings")
+    discard(rows)
+    return lists
 
 
 def _agreeing(pairs: DataFrame, coords: int, need: int) -> DataFrame:
@@ -160,11 +118,11 @@ def _agreeing(pairs: DataFrame, coords: int, need: int) -> DataFrame:
     return pairs.mapInArrow(count, "a binary, b binary")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, always_shuffle: bool) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """``node, hashes`` of the wanted classes, from the texts of their representatives."""
     marks = wanted.select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.raw").alias("raw"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = chosen_rows(texts, marks, carry=("node",), always_shuffle=always_shuffle)
+    found = chosen_rows(screened(texts, marks), marks, carry=("node",))
 
     def collect(batches):
         for b in batches:
@@ -210,6 +168,17 @@ def _hubs(stars: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("mask", F.lit(-1).cast("long"))
 
 
+def _settled(docs: DataFrame, classes: DataFrame, asked: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """``a, b``: what connects the ``asked`` classes among themselves, decided exactly on their full sets (``signature_trees``)."""
+    marks = classes.select("node", "rep").join(asked, "node", "left_semi")
+    marks = written(marks.select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.raw").alias("raw"), F.monotonically_increasing_id().alias("number")), "open-texts")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = written(chosen_rows(screened(texts, marks), marks, carry=("number",)).select("number", "text"), "asked-texts")  # read several times
+    joined = jaccard_join(found.select("number", "text"), "number", "text", words, percent).where("doc_id <> component_id")
+    at = lambda c, n: marks.select(F.col("number").alias(c), F.col("node").alias(n))
+    return joined.join(at("doc_id", "a"), "doc_id").join(at("component_id", "b"), "component_id").select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -218,7 +187,6 @@ def near_duplicates(
     percent: int = 80,
     coords: int = COORDS,
     need: int = NEED,
-    few: int = FEW,
 ) -> DataFrame:
     """Link texts whose shingle sets have ``100 * intersection >= percent * union``; one row per document.
 
@@ -231,92 +199,55 @@ def near_duplicates(
     none is kept.  Rows that repeat an id are linked by their texts only; all rows with the kept id are kept.  An empty
     table gives no rows.
     """
-    found = _linked(docs, id_col, text_col, words, percent, coords, need, few).drop("raw", "stays")
+    found = _linked(docs, id_col, text_col, words, percent, coords, need).drop("raw", "stays")
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, coords: int = COORDS, need: int = NEED) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of linked texts (the smallest id; without ids
     the first by a hash of the text), and every text without words."""
-    marks = _linked(docs, id_col, text_col, words, percent, coords, need, FEW).where("stays").select("doc_id", "raw").distinct()
+    marks = _linked(docs, id_col, text_col, words, percent, coords, need).where("stays").select("doc_id", "raw").distinct()
     return chosen_rows(docs, written(marks, "kept"), id_col, text_col)
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, coords: int, need: int, few: int) -> DataFrame:
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, coords: int, need: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     rows = written(signatures(docs, id_col, text_col, words, coords), "signatures")
     classes = written(_classes(rows), "classes")
-    posts = written(_postings(classes, coords, need), "postings")
+    posts = _postings(classes, coords, need)
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    side = lambda m, t, cols: m.select("grp", *[F.col(c).alias(f"{c}_{t}") for c in cols])
-
-    def met(centres: DataFrame, members: DataFrame, condition: str, extra: tuple[str, ...] = ()) -> DataFrame:
-        """Candidate pairs of centres and members of their groups, signatures compared."""
-        cols = ("node", "n", "sig", "mask", *extra)
-        both = side(centres, "a", cols).join(side(members, "b", cols), "grp").where(f"node_a <> node_b and {near} and {condition}")
-        # the group of a list is its token, with the coordinate in the upper half; hubs have no coordinate
-        coord = F.shiftright("grp", 32).cast("int") if dict(members.dtypes)["grp"] == "bigint" else F.lit(-1)
-        pairs = both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "sig_a", "sig_b", "mask_a", "mask_b", coord.alias("coord"))
-        return _agreeing(pairs, coords, need).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    # round 0: every list's members against its smallest one
     lists = posts.withColumnRenamed("token", "grp")
     low = written(lists.groupBy("grp").agg(F.min("node").alias("low")), "centres")
     lists = lists.join(low, "grp")
-    found = written(met(lists.where("node = low"), lists.where("node <> low"), "true").distinct(), "candidates")
 
-    def fetch(pairs: DataFrame, have: DataFrame | None) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if have is not None:
-            asked = asked.join(have.select("node"), "node", "left_anti")
-        asked = written(classes.select("node", "rep").join(asked, "node", "left_semi"), "asked")
-        more = written(_sets(docs, asked, id_col, text_col, words, have is None), "sets")
-        return more if have is None else have.unionByName(more)
-
-    sets = fetch(found, None)
+    # every list's members against its smallest one; the group of a list is its token, with the coordinate in the upper half
+    side = lambda rows, t: rows.select("grp", *[F.col(c).alias(f"{c}_{t}") for c in ("node", "n", "sig", "mask")])
+    both = side(lists.where("node = low"), "a").join(side(lists.where("node <> low"), "b"), "grp").where(near)
+    pairs = both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "sig_a", "sig_b", "mask_a", "mask_b", F.shiftright("grp", 32).cast("int").alias("coord"))
+    found = _agreeing(pairs, coords, need).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = written(found.distinct(), "candidates")
+    asked = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = written(classes.select("node", "rep").join(asked, "node", "left_semi"), "asked")
+    sets = written(_sets(docs, asked, id_col, text_col, words), "sets")
     stars = written(_compare(found, sets), "stars")
     links = stars.where(_linked_sets(percent)).select("a", "b")
     labels = written(connected_components(links, "a", "b"), "labels")
 
-    # later rounds: pairs of one hub that its bound allows, and pairs of a list with a member that its centre knows nothing of
-    hubs = written(_hubs(stars, percent), "hubs")
+    # groups that this leaves open: of several components, with members that the bound allows more links or that the centre knows nothing of
+    hubs = _hubs(stars, percent).select("grp", "node", "probe")
     known = stars.select(F.col("a").alias("low"), F.col("b").alias("node"), F.lit(True).alias("known"))
     odd = lists.join(known, ["low", "node"], "left").withColumn("probe", F.col("known").isNull() & (F.col("node") != F.col("low")))
-    odd = odd.join(odd.where("probe").select("grp").distinct(), "grp", "left_semi")
-    odd = written(odd.select("grp", "node", "n", "mask", "probe"), "open-lists")
-    bound = f"{100 + percent} * (na_a - greatest(lost_a, lost_b) + least(shared_a, shared_b)) >= {percent} * (n_a + n_b)"
-    work = [(hubs, True, bound, ("label", "na", "lost", "shared")), (odd, False, "true", ("label",))]
-    step = 1
-    while work:
-        limit = few * 4 ** (step - 1)
-        pairs, rest = None, []
-        for members, skip_top, condition, extra in work:
-            m = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            per = m.groupBy("grp", "label").agg(F.count("*").alias("k"), F.count(F.when(F.col("probe"), 1)).alias("p"))
-            state = per.groupBy("grp").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label", "p")).alias("top"), F.sum("p").alias("p"))
-            open_ = (F.col("p") - F.col("top.p")) if skip_top else F.col("p")
-            state = written(state.select(F.col("grp").alias("g"), "labels", F.col("top.label").alias("top"), open_.alias("open")).where("labels > 1 and open > 0"), "open-groups")
-            if state.isEmpty():
-                continue
-            m = m.join(state, F.col("grp") == F.col("g")).drop("g")  # members of open groups only get their signatures
-            m = written(m.join(classes.select("node", "sig"), "node"), "open-members")
-            choice = F.col("probe") & ((F.col("open") <= limit) | (F.pmod(F.xxhash64("node", F.lit(step)), F.col("open")) < limit))
-            if skip_top:
-                choice = choice & (F.col("label") != F.col("top"))
-            got = met(m.where(choice), m, f"label_a <> label_b and {condition}", extra)
-            pairs = got if pairs is None else pairs.unionByName(got)
-            left = state.where(F.col("open") > limit).select("g")
-            if not left.isEmpty():
-                rest.append((members.join(left, F.col("grp") == F.col("g"), "left_semi"), skip_top, condition, extra))
-        if pairs is None:
-            break
-        found = written(pairs.distinct(), "candidates")
-        sets = fetch(found, sets)
-        new = written(_compare(found, sets).where(_linked_sets(percent)).select("a", "b"), "links")
-        if not new.isEmpty():
-            links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new)
-            labels = written(connected_components(links, "a", "b"), "labels")
-        work = rest
-        step += 1
+    odd = odd.select(F.col("grp").cast("string").cast("binary").alias("grp"), "node", "probe")
+    members = written(hubs.unionByName(odd), "members")
+    parts = members.join(labels, "node", "left").groupBy("grp").agg(
+        F.min(F.coalesce("label", "node")).alias("first"), F.max(F.coalesce("label", "node")).alias("last"), F.max("probe").alias("probe"))
+    open_ = parts.where("probe and first <> last").select("grp")
+    lists_done = [posts, low, found, asked, sets, stars, members]
+    asked = written(members.join(open_, "grp", "left_semi").select("node").distinct(), "open-classes")
+    discard(*lists_done)
+    if not asked.isEmpty():
+        links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_settled(docs, classes, asked, id_col, text_col, words, percent))
+        labels = written(connected_components(links, "a", "b"), "labels")
 
     named = classes.select(F.col("node").alias("c_node"), "low_id", "rep")
     named = named.join(labels, F.col("c_node") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c_node")).drop("node")

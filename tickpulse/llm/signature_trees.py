@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tickpulse.llm import rolling
 from tickpulse.llm.components import connected_components
 from tickpulse.llm.key_filter import build_filter, holds
-from tickpulse.llm.rows import chosen_rows, text_hash
-from tickpulse.llm.scratch import small_batches, written
+from tickpulse.llm.rows import chosen_rows, screened, text_hash
+from tickpulse.llm.scratch import discard, small_batches, written
 from tickpulse.llm.shingles import shingle_sets
 
 _LEAF_SETS, _LEAF_TOKENS = 32, 1 << 16  # a leaf is closed by whichever comes first
@@ -181,7 +181,9 @@ def _families(base: DataFrame, words: int, percent: int) -> DataFrame:
     met = written(_met(texts.mapInArrow(parts, schema)), "met-parts")
     for _ in range(2):  # what is dropped leaves others with too few
         enough = met.groupBy("cid", "need").agg(F.count("*").alias("k")).where("k >= need").select("cid").distinct()
+        before_ = met
         met = written(_met(met.join(enough, "cid", "left_semi")), "met-parts")
+        discard(before_)
     before = F.lag("cid").over(Window.partitionBy("key").orderBy("cid"))
     chain = met.select("cid", before.alias("prev")).where("prev is not null and prev <> cid").distinct()
 
@@ -429,14 +431,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = F.least(F.lit(_MAX_BITS), F.greatest(F.lit(_MIN_BITS), F.pow(F.lit(2), F.ceil(F.log2(8 * F.col("n"))))).cast("long"))
     members = members.drop("n").join(widest.select("family", bits.alias("width")), "family")
 
-    wanted = build_filter(members.select(F.xxhash64("doc_id", "raw").alias("key")))
-
-    def screen(batches):
-        for b in batches:
-            yield b.filter(pa.array(holds(wanted.value, b.column("key").to_numpy().view(np.uint64))))
-
-    texts = base.withColumn("key", F.xxhash64("doc_id", "raw")).mapInArrow(screen, "doc_id long, text string, raw long, key long")
-    texts = chosen_rows(texts.select("doc_id", "text"), members, carry=("node", "family", "width"))
+    texts = chosen_rows(screened(base.select("doc_id", "text"), members), members, carry=("node", "family", "width"))
 
     def tokens(batches):
         for b in batches:
