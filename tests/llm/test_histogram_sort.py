@@ -50,3 +50,12 @@ def test_odd_rows(spark):
     check(spark, [(1, "x")], 3)
     check(spark, [(None, None), (None, "a"), (1, None), (2, "z" * 200_000), (3, ""), (3, ""), (3, "")], 3)
     assert zlib.crc32(b"") == 0
+
+
+def test_no_column_is_lost(spark):
+    """Only ``shard`` and ``slot`` are the operator's; names that look private stay."""
+    docs = spark.createDataFrame([(i, f"t{i}", 7, 8, 9, 10, 11) for i in range(30)], "doc_id long, text string, _value int, _part int, _size int, __tie int, shard int")
+    got = shard(docs, 3)
+    assert sorted(got.columns) == sorted([*docs.columns, "slot"])
+    assert {(r["_value"], r["_part"], r["_size"], r["__tie"]) for r in got.collect()} == {(7, 8, 9, 10)}
+    assert {r.shard for r in got.collect()} == {0, 1, 2}

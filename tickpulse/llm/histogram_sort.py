@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickpulse.llm.rows import private_prefix
 from tickpulse.llm.scratch import written
 
 _TOP = 1 << 128
@@ -106,13 +107,13 @@ def part_column(cuts: list[int], value: Column, tie: Column) -> Column:
     return part(value, tie)
 
 
-def key_columns(df: DataFrame, id_col: str, text_col: str, by: str | None = None) -> DataFrame:
-    """Adds ``_value`` (sort value, nulls first), ``_tie`` and ``_size`` (UTF-8 bytes plus 16)."""
+def key_columns(df: DataFrame, id_col: str, text_col: str, by: str | None = None, prefix: str = "_") -> DataFrame:
+    """Adds ``_value`` (sort value, nulls first), ``_tie`` and ``_size`` (UTF-8 bytes plus 16), under another prefix if asked."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return (
-        df.withColumn("_value", F.coalesce(F.col(by or id_col).cast("long"), F.lit(-(1 << 63))))
-        .withColumn("_tie", F.xxhash64(F.col(id_col).cast("long"), text))
-        .withColumn("_size", F.octet_length(text).cast("long") + 16)
+        df.withColumn(prefix + "value", F.coalesce(F.col(by or id_col).cast("long"), F.lit(-(1 << 63))))
+        .withColumn(prefix + "tie", F.xxhash64(F.col(id_col).cast("long"), text))
+        .withColumn(prefix + "size", F.octet_length(text).cast("long") + 16)
     )
 
 
@@ -133,21 +134,20 @@ def shard(
     ``by`` names a column of whole numbers to sort by (default: the id); nulls come first, and rows with equal values are ordered by a
     hash of id and text.  Null texts have size 16.  Rows equal in value, id and text stay together, in any order.
     """
-    drop = [c for c in docs.columns if c.lower() in ("shard", "slot", "_value", "_tie", "_size", "_part")]
+    drop = [c for c in docs.columns if c.lower() in ("shard", "slot")]
     own = docs.drop(*[c for c in drop if c not in (id_col, text_col, by)])
-    keyed = key_columns(own, id_col, text_col, by)
-    keys = written(keyed.select(F.col("_value").alias("value"), F.col("_tie").alias("tie"), F.col("_size").alias("size")), "shard-keys")
+    p = private_prefix(docs.columns)
+    value, tie, size, part = (p + c for c in ("value", "tie", "size", "part"))
+    keyed = key_columns(own, id_col, text_col, by, p)
+    keys = written(keyed.select(F.col(value).alias("value"), F.col(tie).alias("tie"), F.col(size).alias("size")), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     per = max(1, min(most_parts // shards, -(-total // (part_bytes * shards))))
     cuts, rows_before, _ = splitters(keys, shards * per, tolerance * per)
     parts = len(rows_before)
-    first = [rows_before[p - p % per] for p in range(parts)]
-    base = F.element_at(F.array(*[F.lit(int(r - f)).cast("long") for r, f in zip(rows_before, first)]), (F.col("_part") + 1).cast("int"))
-    placed = keyed.withColumn("_part", part_column(cuts, F.col("_value"), F.col("_tie")))
-    order = Window.partitionBy("_part").orderBy("_value", F.expr("_tie < 0"), "_tie")
+    first = [rows_before[i - i % per] for i in range(parts)]
+    base = F.element_at(F.array(*[F.lit(int(r - f)).cast("long") for r, f in zip(rows_before, first)]), (F.col(part) + 1).cast("int"))
+    placed = keyed.withColumn(part, part_column(cuts, F.col(value), F.col(tie)))
+    order = Window.partitionBy(part).orderBy(value, F.col(tie) < 0, tie)
     slot = base + F.row_number().over(order) - 1
-    return (
-        placed.withColumn("slot", slot.cast("long"))
-        .withColumn("shard", F.floor(F.col("_part") / per).cast("int"))
-        .drop("_value", "_tie", "_size", "_part")
-    )
+    placed = placed.withColumn("slot", slot.cast("long")).withColumn("shard", F.floor(F.col(part) / per).cast("int"))
+    return placed.drop(value, tie, size, part)
