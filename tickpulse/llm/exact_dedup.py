@@ -219,7 +219,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest id."""
+    """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest id.
+
+    Null counts as empty; a null id stays only if the group has no other.  Of rows that repeat id and text one stays, chosen by a
+    hash of all columns.  Columns of any name and type are returned as they are; an empty table stays empty.
+    """
     marks = written(_marked(docs, id_col, text_col, None).where("kept").select("doc_id", "raw"), "kept")
     return chosen_rows(docs, marks, id_col, text_col)
 

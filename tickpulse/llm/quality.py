@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickpulse.llm import rolling
+from tickpulse.llm.scratch import small_batches
 
 _CHUNK = 1 << 20
 _LETTER_UP = np.zeros(256, bool)
@@ -221,11 +222,17 @@ def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose score reaches ``threshold``."""
+    """The rows of ``docs``, all columns as they are whatever their names and types, whose score reaches ``threshold``.
 
-    def run(batches):
-        for b in batches:
-            parts = [model.score(*x[1:]) for x in features(b.column(b.schema.get_field_index(text_col)), model.buckets)]
-            yield b.filter(pa.array(np.concatenate([*parts, np.empty(0)]) >= threshold))
+    Only the text goes to the Python worker, in small batches.  Null and empty texts are scored like any other, from their
+    structure alone; repeated rows and equal texts get the same decision each.  Very long texts are scored whole.  An empty table
+    stays empty.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        parts = [model.score(*x[1:]) for x in features(texts, model.buckets)]
+        return pa.array(np.concatenate([*parts, np.empty(0)]) >= threshold)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(F.col(f"`{text_col}`").cast("string")))
