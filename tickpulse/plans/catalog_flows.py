@@ -274,8 +274,8 @@ def q_flow_process_posts(spark, sf):
     from tickpulse.session import scratch_path
 
     posts, state = fx.posts(spark, sf), scratch_path(spark, "posts-job")
-    flows.run_posts(posts.where(F.col("timestamp") < SPLIT_NEW), state, DICT, scorer=WORD_SCORER)
-    flows.run_posts(posts, state, DICT, scorer=WORD_SCORER)
+    flows.run_posts(posts.where(F.col("timestamp") < SPLIT_NEW), state, DICT, scorer=WORD_SCORER, buckets=16)
+    flows.run_posts(posts, state, DICT, scorer=WORD_SCORER, buckets=16)
     return flows.content_table(spark, state).read().drop("symbol_key")
 
 

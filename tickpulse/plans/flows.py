@@ -63,18 +63,18 @@ def process_posts(posts: DataFrame, dictionary: TickerDictionary, done: DataFram
     return first_rows(post_rows(p, dictionary, scorer))
 
 
-def run_posts(posts: DataFrame, state: str, dictionary: TickerDictionary, scorer=None, since_epoch: int | None = None) -> DataFrame:
+def run_posts(posts: DataFrame, state: str, dictionary: TickerDictionary, scorer=None, since_epoch: int | None = None, buckets: int = 64) -> DataFrame:
     """flow_process_posts as a scheduled job: posts the ledger does not hold are processed, their rows are merged into the
     committed all_content table, and then they enter the ledger.  Returns the rows of the run.
 
-    ``state`` is the job's folder.  A run that fails after its merge is repeated without effect on the table, because rows
+    ``state`` is the job's folder; ``buckets`` of its ledger and table is settled by the first run.  A run that fails after its merge is repeated without effect on the table, because rows
     that are there already are not inserted again.
     """
     from tickpulse.session import scratch_path
     from tickpulse.tables.ledger import Ledger
 
     spark = posts.sparkSession
-    ledger, table = Ledger(spark, f"{state}/processed"), content_table(spark, state)
+    ledger, table = Ledger(spark, f"{state}/processed", buckets), content_table(spark, state, buckets)
     fresh = posts if since_epoch is None else unified.posts_since(posts, since_epoch, 0)
     path = scratch_path(spark, "fresh-posts")  # read for the rows and for the ledger: the anti-join runs once
     ledger.unprocessed(fresh.select("platform", "post_id", "content", "timestamp").where(F.col("content").isNotNull())).write.parquet(path)
@@ -87,7 +87,7 @@ def run_posts(posts: DataFrame, state: str, dictionary: TickerDictionary, scorer
     return rows
 
 
-def content_table(spark, state: str):
+def content_table(spark, state: str, buckets: int = 64):
     """The committed all_content table of a job; a row without a symbol is one key like any other (``symbol_key``)."""
     from tickpulse.tables.bucket_table import BucketTable
 
@@ -95,7 +95,7 @@ def content_table(spark, state: str):
         return BucketTable(spark, f"{state}/all_content")
     except FileNotFoundError:
         schema = spark.createDataFrame([], "timestamp long, source string, title string, symbol string, content string, sentiment string, symbol_key string").schema
-        return BucketTable.create(spark, f"{state}/all_content", schema, ["timestamp", "symbol_key", "content"])
+        return BucketTable.create(spark, f"{state}/all_content", schema, ["timestamp", "symbol_key", "content"], buckets)
 
 
 def first_rows(rows: DataFrame) -> DataFrame:
