@@ -5,6 +5,7 @@ import datetime as dt
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import one_col
 from tickpulse.functions import text as ft
@@ -173,3 +174,17 @@ def test_one_page_is_filled_by_many_blocks(spark):
             last, n = v, n + 1
         want[i] = (last, n)
     assert got == want
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _codes_by_python(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: ["FPT"] if "FPT" in v else [])
+
+
+def test_important_sentences_work_out_the_codes_once_per_post(spark):
+    from tickpulse.functions import sentences as fs
+
+    # a Python function cannot stand inside a lambda, so this runs only if the codes are no part of the work per sentence
+    df = one_col(spark, ["FPT mở cửa. Mai nghỉ.", "Mai nghỉ."])
+    got = df.select(fs.important_sentences(fs.split_sentences("t"), _codes_by_python("t")).alias("m")).collect()
+    assert [[tuple(x) for x in r.m] for r in got] == [[("FPT", "FPT mở cửa. Mai nghỉ.")], []]

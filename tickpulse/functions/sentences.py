@@ -118,9 +118,9 @@ def important_sentence(table, code) -> Column:
 
 def important_sentences(sentences, codes) -> Column:
     """fn_important_sentence for all codes of a post: array<struct<symbol, sentence>>.  The
-    sentence table is built once per post and shared by its codes."""
-    return let(sentence_table(sentences, codes), lambda t: F.transform(
-        _c(codes), lambda c: F.struct(c.alias("symbol"), important_sentence(t, c).alias("sentence"))))
+    codes are worked out once per post (not once per sentence), the sentence table too."""
+    return let(_c(codes), lambda cs: let(sentence_table(sentences, cs), lambda t: F.transform(
+        cs, lambda c: F.struct(c.alias("symbol"), important_sentence(t, c).alias("sentence")))))
 
 
 def best_sentence_positions(sentences, codes) -> Column:
