@@ -188,3 +188,11 @@ def test_important_sentences_work_out_the_codes_once_per_post(spark):
     df = one_col(spark, ["FPT mở cửa. Mai nghỉ.", "Mai nghỉ."])
     got = df.select(fs.important_sentences(fs.split_sentences("t"), _codes_by_python("t")).alias("m")).collect()
     assert [[tuple(x) for x in r.m] for r in got] == [[("FPT", "FPT mở cửa. Mai nghỉ.")], []]
+
+
+def test_best_sentences_work_out_the_codes_once_per_post(spark):
+    from tickpulse.functions import sentences as fs
+
+    df = one_col(spark, ["Mai nghỉ. FPT mở cửa.", "Mai nghỉ."])
+    got = df.select(fs.best_sentence_positions(fs.split_sentences("t"), _codes_by_python("t")).alias("m")).collect()
+    assert [[tuple(x) for x in r.m] for r in got] == [[("FPT", 2)], []]

@@ -124,9 +124,9 @@ def important_sentences(sentences, codes) -> Column:
 
 
 def best_sentence_positions(sentences, codes) -> Column:
-    """win_best_sentence for all codes of a post: array<struct<symbol, best_pos>>."""
-    return let(sentence_table(sentences, codes), lambda t: F.transform(
-        _c(codes), lambda c: F.struct(c.alias("symbol"), best_sentence_index(t, c).alias("best_pos"))))
+    """win_best_sentence for all codes of a post: array<struct<symbol, best_pos>>; codes and table as above."""
+    return let(_c(codes), lambda cs: let(sentence_table(sentences, cs), lambda t: F.transform(
+        cs, lambda c: F.struct(c.alias("symbol"), best_sentence_index(t, c).alias("best_pos")))))
 
 
 # ---------------------------------------------------------------------------
