@@ -196,3 +196,14 @@ def test_best_sentences_work_out_the_codes_once_per_post(spark):
     df = one_col(spark, ["Mai nghỉ. FPT mở cửa.", "Mai nghỉ."])
     got = df.select(fs.best_sentence_positions(fs.split_sentences("t"), _codes_by_python("t")).alias("m")).collect()
     assert [[tuple(x) for x in r.m] for r in got] == [[("FPT", 2)], []]
+
+
+def test_calendar_dates_are_normalised_at_their_headers_only(spark):
+    rows = [(1, 0, "Sun Oct 5", "08:00", "CPI"), (1, 1, "", "", "GDP"), (1, 2, "Mon Oct 6", "", "PMI"), (2, 0, "", "09:00", "lost"), (2, 1, "soon", "", "PPI")]
+    raw = spark.createDataFrame([(*r, "USD", "High", "1", "2", "3") for r in rows], "page_id long, row_idx long, date string, time string, event string, "
+                                "currency string, impact string, actual string, forecast string, previous string")
+    flat = flows.calendar_events(raw, dt.datetime(2025, 9, 1))
+    got = sorted((r.page_id, r.row_idx, r.event_date, r.event_time) for r in flat.collect())
+    assert got == [(1, 0, "2025-10-05", "08:00"), (1, 1, "2025-10-05", "08:00"), (1, 2, "2025-10-06", ""), (2, 1, "soon", "")]
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert "MMM d yyyy" not in plan[:plan.index("Window")]  # nothing is parsed above the fill

@@ -295,12 +295,14 @@ def calendar_events(raw: DataFrame, base_date) -> DataFrame:
     has_date = F.col("date").isNotNull() & (F.regexp_replace("date", r"(?U)\s", "") != "")
     present = F.regexp_replace("event", r"(?U)^\s+|\s+$", "") != ""
     time = F.nullif(F.regexp_replace("time", r"(?U)^\s+|\s+$", ""), F.lit(""))
+    # a date is normalised where its header stands, not on every row below it
+    day = normalize_calendar_date(F.col("date"), base_date)
     r = carry_down(raw, ["page_id"], "row_idx", {
-        "_head": F.when(has_date, F.struct(F.col("row_idx").alias("at"), F.col("date").alias("text"))),
+        "_head": F.when(has_date, F.struct(F.col("row_idx").alias("at"), day.alias("day"))),
         "_time": F.when(present & time.isNotNull(), F.struct(F.col("row_idx").alias("at"), time.alias("text")))}, {"grp": has_date})
-    r = r.where((F.col("grp") > 0) & present).withColumn("_hdr", F.col("_head.text"))
+    r = r.where((F.col("grp") > 0) & present)
     r = r.withColumn("event_time", F.when(F.col("_time.at") >= F.col("_head.at"), F.col("_time.text")).otherwise(F.lit("")))
-    r = r.withColumn("event_date", normalize_calendar_date(F.col("_hdr"), base_date))
+    r = r.withColumn("event_date", F.col("_head.day"))
     r = r.where(F.col("event_date") != "")
     return r.select("page_id", "grp", "row_idx", "event_date", "event_time", "currency", "impact", "event", "actual",
                     "forecast", "previous")
