@@ -207,3 +207,16 @@ def test_calendar_dates_are_normalised_at_their_headers_only(spark):
     assert got == [(1, 0, "2025-10-05", "08:00"), (1, 1, "2025-10-05", "08:00"), (1, 2, "2025-10-06", ""), (2, 1, "soon", "")]
     plan = flat._jdf.queryExecution().optimizedPlan().toString()
     assert "MMM d yyyy" not in plan[:plan.index("Window")]  # nothing is parsed above the fill
+
+
+def _optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_smart_summary_picks_its_sentences_once(spark):
+    from tickpulse.functions import sentences as fs
+
+    text = "Một hai ba bốn năm sáu bảy.  Tám chín mười mười một 5 @ai #thẻ http://x.vn/a hai. Ba bốn! Cổ phiếu tăng mạnh vào cuối ngày."
+    df = one_col(spark, [text, "ngắn", "", None]).select(fs.smart_summary("t", 60).alias("s"))
+    assert [r.s for r in df.collect()] == ["Một hai ba bốn năm sáu bảy.", "ngắn", "", ""]
+    assert _optimized(df).count("aggregate(") == 1  # it stood three times in the expression

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tickpulse.constants import SENTENCE_KEYWORDS, SUMMARY_KEYWORDS
-from tickpulse.functions.text import has_digit, strip, summary_clean, word_count, words
+from tickpulse.functions.text import has_digit, let, spaced_words, strip, summary_clean, word_count, words
 
 def _empty():
     return F.array().cast("array<string>")
@@ -31,12 +31,6 @@ def split_sentences(text) -> Column:
         let(parts, lambda ps: F.when(F.size(ps) == 0, F.array(t)).otherwise(ps)))
 
 
-def let(value, body) -> Column:
-    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable (so the
-    optimizer cannot re-inline it inside per-element lambdas)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _nonspace(s) -> Column:
     """``s.split()``: runs of non-whitespace (a cached constant regex, no per-row compile)."""
     return F.regexp_extract_all(s, F.lit(r"(?U)\S+"), 0)
@@ -153,14 +147,19 @@ def truncate_text(text, n: int) -> Column:
             .otherwise(F.concat(cut, F.lit("..."))))
 
 
-def _summary_sentences(cleaned) -> Column:
-    parts = F.filter(F.transform(F.split(cleaned, r"(?U)(?<=[.!?])\s+", -1), strip), lambda s: F.length(s) > 0)
+def _summary_sentences(cleaned, spaced: bool = False) -> Column:
+    gap = " (?<=[.!?] )" if spaced else r"(?U)(?<=[.!?])\s+"  # in spaced text the one space is looked for first
+    parts = F.filter(F.transform(F.split(cleaned, gap, -1), strip), lambda s: F.length(s) > 0)
     return parts
 
 
-def smart_summary(text, max_length: int = 100, cleaned: bool = False) -> Column:
-    """fn_smart_summary: score candidate sentences, then greedily add the best ones."""
+def smart_summary(text, max_length: int = 100, cleaned: bool = False, spaced: bool = False) -> Column:
+    """fn_smart_summary: score candidate sentences, then greedily add the best ones.
+
+    ``cleaned`` says that the text is clean already, ``spaced`` that ``summary_clean`` made it so: its words stand apart by
+    one space each and are counted by these, not by a regex."""
     ct0 = _c(text) if cleaned else summary_clean(text)
+    count = spaced_words if spaced or not cleaned else (lambda s: F.size(_nonspace(s)))
 
     def with_text(ct):
         def with_sents(sents):
@@ -180,10 +179,11 @@ def smart_summary(text, max_length: int = 100, cleaned: bool = False) -> Column:
                           + F.when((wc >= 8) & (wc <= 25), 1).otherwise(0))
                     return F.struct((-sc).alias("neg"), i.alias("i"), s.alias("s"), wc.alias("wc"))
 
-                return let(F.struct(F.size(_nonspace(s)).alias("wc"), F.lower(s).alias("low")), body)
+                return let(F.struct(count(s).alias("wc"), F.lower(s).alias("low")), body)
 
             def with_cands(cands):
-                ordered = F.array_sort(cands)  # score desc, then position: a stable sort
+                # score desc, then position: a stable sort; a sentence is added or ends the summary, so the first three settle it
+                ordered = F.slice(F.sort_array(cands), 1, 3)
                 init = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("total"),
                                 F.lit(False).alias("done"))
 
@@ -197,21 +197,19 @@ def smart_summary(text, max_length: int = 100, cleaned: bool = False) -> Column:
                     return F.struct(parts.alias("parts"), total.alias("total"), done.alias("done"))
 
                 picked = F.aggregate(ordered, init, step)["parts"]
-                joined = F.array_join(picked, " ")
-                fallback_first = F.filter(sents, lambda s: (F.size(_nonspace(s)) >= 10) & (F.size(_nonspace(s)) <= 40))
+                fallback_first = F.filter(sents, lambda s: (count(s) >= 10) & (count(s) <= 40))
                 no_cands = F.when(F.size(fallback_first) > 0,
                                   truncate_text(F.element_at(fallback_first, 1), max_length)) \
                     .otherwise(truncate_text(ct, max_length))
-                summary = F.when(F.length(joined) > max_length, truncate_text(joined, max_length)).otherwise(joined)
                 return (F.when(F.size(cands) == 0, no_cands)
-                        .when(F.size(picked) == 0, truncate_text(F.element_at(sents, 1), max_length))
-                        .otherwise(summary))
+                        .otherwise(let(picked, lambda ps: F.when(F.size(ps) == 0, truncate_text(F.element_at(sents, 1), max_length))
+                                       .otherwise(let(F.array_join(ps, " "), lambda joined: truncate_text(joined, max_length))))))
 
             cands = F.filter(F.transform(sents, scored), lambda r: (r["wc"] >= 5) & (r["wc"] <= 50))
             return (F.when(n == 0, F.concat(F.substring(ct, 1, max_length), F.lit("...")))
                     .otherwise(let(cands, with_cands)))
 
-        return F.when(F.size(_nonspace(ct)) <= 8, ct).otherwise(let(_summary_sentences(ct), with_sents))
+        return F.when(count(ct) <= 8, ct).otherwise(let(_summary_sentences(ct, spaced or not cleaned), with_sents))
 
     return let(ct0, with_text)
 
