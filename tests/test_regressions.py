@@ -220,3 +220,9 @@ def test_smart_summary_picks_its_sentences_once(spark):
     df = one_col(spark, [text, "ngắn", "", None]).select(fs.smart_summary("t", 60).alias("s"))
     assert [r.s for r in df.collect()] == ["Một hai ba bốn năm sáu bảy.", "ngắn", "", ""]
     assert _optimized(df).count("aggregate(") == 1  # it stood three times in the expression
+
+
+def test_summaries_without_a_model_clean_the_text_once(spark):
+    df = flows.summarize(one_col(spark, ["a  b http://x c", None]), "t")
+    assert [r.summary for r in df.collect()] == ["a b c", ""]
+    assert _optimized(df).count("(?U)http") == 1

@@ -11,7 +11,7 @@ from tickpulse.constants import DEFAULT_CONFIDENCE, NEUTRAL, YT_WINDOW_WORDS
 from tickpulse.functions.rumor_rules import accept_rewrite, rewrite_text, rumor_pattern
 from tickpulse.functions.sentences import (important_sentences, smart_summary, split_by_capital,
                                            split_sentences)
-from tickpulse.functions.text import nfc, stripped_length, summary_clean, validate_symbol, word_count, words
+from tickpulse.functions.text import nfc, spaced_words, stripped_length, summary_clean, validate_symbol, words
 from tickpulse.functions.tickers import TickerDictionary, extract_codes, symbols_csv
 from tickpulse.functions.timewin import normalize_calendar_date
 from tickpulse.operators import joins, rollup
@@ -344,11 +344,10 @@ def summarize(df: DataFrame, text_col: str, max_length: int = 150, summarizer=No
     model's summary post-processed.  ``summarizer`` maps a cleaned-text Column to a summary Column."""
     from tickpulse.functions.sentences import summary_post_process
 
-    cleaned = summary_clean(F.col(text_col))
-    d = df.withColumn("_clean", cleaned)
-    extractive = smart_summary(F.col(text_col), max_length)
+    d = df.withColumn("_clean", summary_clean(F.col(text_col)))
+    extractive = smart_summary(F.col("_clean"), max_length, cleaned=True, spaced=True)
     if summarizer is None:
         return d.withColumn("summary", extractive).drop("_clean")
     model = summary_post_process(summarizer(F.col("_clean")), F.col("_clean"))
-    return d.withColumn("summary", F.when(word_count("_clean") < 20, extractive).otherwise(model)).drop("_clean")
+    return d.withColumn("summary", F.when(spaced_words("_clean") < 20, extractive).otherwise(model)).drop("_clean")
 
