@@ -226,3 +226,17 @@ def test_summaries_without_a_model_clean_the_text_once(spark):
     df = flows.summarize(one_col(spark, ["a  b http://x c", None]), "t")
     assert [r.summary for r in df.collect()] == ["a b c", ""]
     assert _optimized(df).count("(?U)http") == 1
+
+
+def test_classifier_reads_the_texts_once_and_sums_over_bounded_tasks(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    seen, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, rows, *a: (seen.append((rows.columns, rows.rdd.getNumPartitions())), fit(self, rows, *a))[1])
+    words = {"positive": "tăng mạnh", "negative": "giảm sâu", "neutral": "đi ngang"}
+    rows = [(i, f"{words[k]} phiên {i % 5}", k, "train") for i, k in enumerate([*words] * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string, split string").repartition(40)
+    model = training.train_classifier(df, include_stock_info=False)
+    assert len(seen) == 3 and all(n <= spark.sparkContext.defaultParallelism and "text" not in c for c, n in seen)
+    got = training.evaluate_classifier(model, df, include_stock_info=False)
+    assert got.where("true_label = pred_label").count() == len(rows)
