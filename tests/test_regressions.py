@@ -240,3 +240,27 @@ def test_classifier_reads_the_texts_once_and_sums_over_bounded_tasks(spark, monk
     assert len(seen) == 3 and all(n <= spark.sparkContext.defaultParallelism and "text" not in c for c, n in seen)
     got = training.evaluate_classifier(model, df, include_stock_info=False)
     assert got.where("true_label = pred_label").count() == len(rows)
+
+
+@pytest.fixture
+def trend_tables(spark, tmp_path):
+    at = lambda i: dt.datetime(2024, 1, 9, 6) + dt.timedelta(minutes=40 * i)
+    events = [(i, at(i), i % 7, "view", 1.0, '{"k": %d}' % i) for i in range(40)]
+    talks = [(c, t, "user" if t % 2 == 0 else "assistant", f"cổ phiếu tăng lần {t}") for c in range(3) for t in range(4)]
+    for name, rows, schema in (("events", events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"),
+                               ("documents", [(i, "thị trường tăng mạnh", "vi", "a", 20) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long"),
+                               ("conversations", talks, "conv_id long, turn long, role string, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["q_agg_token_bins_right_closed"])
+def test_token_bins_tokenise_the_sources_once(spark, monkeypatch, trend_tables, name):
+    from tickpulse.plans import catalog_flows as cf
+
+    seen, counts, bins = [], trending.window_counts, trending.token_bins
+    monkeypatch.setattr(cf.tr, "window_counts", lambda toks, *a, **k: (seen.append(toks), counts(toks, *a, **k))[1])
+    monkeypatch.setattr(cf.tr, "token_bins", lambda toks, *a, **k: (seen.append(toks), bins(toks, *a, **k))[1])
+    rows = getattr(cf, name)(spark, trend_tables).collect()
+    assert len(seen) == 2 and not any("documents.parquet" in f for toks in seen for f in toks.inputFiles())
+    assert sum(r["count"] for r in rows if r.word == "tăng") > 0
