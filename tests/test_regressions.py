@@ -254,7 +254,7 @@ def trend_tables(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["q_agg_token_bins_right_closed"])
+@pytest.mark.parametrize("name", ["q_agg_token_bins_right_closed", "q_agg_token_bins"])
 def test_token_bins_tokenise_the_sources_once(spark, monkeypatch, trend_tables, name):
     from tickpulse.plans import catalog_flows as cf
 
