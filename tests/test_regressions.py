@@ -264,3 +264,14 @@ def test_token_bins_tokenise_the_sources_once(spark, monkeypatch, trend_tables,
     rows = getattr(cf, name)(spark, trend_tables).collect()
     assert len(seen) == 2 and not any("documents.parquet" in f for toks in seen for f in toks.inputFiles())
     assert sum(r["count"] for r in rows if r.word == "tăng") > 0
+
+
+def test_trending_job_joins_its_sources_once(spark, monkeypatch, trend_tables):
+    from tickpulse.plans import catalog_flows as cf
+
+    seen, daily, two = [], trending.trending_daily, trending.trending_2days
+    monkeypatch.setattr(cf.tr, "trending_daily", lambda tu, *a, **k: (seen.append(tu), daily(tu, *a, **k))[1])
+    monkeypatch.setattr(cf.tr, "trending_2days", lambda tu, *a, **k: (seen.append(tu), two(tu, *a, **k))[1])
+    rows = cf.q_flow_trending_job(spark, trend_tables).collect()
+    assert len(seen) == 2 and not any("documents.parquet" in f for tu in seen for f in tu.inputFiles())
+    assert {r.analysis for r in rows} == {"daily", "2days"}
