@@ -200,7 +200,11 @@ def _families(base: DataFrame, words: int, percent: int) -> DataFrame:
 
     partner = texts.mapInArrow(prefixes, schema).select("key", "cid").distinct()
     few = asked.select("key", F.col("cid").alias("prev")).join(partner, "key").where("prev <> cid").select("cid", "prev").distinct()
-    return written(connected_components(written(chain.unionByName(few), "chains"), "cid", "prev"), "families")
+    chains = written(chain.unionByName(few), "chains")
+    discard(met, asked)
+    families = written(connected_components(chains, "cid", "prev"), "families")
+    discard(chains)
+    return families
 
 
 def _bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -455,5 +459,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = classes.select(F.col("node").alias("c_node"), "low_id").join(labels, F.col("c_node") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c_node"))
     lowest = named.groupBy("label").agg(F.min("low_id").alias("component_id"))
     named = written(named.select("c_node", "label").join(lowest, "label").select("c_node", "component_id"), "named")
+    discard(classes, sets, leaves)
     out = rows.select("doc_id", "n_shingles", "node").join(named, F.col("node") == F.col("c_node"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
