@@ -1,7 +1,9 @@
 import time
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from tickpulse.llm import word_bpe
 from tickpulse.llm.components import connected_components
 from tickpulse.llm.scratch import shared_dir, written
 
@@ -33,3 +35,10 @@ def test_components_delete_what_they_are_done_with(spark):
     before = names()
     assert {r.label for r in connected_components(shared).collect()} == {0}
     assert [n.rsplit("-", 1)[0] for n in names() - before] == ["small-star"]
+
+
+def test_the_driver_loads_no_tokenizer(spark):
+    word_bpe._ENCODERS.clear()
+    docs = spark.createDataFrame([(1, "a few words, a few more")], "doc_id long, text string")
+    word_bpe.compile_lexicon(docs, public_tokenizers.path("word_bpe_49k.json"))
+    assert not word_bpe._ENCODERS

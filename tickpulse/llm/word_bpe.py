@@ -155,14 +155,21 @@ def _word_batch(seen: dict[int, list]) -> pa.RecordBatch:
 def compile_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", words: int = 50_000) -> str:
     """Write the transducer of the ``words`` most frequent words of all texts to the shared folder; returns its path.
 
-    The number of words bounds the file; it decides how often a word is looked up rather than merged, never the ids.
+    The number of words bounds the file; it decides how often a word is looked up rather than merged, never the ids.  The
+    words are merged in tasks: the driver holds words and ids, no tokenizer.
     """
     spark = docs.sparkSession
     top = word_counts(docs, tokenizer, text_col).orderBy(F.desc("n"), "word").limit(words).select("word")
-    chosen = sorted(bytes(r.word) for r in top.toLocalIterator())
-    merge = WordEncoder.load(tokenizer).merge
+
+    def merged(batches):
+        merge = WordEncoder.load(tokenizer).merge
+        for b in batches:
+            ids = merge([w.decode() for w in b.column("word").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.list_(pa.int64()))], names=["word", "ids"])
+
+    found = sorted((bytes(r.word), r.ids) for r in top.mapInArrow(merged, "word binary, ids array<long>").toLocalIterator())
     path = fresh_path(spark, "lexicon") + "/words.matw"
-    write_file(path, build(chosen, merge([w.decode() for w in chosen])))
+    write_file(path, build([w for w, _ in found], [ids for _, ids in found]))
     return path
 
 
