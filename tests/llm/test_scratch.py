@@ -3,9 +3,8 @@ import time
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tickpulse.llm import word_bpe
-from tickpulse.llm.components import connected_components
-from tickpulse.llm.scratch import shared_dir, written
+from tickpulse.llm import components, word_bpe
+from tickpulse.llm.scratch import written
 
 
 def shuffle_files(spark):
@@ -27,14 +26,14 @@ def test_a_write_leaves_no_shuffle_files(spark):
     assert sorted(table.collect()) == sorted(df.collect())
 
 
-def test_components_delete_what_they_are_done_with(spark):
+def test_components_delete_what_they_are_done_with(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(components, "written", lambda df, name: made.append((name, written(df, name))) or made[-1][1])
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
-    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    names = lambda: {s.getPath().getName() for s in here.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(here)}
-    shared = written(edges, "first")
-    before = names()
-    assert {r.label for r in connected_components(shared).collect()} == {0}
-    assert [n.rsplit("-", 1)[0] for n in names() - before] == ["small-star"]
+    assert {r.label for r in components.connected_components(edges).collect()} == {0}
+    at = [(name, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._written_at)) for name, t in made]
+    there = [name for name, path in at if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)]
+    assert there == ["small-star"] and len(at) > 3
 
 
 def test_the_driver_loads_no_tokenizer(spark):
