@@ -11,7 +11,8 @@
    Families of several leaves that are not one component by then get trees sorted by component, and the dual traversal descends
    all of them together, one join per level.  A pair of nodes is dropped when its sizes cannot match, when the common bits plus the
    collisions allow too small an overlap, or when all sets of both are in one component already.  Pairs of leaves that are left
-   are compared set by set, exactly.
+   are compared set by set, exactly.  What a node holds is sent once to a block of 16 others, not once for each pair
+   (``_side_by_side``), and the leaves' tokens in rounds, so that the files of a round grow with the leaves and not with their pairs.
 
 A family may hold any share of the rows: its leaves lie in many partitions, each task sees bounded leaves or pairs, and
 a group of near copies is one component after step 4's first half, so its tree is dropped at the top.
@@ -36,6 +37,8 @@ _LEAF_SETS, _LEAF_TOKENS = 32, 1 << 16  # a leaf is closed by whichever comes fi
 _FAN_BITS = 4  # 16 children
 _MIN_BITS, _MAX_BITS = 1 << 8, 1 << 16
 _OUT_BYTES = 1 << 22
+_BLOCK_BITS, _PART_BITS = 4, 6  # 16 nodes meet the partners among 64 others at a time
+_ROUND = 4  # partners sent in a round, for each leaf
 
 
 def _digest(g: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,6 +256,40 @@ def _links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return 100 * both >= percent * (size[:, None] + size[None, :] - both)
 
 
+class _Tokens:
+    """The sets of a leaf: tokens with the set that each stands in, and every token once."""
+
+    def __init__(self, nodes: list[bytes], sizes: list[int], flat: np.ndarray):
+        self.nodes, self.size = nodes, np.array(sizes)
+        self.row = np.repeat(np.arange(len(sizes)), self.size)
+        self.once, self.place = np.unique(flat, return_inverse=True)
+
+    def matrix(self, at: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Which sets hold which of the tokens that ``at`` numbers from ``low`` to ``high``."""
+        column = np.full(len(self.once), -1)
+        column[at[low:high]] = np.arange(high - low)
+        column = column[self.place]
+        m = np.zeros((len(self.nodes), high - low), np.float32)
+        m[self.row[column >= 0], column[column >= 0]] = 1
+        return m
+
+
+def _cross_links(a: _Tokens, b: _Tokens, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between the sets of two leaves, as many as connect them; only tokens that both leaves hold are looked at."""
+    _, at_a, at_b = np.intersect1d(a.once, b.once, assume_unique=True, return_indices=True)
+    total = a.size[:, None] + b.size[None, :]
+    if (100 + percent) * len(at_a) < percent * int(total.min()):
+        return []
+    both, block = np.zeros(total.shape, np.int64), 1 << 15
+    for low in range(0, len(at_a), block):
+        high = min(low + block, len(at_a))
+        both += np.rint(a.matrix(at_a, low, high) @ b.matrix(at_b, low, high).T).astype(np.int64)
+    linked = np.zeros((len(a.nodes) + len(b.nodes),) * 2, bool)
+    linked[: len(a.nodes), len(a.nodes) :] = 100 * both >= percent * (total - both)
+    names = [*a.nodes, *b.nodes]
+    return [(names[i], names[j]) for i, j in _forest(linked | linked.T)]
+
+
 _EDGES = pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())]))
 _LEAF_SCHEMA = (
     "family long, pid long, seq long, nodes array<binary>, sizes array<bigint>, tokens binary, bits binary, low long, high long, excess long, same binary, "
@@ -329,45 +366,80 @@ def _parents(level: DataFrame) -> DataFrame:
     return up.groupBy("family", "id").applyInArrow(merge, "family long, id long, low long, high long, excess long, bits binary, same binary")
 
 
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """``block, part, y, xs``: every ``y`` once for each block of ``x``, with the ``x`` of the block that it is paired with."""
+    dealt = pairs.select(F.shiftright("x", _BLOCK_BITS).alias("block"), F.shiftright("y", _PART_BITS).alias("part"), "x", "y")
+    return dealt.groupBy("block", "part", "y").agg(F.collect_list("x").alias("xs"))
+
+
+def _side_by_side(blocks: DataFrame, bodies: DataFrame, of, columns: list[str]) -> DataFrame:
+    """The ``bodies`` of the nodes of ``blocks``, ``of`` being the node that a body belongs to: the partitions are runs of one ``block`` and ``part``,
+    first the bodies of its ``x`` (``xs`` null), then those of its ``y``.  A body is sent once for each block, not for each pair."""
+    bodies = bodies.select(of.alias("of"), *columns)
+    left = blocks.select("block", "part", F.explode("xs").alias("of")).distinct().withColumn("xs", F.lit(None).cast("array<bigint>"))
+    right = blocks.select("block", "part", F.col("y").alias("of"), "xs")
+    rows = left.unionByName(right).join(bodies, "of")
+    return rows.repartition("block", "part").sortWithinPartitions("block", "part", F.col("xs").isNotNull(), "of")
+
+
+def _runs(batches, read):
+    """For every row of a ``y``: its column values, and what ``read`` made of the bodies of each ``x`` in its block, by ``x``."""
+    now, held = None, {}
+    for b in batches:
+        for r in range(b.num_rows):
+            block = b.column("block")[r].as_py(), b.column("part")[r].as_py()
+            if block != now:
+                now, held = block, {}
+            xs = b.column("xs")[r].as_py()
+            if xs is None:
+                held.setdefault(b.column("of")[r].as_py(), []).append(read(b, r))
+            else:
+                yield b.column("of")[r].as_py(), read(b, r), [(x, held[x]) for x in xs if x in held]
+
+
 def _descend(pairs: DataFrame, level: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of ``level`` below the ``pairs`` of the level above that may still hold links."""
-    side = lambda t: level.select("family", F.shiftright("id", _FAN_BITS).alias("x" if t == "a" else "y"), *[F.col(c).alias(f"{c}_{t}") for c in ("id", "low", "high", "excess", "bits", "same")])
-    both = pairs.join(side("a"), ["family", "x"]).join(side("b"), ["family", "y"])
-    fits = f"100 * high_a >= {percent} * low_b and 100 * high_b >= {percent} * low_a"
-    both = both.where(f"id_a <= id_b and {fits} and not coalesce(same_a = same_b, false)")
+    columns = ["id", "low", "high", "excess", "bits", "same", "family"]
+    rows = _side_by_side(_blocks(pairs), level, F.shiftright("id", _FAN_BITS), columns)
+
+    def node(b, r):
+        value = {c: b.column(c)[r].as_py() for c in columns}
+        return value | {"map": np.frombuffer(value["bits"], np.uint8)}
 
     def overlap(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            most = np.empty(b.num_rows, np.int64)
-            for i, (x, y) in enumerate(zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)):
-                most[i] = np.bitwise_count(np.frombuffer(x, np.uint8) & np.frombuffer(y, np.uint8)).sum()
-            ea, eb, la, lb, ia, ib = (b.column(c).to_numpy() for c in ("excess_a", "excess_b", "low_a", "low_b", "id_a", "id_b"))
-            ok = (ia == ib) | ((100 + percent) * (most + np.minimum(ea, eb)) >= percent * (la + lb))
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("family", "id_a", "id_b")], names=["family", "x", "y"])
+        out = []
+        for _, y, found in _runs(batches, node):
+            for _, xs in found:
+                xs = [x for x in xs if x["family"] == y["family"] and x["id"] <= y["id"] and 100 * x["high"] >= percent * y["low"] and 100 * y["high"] >= percent * x["low"] and not (x["same"] is not None and x["same"] == y["same"])]
+                if not xs:
+                    continue
+                most = np.bitwise_count(np.stack([x["map"] for x in xs]) & y["map"]).sum(axis=1, dtype=np.int64).tolist()
+                fits = lambda x, m: (100 + percent) * (m + min(x["excess"], y["excess"])) >= percent * (x["low"] + y["low"])
+                out += [(x["id"], y["id"]) for x, m in zip(xs, most, strict=True) if x["id"] == y["id"] or fits(x, m)]
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["x", "y"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["x", "y"])
+
+    return rows.mapInArrow(overlap, "x long, y long")
 
-    return both.mapInArrow(overlap, "family long, x long, y long")
 
+def _compared(blocks: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between the sets of the paired leaves of ``blocks``, as many as connect them."""
+    rows = _side_by_side(blocks, leaves, F.col("id"), ["nodes", "sizes", "tokens"])
 
-def _compared(pairs: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` between the sets of two leaves, as many as connect them."""
-    side = lambda t, k: leaves.select("family", F.col("id").alias(k), *[F.col(c).alias(f"{c}_{t}") for c in ("nodes", "sizes", "tokens")])
-    both = pairs.join(side("a", "x"), ["family", "x"]).join(side("b", "y"), ["family", "y"])
+    def sets(b, r):
+        flat = np.frombuffer(b.column("tokens")[r].as_buffer(), np.uint64).copy()
+        return _Tokens(b.column("nodes")[r].as_py(), b.column("sizes")[r].as_py(), flat)
 
     def compare(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                names, members = [], []
-                for t in "ab":
-                    flat = np.frombuffer(b.column(f"tokens_{t}")[i].as_buffer(), np.uint64)
-                    members += np.split(flat, np.cumsum(b.column(f"sizes_{t}")[i].as_py())[:-1])
-                    names += b.column(f"nodes_{t}")[i].as_py()
-                edges = _forest(_links(members, percent))
-                if edges:
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in edges], pa.binary()), pa.array([names[j] for _, j in edges], pa.binary())], names=["a", "b"])
+        for _, y, found in _runs(batches, sets):
+            edges = [e for _, xs in found for x in xs for e in _cross_links(x, y, percent)]
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*edges, strict=True)], names=["a", "b"])
 
-    return both.mapInArrow(compare, "a binary, b binary")
+    return rows.mapInArrow(compare, "a binary, b binary")
 
 
 def _tree_links(sets: DataFrame, leaves: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
@@ -384,12 +456,15 @@ def _tree_links(sets: DataFrame, leaves: DataFrame, labels: DataFrame, percent:
     open_ = written(parts.groupBy("family").agg(F.count("*").alias("k")).where("k > 1").select("family"), "tall-families")
     trees = open_.count()
     if not trees:
+        discard(sets)
         return None
     parts = parts.join(open_, "family", "left_semi").select("family", "label", F.when(F.col("k") > 1, F.col("label")).alias("cut"))
     members = named.join(parts, ["family", "label"]).select("node", "label", "cut")
     members = written(sets.join(members, "node"), "tall-sets")
+    discard(sets)
     order = ["family", "cut", "lowest", "node"]
     leaves = written(_leaves(members.repartitionByRange(*order).sortWithinPartitions(*order), percent), "tall-leaves")
+    discard(members)
 
     # one number per partition: leaves get gapless numbers in sorted order, so a family's leaves are neighbours
     counts = sorted((r["pid"], r["k"]) for r in leaves.groupBy("pid").agg(F.count("*").alias("k")).collect())
@@ -403,10 +478,15 @@ def _tree_links(sets: DataFrame, leaves: DataFrame, labels: DataFrame, percent:
     links = leaves.select(F.explode("links").alias("l")).select("l.a", "l.b")
     if len(levels) == 1:
         return links
-    pairs = levels[-1].where("same is null").select("family", F.col("id").alias("x"), F.col("id").alias("y"))
+    pairs = levels[-1].where("same is null").select(F.col("id").alias("x"), F.col("id").alias("y"))
     for level in reversed(levels[:-1]):
         pairs = written(_descend(pairs, level, percent), "node-pairs")
-    return written(links.unionByName(_compared(pairs.where("x < y"), numbered, percent)), "tree-links")
+    blocks = written(_blocks(pairs.where("x < y")), "leaf-pairs")
+    rounds = -(-blocks.count() // (_ROUND * sum(k for _, k in counts))) or 1
+    for i in range(rounds):
+        mine = blocks.where(F.pmod(F.xxhash64("block", "part"), F.lit(rounds)) == i)
+        links = links.unionByName(written(_compared(mine, numbered, percent), "tree-links"))
+    return links
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -447,7 +527,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     sets = written(texts.mapInArrow(tokens, "family long, width long, node binary, lowest long, tokens binary"), "member-sets")
     ordered = sets.repartitionByRange("family", "lowest", "node").sortWithinPartitions("family", "lowest", "node")
-    leaves = written(_leaves(ordered.withColumn("label", F.col("node")).withColumn("cut", F.lit(None).cast("binary")), percent), "leaves")
+    first = _leaves(ordered.withColumn("label", F.col("node")).withColumn("cut", F.lit(None).cast("binary")), percent)
+    leaves = written(first.select("family", "links"), "leaves")  # trees are made anew from the sets
 
     links = leaves.select(F.explode("links").alias("l")).select("l.a", "l.b")
     labels = written(connected_components(links, "a", "b"), "labels")
@@ -459,6 +540,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = classes.select(F.col("node").alias("c_node"), "low_id").join(labels, F.col("c_node") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c_node"))
     lowest = named.groupBy("label").agg(F.min("low_id").alias("component_id"))
     named = written(named.select("c_node", "label").join(lowest, "label").select("c_node", "component_id"), "named")
-    discard(classes, sets, leaves)
+    discard(classes, leaves)
     out = rows.select("doc_id", "n_shingles", "node").join(named, F.col("node") == F.col("c_node"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
