@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tickpulse.llm import minhash_join
 from tickpulse.llm.minhash_join import keep_one, near_duplicates
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -115,3 +116,28 @@ def test_a_link_at_the_threshold_is_missed_no_more_often_than_with_14_of_32():
     for f in (near_duplicates, keep_one):
         given = inspect.signature(f).parameters
         assert miss(given["coords"].default, given["need"].default) <= miss(32, 14)
+
+
+def near_threshold(n):
+    """Texts over one source with a tenth of their words changed: most agree with a centre, few are linked with it."""
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in r.sample(range(120), r.choice([5, 6, 7])):
+            w[at] = f"x{r.randrange(60)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_short_lists_need_no_trees(spark, monkeypatch):
+    """All pairs of a list of 64 or less are looked at where the list is read; only longer lists are left open."""
+    asked = []
+    real = minhash_join._settled
+    monkeypatch.setattr(minhash_join, "_settled", lambda *a: asked.append(1) or real(*a))
+    check(spark, near_threshold(40))
+    assert not asked
+    monkeypatch.setattr(minhash_join, "_SHORT", 8)
+    check(spark, near_threshold(40))
+    assert asked

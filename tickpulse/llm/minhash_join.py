@@ -9,11 +9,13 @@ counted over all coordinates of the two signatures, skipping a pair in every
 posting list but the first both have, and pairs that reach ``need`` are
 confirmed on their full sets.
 
-Groups are never expanded into all pairs.  Each list's members are compared with
+Lists of at most 64 members are compared all with all by their signatures, in the task that
+reads them; of the pairs that agree only those between components go on to the full sets.
+Longer lists are never expanded into all pairs.  Every list's members are compared with
 its smallest one, the centre.  What a member lacks of its centre's set, and
 which of its other shingles any further member has, bounds what two members can
 share, so most members that the centre does not link are settled by this bound alone.
-Groups that still hold several components with members the bound leaves open, or
+Long lists that still hold several components with members the bound leaves open, or
 members that agree too little with their centre to have a bound, are settled exactly:
 their classes, all groups together, go through the signature trees on their full sets, so
 no link between components is left out and no pair is listed.
@@ -35,6 +37,7 @@ from tickpulse.llm.signature_trees import jaccard_join
 
 COORDS = 64
 NEED = 34
+_SHORT = 64  # members of a list that are compared all with all
 
 
 def _multipliers(coords: int) -> np.ndarray:
@@ -118,6 +121,43 @@ def _agreeing(pairs: DataFrame, coords: int, need: int) -> DataFrame:
     return pairs.mapInArrow(count, "a binary, b binary")
 
 
+def _agreeing_inside(lists: DataFrame, coords: int, need: int, percent: int) -> DataFrame:
+    """``a, b`` of all pairs of a list's members that agree on ``need`` coordinates, for lists of at most ``_SHORT`` members; each in the first list that posts both."""
+    ordered = lists.repartition("grp").sortWithinPartitions("grp", "node")
+
+    def pairs(t: pa.Table):
+        grp, n, mask = (t.column(c).to_numpy() for c in ("grp", "n", "mask"))
+        nodes = t.column("node").combine_chunks()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, coords)
+        for d in range(1, _SHORT):
+            i = np.flatnonzero(grp[d:] == grp[:-d])
+            if not len(i):
+                break
+            i = i[100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])]
+            equal = sig[i] == sig[i + d]
+            ok = equal.sum(axis=1) >= need
+            i, equal = i[ok], equal[ok]
+            posted = (mask[i] & mask[i + d])[:, None] >> np.arange(coords) & 1
+            i = i[(equal & (posted > 0)).argmax(axis=1) == grp[i] >> 32]
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(i)), nodes.take(pa.array(i + d))], names=["a", "b"])
+
+    def count(batches):
+        held = None  # the last list of a batch may go on in the next
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if not t.num_rows:
+                continue
+            grp = t.column("grp").to_numpy()
+            head = int(np.searchsorted(grp, grp[-1]))
+            if head:
+                yield from pairs(t.slice(0, head))
+            held = t.slice(head)
+        if held is not None:
+            yield from pairs(held)
+
+    return ordered.select("grp", "node", "n", "sig", "mask").mapInArrow(count, "a binary, b binary")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """``node, hashes`` of the wanted classes, from the texts of their representatives."""
     marks = wanted.select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.raw").alias("raw"))
@@ -149,7 +189,7 @@ def _linked_sets(percent: int):
 
 
 def _hubs(stars: DataFrame, percent: int) -> DataFrame:
-    """Members of every round-0 centre with an exact bound on what two of them can share.
+    """Members of every centre with an exact bound on what two of them can share.
 
     With ``lost`` hashes of the centre missing in a member, and ``shared`` of its own others that some other member of the hub has too,
     two members share at most ``size of the centre - larger lost + smaller shared``.  ``probe`` is False for a member that cannot
@@ -217,7 +257,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     posts = _postings(classes, coords, need)
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     lists = posts.withColumnRenamed("token", "grp")
-    low = written(lists.groupBy("grp").agg(F.min("node").alias("low")), "centres")
+    low = written(lists.groupBy("grp").agg(F.min("node").alias("low"), F.count("*").alias("members")), "centres")
     lists = lists.join(low, "grp")
 
     # every list's members against its smallest one; the group of a list is its token, with the coordinate in the upper half
@@ -226,14 +266,22 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     pairs = both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "sig_a", "sig_b", "mask_a", "mask_b", F.shiftright("grp", 32).cast("int").alias("coord"))
     found = _agreeing(pairs, coords, need).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = written(found.distinct(), "candidates")
-    asked = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    inside = written(_agreeing_inside(lists.where(F.col("members").between(3, _SHORT)), coords, need, percent).join(found, ["a", "b"], "left_anti"), "short-lists")
+    asked = found.unionByName(inside).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = written(classes.select("node", "rep").join(asked, "node", "left_semi"), "asked")
     sets = written(_sets(docs, asked, id_col, text_col, words), "sets")
-    stars = written(_compare(found, sets), "stars")
+    stars = compared = written(_compare(found, sets), "stars")
     links = stars.where(_linked_sets(percent)).select("a", "b")
     labels = written(connected_components(links, "a", "b"), "labels")
-
-    # groups that this leaves open: of several components, with members that the bound allows more links or that the centre knows nothing of
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    apart = inside.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not coalesce(label_a = label_b, false)").select("a", "b")
+    more = written(_compare(apart, sets).where(_linked_sets(percent)).select("a", "b"), "short-list-links")
+    if not more.isEmpty():
+        labels = written(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), "a", "b"), "labels")
+
+    # long lists that this leaves open: of several components, with members that the bound allows more links or that the centre knows nothing of
+    lists = lists.where(F.col("members") > _SHORT)
+    stars = stars.join(low.where(F.col("members") > _SHORT).select(F.col("low").alias("a")).distinct(), "a", "left_semi")
     hubs = _hubs(stars, percent).select("grp", "node", "probe")
     known = stars.select(F.col("a").alias("low"), F.col("b").alias("node"), F.lit(True).alias("known"))
     odd = lists.join(known, ["low", "node"], "left").withColumn("probe", F.col("known").isNull() & (F.col("node") != F.col("low")))
@@ -242,7 +290,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     parts = members.join(labels, "node", "left").groupBy("grp").agg(
         F.min(F.coalesce("label", "node")).alias("first"), F.max(F.coalesce("label", "node")).alias("last"), F.max("probe").alias("probe"))
     open_ = parts.where("probe and first <> last").select("grp")
-    lists_done = [posts, low, found, asked, sets, stars, members]
+    lists_done = [posts, low, found, inside, asked, sets, compared, members]
     asked = written(members.join(open_, "grp", "left_semi").select("node").distinct(), "open-classes")
     discard(*lists_done)
     if not asked.isEmpty():
