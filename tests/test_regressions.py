@@ -190,6 +190,25 @@ def test_important_sentences_work_out_the_codes_once_per_post(spark):
     assert [[tuple(x) for x in r.m] for r in got] == [[("FPT", "FPT mở cửa. Mai nghỉ.")], []]
 
 
+def test_a_text_without_codes_is_important_as_a_whole(spark):
+    from tickpulse.functions import sentences as fs
+
+    df = one_col(spark, ["Mai nghỉ. FPT mở cửa.", "Mai nghỉ. Thế thôi. ", " ", "", None])
+    got = df.select(fs.extract_important_sentences("t", _codes_by_python(F.coalesce("t", F.lit("")))).alias("m")).collect()
+    assert [[tuple(x) for x in r.m] for r in got] == [[("FPT", "Mai nghỉ. FPT mở cửa.")], [("GENERAL", "Mai nghỉ. Thế thôi. ")], [("GENERAL", " ")], [], []]
+    none = df.limit(2).select(fs.extract_important_sentences("t", F.lit(None).cast("array<string>")).alias("m")).collect()
+    assert [x.symbol for r in none for x in r.m] == ["GENERAL", "GENERAL"]
+
+
+def test_the_query_of_important_sentences_keeps_texts_without_codes(spark, tmp_path):
+    from tickpulse.plans import registry
+
+    rows = [(1, "THE price. No more."), (2, "nothing here. At all. "), (3, ""), (4, None), (5, "ok")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.load_all()["fn_important_sentence"].build(spark, str(tmp_path)).where("doc_id > 0").collect()
+    assert sorted(map(tuple, got)) == [(1, "THE", "THE price. No more."), (2, "GENERAL", "nothing here. At all. "), (5, "GENERAL", "ok")]
+
+
 def test_best_sentences_work_out_the_codes_once_per_post(spark):
     from tickpulse.functions import sentences as fs
 

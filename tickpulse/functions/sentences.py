@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tickpulse.constants import SENTENCE_KEYWORDS, SUMMARY_KEYWORDS
+from tickpulse.constants import GENERAL_KEY, SENTENCE_KEYWORDS, SUMMARY_KEYWORDS
 from tickpulse.functions.text import has_digit, let, spaced_words, strip, summary_clean, word_count, words
 
 def _empty():
@@ -117,6 +117,17 @@ def important_sentences(sentences, codes) -> Column:
         cs, lambda c: F.struct(c.alias("symbol"), important_sentence(t, c).alias("sentence")))))
 
 
+def extract_important_sentences(text, codes) -> Column:
+    """fn_important_sentence: the important sentence of every code; a text that names no code gives one entry, GENERAL with
+    the whole text; a NULL or empty text gives none."""
+    t = _c(text)
+    nothing = F.array().cast("array<struct<symbol: string, sentence: string>>")
+    general = F.array(F.struct(F.lit(GENERAL_KEY).alias("symbol"), t.alias("sentence")))
+    return let(_c(codes), lambda cs: F.when(t.isNull() | (t == ""), nothing)
+               .when(F.coalesce(F.size(cs), F.lit(0)) <= 0, general)
+               .otherwise(important_sentences(split_sentences(t), cs)))
+
+
 def best_sentence_positions(sentences, codes) -> Column:
     """win_best_sentence for all codes of a post: array<struct<symbol, best_pos>>; codes and table as above."""
     return let(_c(codes), lambda cs: let(sentence_table(sentences, cs), lambda t: F.transform(

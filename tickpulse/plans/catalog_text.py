@@ -9,7 +9,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from tickpulse.constants import CONTEXT_VETO_WORDS, RUMOR_PATTERNS
+from tickpulse.constants import CONTEXT_VETO_WORDS, GENERAL_KEY, RUMOR_PATTERNS
 from tickpulse.functions import sentences as fs
 from tickpulse.functions import text as ft
 from tickpulse.functions import tickers as tk
@@ -235,9 +235,11 @@ _BEST = ot.best_sentences(FLAGGED_DOCS, _SENTS, _CODES_SQL, DICT.symbols)
 
 
 @register("fn_important_sentence", f"""select doc_id, code, case when best_pos is null then ''
-        else {ot.context_at('ss', 'list_position(ss, ss[best_pos])')} end as sentence from ({_BEST})""")
+        else {ot.context_at('ss', 'list_position(ss, ss[best_pos])')} end as sentence from ({_BEST})
+        union all select doc_id, {ot.q(GENERAL_KEY)} as code, text as sentence from {FLAGGED_DOCS}
+        where text <> '' and len({_CODES_SQL}) = 0""")
 def q_fn_important_sentence(spark, sf):
-    pairs = fs.important_sentences(fs.split_sentences("text"), tk.rule_codes(F.col("text"), DICT))
+    pairs = fs.extract_important_sentences("text", tk.rule_codes(F.col("text"), DICT))
     d = docs(spark, sf).select("doc_id", F.explode(pairs).alias("p"))
     return d.select("doc_id", F.col("p.symbol").alias("code"), F.col("p.sentence").alias("sentence"))
 
