@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -5,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickpulse.llm import signature_trees as mod
+from tickpulse.llm.files import RecordReader, RecordWriter
+from tickpulse.llm.scratch import shared_dir
 from tickpulse.llm.signature_trees import jaccard_join
 
 from .test_minhash_join import brute, corpus
@@ -69,3 +72,49 @@ def test_a_node_never_rules_out_a_link():
         both = mod._overlaps(sets)
         assert most >= both[:3, 3:].max()
         assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(6) for j in range(6))
+
+
+def test_pairs_of_nodes_carry_neither_sets_nor_bitmaps(spark, monkeypatch):
+    """What meets a pair's two sides are places of records: sets and bitmaps are written once, not once per pair."""
+    monkeypatch.setattr(mod, "_LEAF_SETS", 4)
+    plans, real = {}, mod.written
+
+    def look(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(mod, "written", look)
+    shared = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    check(spark, half_alike(4, 150), 5)
+    assert plans["tree-links"] and len(plans["node-pairs"]) >= 2
+    assert not [p for n in ("node-pairs", "tree-links") for p in plans[n] if "tokens" in p or "bits" in p]
+    assert not [f for f in set(os.listdir(shared)) - before if "records" in f]
+
+
+def test_links_across_two_leaves():
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        base = np.unique(r.integers(0, 1 << 40, 60).astype(np.uint64))
+        sets = [np.unique(np.append(r.choice(base, len(base) - r.integers(0, 9), replace=False), r.integers(0, 1 << 40, r.integers(0, 9)).astype(np.uint64))) for _ in range(7)]
+
+        def record(part):
+            flat, size = np.concatenate(part), np.array([len(s) for s in part])
+            order = np.argsort(flat, kind="stable")
+            return None, size, flat[order], np.repeat(np.arange(len(part)), size)[order].astype(np.uint32)
+
+        cross = mod._links(sets, 80)
+        cross[:3, :3] = cross[3:, 3:] = False
+        assert mod._cross_links(record(sets[:3]), record(sets[3:]), 80) == mod._forest(cross)
+
+
+def test_records_are_found_again(tmp_path):
+    folder = f"file://{tmp_path}/records"
+    writers = [RecordWriter(folder) for _ in range(3)]
+    places = [(w.add((i, b"x" * i)), (i, b"x" * i)) for i in range(200) for w in writers[:2]]
+    for w in writers:
+        w.close()
+    assert len(os.listdir(tmp_path / "records")) == 2
+    records = RecordReader(folder)
+    assert all(records.get(*place) == record for place, record in places[::-1] + places)
+    records.close()

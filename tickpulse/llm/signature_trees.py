@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from tickpulse.llm import rolling
 from tickpulse.llm.components import connected_components
+from tickpulse.llm.files import RecordReader, RecordWriter
 from tickpulse.llm.key_filter import build_filter, holds
 from tickpulse.llm.rows import chosen_rows, screened, text_hash
-from tickpulse.llm.scratch import discard, small_batches, written
+from tickpulse.llm.scratch import discard, discard_folder, fresh_path, small_batches, written
 from tickpulse.llm.shingles import shingle_sets
 
 _LEAF_SETS, _LEAF_TOKENS = 32, 1 << 16  # a leaf is closed by whichever comes first
@@ -254,62 +255,73 @@ def _links(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 _EDGES = pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())]))
-_LEAF_SCHEMA = (
-    "family long, pid long, seq long, nodes array<binary>, sizes array<bigint>, tokens binary, bits binary, low long, high long, excess long, same binary, "
-    "links array<struct<a: binary, b: binary>>"
-)
-_LEAF_TYPES = [pa.int64()] * 3 + [pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()] + [pa.int64()] * 3 + [pa.binary(), _EDGES]
-_LEAF_NAMES = ["family", "pid", "seq", "nodes", "sizes", "tokens", "bits", "low", "high", "excess", "same", "links"]
+_FIRST = {"family": pa.int64(), "links": _EDGES}
+_KEPT = {c: pa.int64() for c in ("family", "pid", "seq", "low", "high", "excess", "file", "at", "size")} | {"bits": pa.binary(), "same": pa.binary(), "links": _EDGES}
+_FIRST_SCHEMA = "family long, links array<struct<a: binary, b: binary>>"
+_KEPT_SCHEMA = ", ".join(f"{c} long" for c in list(_KEPT)[:9]) + ", bits binary, same binary, links array<struct<a: binary, b: binary>>"
 
 
-def _leaves(sets: DataFrame, percent: int) -> DataFrame:
+def _leaves(sets: DataFrame, percent: int, folder: str | None = None) -> DataFrame:
     """Leaves of all trees, cut from the sorted sets of each partition, with the links inside.
 
     ``label`` is the component a set is known to be in: a leaf of one component (``same``) is not searched.  A leaf does not
-    reach over a change of ``family`` or ``cut``."""
+    reach over a change of ``family`` or ``cut``.  With a ``folder`` the leaves can be compared later: their sets are written
+    there once, a row has their place (``file, at, size``), bitmap and bounds."""
+    types = _KEPT if folder else _FIRST
 
-    def close(family, pid, seq, bits, nodes, labels, tokens, carry):
-        maps = [_bitmap(t, bits) for t in tokens]
-        size = [len(t) for t in tokens]
+    def close(family, pid, seq, bits, nodes, labels, tokens, carry, records):
         same = labels[0] if len(set(labels)) == 1 else None
         names, members = ([carry[0], *nodes], [carry[1], *tokens]) if carry else (nodes, tokens)
         search = len(members) > 1 and (carry or same is None)
         edges = [dict(a=names[i], b=names[j]) for i, j in _forest(_links(members, percent))] if search else []
-        excess = max(n - int(np.bitwise_count(m).sum()) for n, m in zip(size, maps, strict=True))
-        return (family, pid, seq, nodes, size, np.concatenate(tokens).tobytes(), np.bitwise_or.reduce(maps).tobytes(), min(size), max(size), excess, same, edges)
+        if records is None:
+            return {"family": family, "links": edges}
+        maps = [_bitmap(t, bits) for t in tokens]
+        size = np.array([len(t) for t in tokens])
+        excess = max(n - int(np.bitwise_count(m).sum()) for n, m in zip(size.tolist(), maps, strict=True))
+        flat = np.concatenate(tokens)
+        order = np.argsort(flat, kind="stable")
+        file, at, length = records.add((nodes, size, flat[order], np.repeat(np.arange(len(size)), size)[order].astype(np.uint32)))
+        both = np.bitwise_or.reduce(maps).tobytes()
+        return {"family": family, "pid": pid, "seq": seq, "low": int(size.min()), "high": int(size.max()), "excess": excess, "file": file, "at": at, "size": length, "bits": both, "same": same, "links": edges}
 
     def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _LEAF_TYPES, strict=True)], names=_LEAF_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in types.items()], names=list(types))
 
     def cut(batches):
+        records = RecordWriter(folder) if folder else None
         pid, seq, out, held = TaskContext.get().partitionId(), 0, [], 0
         now, bits, nodes, labels, tokens, carry = None, 0, [], [], [], None
-        for b in batches:
-            plain = zip(*[b.column(c).to_pylist() for c in ("family", "cut", "width", "node", "label")], strict=True)
-            for i, (family, part, width, node, label) in enumerate(plain):
-                t = np.frombuffer(b.column("tokens")[i].as_buffer(), np.uint64)
-                if nodes and ((family, part) != now or len(nodes) == _LEAF_SETS or sum(map(len, tokens)) + len(t) > _LEAF_TOKENS):
-                    out.append(close(now[0], pid, seq, bits, nodes, labels, tokens, carry))
-                    held += len(out[-1][5])
-                    seq += 1
-                    carry = (nodes[-1], tokens[-1].copy())
-                    nodes, labels, tokens = [], [], []
-                    if held > _OUT_BYTES or len(out) == 2000:
-                        yield batch(out)
-                        out, held = [], 0
-                if (family, part) != now:
-                    if now is None or family != now[0]:
-                        carry = None
-                    now, bits = (family, part), width
-                nodes.append(node)
-                labels.append(label)
-                tokens.append(t)
-        if nodes:
-            out.append(close(now[0], pid, seq, bits, nodes, labels, tokens, carry))
-        if out:
-            yield batch(out)
-
-    return sets.select("family", "cut", "width", "node", "label", "tokens").mapInArrow(cut, _LEAF_SCHEMA)
+        try:
+            for b in batches:
+                plain = zip(*[b.column(c).to_pylist() for c in ("family", "cut", "width", "node", "label")], strict=True)
+                for i, (family, part, width, node, label) in enumerate(plain):
+                    t = np.frombuffer(b.column("tokens")[i].as_buffer(), np.uint64)
+                    if nodes and ((family, part) != now or len(nodes) == _LEAF_SETS or sum(map(len, tokens)) + len(t) > _LEAF_TOKENS):
+                        out.append(close(now[0], pid, seq, bits, nodes, labels, tokens, carry, records))
+                        held += len(out[-1].get("bits", b""))
+                        seq += 1
+                        carry = (nodes[-1], tokens[-1].copy())
+                        nodes, labels, tokens = [], [], []
+                        if held > _OUT_BYTES or len(out) == 2000:
+                            yield batch(out)
+                            out, held = [], 0
+                    if (family, part) != now:
+                        if now is None or family != now[0]:
+                            carry = None
+                        now, bits = (family, part), width
+                    nodes.append(node)
+                    labels.append(label)
+                    tokens.append(t)
+            if nodes:
+                out.append(close(now[0], pid, seq, bits, nodes, labels, tokens, carry, records))
+            if out:
+                yield batch(out)
+        finally:
+            if records is not None:
+                records.close()
+
+    return sets.select("family", "cut", "width", "node", "label", "tokens").mapInArrow(cut, _KEPT_SCHEMA if folder else _FIRST_SCHEMA)
 
 
 def _parents(level: DataFrame) -> DataFrame:
@@ -329,45 +341,123 @@ def _parents(level: DataFrame) -> DataFrame:
     return up.groupBy("family", "id").applyInArrow(merge, "family long, id long, low long, high long, excess long, bits binary, same binary")
 
 
-def _descend(pairs: DataFrame, level: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of ``level`` below the ``pairs`` of the level above that may still hold links."""
-    side = lambda t: level.select("family", F.shiftright("id", _FAN_BITS).alias("x" if t == "a" else "y"), *[F.col(c).alias(f"{c}_{t}") for c in ("id", "low", "high", "excess", "bits", "same")])
-    both = pairs.join(side("a"), ["family", "x"]).join(side("b"), ["family", "y"])
-    fits = f"100 * high_a >= {percent} * low_b and 100 * high_b >= {percent} * low_a"
-    both = both.where(f"id_a <= id_b and {fits} and not coalesce(same_a = same_b, false)")
+_PLACE = ("file", "at", "size")
 
-    def overlap(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            most = np.empty(b.num_rows, np.int64)
-            for i, (x, y) in enumerate(zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)):
-                most[i] = np.bitwise_count(np.frombuffer(x, np.uint8) & np.frombuffer(y, np.uint8)).sum()
-            ea, eb, la, lb, ia, ib = (b.column(c).to_numpy() for c in ("excess_a", "excess_b", "low_a", "low_b", "id_a", "id_b"))
-            ok = (ia == ib) | ((100 + percent) * (most + np.minimum(ea, eb)) >= percent * (la + lb))
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("family", "id_a", "id_b")], names=["family", "x", "y"])
 
-    return both.mapInArrow(overlap, "family long, x long, y long")
+def _children(level: DataFrame, folder: str) -> DataFrame:
+    """``family, x, file, at, size``: for every node of the level above the place of one record with all nodes below it."""
 
+    def group(batches):
+        records, now, rows = RecordWriter(folder), None, []
 
-def _compared(pairs: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` between the sets of two leaves, as many as connect them."""
-    side = lambda t, k: leaves.select("family", F.col("id").alias(k), *[F.col(c).alias(f"{c}_{t}") for c in ("nodes", "sizes", "tokens")])
+        def place():
+            ids, low, high, excess = (np.array([r[c] for r in rows], np.int64) for c in ("id", "low", "high", "excess"))
+            same = np.array([r["same"] for r in rows] + [None], object)[:-1]
+            maps = np.stack([np.frombuffer(r["bits"], np.uint64) for r in rows])
+            return [*now, *records.add((ids, low, high, excess, same, maps))]
+
+        def batch(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["family", "x", *_PLACE])
+
+        try:
+            for b in batches:
+                out = []
+                for r in b.to_pylist():
+                    if (r["family"], r["x"]) != now:
+                        if rows:
+                            out.append(place())
+                        now, rows = (r["family"], r["x"]), []
+                    rows.append(r)
+                if out:
+                    yield batch(out)
+            if rows:
+                yield batch([place()])
+        finally:
+            records.close()
+
+    up = level.withColumn("x", F.shiftright("id", _FAN_BITS)).repartitionByRange("family", "x").sortWithinPartitions("family", "x", "id")
+    return up.select("family", "x", "id", "low", "high", "excess", "same", "bits").mapInArrow(group, "family long, x long, file long, at long, size long")
+
+
+def _placed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs with the places of both sides' records, the same number of pairs to every task: what is shuffled are places, never
+    tokens or bitmaps, and a pair is far more work than its bytes say."""
+    side = lambda t, k: nodes.select("family", F.col("x").alias(k), *[F.col(c).alias(f"{c}_{t}") for c in _PLACE])
     both = pairs.join(side("a", "x"), ["family", "x"]).join(side("b", "y"), ["family", "y"])
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, pairs.count() // 512)
+    return both.repartitionByRange(tasks, "family", "x", "y").sortWithinPartitions("family", "x", "y")
+
+
+def _read_pairs(b: pa.RecordBatch, records: RecordReader):
+    """``family, x, y`` of every pair and its two records."""
+    for r in b.to_pylist():
+        yield r["family"], r["x"], r["y"], *(records.get(*[r[f"{c}_{t}"] for c in _PLACE]) for t in "ab")
+
+
+def _descend(pairs: DataFrame, children: DataFrame, folder: str, percent: int) -> DataFrame:
+    """Pairs of nodes below the ``pairs`` of the level above that may still hold links."""
+
+    def overlap(batches):
+        records = RecordReader(folder)
+        try:
+            for b in batches:
+                out = [np.empty((3, 0), np.int64)]
+                for family, x, y, one, two in _read_pairs(b, records):
+                    ia, la, ha, ea, sa, ma = one
+                    ib, lb, hb, eb, sb, mb = two
+                    keep = (100 * ha[:, None] >= percent * lb) & (100 * hb >= percent * la[:, None])
+                    keep &= ~np.array([[p is not None and p == q for q in sb] for p in sa])
+                    if x == y:
+                        keep &= ia[:, None] <= ib
+                    i, j = np.nonzero(keep)
+                    most = np.bitwise_count(ma[i] & mb[j]).sum(axis=1, dtype=np.int64)
+                    ok = (ia[i] == ib[j]) | ((100 + percent) * (most + np.minimum(ea[i], eb[j])) >= percent * (la[i] + lb[j]))
+                    i, j = i[ok], j[ok]
+                    out.append(np.stack([np.full(len(i), family), ia[i], ib[j]]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["family", "x", "y"])
+        finally:
+            records.close()
+
+    return _placed(pairs, children).mapInArrow(overlap, "family long, x long, y long")
+
+
+def _cross_links(one: tuple, two: tuple, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets of two leaves, as many as connect them; the second leaf's sets are numbered behind the first's."""
+    (_, na, ta, ra), (_, nb, tb, rb) = one, two
+    can = (100 * na[:, None] >= percent * nb) & (100 * nb >= percent * na[:, None])
+    if not can.any():
+        return []
+    first, last = (np.searchsorted(tb, ta, side) for side in ("left", "right"))
+    count = last - first
+    # every token of the first leaf with each equal one of the second, both in order
+    end = np.cumsum(count)
+    at = np.arange(int(end[-1])) + np.repeat(first - (end - count), count)
+    both = np.bincount(np.repeat(ra, count).astype(np.int64) * len(nb) + rb[at], minlength=can.size).reshape(can.shape)
+    linked = can & (100 * both >= percent * (na[:, None] + nb - both))
+    if not linked.any():
+        return []
+    k = len(na)
+    whole = np.zeros((k + len(nb), k + len(nb)), bool)
+    whole[:k, k:], whole[k:, :k] = linked, linked.T
+    return _forest(whole)
+
+
+def _compared(pairs: DataFrame, leaves: DataFrame, folder: str, percent: int) -> DataFrame:
+    """Links ``a, b`` between the sets of two leaves, as many as connect them."""
 
     def compare(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                names, members = [], []
-                for t in "ab":
-                    flat = np.frombuffer(b.column(f"tokens_{t}")[i].as_buffer(), np.uint64)
-                    members += np.split(flat, np.cumsum(b.column(f"sizes_{t}")[i].as_py())[:-1])
-                    names += b.column(f"nodes_{t}")[i].as_py()
-                edges = _forest(_links(members, percent))
-                if edges:
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in edges], pa.binary()), pa.array([names[j] for _, j in edges], pa.binary())], names=["a", "b"])
+        records = RecordReader(folder)
+        try:
+            for b in batches:
+                out = []
+                for _, _, _, one, two in _read_pairs(b, records):
+                    names = [*one[0], *two[0]]
+                    out += [(names[i], names[j]) for i, j in _cross_links(one, two, percent)]
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        finally:
+            records.close()
 
-    return both.mapInArrow(compare, "a binary, b binary")
+    return _placed(pairs, leaves.select("family", F.col("id").alias("x"), *_PLACE)).mapInArrow(compare, "a binary, b binary")
 
 
 def _tree_links(sets: DataFrame, leaves: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
@@ -380,16 +470,20 @@ def _tree_links(sets: DataFrame, leaves: DataFrame, labels: DataFrame, percent:
     spark = leaves.sparkSession
     several = leaves.groupBy("family").agg(F.count("*").alias("k")).where("k > 1").select("family")
     named = sets.select("family", "node").join(several, "family", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = written(named.groupBy("family", "label").agg(F.count("*").alias("k")), "tall-components")
-    open_ = written(parts.groupBy("family").agg(F.count("*").alias("k")).where("k > 1").select("family"), "tall-families")
+    components = written(named.groupBy("family", "label").agg(F.count("*").alias("k")), "tall-components")
+    open_ = written(components.groupBy("family").agg(F.count("*").alias("k")).where("k > 1").select("family"), "tall-families")
     trees = open_.count()
     if not trees:
         return None
-    parts = parts.join(open_, "family", "left_semi").select("family", "label", F.when(F.col("k") > 1, F.col("label")).alias("cut"))
+    parts = components.join(open_, "family", "left_semi").select("family", "label", F.when(F.col("k") > 1, F.col("label")).alias("cut"))
     members = named.join(parts, ["family", "label"]).select("node", "label", "cut")
-    members = written(sets.join(members, "node"), "tall-sets")
-    order = ["family", "cut", "lowest", "node"]
-    leaves = written(_leaves(members.repartitionByRange(*order).sortWithinPartitions(*order), percent), "tall-leaves")
+    tall = written(sets.join(members, "node"), "tall-sets")
+    # sets that are alone lie by size: the bounds of their leaves are narrow, so few pairs of them can link
+    members = tall.withColumn("n", F.when(F.col("cut").isNull(), F.length("tokens")).otherwise(0))
+    order = ["family", "cut", "n", "lowest", "node"]
+    folder = fresh_path(spark, "leaf-records")
+    leaves = written(_leaves(members.repartitionByRange(*order).sortWithinPartitions(*order), percent, folder), "tall-leaves")
+    discard(tall, components, open_)
 
     # one number per partition: leaves get gapless numbers in sorted order, so a family's leaves are neighbours
     counts = sorted((r["pid"], r["k"]) for r in leaves.groupBy("pid").agg(F.count("*").alias("k")).collect())
@@ -401,12 +495,20 @@ def _tree_links(sets: DataFrame, leaves: DataFrame, labels: DataFrame, percent:
         levels.append(written(_parents(levels[-1]), f"level-{len(levels)}"))
 
     links = leaves.select(F.explode("links").alias("l")).select("l.a", "l.b")
-    if len(levels) == 1:
-        return links
-    pairs = levels[-1].where("same is null").select("family", F.col("id").alias("x"), F.col("id").alias("y"))
+    pairs = written(levels[-1].where("same is null").select("family", F.col("id").alias("x"), F.col("id").alias("y")), "node-pairs")
     for level in reversed(levels[:-1]):
-        pairs = written(_descend(pairs, level, percent), "node-pairs")
-    return written(links.unionByName(_compared(pairs.where("x < y"), numbered, percent)), "tree-links")
+        below = fresh_path(spark, "node-records")
+        children = written(_children(level, below), "children")
+        last = pairs
+        pairs = written(_descend(last, children, below, percent), "node-pairs")
+        discard(last, children)
+        discard_folder(spark, below)
+    discard(*levels)
+    pairs = written(pairs.where("x < y"), "leaf-pairs")
+    out = written(links.unionByName(_compared(pairs, numbered, folder, percent)), "tree-links")
+    discard(pairs, leaves)
+    discard_folder(spark, folder)
+    return out
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
